@@ -129,3 +129,280 @@ def resample_10m(spark, sf_dir):
           note="null closes inside a window: last non-null close wins; all-null windows drop")
 def resample_dirty(spark, sf_dir):
     return RS.resample(A.dirty_bars(spark, sf_dir), 60)
+
+
+# ---- validation (circuit breaker) ---------------------------------------------------
+
+from ..operators import quality as Q  # noqa: E402
+from ..operators import upsert as U  # noqa: E402
+from ..operators import validate as V  # noqa: E402
+from ..sources import vendor as VD  # noqa: E402
+
+CLASSIFIED = [
+    O.EV, O.BARS_10M, O.DIRTY_BARS,
+    ("ruled", f"""
+      SELECT *, CASE
+          WHEN open IS NULL OR isnan(open) OR high IS NULL OR isnan(high)
+            OR low IS NULL OR isnan(low) OR close IS NULL OR isnan(close) THEN 1
+          WHEN least(open, high, low, close) <= {O.dbl(P.min_valid_price)} THEN 2
+          WHEN volume IS NULL OR volume < 0 THEN 3
+          WHEN high < low THEN 4 END AS rule
+      FROM dirty_bars"""),
+    ("surv", """
+      SELECT ticker, timestamp, open, high, low, close, volume,
+             abs(close / lag(close) OVER (PARTITION BY ticker ORDER BY timestamp) - 1) AS pct_change
+      FROM ruled WHERE rule IS NULL"""),
+    ("cls", f"""
+      SELECT *, CASE WHEN pct_change > {O.dbl(P.extreme_bar_pct_change)} THEN 5
+                     WHEN pct_change > {O.dbl(P.max_bar_pct_change)} THEN 6 END AS rule FROM surv
+      UNION ALL BY NAME
+      SELECT ticker, timestamp, open, high, low, close, volume,
+             CAST(NULL AS DOUBLE) AS pct_change, rule FROM ruled WHERE rule IS NOT NULL"""),
+]
+
+VALIDATE_EVENTS = [
+    ("per_rule", """
+      SELECT ticker, rule, count(*) AS n, max(pct_change) AS rule_max
+      FROM cls WHERE rule IS NOT NULL GROUP BY ticker, rule"""),
+    ("val_events", """
+      SELECT CASE rule WHEN 1 THEN 'INVALID_PRICE' WHEN 2 THEN 'INVALID_PRICE'
+                       WHEN 3 THEN 'INVALID_VOLUME' WHEN 4 THEN 'OHLC_INCONSISTENCY'
+                       WHEN 5 THEN 'EXTREME_SPIKE_REMOVED' ELSE 'PRICE_SPIKE_FLAGGED' END AS event_type,
+             ticker,
+             CASE rule
+               WHEN 1 THEN printf('%d rows with NaN prices removed', n)
+               WHEN 2 THEN printf('%d rows with price <= 0.01 removed', n)
+               WHEN 3 THEN printf('%d rows with negative volume removed', n)
+               WHEN 4 THEN printf('%d rows where high < low removed', n)
+               WHEN 5 THEN printf('%d rows with >50%% bar-to-bar change removed (max: %.1f%%)', n,
+                                  round(worst * 1000) / 10)
+               ELSE printf('%d bars with 20%%-50%% change flagged (kept). Worst: %.1f%%', n,
+                           round(worst * 1000) / 10) END AS message,
+             CAST(n AS INTEGER) AS bar_count
+      FROM (SELECT *, max(rule_max) OVER (PARTITION BY ticker) AS worst FROM per_rule)"""),
+]
+
+
+@register("validate_clean",
+          W(CLASSIFIED, "SELECT ticker, timestamp, open, high, low, close, volume FROM cls "
+                        "WHERE rule IS NULL OR rule = 6"),
+          ["open", "high", "low", "close"])
+def validate_clean(spark, sf_dir):
+    return V.clean(V.classify(A.dirty_bars(spark, sf_dir), P))
+
+
+@register("validate_events", W(CLASSIFIED + VALIDATE_EVENTS, "SELECT * FROM val_events"))
+def validate_events(spark, sf_dir):
+    return V.events(V.classify(A.dirty_bars(spark, sf_dir), P), P)
+
+
+# ---- data-quality checks ---------------------------------------------------------------
+
+@register("bar_profile",
+          W([O.EV, O.BARS_10M], "SELECT ticker, count(*) AS bar_count, min(timestamp) AS first_bar, "
+                                "max(timestamp) AS last_bar FROM bars_10m GROUP BY ticker"))
+def bar_profile(spark, sf_dir):
+    return Q.bar_profile(A.bars_10m(spark, sf_dir))
+
+
+LOW_BARS_SQL = (f"SELECT 'MISSING_BARS' AS event_type, ticker, "
+                f"printf('Only %d bars (expected >={P.min_expected_bars})', count(*)) AS message, "
+                f"CAST(count(*) AS INTEGER) AS bar_count FROM user_ticks GROUP BY ticker "
+                f"HAVING count(*) < {P.min_expected_bars}")
+
+
+@register("low_bar_count", W([O.EV, O.USER_TICKS], LOW_BARS_SQL))
+def low_bar_count(spark, sf_dir):
+    return Q.low_bar_count(A.user_ticks(spark, sf_dir), P)
+
+
+GAPS = [("gaps", f"""
+  SELECT ticker, prev_ts, timestamp,
+         (epoch_us(timestamp) - epoch_us(prev_ts)) // 60000000 AS gap_minutes
+  FROM (SELECT ticker, timestamp,
+               lag(timestamp) OVER (PARTITION BY ticker ORDER BY timestamp) AS prev_ts
+        FROM bars_10m)
+  WHERE prev_ts IS NOT NULL
+    AND (epoch_us(timestamp) - epoch_us(prev_ts)) // 60000000 > {P.gap_threshold_minutes}
+    AND CAST(prev_ts AS DATE) = CAST(timestamp AS DATE)""")]
+
+
+@register("intraday_gaps_top20",
+          W([O.EV, O.BARS_10M, *GAPS],
+            f"SELECT * FROM gaps ORDER BY gap_minutes DESC, ticker, timestamp LIMIT {P.gap_report_limit}"))
+def intraday_gaps_top20(spark, sf_dir):
+    return Q.top_gaps(A.bars_10m(spark, sf_dir), P)
+
+
+GAP_EVENTS_SQL = (f"SELECT 'GAP_DETECTED' AS event_type, ticker, "
+                  f"printf('%dmin intraday gap: %s to %s', gap_minutes, CAST(prev_ts AS VARCHAR), "
+                  f"CAST(timestamp AS VARCHAR)) AS message, CAST(gap_minutes AS INTEGER) AS bar_count "
+                  f"FROM (SELECT * FROM gaps ORDER BY gap_minutes DESC, ticker, timestamp "
+                  f"LIMIT {P.gap_event_limit})")
+
+
+@register("gap_events", W([O.EV, O.BARS_10M, *GAPS], GAP_EVENTS_SQL))
+def gap_events(spark, sf_dir):
+    return Q.gap_events(A.bars_10m(spark, sf_dir), P)
+
+
+FRESH_SQL = f"""
+  SELECT 'STALE_DATA' AS event_type, 'ALL' AS ticker,
+         printf('Latest bar is %.1fh old. Last: %s', round(h * 10) / 10, CAST(latest AS VARCHAR)) AS message,
+         0 AS bar_count
+  FROM (SELECT latest,
+               CAST(epoch_us({O.ts(A.AS_OF)}) // 1000000 - epoch_us(latest) // 1000000 AS DOUBLE) / 3600.0 AS h
+        FROM (SELECT max(timestamp) AS latest FROM bars_10m))
+  WHERE latest IS NOT NULL AND h > {O.dbl(P.stale_hours)}"""
+
+
+@register("freshness", W([O.EV, O.BARS_10M], FRESH_SQL))
+def freshness(spark, sf_dir):
+    return Q.freshness(A.bars_10m(spark, sf_dir), A.as_of_lit(), P)
+
+
+DUP_SRC = ("dup_src", f"""
+  SELECT * FROM bars_10m
+  UNION ALL
+  SELECT * FROM bars_10m WHERE CAST(timestamp AS DATE) = DATE '{A.REDELIVERED_DAY}'""")
+
+
+def _redelivered(spark, sf_dir):
+    b = A.bars_10m(spark, sf_dir)
+    return b.unionByName(b.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date")))
+
+
+@register("duplicate_bars",
+          W([O.EV, O.BARS_10M, DUP_SRC],
+            "SELECT ticker, timestamp, count(*) AS cnt FROM dup_src GROUP BY 1, 2 HAVING count(*) > 1"))
+def duplicate_bars(spark, sf_dir):
+    return Q.duplicate_keys(_redelivered(spark, sf_dir))
+
+
+DUP_EVENT_SQL = """
+  SELECT 'DUPLICATE_DETECTED' AS event_type, 'ALL' AS ticker,
+         printf('%d duplicate rows in Bronze after MERGE (unexpected)', n) AS message,
+         CAST(n AS INTEGER) AS bar_count
+  FROM (SELECT count(*) AS n FROM (SELECT 1 FROM dup_src GROUP BY ticker, timestamp HAVING count(*) > 1))
+  WHERE n > 0"""
+
+
+@register("duplicate_events", W([O.EV, O.BARS_10M, DUP_SRC], DUP_EVENT_SQL))
+def duplicate_events(spark, sf_dir):
+    return Q.duplicate_events(_redelivered(spark, sf_dir))
+
+
+# ---- vendor landing: conform + missing sources ---------------------------------------
+
+@register("conform_bars",
+          W([O.EV, O.BARS_5M, O.SYMBOL_DIM, O.VENDOR_BARS], """
+            SELECT d.ticker, v."Datetime" AS timestamp,
+                   TRY_CAST(v."Open" AS DOUBLE) AS open, TRY_CAST(v."High" AS DOUBLE) AS high,
+                   TRY_CAST(v."Low" AS DOUBLE) AS low, TRY_CAST(v."Close" AS DOUBLE) AS close,
+                   TRY_CAST(v."Volume" AS BIGINT) AS volume
+            FROM vendor_bars v JOIN symbol_dim d ON v.symbol = d.symbol"""),
+          ["open", "high", "low", "close"])
+def conform_bars(spark, sf_dir):
+    return VD.conform_vendor(A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir))
+
+
+MISSING_SQL = """
+  SELECT 'MISSING_BARS' AS event_type, ticker, printf('No data returned for %s', symbol) AS message,
+         0 AS bar_count
+  FROM symbol_dim WHERE symbol NOT IN (SELECT DISTINCT symbol FROM vendor_bars)"""
+
+
+@register("missing_sources", W([O.EV, O.BARS_5M, O.SYMBOL_DIM, O.VENDOR_BARS], MISSING_SQL))
+def missing_sources(spark, sf_dir):
+    return VD.missing_sources(A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir))
+
+
+# ---- upsert ------------------------------------------------------------------------------
+
+UPSERT_CTES = [
+    O.EV, O.BARS_10M,
+    ("tgt", f"SELECT * FROM bars_10m WHERE timestamp < {O.ts(A.UPSERT_TARGET_END)}"),
+    ("src_raw", f"""
+      SELECT ticker, timestamp, open, high, low, close + 0.5 AS close, volume
+      FROM bars_10m WHERE timestamp >= {O.ts(A.UPSERT_SOURCE_START)}
+      UNION ALL
+      SELECT ticker, timestamp, open, high, low, close + 0.5 AS close, volume
+      FROM bars_10m WHERE CAST(timestamp AS DATE) = DATE '{A.REDELIVERED_DAY}'"""),
+    ("src", "SELECT DISTINCT * FROM src_raw"),
+]
+
+
+def _upsert_inputs(spark, sf_dir):
+    b = A.bars_10m(spark, sf_dir)
+    tgt = b.where(F.col("timestamp") < F.lit(A.UPSERT_TARGET_END).cast("timestamp_ntz"))
+    src = (b.where(F.col("timestamp") >= F.lit(A.UPSERT_SOURCE_START).cast("timestamp_ntz"))
+           .withColumn("close", F.col("close") + 0.5))
+    src = src.unionByName(src.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date")))
+    return tgt, src
+
+
+@register("upsert_bars",
+          W(UPSERT_CTES, """
+            SELECT coalesce(s.ticker, t.ticker) AS ticker, coalesce(s.timestamp, t.timestamp) AS timestamp,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.open ELSE t.open END AS open,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.high ELSE t.high END AS high,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.low ELSE t.low END AS low,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.close ELSE t.close END AS close,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.volume ELSE t.volume END AS volume
+            FROM tgt t FULL OUTER JOIN src s ON t.ticker = s.ticker AND t.timestamp = s.timestamp"""),
+          ["open", "high", "low", "close"])
+def upsert_bars(spark, sf_dir):
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    return U.merge_frames(tgt, src, ["ticker", "timestamp"])
+
+
+@register("upsert_metrics",
+          W(UPSERT_CTES, """
+            SELECT count(*) FILTER (WHERE t.ticker IS NULL) AS num_inserted_rows,
+                   count(*) FILTER (WHERE t.ticker IS NOT NULL) AS num_updated_rows
+            FROM src s LEFT JOIN tgt t ON t.ticker = s.ticker AND t.timestamp = s.timestamp"""))
+def upsert_metrics(spark, sf_dir):
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    return U.merge_metrics(tgt, src, ["ticker", "timestamp"])
+
+
+@register("upsert_event",
+          W(UPSERT_CTES, """
+            SELECT 'DUPLICATE_DETECTED' AS event_type, 'ALL' AS ticker,
+                   printf('%d duplicate (ticker,timestamp) rows merged instead of duplicated', n) AS message,
+                   CAST(n AS INTEGER) AS bar_count
+            FROM (SELECT count(*) AS n FROM src s JOIN tgt t
+                  ON t.ticker = s.ticker AND t.timestamp = s.timestamp) WHERE n > 0"""))
+def upsert_event(spark, sf_dir):
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    return U.duplicate_merge_event(U.merge_metrics(tgt, src, ["ticker", "timestamp"]))
+
+
+# ---- DQ event feed: every check, unioned, newest 15 with severity mark ---------------
+
+def _mark_sql() -> str:
+    arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.EVENT_MARKS.items())
+    return f"CASE event_type {arms} ELSE '{Q.UNKNOWN_MARK}' END"
+
+
+FEED_CTES = ([O.EV, O.BARS_10M, O.BARS_5M, O.USER_TICKS] + CLASSIFIED[2:] + VALIDATE_EVENTS
+             + GAPS + [DUP_SRC, O.SYMBOL_DIM, O.VENDOR_BARS] + UPSERT_CTES[2:])
+FEED_UNION = " UNION ALL ".join(f"({s})" for s in [
+    "SELECT * FROM val_events", LOW_BARS_SQL, GAP_EVENTS_SQL, FRESH_SQL, DUP_EVENT_SQL, MISSING_SQL])
+
+
+@register("dq_event_feed",
+          W(FEED_CTES, f"""
+            SELECT event_type, ticker, message, {O.ts(A.AS_OF)} AS detected_at, {_mark_sql()} AS mark
+            FROM ({FEED_UNION}) ORDER BY detected_at DESC, event_type, ticker, message LIMIT 15"""))
+def dq_event_feed(spark, sf_dir):
+    dirty = A.dirty_bars(spark, sf_dir)
+    b10 = A.bars_10m(spark, sf_dir)
+    vendor, dim = A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir)
+    ev = Q.union_events(V.events(V.classify(dirty, P), P),
+                        Q.low_bar_count(A.user_ticks(spark, sf_dir), P),
+                        Q.gap_events(b10, P),
+                        Q.freshness(b10, A.as_of_lit(), P),
+                        Q.duplicate_events(_redelivered(spark, sf_dir)),
+                        VD.missing_sources(vendor, dim))
+    return Q.recent_events(Q.to_event_log(ev, A.as_of_lit()), 15)
