@@ -23,7 +23,7 @@ def ts(x: str) -> str:
 def r6(select_sql: str, cols: list[str]) -> str:
     """Round the named double columns of a query to 6 decimals."""
     k = "CAST(1000000.0 AS DOUBLE)"
-    rep = ", ".join(f"round({c} * {k}) / {k} AS {c}" for c in cols)
+    rep = ", ".join(f"round({c} * {k}) / {k} + CAST(0.0 AS DOUBLE) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({select_sql}) AS _q"
 
 

@@ -15,7 +15,8 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
             # and its integer rounding has no decimal-string ambiguity, so Spark and
             # the SQL oracle agree bit for bit (rounding a 7-digit tie directly does not).
             scale = float(10 ** places)
-            cols.append((F.round(F.col(f.name) * scale) / scale).alias(f.name))
+            # "+ 0.0" turns -0.0 into 0.0 so the sign of zero never decides equality.
+            cols.append((F.round(F.col(f.name) * scale) / scale + 0.0).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -406,3 +406,123 @@ def dq_event_feed(spark, sf_dir):
                         Q.duplicate_events(_redelivered(spark, sf_dir)),
                         VD.missing_sources(vendor, dim))
     return Q.recent_events(Q.to_event_log(ev, A.as_of_lit()), 15)
+
+
+# ---- portfolio and trade log (user tickers: thousands of keys) ----------------------
+
+from ..operators import portfolio as PF  # noqa: E402
+from .. import schemas as SC  # noqa: E402
+from . import portfolio_sql as PS  # noqa: E402
+
+PORT = PS.port_ctes(P)
+PORT_DOUBLES = ["avg_entry_price", "current_price", "unrealized_pnl", "realized_pnl"]
+TRADE_DOUBLES = ["signal_score", "price", "pnl_realized", "stop_loss", "take_profit"]
+TRIG_DOUBLES = ["avg_entry_price", "realized_pnl", "current_price", "exit_pnl"]
+
+
+def _port_inputs(spark, sf_dir):
+    bars = A.user_ticks(spark, sf_dir)
+    sig = SIG.signals(IND.indicators(bars, P), P)
+    return bars, sig, A.portfolio_prev(spark, sf_dir)
+
+
+def _log_hist(sig):
+    h = sig.where(F.col("timestamp") < F.lit(A.SPLIT_TS).cast("timestamp_ntz"))
+    return h.select("ticker", "signal", "signal_score", F.col("close").alias("price"),
+                    F.lit(P.buy_shares).cast("long").alias("quantity"),
+                    F.lit(0.0).alias("pnl_realized"), "stop_loss", "take_profit", "timestamp")
+
+
+@register("latest_price", W(PORT, "SELECT * FROM cp"), ["current_price"])
+def latest_price(spark, sf_dir):
+    return PF.current_prices(A.user_ticks(spark, sf_dir))
+
+
+@register("latest_signal", W(PORT, "SELECT * FROM lv"), ["stop_loss", "take_profit"])
+def latest_signal(spark, sf_dir):
+    _, sig, _ = _port_inputs(spark, sf_dir)
+    return PF.latest_buy_levels(sig)
+
+
+@register("exit_triggers", W(PORT, "SELECT * FROM trig"), TRIG_DOUBLES)
+def exit_triggers(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    return PF.exit_triggers(prev, bars, sig, P)
+
+
+@register("exit_trades", W(PORT, "SELECT * FROM exits"), TRADE_DOUBLES)
+def exit_trades(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    return PF.exit_trades(PF.exit_triggers(prev, bars, sig, P), A.as_of_lit())
+
+
+@register("closed_positions", W(PORT, "SELECT * FROM pa"), PORT_DOUBLES)
+def closed_positions(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    return PF.close_positions(prev, PF.exit_triggers(prev, bars, sig, P), A.as_of_lit())
+
+
+@register("portfolio_updates", W(PORT, "SELECT * FROM upd"),
+          ["current_price", "signal_score", "signal_price", "stop_loss", "take_profit"])
+def portfolio_updates(spark, sf_dir):
+    bars, sig, _ = _port_inputs(spark, sf_dir)
+    return PF.portfolio_updates(bars, sig)
+
+
+@register("new_trades", W(PORT, "SELECT * FROM nt"),
+          ["current_price", "signal_score", "signal_price", "stop_loss", "take_profit"])
+def new_trades(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    exits = PF.exit_trades(PF.exit_triggers(prev, bars, sig, P), A.as_of_lit())
+    return PF.new_trades(PF.portfolio_updates(bars, sig), _log_hist(sig).unionByName(exits))
+
+
+@register("trade_entries", W(PORT, "SELECT * FROM entries"), TRADE_DOUBLES)
+def trade_entries(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    trig = PF.exit_triggers(prev, bars, sig, P)
+    exits = PF.exit_trades(trig, A.as_of_lit())
+    after = PF.close_positions(prev, trig, A.as_of_lit())
+    nt = PF.new_trades(PF.portfolio_updates(bars, sig), _log_hist(sig).unionByName(exits))
+    return PF.trade_entries(nt, after, P)
+
+
+@register("portfolio_merge",
+          W(PORT + PS.merge_ctes("portfolio_prev", "upd"), PS.merge_sql("mc_j", P)), PORT_DOUBLES)
+def portfolio_merge(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    return PF.merge_portfolio(prev, PF.portfolio_updates(bars, sig), P)
+
+
+@register("portfolio_merge_gen1",
+          W(PORT + PS.merge_ctes("portfolio_prev", "upd"), PS.merge_gen1_sql("mc_j", P)),
+          ["avg_entry_price", "current_price", "unrealized_pnl"])
+def portfolio_merge_gen1(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    prev1 = SC.conform(prev, SC.PORTFOLIO_GEN1)
+    return PF.merge_portfolio(prev1, PF.portfolio_updates(bars, sig), P, gen="gen1")
+
+
+@register("merge_clause_counts",
+          W(PORT + PS.merge_ctes("portfolio_prev", "upd"),
+            f"SELECT clause, count(*) AS rows FROM (SELECT {PS.clause_sql()} AS clause FROM mc_j) "
+            f"GROUP BY clause"))
+def merge_clause_counts(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    return PF.merge_clause_counts(prev, PF.portfolio_updates(bars, sig))
+
+
+@register("portfolio_step",
+          W(PORT + PS.merge_ctes("pa", "upd"), PS.merge_sql("mc_j", P)), PORT_DOUBLES)
+def portfolio_step(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    port, _ = PF.portfolio_step(prev, bars, sig, _log_hist(sig), A.as_of_lit(), P)
+    return port
+
+
+@register("step_trade_rows",
+          W(PORT, "SELECT * FROM exits UNION ALL BY NAME SELECT * FROM entries"), TRADE_DOUBLES)
+def step_trade_rows(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    _, rows = PF.portfolio_step(prev, bars, sig, _log_hist(sig), A.as_of_lit(), P)
+    return rows.drop("trade_id", "created_at")
