@@ -9,6 +9,7 @@ from .. import schemas
 from ..config import DEFAULT, Params
 from ..functions import indicators as X
 from ..functions.broadcast import small_side
+from ..functions.numeric import round_half_up
 
 SIGNAL_COLS = [f.name for f in schemas.SIGNALS.fields]
 GEN1_COLS = [f.name for f in schemas.SIGNALS_GEN1.fields]
@@ -77,9 +78,10 @@ def split_buy_sell(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def annotation(p: Params = DEFAULT) -> Column:
     """SIG-7: marker text, e.g. ``BUY @ $12.34<br>Score: 57/100<br>SL: $11.97<br>TP: $13.08``."""
-    head = F.format_string("%s @ $%.2f", F.col("signal"), F.col("close"))
+    r2 = lambda c: round_half_up(F.col(c), 2)
+    head = F.format_string("%s @ $%.2f", F.col("signal"), r2("close"))
     score = F.when(F.col("signal_score").isNotNull() & ~F.isnan("signal_score"),
-                   F.format_string("Score: %.0f/100", F.col("signal_score")))
-    sl = F.when(F.col("stop_loss").isNotNull(), F.format_string("SL: $%.2f", F.col("stop_loss")))
-    tp = F.when(F.col("take_profit").isNotNull(), F.format_string("TP: $%.2f", F.col("take_profit")))
+                   F.format_string("Score: %.0f/100", round_half_up(F.col("signal_score"), 0)))
+    sl = F.when(F.col("stop_loss").isNotNull(), F.format_string("SL: $%.2f", r2("stop_loss")))
+    tp = F.when(F.col("take_profit").isNotNull(), F.format_string("TP: $%.2f", r2("take_profit")))
     return F.concat_ws("<br>", head, score, sl, tp)

@@ -526,3 +526,189 @@ def step_trade_rows(spark, sf_dir):
     bars, sig, prev = _port_inputs(spark, sf_dir)
     _, rows = PF.portfolio_step(prev, bars, sig, _log_hist(sig), A.as_of_lit(), P)
     return rows.drop("trade_id", "created_at")
+
+
+# ---- serving reads ---------------------------------------------------------------------
+
+from ..operators import serving as SV  # noqa: E402
+
+SIG_1H = [O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"), *O.signal_ctes()]
+R2 = "CAST(100.0 AS DOUBLE)"
+
+
+@register("performance_summary",
+          W([O.TRADE_LOG], f"""
+            SELECT total_trades, buy_count, sell_count, auto_exits,
+                   round(pnl * {R2}) / {R2} AS total_pnl, round(win * {R2}) / {R2} AS avg_win,
+                   round(loss * {R2}) / {R2} AS avg_loss,
+                   CASE WHEN nz > 0 THEN CAST((wins * 2000 + nz) // (2 * nz) AS DOUBLE) / {O.dbl(10.0)}
+                   END AS win_rate
+            FROM (SELECT count(*) AS total_trades,
+                         count(*) FILTER (WHERE signal = 'BUY') AS buy_count,
+                         count(*) FILTER (WHERE signal = 'SELL') AS sell_count,
+                         count(*) FILTER (WHERE signal IN ('STOP_LOSS', 'TAKE_PROFIT')) AS auto_exits,
+                         sum(coalesce(pnl_realized, 0.0)) AS pnl,
+                         avg(CASE WHEN pnl_realized > 0 THEN pnl_realized END) AS win,
+                         avg(CASE WHEN pnl_realized < 0 THEN pnl_realized END) AS loss,
+                         count(*) FILTER (WHERE pnl_realized > 0) AS wins,
+                         count(*) FILTER (WHERE pnl_realized <> 0) AS nz
+                  FROM trade_log)"""),
+          ["total_pnl", "avg_win", "avg_loss", "win_rate"])
+def performance_summary(spark, sf_dir):
+    return SV.performance_summary(A.trade_log(spark, sf_dir))
+
+
+@register("equity_curve",
+          W([O.TRADE_LOG], """
+            SELECT timestamp, pnl_realized,
+                   sum(coalesce(pnl_realized, 0.0)) OVER (ORDER BY timestamp) AS cumulative_pnl
+            FROM trade_log WHERE pnl_realized IS NOT NULL AND pnl_realized <> 0"""),
+          ["pnl_realized", "cumulative_pnl"])
+def equity_curve(spark, sf_dir):
+    return SV.equity_curve(A.trade_log(spark, sf_dir))
+
+
+@register("recent_trades",
+          W([O.TRADE_LOG], """
+            SELECT trade_id, ticker, signal, signal_score, price, quantity, pnl_realized, stop_loss,
+                   take_profit, timestamp
+            FROM trade_log ORDER BY timestamp DESC, trade_id DESC LIMIT 50"""),
+          TRADE_DOUBLES)
+def recent_trades(spark, sf_dir):
+    return SV.recent_trades(A.trade_log(spark, sf_dir), 50)
+
+
+@register("recent_signals",
+          W(SIG_1H, """
+            SELECT timestamp, signal, signal_score, close, sma20, sma50, rsi, vortex_positive,
+                   vortex_negative, stop_loss, take_profit
+            FROM (SELECT * FROM sig WHERE ticker = 'click'
+                  ORDER BY timestamp DESC, signal DESC LIMIT 30)"""),
+          O.SIG_DOUBLES)
+def recent_signals(spark, sf_dir):
+    return SV.recent_signals(flagship(spark, sf_dir), "click", 30)
+
+
+@register("recent_indicators",
+          W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h")],
+            "SELECT * FROM ind WHERE rsi IS NOT NULL ORDER BY timestamp DESC, ticker LIMIT 15"),
+          O.IND_COLS)
+def recent_indicators(spark, sf_dir):
+    return SV.recent_indicators(IND.indicators(A.bars_1h(spark, sf_dir), P), 15)
+
+
+@register("tickers", W([O.EV, O.BARS_10M], "SELECT DISTINCT ticker FROM bars_10m"))
+def tickers(spark, sf_dir):
+    return SV.tickers(A.bars_10m(spark, sf_dir))
+
+
+@register("signal_counts",
+          W(SIG_1H, "SELECT ticker, signal, count(*) AS count FROM sig GROUP BY ticker, signal"))
+def signal_counts(spark, sf_dir):
+    return SV.signal_counts(flagship(spark, sf_dir))
+
+
+@register("layer_counts",
+          W(SIG_1H + [O.BARS_10M, O.TRADE_LOG] + CLASSIFIED[2:] + VALIDATE_EVENTS, """
+            SELECT 'raw_market_data' AS tbl, count(*) AS rows FROM bars_10m
+            UNION ALL SELECT 'technical_indicators', count(*) FROM ind
+            UNION ALL SELECT 'trade_signals', count(*) FROM sig
+            UNION ALL SELECT 'trade_log', count(*) FROM trade_log
+            UNION ALL SELECT 'data_quality_events', count(*) FROM val_events"""))
+def layer_counts(spark, sf_dir):
+    ind = IND.indicators(A.bars_1h(spark, sf_dir), P)
+    return SV.layer_counts(raw_market_data=A.bars_10m(spark, sf_dir), technical_indicators=ind,
+                           trade_signals=SIG.signals(ind, P), trade_log=A.trade_log(spark, sf_dir),
+                           data_quality_events=V.events(V.classify(A.dirty_bars(spark, sf_dir), P), P))
+
+
+@register("active_positions",
+          W(PORT + PS.merge_ctes("pa", "upd") + [("step", PS.merge_sql("mc_j", P))], """
+            SELECT ticker, holdings, coalesce(avg_entry_price, 0.0) AS avg_entry_price,
+                   coalesce(current_price, 0.0) AS current_price,
+                   coalesce(unrealized_pnl, 0.0) AS unrealized_pnl,
+                   coalesce(realized_pnl, 0.0) AS realized_pnl,
+                   coalesce(total_trades, 0) AS total_trades
+            FROM step WHERE holdings > 0"""),
+          PORT_DOUBLES)
+def active_positions(spark, sf_dir):
+    bars, sig, prev = _port_inputs(spark, sf_dir)
+    port, _ = PF.portfolio_step(prev, bars, sig, _log_hist(sig), A.as_of_lit(), P)
+    return SV.active_positions(port)
+
+
+def _label_sql(prefix: str = "") -> str:
+    c = prefix
+    return f"""concat_ws('<br>',
+        printf('%s @ $%.2f', {c}signal, round({c}close * {R2}) / {R2}),
+        CASE WHEN {c}signal_score IS NOT NULL AND NOT isnan({c}signal_score)
+             THEN printf('Score: %.0f/100', round({c}signal_score)) END,
+        CASE WHEN {c}stop_loss IS NOT NULL THEN printf('SL: $%.2f', round({c}stop_loss * {R2}) / {R2}) END,
+        CASE WHEN {c}take_profit IS NOT NULL THEN printf('TP: $%.2f', round({c}take_profit * {R2}) / {R2}) END)"""
+
+
+@register("signal_labels",
+          W(SIG_1H, f"SELECT ticker, timestamp, signal, {_label_sql()} AS marker_text FROM sig"))
+def signal_labels(spark, sf_dir):
+    s = flagship(spark, sf_dir)
+    return s.select("ticker", "timestamp", "signal", SIG.annotation(P).alias("marker_text"))
+
+
+@register("chart_feed",
+          W(SIG_1H, f"""
+            SELECT b.ticker, b.timestamp, b.open, b.high, b.low, b.close, b.volume,
+                   i.sma20, i.sma50, i.rsi, i.vortex_positive, i.vortex_negative,
+                   s.signal, s.signal_score, s.stop_loss, s.take_profit,
+                   CASE WHEN s.ticker IS NOT NULL THEN {_label_sql('s.')} END AS marker_text
+            FROM bars_1h b
+            LEFT JOIN ind i ON b.ticker = i.ticker AND b.timestamp = i.timestamp
+            LEFT JOIN sig s ON b.ticker = s.ticker AND b.timestamp = s.timestamp
+            WHERE b.ticker = 'view'"""),
+          ["open", "high", "low", "close", "sma20", "sma50", "rsi", "vortex_positive",
+           "vortex_negative", "signal_score", "stop_loss", "take_profit"])
+def chart_feed(spark, sf_dir):
+    bars = A.bars_1h(spark, sf_dir)
+    ind = IND.indicators(bars, P)
+    return SV.chart_feed(bars, ind, SIG.signals(ind, P), "view")
+
+
+@register("conform_evolved",
+          W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h", p=GEN1)], f"""
+            SELECT ticker, timestamp, 'BUY' AS signal, CAST(NULL AS DOUBLE) AS signal_score, close,
+                   sma20, sma50, rsi, vortex_positive, vortex_negative,
+                   CAST(NULL AS DOUBLE) AS stop_loss, CAST(NULL AS DOUBLE) AS take_profit
+            FROM ind WHERE {O.buy_sql(GEN1)}"""),
+          O.SIG_DOUBLES)
+def conform_evolved(spark, sf_dir):
+    gen1 = SIG.signals_gen1(IND.indicators(A.bars_1h(spark, sf_dir), GEN1), GEN1)
+    return SC.conform(gen1, SC.SIGNALS)
+
+
+# ---- cooldown: candidates after a split vs stored history before it ------------------
+
+def _cooldown_sql(bars: int) -> str:
+    secs = bars * P.bar_interval_min * 60
+    return W([O.EV, O.BARS_10M, *O.indicator_ctes("bars_10m", "ind10"), *O.signal_ctes("ind10", "sig10"),
+              ("hist", f"SELECT * FROM sig10 WHERE timestamp < {O.ts(A.SPLIT_TS)}"),
+              ("cand", f"SELECT * FROM sig10 WHERE timestamp >= {O.ts(A.SPLIT_TS)}"),
+              ("last", "SELECT ticker, signal, max(timestamp) AS last_signal_time FROM hist GROUP BY 1, 2")],
+             f"""SELECT c.* FROM cand c LEFT JOIN last l ON c.ticker = l.ticker AND c.signal = l.signal
+                 WHERE l.last_signal_time IS NULL
+                    OR epoch_us(c.timestamp) // 1000000 - epoch_us(l.last_signal_time) // 1000000 > {secs}""")
+
+
+def _cooldown(spark, sf_dir, bars: int):
+    sig = SIG.signals(IND.indicators(A.bars_10m(spark, sf_dir), P), P)
+    split = F.lit(A.SPLIT_TS).cast("timestamp_ntz")
+    hist, cand = sig.where(F.col("timestamp") < split), sig.where(F.col("timestamp") >= split)
+    return SIG.apply_cooldown(cand, hist, P.with_(cooldown_bars=bars)).select(*SIG.SIGNAL_COLS)
+
+
+@register("signals_after_cooldown", _cooldown_sql(3), O.SIG_DOUBLES)
+def signals_after_cooldown(spark, sf_dir):
+    return _cooldown(spark, sf_dir, 3)
+
+
+@register("signals_after_cooldown_36", _cooldown_sql(36), O.SIG_DOUBLES)
+def signals_after_cooldown_36(spark, sf_dir):
+    return _cooldown(spark, sf_dir, 36)
