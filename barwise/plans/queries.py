@@ -712,3 +712,75 @@ def signals_after_cooldown(spark, sf_dir):
 @register("signals_after_cooldown_36", _cooldown_sql(36), O.SIG_DOUBLES)
 def signals_after_cooldown_36(spark, sf_dir):
     return _cooldown(spark, sf_dir, 36)
+
+
+# ---- streaming (bars landed as time-ordered files, drained with availableNow) ----------
+
+from ..streaming import jobs as J  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+STREAM_CHUNKS = 4
+
+
+def _stream_out(spark, sf_dir, cooldown: bool):
+    bars = A.bars_1h(spark, sf_dir)
+    landing = scratch_path(spark, "landing-1h")
+    files = J.land_in_time_order(bars, landing, STREAM_CHUNKS, files_per_chunk=2)
+    out = scratch_path(spark, "stream-out")
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=cooldown)
+    return out
+
+
+@register("stream_indicators", IND_SQL, O.IND_COLS,
+          note="stateful stream over bars_1h in 4 time-ordered file slices")
+def stream_indicators(spark, sf_dir):
+    return J.read_output(spark, _stream_out(spark, sf_dir, False), "silver")
+
+
+@register("stream_signals",
+          W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"), *O.signal_ctes()],
+            f"SELECT {O.SIG_SELECT} FROM sig"),
+          O.SIG_DOUBLES, note="per-batch signals before the cross-batch cooldown")
+def stream_signals(spark, sf_dir):
+    return J.read_output(spark, _stream_out(spark, sf_dir, False), "gold")
+
+
+@register("stream_signals_cooldown", None,
+          note="cooldown against signals stored by earlier micro-batches; batch boundaries "
+               "decide the result, so no SQL oracle (checked in tests)")
+def stream_signals_cooldown(spark, sf_dir):
+    return J.read_output(spark, _stream_out(spark, sf_dir, True), "gold")
+
+
+@register("stream_dedup", W([O.EV, O.BARS_10M], "SELECT * FROM bars_10m"),
+          ["open", "high", "low", "close"], note="bars_10m landed with one day delivered twice")
+def stream_dedup(spark, sf_dir):
+    landing = scratch_path(spark, "landing-dup")
+    b = A.bars_10m(spark, sf_dir)
+    J.land_in_time_order(b, landing, 2, files_per_chunk=2)
+    again = b.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    again.repartition(1).write.mode("append").parquet(landing)
+    out = scratch_path(spark, "dedup-out")
+    J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "1 hour"), out)
+    return spark.read.parquet(out)
+
+
+@register("stream_resample",
+          W([O.EV, O.BARS_5M], """
+            SELECT ticker, time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp,
+                   arg_min(open, timestamp) FILTER (WHERE open IS NOT NULL) AS open,
+                   max(high) AS high, min(low) AS low,
+                   arg_max(close, timestamp) FILTER (WHERE close IS NOT NULL) AS close,
+                   CAST(sum(volume) AS BIGINT) AS volume
+            FROM bars_5m GROUP BY 1, 2
+            HAVING count(close) > 0
+               AND time_bucket(INTERVAL '10 minutes', timestamp) + INTERVAL '10 minutes'
+                   <= (SELECT max(timestamp) FROM bars_5m) - INTERVAL '10 minutes'"""),
+          ["open", "high", "low", "close"],
+          note="windows closed by the final watermark (max time - 10 minutes)")
+def stream_resample(spark, sf_dir):
+    landing = scratch_path(spark, "landing-5m")
+    J.land_in_time_order(A.bars_5m(spark, sf_dir), landing, 4, files_per_chunk=2)
+    out = scratch_path(spark, "resample-out")
+    J.run_to_parquet(J.stream_resample(J.bar_stream(spark, landing, 2), 10, "10 minutes"), out)
+    return spark.read.parquet(out)
