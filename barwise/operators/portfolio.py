@@ -187,7 +187,16 @@ def merge_portfolio(target: DataFrame, updates: DataFrame, p: Params = DEFAULT,
     s = u.select("ticker", F.col("current_price").alias("s_cp"), F.col("last_signal").alias("s_ls"),
                  act.alias("_s_sig"), F.col("signal_price").alias("s_sp"),
                  F.col("last_signal_time").alias("s_lt"), F.lit(True).alias("_in_s"))
-    j = t.join(s, "ticker", "full_outer").withColumn("_clause", merge_clause(gen))
+    j = t.join(s, "ticker", "full_outer")
+    return merge_columns(j, p, gen)
+
+
+def merge_columns(j: DataFrame, p: Params = DEFAULT, gen: str = "gen2") -> DataFrame:
+    """MERGE clause evaluation on a joined row with target columns ``t_*``, source
+    columns ``s_cp / s_ls / s_sp / s_lt``, the acting label ``_s_sig`` and presence flags
+    ``_in_t`` / ``_in_s``."""
+    lot = p.buy_shares
+    j = j.withColumn("_clause", merge_clause(gen))
     c = F.col("_clause")
     th, ta, tr, tt = F.col("t_holdings"), F.col("t_avg_entry_price"), F.col("t_realized_pnl"), F.col("t_total_trades")
     cp, sp = F.col("s_cp"), F.col("s_sp")
@@ -252,19 +261,104 @@ def merge_clause_counts(target: DataFrame, updates: DataFrame, gen: str = "gen2"
     return j.groupBy(merge_clause(gen).alias("clause")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def ticker_snapshot(bars: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row per ticker: newest price, newest signal (POR-5) and the levels of the
+    newest BUY with a stop (POR-2) -- two aggregations, no window over all rows."""
+    price = latest_by_key(bars, ["close"]).select("ticker", F.col("close").alias("current_price"))
+    is_lv = (F.col("signal") == "BUY") & F.col("stop_loss").isNotNull()
+    sig = signals.groupBy("ticker").agg(
+        F.max_by(F.struct("signal", "signal_score", "close", "stop_loss", "take_profit", "timestamp"),
+                 F.struct("timestamp", "signal")).alias("_s"),
+        F.max_by(F.struct("stop_loss", "take_profit"), F.when(is_lv, F.col("timestamp"))).alias("_lv"))
+    sig = sig.select("ticker", F.col("_s.signal").alias("last_signal"), F.col("_s.signal_score").alias("signal_score"),
+                     F.col("_s.close").alias("signal_price"), F.col("_s.stop_loss").alias("stop_loss"),
+                     F.col("_s.take_profit").alias("take_profit"),
+                     F.col("_s.timestamp").alias("last_signal_time"),
+                     F.col("_lv.stop_loss").alias("lv_stop"), F.col("_lv.take_profit").alias("lv_take"))
+    return price.join(sig, "ticker", "left")
+
+
+def step_frame(portfolio: DataFrame, bars: DataFrame, signals: DataFrame, log: DataFrame,
+               as_of: Column, p: Params = DEFAULT) -> DataFrame:
+    """Everything one run needs, one row per ticker: the portfolio (full outer) joined
+    with the ticker snapshot, exit decision applied to the target columns, and a flag
+    for signals not yet in the log.
+
+    The log is only probed on (ticker, label, time) of each ticker's newest signal; exit
+    rows of this run carry STOP_LOSS / TAKE_PROFIT labels and cannot match a BUY / SELL
+    key, so they need not be added to the log before the probe.
+    """
+    port = schemas.conform(portfolio, schemas.PORTFOLIO)
+    t = port.select("ticker", *[F.col(c).alias(f"t_{c}") for c in PORT_COLS if c != "ticker"],
+                    F.lit(True).alias("_in_t"))
+    snap = ticker_snapshot(bars, signals)
+    s = snap.select("ticker", F.col("current_price").alias("s_cp"), F.col("last_signal").alias("s_ls"),
+                    F.col("signal_price").alias("s_sp"), F.col("last_signal_time").alias("s_lt"),
+                    F.col("signal_score").alias("s_score"), F.col("stop_loss").alias("s_stop"),
+                    F.col("take_profit").alias("s_take"), "lv_stop", "lv_take", F.lit(True).alias("_in_s"))
+    j = t.join(s, "ticker", "full_outer")
+
+    both = F.col("_in_t").isNotNull() & F.col("_in_s").isNotNull() & (F.col("t_holdings") > 0)
+    cp = F.col("s_cp")
+    hit_stop = both & (cp <= F.coalesce(F.col("lv_stop"), F.lit(p.no_stop_level)))
+    hit_take = both & (cp >= F.coalesce(F.col("lv_take"), F.lit(p.no_take_level)))
+    j = j.withColumn("x_reason", F.when(hit_stop, STOP_LOSS).when(hit_take, TAKE_PROFIT)) \
+         .withColumn("x_pnl", (cp - F.col("t_avg_entry_price")) * F.col("t_holdings")) \
+         .withColumn("x_qty", F.col("t_holdings"))
+    hit = F.col("x_reason").isNotNull()
+    closed = {
+        "t_holdings": F.lit(0).cast("long"),
+        "t_current_price": cp,
+        "t_unrealized_pnl": F.lit(0.0),
+        "t_realized_pnl": F.coalesce(F.col("t_realized_pnl"), F.lit(0.0)) + F.col("x_pnl"),
+        "t_total_trades": F.coalesce(F.col("t_total_trades"), F.lit(0)) + 1,
+        "t_last_signal": F.col("x_reason"),
+        "t_last_signal_time": as_of,
+    }
+    j = j.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in closed.items()})
+
+    keys = log.select("ticker", F.col("signal").alias("s_ls"), F.col("timestamp").alias("s_lt")) \
+              .dropDuplicates(["ticker", "s_ls", "s_lt"]).withColumn("_logged", F.lit(True))
+    j = j.join(keys, ["ticker", "s_ls", "s_lt"], "left")
+    is_new = F.col("s_ls").isNotNull() & F.col("_logged").isNull()
+    act = F.when(is_new, F.col("s_ls")) if p.gate_on_new_signal else F.col("s_ls")
+    return j.withColumn("_is_new", is_new).withColumn("_s_sig", act)
+
+
+def step_trade_rows(frame: DataFrame, as_of: Column, p: Params = DEFAULT) -> DataFrame:
+    """Exit trades and new-signal trades from the step frame in one pass (an array of
+    up to two trades per ticker, inlined), in the trade-log layout."""
+    held = F.coalesce(F.col("t_holdings"), F.lit(0))
+    sig = F.col("s_ls")
+    exit_row = F.when(F.col("x_reason").isNotNull(), F.struct(
+        F.col("x_reason").alias("signal"), F.lit(None).cast("double").alias("signal_score"),
+        F.col("s_cp").alias("price"), F.col("x_qty").cast("long").alias("quantity"),
+        F.col("x_pnl").alias("pnl_realized"), F.lit(None).cast("double").alias("stop_loss"),
+        F.lit(None).cast("double").alias("take_profit"), as_of.alias("timestamp")))
+    entry_row = F.when(F.col("_is_new"), F.struct(
+        sig.alias("signal"), F.col("s_score").alias("signal_score"), F.col("s_sp").alias("price"),
+        F.when(sig == "BUY", F.lit(p.buy_shares)).otherwise(held).cast("long").alias("quantity"),
+        F.when((sig == "SELL") & (held > 0),
+               (F.col("s_sp") - F.coalesce(F.col("t_avg_entry_price"), F.lit(0.0))) * F.col("t_holdings"))
+         .otherwise(F.lit(0.0)).alias("pnl_realized"),
+        F.col("s_stop").alias("stop_loss"), F.col("s_take").alias("take_profit"),
+        F.col("s_lt").alias("timestamp")))
+    trades = F.filter(F.array(exit_row, entry_row), lambda x: x.isNotNull())
+    rows = frame.where(F.col("x_reason").isNotNull() | F.col("_is_new")) \
+                .select("ticker", F.inline(trades))
+    return to_trade_log(rows, as_of)
+
+
 def portfolio_step(portfolio: DataFrame, bars: DataFrame, signals: DataFrame, log: DataFrame,
-                   as_of: Column, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+                   as_of: Column, p: Params = DEFAULT,
+                   materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """One run: exits, then the log entries for new signals, then the MERGE fold.
 
-    Returns (new portfolio, trade-log rows to append). A pure function of DataFrames;
-    the caller persists the outputs (append for the log, overwrite for the portfolio).
+    Returns (new portfolio, trade-log rows to append), both derived from one per-ticker
+    frame. With ``materialize`` that frame is checkpointed (reliably, to the shared
+    checkpoint folder) so writing both outputs does not compute it twice.
     """
-    trig = exit_triggers(portfolio, bars, signals, p)
-    exits = exit_trades(trig, as_of)
-    after_exit = close_positions(portfolio, trig, as_of)
-    upd = portfolio_updates(bars, signals)
-    logged = log.select(*TRADE_COLS).unionByName(exits)
-    entries = trade_entries(new_trades(upd, logged), after_exit, p)
-    port = merge_portfolio(after_exit, upd, p, "gen2", logged)
-    rows = to_trade_log(exits.unionByName(entries), as_of)
-    return port, rows
+    frame = step_frame(portfolio, bars, signals, log, as_of, p)
+    if materialize:
+        frame = frame.checkpoint(eager=True)
+    return merge_columns(frame, p, "gen2"), step_trade_rows(frame, as_of, p)
