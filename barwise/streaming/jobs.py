@@ -34,9 +34,11 @@ def land_in_time_order(df: DataFrame, path: str, chunks: int, ts_col: str = "tim
     modification order equals time order (the file source reads files in that order).
     Within a slice rows are hash-partitioned by ``key``: one key's rows of a slice land
     in one file. Returns the number of files per slice (for ``maxFilesPerTrigger``)."""
+    df = df.persist()
     span = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     lo, hi = span["lo"], span["hi"]
     if lo is None:
+        df.unpersist()
         return files_per_chunk
     step = (hi - lo) / chunks
     edges = [lo + step * i for i in range(1, chunks)]
@@ -49,6 +51,7 @@ def land_in_time_order(df: DataFrame, path: str, chunks: int, ts_col: str = "tim
             cond = cond & (F.col(ts_col) < F.lit(bounds[i + 1]))
         (df.where(cond).repartition(files_per_chunk, key)
          .write.mode("append").parquet(path))
+    df.unpersist()
     return files_per_chunk
 
 
