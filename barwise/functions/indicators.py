@@ -93,7 +93,11 @@ def signal_score(p: Params = DEFAULT, signal: str = "signal") -> Column:
     buy = parts(s20 - s50, F.lit(p.rsi_overbought) - rsi, vp - vn)
     sell = parts(s50 - s20, rsi - F.lit(p.rsi_oversold), vn - vp)
     label = F.col(signal)
-    raw = F.when(label == "BUY", buy).when(label == "SELL", sell)
+    # greatest / least skip nulls, so a missing input must be caught before the clamps
+    present = None
+    for c in SIGNAL_INPUTS:
+        present = F.col(c).isNotNull() if present is None else present & F.col(c).isNotNull()
+    raw = F.when(~present, F.lit(0.0)).when(label == "BUY", buy).when(label == "SELL", sell)
     return F.coalesce(raw, F.lit(0.0))
 
 

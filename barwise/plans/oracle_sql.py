@@ -187,7 +187,9 @@ def score_sql(p: Params = DEFAULT) -> str:
 
     buy = parts("sma20 - sma50", f"{dbl(p.rsi_overbought)} - rsi", "vortex_positive - vortex_negative")
     sell = parts("sma50 - sma20", f"rsi - {dbl(p.rsi_oversold)}", "vortex_negative - vortex_positive")
-    return (f"coalesce(CASE WHEN signal = 'BUY' THEN {buy} "
+    missing = " OR ".join(f"{c} IS NULL" for c in
+                          ["sma20", "sma50", "rsi", "vortex_positive", "vortex_negative"])
+    return (f"coalesce(CASE WHEN {missing} THEN 0.0 WHEN signal = 'BUY' THEN {buy} "
             f"WHEN signal = 'SELL' THEN {sell} END, 0.0)")
 
 
