@@ -752,6 +752,20 @@ def stream_signals_cooldown(spark, sf_dir):
     return J.read_output(spark, _stream_out(spark, sf_dir, True), "gold")
 
 
+@register("stream_indicators_late_repaired", IND_SQL, O.IND_COLS,
+          note="bars_1h streamed in 4 slices, then one day re-delivered: those bars arrive "
+               "late, are diverted, and their tickers are recomputed over the bar table")
+def stream_indicators_late_repaired(spark, sf_dir):
+    bars = A.bars_1h(spark, sf_dir)
+    landing = scratch_path(spark, "landing-late")
+    files = J.land_in_time_order(bars, landing, STREAM_CHUNKS, files_per_chunk=2)
+    again = bars.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    again.repartition(files, "ticker").write.mode("append").parquet(landing)
+    out = scratch_path(spark, "stream-late-out")
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False)
+    return J.corrected_indicators(spark, out, bars, P)
+
+
 @register("stream_dedup", W([O.EV, O.BARS_10M], "SELECT * FROM bars_10m"),
           ["open", "high", "low", "close"], note="bars_10m landed with one day delivered twice")
 def stream_dedup(spark, sf_dir):

@@ -84,6 +84,7 @@ class BatchSinks:
     p: Params = DEFAULT
     cooldown: bool = True
     metrics: list = field(default_factory=list)
+    query: object = None
 
     def _read(self, spark, path):
         try:
@@ -93,6 +94,8 @@ class BatchSinks:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():          # FLT-8: nothing to write for an empty micro-batch
+            return
         b = _nan_to_null(batch).persist()
         try:
             ind = b.where(~F.col("is_late")).drop("is_late")
@@ -141,6 +144,7 @@ def run_indicator_stream(spark: SparkSession, landing: str, out: str, p: Params
          .option("checkpointLocation", ckpt)
          .trigger(**(trigger or {"availableNow": True}))
          .start())
+    sinks.query = q
     if (trigger or {}).get("processingTime") is None:
         q.awaitTermination()
     return sinks
@@ -158,6 +162,21 @@ def reconcile_late(bars: DataFrame, late: DataFrame, p: Params = DEFAULT) -> Dat
     return IND.indicators(bars.join(touched, "ticker", "left_semi"), p)
 
 
+def corrected_indicators(spark: SparkSession, out: str, bars: DataFrame,
+                         p: Params = DEFAULT) -> DataFrame:
+    """The stream's indicator output with every ticker that received a late bar replaced
+    by a batch recomputation over ``bars`` (the bar table, late bars included). Tickers
+    without late bars keep the streamed rows; only the touched tickers are recomputed."""
+    silver = read_output(spark, out, "silver")
+    try:
+        late = read_output(spark, out, "late")
+    except AnalysisException:
+        return silver
+    touched = late.select("ticker").distinct()
+    kept = silver.join(touched, "ticker", "left_anti")
+    return kept.unionByName(reconcile_late(bars, late, p))
+
+
 # ---- STR-7 / STR-8 -------------------------------------------------------------------
 
 def stream_resample(bars: DataFrame, minutes: int = 10, delay: str = "10 minutes") -> DataFrame:

@@ -46,6 +46,27 @@ def test_late_bar_and_restart(spark):
     assert silver.count() == 40
     expect = IND.indicators(first.unionByName(more))
     assert round_doubles(silver).exceptAll(round_doubles(expect)).count() == 0
+    # the late bar is repaired by recomputing its ticker over the full bar table
+    all_bars = first.unionByName(late).unionByName(more)
+    fixed = round_doubles(J.corrected_indicators(spark, out, all_bars))
+    assert fixed.count() == 41
+    assert fixed.exceptAll(round_doubles(IND.indicators(all_bars))).count() == 0
+
+
+def test_processing_time_trigger(spark):
+    """STR-4: the same stream with a processing-time trigger, stopped after one drain."""
+    landing = scratch_path(spark, "land")
+    bars_df(spark, [float(i) for i in range(1, 26)]).repartition(1).write.parquet(landing)
+    out = scratch_path(spark, "out")
+    sinks = J.BatchSinks(out, cooldown=False)
+    q = (J.indicator_stream(J.bar_stream(spark, landing))
+         .writeStream.foreachBatch(sinks).option("checkpointLocation", f"{out}/_ckpt")
+         .trigger(processingTime="1 second").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert J.read_output(spark, out, "silver").count() == 25
 
 
 def test_cooldown_across_batches(spark):
