@@ -49,6 +49,10 @@ class Params:
     tail_cap: int = 55
     # only let the portfolio fold act on a signal not yet in the trade log (off = parity).
     gate_on_new_signal: bool = False
+    # ---- execution ----
+    # rows per (ticker, chunk) in the chunked indicator plan used by the batch runs: a
+    # ticker with more rows is spread over several tasks instead of one.
+    chunk_rows: int = 1_000_000
 
     @property
     def min_expected_bars(self) -> int:

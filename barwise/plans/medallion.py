@@ -65,7 +65,8 @@ def refresh_signals(spark: SparkSession, root: str, run_id: int, touched: DataFr
     bars = K.read_layer(spark, root, "raw_market_data")
     if touched is not None:
         bars = bars.join(touched.select("ticker").distinct(), "ticker", "left_semi")
-    ind = IND.indicators(bars, p)
+    # chunked plan: a ticker with a long history is split over several tasks
+    ind = IND.indicators_chunked(bars, p, chunk_rows=p.chunk_rows)
     stage = scratch_path(spark, "indicators")
     ind.write.parquet(stage)
     ind = spark.read.parquet(stage)
