@@ -52,13 +52,14 @@ def performance_summary(log: DataFrame) -> DataFrame:
 
 def performance_text(summary: DataFrame) -> DataFrame:
     """SRV-4 display strings; null metrics show ``N/A``."""
-    def money(c: str) -> Column:
-        return F.coalesce(F.format_string("$%.2f", F.col(c)), F.lit("N/A"))
+    # format_string renders a null argument as text, so nulls are caught first
+    def shown(fmt: str, c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.format_string(fmt, F.col(c))).otherwise(F.lit("N/A"))
     return summary.select(
         F.col("total_trades").cast("string").alias("total_trades"),
-        money("total_pnl").alias("realized_pnl"),
-        F.coalesce(F.format_string("%.1f%%", F.col("win_rate")), F.lit("N/A")).alias("win_rate"),
-        money("avg_win").alias("avg_win"), money("avg_loss").alias("avg_loss"))
+        shown("$%.2f", "total_pnl").alias("realized_pnl"),
+        shown("%.1f%%", "win_rate").alias("win_rate"),
+        shown("$%.2f", "avg_win").alias("avg_win"), shown("$%.2f", "avg_loss").alias("avg_loss"))
 
 
 def running_sum_by_time(df: DataFrame, value: str, ts: str = "timestamp",

@@ -558,6 +558,47 @@ def performance_summary(spark, sf_dir):
     return SV.performance_summary(A.trade_log(spark, sf_dir))
 
 
+def _perf_sql(where: str = "") -> str:
+    return f"""
+        SELECT total_trades, buy_count, sell_count, auto_exits,
+               round(pnl * {R2}) / {R2} AS total_pnl, round(win * {R2}) / {R2} AS avg_win,
+               round(loss * {R2}) / {R2} AS avg_loss,
+               CASE WHEN nz > 0 THEN CAST((wins * 2000 + nz) // (2 * nz) AS DOUBLE) / {O.dbl(10.0)}
+               END AS win_rate
+        FROM (SELECT count(*) AS total_trades,
+                     count(*) FILTER (WHERE signal = 'BUY') AS buy_count,
+                     count(*) FILTER (WHERE signal = 'SELL') AS sell_count,
+                     count(*) FILTER (WHERE signal IN ('STOP_LOSS', 'TAKE_PROFIT')) AS auto_exits,
+                     sum(coalesce(pnl_realized, 0.0)) AS pnl,
+                     avg(CASE WHEN pnl_realized > 0 THEN pnl_realized END) AS win,
+                     avg(CASE WHEN pnl_realized < 0 THEN pnl_realized END) AS loss,
+                     count(*) FILTER (WHERE pnl_realized > 0) AS wins,
+                     count(*) FILTER (WHERE pnl_realized <> 0) AS nz
+              FROM trade_log {where})"""
+
+
+def _perf_text_sql(where: str = "") -> str:
+    return W([O.TRADE_LOG, ("perf", _perf_sql(where))], """
+        SELECT CAST(total_trades AS VARCHAR) AS total_trades,
+               coalesce(printf('$%.2f', total_pnl), 'N/A') AS realized_pnl,
+               coalesce(printf('%.1f%%', win_rate), 'N/A') AS win_rate,
+               coalesce(printf('$%.2f', avg_win), 'N/A') AS avg_win,
+               coalesce(printf('$%.2f', avg_loss), 'N/A') AS avg_loss
+        FROM perf""")
+
+
+@register("performance_text", _perf_text_sql())
+def performance_text(spark, sf_dir):
+    return SV.performance_text(SV.performance_summary(A.trade_log(spark, sf_dir)))
+
+
+@register("performance_text_buys", _perf_text_sql("WHERE signal = 'BUY'"),
+          note="BUY trades only: no realized PnL, so averages and win rate show N/A")
+def performance_text_buys(spark, sf_dir):
+    log = A.trade_log(spark, sf_dir).where(F.col("signal") == "BUY")
+    return SV.performance_text(SV.performance_summary(log))
+
+
 @register("equity_curve",
           W([O.TRADE_LOG], """
             SELECT timestamp, pnl_realized,
