@@ -94,10 +94,12 @@ class BatchSinks:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():          # FLT-8: nothing to write for an empty micro-batch
-            return
+        # persist first: every action on ``batch`` itself would re-run the stateful
+        # operator of this micro-batch
         b = _nan_to_null(batch).persist()
         try:
+            if b.isEmpty():          # FLT-8: nothing to write for an empty micro-batch
+                return
             ind = b.where(~F.col("is_late")).drop("is_late")
             late = b.where(F.col("is_late")).select("ticker", "timestamp", "close")
             obs_i = Observation(f"ind-{batch_id}")
