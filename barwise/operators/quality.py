@@ -55,8 +55,12 @@ def low_bar_count(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def intraday_gaps(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """WIN-2 + DQ-2: consecutive bars of a ticker on the same calendar date more than
-    ``gap_threshold_minutes`` apart (whole minutes, truncated)."""
-    w = Window.partitionBy("ticker").orderBy("timestamp")
+    ``gap_threshold_minutes`` apart (whole minutes, truncated).
+
+    Only same-date pairs count, so the lag is taken within (ticker, date): the same
+    result as a lag over the whole ticker, but a ticker's history is spread over one
+    window partition per day instead of one task."""
+    w = Window.partitionBy("ticker", F.to_date("timestamp")).orderBy("timestamp")
     g = bars.select("ticker", "timestamp", F.lag("timestamp").over(w).alias("prev_ts"))
     gap = F.timestamp_diff("MINUTE", F.col("prev_ts"), F.col("timestamp"))
     return (g.where(F.col("prev_ts").isNotNull())

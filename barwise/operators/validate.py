@@ -55,9 +55,9 @@ def classify(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
             .when(F.col("high") < F.col("low"), RULE_OHLC))
     ruled = bars.select(*BAR_COLS, rule.alias("rule"))
     survivors = ruled.where(F.col("rule").isNull())
-    w = Window.partitionBy("ticker").orderBy("timestamp")
-    pct = F.abs(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
-    spiked = survivors.withColumn("pct_change", pct).withColumn(
+    prev = previous_close(survivors)
+    pct = F.abs(F.try_divide(F.col("close"), F.col("_prev_close")) - 1)
+    spiked = prev.withColumn("pct_change", pct).drop("_prev_close").withColumn(
         "rule",
         F.when(F.col("pct_change") > p.extreme_bar_pct_change, RULE_EXTREME)
          .when(F.col("pct_change") > p.max_bar_pct_change, RULE_SPIKE))
@@ -66,6 +66,23 @@ def classify(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return spiked.unionByName(rejected)
 
 
+def previous_close(rows: DataFrame, bucket: str = "day") -> DataFrame:
+    """``_prev_close``: close of the previous row of the same ticker in time order.
+
+    Skew-safe form of ``lag(close) over (partition by ticker order by timestamp)``: the
+    lag runs within (ticker, time bucket); the first row of a bucket takes the last close
+    of the nearest earlier bucket that has rows, found with a lag over one row per
+    (ticker, bucket). Exact, and a ticker's rows are spread over its buckets."""
+    b = rows.withColumn("_bk", F.date_trunc(bucket, "timestamp"))
+    in_bucket = F.lag("close").over(Window.partitionBy("ticker", "_bk").orderBy("timestamp"))
+    last = b.groupBy("ticker", "_bk").agg(F.max_by("close", "timestamp").alias("_last"))
+    carry = last.select("ticker", "_bk", F.lag("_last").over(
+        Window.partitionBy("ticker").orderBy("_bk")).alias("_carry"))
+    return (b.withColumn("_in", in_bucket).join(carry, ["ticker", "_bk"])
+            .withColumn("_prev_close", F.coalesce(F.col("_in"), F.col("_carry")))
+            .drop("_bk", "_in", "_carry"))
+
+
 def clean(classified: DataFrame) -> DataFrame:
     """Bars that pass (flagged spikes are kept)."""
     keep = F.col("rule").isNull() | (F.col("rule") == RULE_SPIKE)

@@ -73,3 +73,17 @@ def test_event_log_ids_are_stable(spark, sf_dir):
     a = Q.to_event_log(ev, A.as_of_lit()).select("event_id").collect()
     b = Q.to_event_log(ev, A.as_of_lit()).select("event_id").collect()
     assert sorted(a) == sorted(b) and len(set(a)) == len(a)
+
+
+def test_spike_against_survivor_days_earlier(spark):
+    # previous surviving bar is two days back (the day between has only a rejected bar)
+    rows = [_bar(0, 100.0, 101.0, 99.0, 100.0, ticker="D")]
+    mid = list(_bar(0, 1.0, 1.0, 1.0, None, ticker="D"))
+    mid[1] = T0 + dt.timedelta(days=1)
+    last = list(_bar(0, 130.0, 131.0, 129.0, 130.0, ticker="D"))
+    last[1] = T0 + dt.timedelta(days=2)
+    c = V.classify(spark.createDataFrame(rows + [tuple(mid), tuple(last)], schemas.BARS))
+    got = {r["timestamp"].day - T0.day: (r["rule"], r["pct_change"]) for r in c.collect()}
+    assert got[1][0] == V.RULE_NULL
+    assert got[2][0] == V.RULE_SPIKE and abs(got[2][1] - 0.3) < 1e-12
+    assert got[0] == (None, None)
