@@ -16,6 +16,13 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions.broadcast import small_side
 
+# Layout of landed vendor rows in text formats (csv / json): numbers stay text until
+# ``typed_decode`` so one bad value becomes a null instead of failing the read.
+VENDOR_RAW = T.StructType([T.StructField(n, t, True) for n, t in [
+    ("symbol", T.StringType()), ("Datetime", T.TimestampNTZType()), ("Open", T.StringType()),
+    ("High", T.StringType()), ("Low", T.StringType()), ("Close", T.StringType()),
+    ("Volume", T.StringType())]])
+
 VENDOR_NAMES = {"Datetime": "timestamp", "Date": "timestamp", "Open": "open", "High": "high",
                 "Low": "low", "Close": "close", "Volume": "volume"}
 

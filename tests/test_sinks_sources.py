@@ -50,3 +50,15 @@ def test_ticker_scan_pushes_filters(spark):
     assert "PushedFilters: [IsNotNull(ticker), IsNotNull(close), EqualTo(ticker,T)]" in plan or \
            ("EqualTo(ticker,T)" in plan and "IsNotNull(close)" in plan)
     assert df.count() == 2
+
+
+def test_csv_landing_zone_conforms_like_parquet(spark, sf_dir):
+    """SRC-1: a CSV landing zone read with a declared schema gives the same bars."""
+    raw = A.vendor_bars(spark, sf_dir)
+    path = scratch_path(spark, "vendor-csv")
+    raw.write.option("header", True).csv(path)
+    landed = TB.read_bars(spark, path, VD.VENDOR_RAW, fmt="csv", header=True,
+                          timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    a = VD.conform_vendor(landed, A.symbol_dim(spark, sf_dir))
+    b = VD.conform_vendor(raw, A.symbol_dim(spark, sf_dir))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
