@@ -66,12 +66,14 @@ def _rolling(df: DataFrame, part: list[str], order: str, n: Column, p: Params) -
         F.when(ready, X.vortex_ratio(vn, trs)).alias("vortex_negative"))
 
 
-def indicators(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """One indicator row per bar: close, SMA20/50, RSI(14), VI+/VI-(14)."""
-    b = bars.select("ticker", "timestamp", "high", "low", "close")
+def indicators(bars: DataFrame, p: Params = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One indicator row per bar: close, SMA20/50, RSI(14), VI+/VI-(14); ``keep`` names
+    further bar columns to carry through (e.g. open and volume for a chart)."""
+    base = ["ticker", "timestamp", "high", "low", "close"]
+    b = bars.select(*base, *[c for c in keep if c not in base])
     staged = _with_inputs(b, ["ticker"], "timestamp")
     out = _rolling(staged, ["ticker"], "timestamp", F.col("_rn"), p)
-    return out.select(*OUT_COLS)
+    return out.select(*OUT_COLS, *[c for c in keep if c not in OUT_COLS])
 
 
 def last_rows(df: DataFrame, n: int, key: str = "ticker", order: str = "timestamp") -> DataFrame:

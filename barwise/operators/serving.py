@@ -157,6 +157,33 @@ def chart_feed(bars: DataFrame, ind: DataFrame, signals: DataFrame, ticker: str)
     return b.join(i, key, "left").join(s, key, "left").orderBy("timestamp")
 
 
+CHART_COLS = ["ticker", "timestamp", "open", "high", "low", "close", "volume", "sma20", "sma50",
+              "rsi", "vortex_positive", "vortex_negative", "signal", "signal_score", "stop_loss",
+              "take_profit", "marker_text"]
+
+
+def chart_feed_from_bars(bars: DataFrame, ticker: str, p=None) -> DataFrame:
+    """SRV-3 computed from bars alone in one pass: one scan, one window, the signal
+    columns as CASE expressions on the same rows (no joins). Same rows as
+    ``chart_feed`` over the derived indicator and signal tables."""
+    from ..config import DEFAULT
+    from ..functions import indicators as X
+    from .indicators import indicators
+    p = p or DEFAULT
+    one = bars.where(F.col("ticker") == F.lit(ticker))
+    ind = indicators(one, p, keep=("open", "high", "low", "volume"))
+    label = F.when(X.buy_condition(p), "BUY").when(X.sell_condition(p), "SELL")
+    lab = ind.withColumn("signal", label)
+    has = F.col("signal").isNotNull()
+    out = lab.select(
+        *[F.col(c) for c in lab.columns],
+        F.when(has, X.signal_score(p)).alias("signal_score"),
+        F.when(has, X.stop_loss(p)).alias("stop_loss"),
+        F.when(has, X.take_profit(p)).alias("take_profit"),
+        F.when(has, annotation()).alias("marker_text"))
+    return out.select(*CHART_COLS).orderBy("timestamp")
+
+
 def annotation_text() -> Column:
     """SIG-7 marker text with display rounding applied first (engine independent)."""
     return annotation()

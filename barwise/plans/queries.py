@@ -708,9 +708,7 @@ def signal_labels(spark, sf_dir):
           ["open", "high", "low", "close", "sma20", "sma50", "rsi", "vortex_positive",
            "vortex_negative", "signal_score", "stop_loss", "take_profit"])
 def chart_feed(spark, sf_dir):
-    bars = A.bars_1h(spark, sf_dir)
-    ind = IND.indicators(bars, P)
-    return SV.chart_feed(bars, ind, SIG.signals(ind, P), "view")
+    return SV.chart_feed_from_bars(A.bars_1h(spark, sf_dir), "view", P)
 
 
 @register("conform_evolved",

@@ -90,3 +90,16 @@ def test_upsert_counts_and_idempotent(spark):
     U.upsert_path(spark, s, path, ["ticker", "timestamp"])
     second = sorted(spark.read.parquet(path).drop("date").collect())
     assert len(first) == 3 and first == second
+
+
+def test_chart_feed_single_pass_equals_joined_tables(spark, sf_dir):
+    from barwise.operators import indicators as IND
+    from barwise.operators import signals as SIG
+    from barwise.sources import adapters as A
+    bars = A.bars_1h(spark, sf_dir)
+    ind = IND.indicators(bars)
+    joined = SV.chart_feed(bars, ind, SIG.signals(ind), "view")
+    single = SV.chart_feed_from_bars(bars, "view")
+    assert sorted(joined.columns) == sorted(single.columns)
+    assert joined.count() == single.count()
+    assert joined.select(*single.columns).exceptAll(single).count() == 0
