@@ -837,3 +837,37 @@ def stream_resample(spark, sf_dir):
     out = scratch_path(spark, "resample-out")
     J.run_to_parquet(J.stream_resample(J.bar_stream(spark, landing, 2), 10, "10 minutes"), out)
     return spark.read.parquet(out)
+
+
+# ---- SNK-4: keyed upsert of indicators (a recomputation over a later window) ---------
+
+UPSERT_IND_CTES = [
+    O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"),
+    ("late_bars", f"SELECT * FROM bars_1h WHERE timestamp >= {O.ts(A.UPSERT_SOURCE_START)}"),
+    *O.indicator_ctes("late_bars", "rind"),
+    ("itgt", f"SELECT * FROM ind WHERE timestamp < {O.ts(A.UPSERT_TARGET_END)}"),
+]
+
+
+@register("upsert_indicators",
+          W(UPSERT_IND_CTES, """
+            SELECT coalesce(s.ticker, t.ticker) AS ticker, coalesce(s.timestamp, t.timestamp) AS timestamp,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.close ELSE t.close END AS close,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.sma20 ELSE t.sma20 END AS sma20,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.sma50 ELSE t.sma50 END AS sma50,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.rsi ELSE t.rsi END AS rsi,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.vortex_positive ELSE t.vortex_positive END
+                     AS vortex_positive,
+                   CASE WHEN s.ticker IS NOT NULL THEN s.vortex_negative ELSE t.vortex_negative END
+                     AS vortex_negative
+            FROM itgt t FULL OUTER JOIN rind s ON t.ticker = s.ticker AND t.timestamp = s.timestamp"""),
+          O.IND_COLS,
+          note="indicators up to a cut, overwritten by a recomputation that starts later "
+               "(its warm-up rows replace the stored values, as a re-run would)")
+def upsert_indicators(spark, sf_dir):
+    bars = A.bars_1h(spark, sf_dir)
+    stored = IND.indicators(bars, P).where(
+        F.col("timestamp") < F.lit(A.UPSERT_TARGET_END).cast("timestamp_ntz"))
+    recomputed = IND.indicators(bars.where(
+        F.col("timestamp") >= F.lit(A.UPSERT_SOURCE_START).cast("timestamp_ntz")), P)
+    return U.merge_frames(stored, recomputed, ["ticker", "timestamp"])
