@@ -118,7 +118,8 @@ def global_row_number(bars: DataFrame, day_col: str = "_day") -> DataFrame:
             .drop("_off", "_inday", day_col))
 
 
-def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5000) -> DataFrame:
+def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5000,
+                       keep: tuple[str, ...] = ()) -> DataFrame:
     """Same values as ``indicators`` with each ticker split into chunks of
     ``chunk_rows`` rows. Each chunk also receives the last ``history_rows + 5`` rows of
     the previous chunk as a halo, so every rolling frame and lag is complete; warm-up
@@ -126,7 +127,8 @@ def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5
     halo = p.history_rows + 5
     if chunk_rows < halo:
         raise ValueError(f"chunk_rows must be >= {halo}")
-    b = global_row_number(bars.select("ticker", "timestamp", "high", "low", "close"))
+    base = ["ticker", "timestamp", "high", "low", "close"]
+    b = global_row_number(bars.select(*base, *[c for c in keep if c not in base]))
     b = b.withColumn("_chunk", F.floor((F.col("_gn") - 1) / chunk_rows).cast("long"))
     pos = (F.col("_gn") - 1) % chunk_rows
     own = b.withColumn("_halo", F.lit(False))
@@ -137,4 +139,4 @@ def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5
     part = ["ticker", "_chunk"]
     staged = _with_inputs(both, part, "_gn")
     out = _rolling(staged, part, "_gn", F.col("_gn"), p)
-    return out.where(~F.col("_halo")).select(*OUT_COLS)
+    return out.where(~F.col("_halo")).select(*OUT_COLS, *[c for c in keep if c not in OUT_COLS])

@@ -168,10 +168,10 @@ def chart_feed_from_bars(bars: DataFrame, ticker: str, p=None) -> DataFrame:
     ``chart_feed`` over the derived indicator and signal tables."""
     from ..config import DEFAULT
     from ..functions import indicators as X
-    from .indicators import indicators
+    from .indicators import indicators_chunked
     p = p or DEFAULT
     one = bars.where(F.col("ticker") == F.lit(ticker))
-    ind = indicators(one, p, keep=("open", "high", "low", "volume"))
+    ind = indicators_chunked(one, p, chunk_rows=p.chunk_rows, keep=("open", "high", "low", "volume"))
     label = F.when(X.buy_condition(p), "BUY").when(X.sell_condition(p), "SELL")
     lab = ind.withColumn("signal", label)
     has = F.col("signal").isNotNull()

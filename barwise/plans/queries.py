@@ -18,8 +18,13 @@ W = O.with_ctes
 
 # ---- flagship: events -> hourly bars -> indicators -> scored signals -----------
 
+def _ind(bars):
+    """Indicators with the skew-safe chunked plan (same values as the plain window)."""
+    return IND.indicators_chunked(bars, P, chunk_rows=P.chunk_rows)
+
+
 def flagship(spark, sf_dir):
-    return SIG.signals(IND.indicators(A.bars_1h(spark, sf_dir), P), P)
+    return SIG.signals(_ind(A.bars_1h(spark, sf_dir)), P)
 
 
 register("all_signals_scored",
@@ -88,7 +93,7 @@ def indicators_gen1_tail(spark, sf_dir):
                 FROM ind"""),
           ["rsi"])
 def rsi_zones(spark, sf_dir):
-    ind = IND.with_rsi_zone(IND.indicators(A.bars_1h(spark, sf_dir), P), P)
+    ind = IND.with_rsi_zone(_ind(A.bars_1h(spark, sf_dir)), P)
     return ind.select("ticker", "timestamp", "rsi", "rsi_zone")
 
 
@@ -422,7 +427,7 @@ TRIG_DOUBLES = ["avg_entry_price", "realized_pnl", "current_price", "exit_pnl"]
 
 def _port_inputs(spark, sf_dir):
     bars = A.user_ticks(spark, sf_dir)
-    sig = SIG.signals(IND.indicators(bars, P), P)
+    sig = SIG.signals(_ind(bars), P)
     return bars, sig, A.portfolio_prev(spark, sf_dir)
 
 
@@ -635,7 +640,7 @@ def recent_signals(spark, sf_dir):
             "SELECT * FROM ind WHERE rsi IS NOT NULL ORDER BY timestamp DESC, ticker LIMIT 15"),
           O.IND_COLS)
 def recent_indicators(spark, sf_dir):
-    return SV.recent_indicators(IND.indicators(A.bars_1h(spark, sf_dir), P), 15)
+    return SV.recent_indicators(_ind(A.bars_1h(spark, sf_dir)), 15)
 
 
 @register("tickers", W([O.EV, O.BARS_10M], "SELECT DISTINCT ticker FROM bars_10m"))
@@ -657,7 +662,7 @@ def signal_counts(spark, sf_dir):
             UNION ALL SELECT 'trade_log', count(*) FROM trade_log
             UNION ALL SELECT 'data_quality_events', count(*) FROM val_events"""))
 def layer_counts(spark, sf_dir):
-    ind = IND.indicators(A.bars_1h(spark, sf_dir), P)
+    ind = _ind(A.bars_1h(spark, sf_dir))
     return SV.layer_counts(raw_market_data=A.bars_10m(spark, sf_dir), technical_indicators=ind,
                            trade_signals=SIG.signals(ind, P), trade_log=A.trade_log(spark, sf_dir),
                            data_quality_events=V.events(V.classify(A.dirty_bars(spark, sf_dir), P), P))
@@ -737,7 +742,7 @@ def _cooldown_sql(bars: int) -> str:
 
 
 def _cooldown(spark, sf_dir, bars: int):
-    sig = SIG.signals(IND.indicators(A.bars_10m(spark, sf_dir), P), P)
+    sig = SIG.signals(_ind(A.bars_10m(spark, sf_dir)), P)
     split = F.lit(A.SPLIT_TS).cast("timestamp_ntz")
     hist, cand = sig.where(F.col("timestamp") < split), sig.where(F.col("timestamp") >= split)
     return SIG.apply_cooldown(cand, hist, P.with_(cooldown_bars=bars)).select(*SIG.SIGNAL_COLS)
@@ -866,8 +871,8 @@ UPSERT_IND_CTES = [
                "(its warm-up rows replace the stored values, as a re-run would)")
 def upsert_indicators(spark, sf_dir):
     bars = A.bars_1h(spark, sf_dir)
-    stored = IND.indicators(bars, P).where(
+    stored = _ind(bars).where(
         F.col("timestamp") < F.lit(A.UPSERT_TARGET_END).cast("timestamp_ntz"))
-    recomputed = IND.indicators(bars.where(
-        F.col("timestamp") >= F.lit(A.UPSERT_SOURCE_START).cast("timestamp_ntz")), P)
+    recomputed = _ind(bars.where(
+        F.col("timestamp") >= F.lit(A.UPSERT_SOURCE_START).cast("timestamp_ntz")))
     return U.merge_frames(stored, recomputed, ["ticker", "timestamp"])

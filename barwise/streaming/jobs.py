@@ -55,11 +55,16 @@ def land_in_time_order(df: DataFrame, path: str, chunks: int, ts_col: str = "tim
     return files_per_chunk
 
 
+DEFAULT_MAX_FILES = 64
+
+
 def bar_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schemas.BARS)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(landing)
+    """The landing zone as a stream. ``maxFilesPerTrigger`` is always set (default
+    ``DEFAULT_MAX_FILES``): it bounds a micro-batch, and so the rows one ticker hands to
+    the state update at once, also for ``availableNow`` runs over a large backlog."""
+    return (spark.readStream.schema(schemas.BARS)
+            .option("maxFilesPerTrigger", max_files or DEFAULT_MAX_FILES)
+            .parquet(landing))
 
 
 def indicator_stream(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
