@@ -789,9 +789,14 @@ def stream_signals(spark, sf_dir):
     return J.read_output(spark, _stream_out(spark, sf_dir, False), "gold")
 
 
-@register("stream_signals_cooldown", None,
-          note="cooldown against signals stored by earlier micro-batches; batch boundaries "
-               "decide the result, so no SQL oracle (checked in tests)")
+@register("stream_signals_cooldown",
+          W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"), *O.signal_ctes()],
+            f"SELECT {O.SIG_SELECT} FROM sig"),
+          O.SIG_DOUBLES,
+          note="cooldown against signals stored by earlier micro-batches. Hourly bars are "
+               "3600 s apart, more than the 1800 s cooldown, so no signal may be dropped: the "
+               "expected rows are all signals. Drops across batches are checked on 10-minute "
+               "bars against a hand computation in tests/test_stream.py")
 def stream_signals_cooldown(spark, sf_dir):
     return J.read_output(spark, _stream_out(spark, sf_dir, True), "gold")
 
