@@ -29,3 +29,13 @@ def test_runs_end_to_end_and_rerun_is_stable(spark, sf_dir):
     _, rows2 = M.refresh_portfolio(spark, root, 2, asof)
     assert rows2.where(F.col("signal").isin("BUY", "SELL")).count() == 0
     assert K.read_layer(spark, root, "trade_signals").count() == sig1
+
+
+def test_events_kept_when_every_symbol_fails(spark, sf_dir):
+    """All bars rejected: no bars are written, the DQ events still are."""
+    root = scratch_path(spark, "layers")
+    raw = A.vendor_bars(spark, sf_dir).withColumn("Low", F.lit("-1"))
+    log = M.ingest_bars(spark, raw, A.symbol_dim(spark, sf_dir), root, 1, A.as_of_lit())
+    types = {r["event_type"] for r in log.collect()}
+    assert "INVALID_PRICE" in types and "MISSING_BARS" in types
+    assert K.read_layer(spark, root, "raw_market_data").count() == 0
