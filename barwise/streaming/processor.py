@@ -58,32 +58,36 @@ class RollingIndicatorProcessor(StatefulProcessor):
         fresh = batch[~late]
 
         h0 = len(hist)
-        high = np.array([r[1] for r in hist] + fresh["high"].astype(float).tolist(), dtype=float)
-        low = np.array([r[2] for r in hist] + fresh["low"].astype(float).tolist(), dtype=float)
-        close = np.array([r[3] for r in hist] + fresh["close"].astype(float).tolist(), dtype=float)
+        hist_arr = np.array(hist, dtype=float).reshape(h0, 4)
+        f_high = fresh["high"].to_numpy(dtype=float)
+        f_low = fresh["low"].to_numpy(dtype=float)
+        f_close = fresh["close"].to_numpy(dtype=float)
+        high = np.concatenate([hist_arr[:, 1], f_high])
+        low = np.concatenate([hist_arr[:, 2], f_low])
+        close = np.concatenate([hist_arr[:, 3], f_close])
         first_n = seen - h0 + 1
         vals = indicator_arrays(high, low, close, first_n, self.p)
 
         out = pd.DataFrame({"ticker": ticker, "timestamp": fresh["timestamp"].values,
-                            "close": fresh["close"].astype(float).values})
+                            "close": f_close})
         for c in IND_COLS:
             out[c] = vals[c][h0:]
         out["is_late"] = False
         if late.any():
             lt = batch[late]
             extra = pd.DataFrame({"ticker": ticker, "timestamp": lt["timestamp"].values,
-                                  "close": lt["close"].astype(float).values})
+                                  "close": lt["close"].to_numpy(dtype=float)})
             for c in IND_COLS:
                 extra[c] = np.nan
             extra["is_late"] = True
             out = pd.concat([out, extra], ignore_index=True)
 
+        # keep only the last ``tail_cap`` bars (state stays bounded whatever the batch size)
         keep = self.p.tail_cap
-        new_hist = hist + list(zip(_to_us(fresh["timestamp"]).tolist(),
-                                   fresh["high"].astype(float).tolist(),
-                                   fresh["low"].astype(float).tolist(),
-                                   fresh["close"].astype(float).tolist()))
-        self.hist.put(new_hist[-keep:])
+        hist_ts = np.array([r[0] for r in hist], dtype=np.int64)
+        ts_all = np.concatenate([hist_ts, ts[~late]])[-keep:]
+        tail = zip(ts_all.tolist(), high[-keep:].tolist(), low[-keep:].tolist(), close[-keep:].tolist())
+        self.hist.put([tuple(r) for r in tail])
         self.count.update((seen + len(fresh),))
         yield out
 
