@@ -781,6 +781,18 @@ def stream_indicators(spark, sf_dir):
     return J.read_output(spark, _stream_out(spark, sf_dir, False), "silver")
 
 
+@register("stream_indicators_many_keys",
+          W([O.EV, O.USER_TICKS, *O.indicator_ctes("user_ticks")], "SELECT * FROM ind"),
+          O.IND_COLS, note="one state entry per user ticker (thousands of keys), 4 slices")
+def stream_indicators_many_keys(spark, sf_dir):
+    ticks = A.user_ticks(spark, sf_dir)
+    landing = scratch_path(spark, "landing-ticks")
+    files = J.land_in_time_order(ticks, landing, STREAM_CHUNKS, files_per_chunk=4)
+    out = scratch_path(spark, "stream-ticks-out")
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False)
+    return J.read_output(spark, out, "silver")
+
+
 @register("stream_signals",
           W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"), *O.signal_ctes()],
             f"SELECT {O.SIG_SELECT} FROM sig"),
