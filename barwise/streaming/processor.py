@@ -1,8 +1,8 @@
 """STR-1/2: per-ticker rolling state as a typed ``StatefulProcessor``.
 
-State per ticker: a ``ListState`` of the last ``tail_cap`` bars (time in microseconds,
-high, low, close) and a ``ValueState`` with the number of bars seen, which keeps warm-up
-gates global. Each micro-batch is sorted by time; a bar not newer than the newest bar
+State per ticker: one typed ``ValueState`` holding the last ``tail_cap`` bars as
+parallel arrays (time in microseconds, high, low, close) and the number of bars seen,
+which keeps warm-up gates global. One read and one write per ticker and micro-batch. Each micro-batch is sorted by time; a bar not newer than the newest bar
 already in state (or repeated in the batch) is *late*: it is emitted with
 ``is_late = true`` and null indicators instead of being mis-ordered into the history,
 so the caller can recompute that ticker in batch.
@@ -22,8 +22,7 @@ from ..config import DEFAULT, Params
 from .rolling import indicator_arrays
 
 OUTPUT = T.StructType(schemas.INDICATORS.fields + [T.StructField("is_late", T.BooleanType(), True)])
-HIST_SCHEMA = "ts_us long, high double, low double, close double"
-COUNT_SCHEMA = "n long"
+TAIL_SCHEMA = "ts_us array<long>, high array<double>, low array<double>, close array<double>, n long"
 IND_COLS = ["sma20", "sma50", "rsi", "vortex_positive", "vortex_negative"]
 
 
@@ -36,8 +35,7 @@ class RollingIndicatorProcessor(StatefulProcessor):
         self.p = p
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hist = handle.getListState("hist", HIST_SCHEMA)
-        self.count = handle.getValueState("count", COUNT_SCHEMA)
+        self.tail = handle.getValueState("tail", TAIL_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ticker = key[0]
@@ -47,9 +45,16 @@ class RollingIndicatorProcessor(StatefulProcessor):
         batch = batch.sort_values("timestamp", kind="stable").reset_index(drop=True)
         ts = _to_us(batch["timestamp"])
 
-        hist = list(self.hist.get()) if self.hist.exists() else []
-        seen = self.count.get()[0] if self.count.exists() else 0
-        last_ts = hist[-1][0] if hist else None
+        state = self.tail.get()
+        if state is None:
+            hist_ts = np.zeros(0, dtype=np.int64)
+            hist_h = hist_l = hist_c = np.zeros(0, dtype=float)
+            seen = 0
+        else:
+            hist_ts = np.asarray(state[0], dtype=np.int64)
+            hist_h, hist_l, hist_c = (np.asarray(state[i], dtype=float) for i in (1, 2, 3))
+            seen = int(state[4])
+        last_ts = hist_ts[-1] if len(hist_ts) else None
 
         late = np.zeros(len(batch), dtype=bool)
         if last_ts is not None:
@@ -57,14 +62,13 @@ class RollingIndicatorProcessor(StatefulProcessor):
         late[1:] |= ts[1:] == ts[:-1]          # repeated key inside the batch
         fresh = batch[~late]
 
-        h0 = len(hist)
-        hist_arr = np.array(hist, dtype=float).reshape(h0, 4)
+        h0 = len(hist_ts)
         f_high = fresh["high"].to_numpy(dtype=float)
         f_low = fresh["low"].to_numpy(dtype=float)
         f_close = fresh["close"].to_numpy(dtype=float)
-        high = np.concatenate([hist_arr[:, 1], f_high])
-        low = np.concatenate([hist_arr[:, 2], f_low])
-        close = np.concatenate([hist_arr[:, 3], f_close])
+        high = np.concatenate([hist_h, f_high])
+        low = np.concatenate([hist_l, f_low])
+        close = np.concatenate([hist_c, f_close])
         first_n = seen - h0 + 1
         vals = indicator_arrays(high, low, close, first_n, self.p)
 
@@ -84,11 +88,9 @@ class RollingIndicatorProcessor(StatefulProcessor):
 
         # keep only the last ``tail_cap`` bars (state stays bounded whatever the batch size)
         keep = self.p.tail_cap
-        hist_ts = np.array([r[0] for r in hist], dtype=np.int64)
         ts_all = np.concatenate([hist_ts, ts[~late]])[-keep:]
-        tail = zip(ts_all.tolist(), high[-keep:].tolist(), low[-keep:].tolist(), close[-keep:].tolist())
-        self.hist.put([tuple(r) for r in tail])
-        self.count.update((seen + len(fresh),))
+        self.tail.update((ts_all.tolist(), high[-keep:].tolist(), low[-keep:].tolist(),
+                          close[-keep:].tolist(), seen + len(fresh)))
         yield out
 
     def close(self) -> None:
