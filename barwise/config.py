@@ -53,6 +53,9 @@ class Params:
     # rows per (ticker, chunk) in the chunked indicator plan used by the batch runs: a
     # ticker with more rows is spread over several tasks instead of one.
     chunk_rows: int = 1_000_000
+    # time bucket that spreads one ticker's rows when numbering them or carrying the
+    # previous row ("day"; "hour" for very dense tickers)
+    order_bucket: str = "day"
 
     @property
     def min_expected_bars(self) -> int:

@@ -100,13 +100,13 @@ def with_rsi_zone(ind: DataFrame, p: Params = DEFAULT) -> DataFrame:
 # Chunked form for few, long tickers (§4.3-1 of the survey).
 # ---------------------------------------------------------------------------------
 
-def global_row_number(bars: DataFrame, day_col: str = "_day") -> DataFrame:
+def global_row_number(bars: DataFrame, day_col: str = "_day", bucket: str = "day") -> DataFrame:
     """1-based row number per ticker in time order without a per-ticker sort of all rows.
 
-    Rows are counted per (ticker, day); a running sum over that small table gives each
-    day's offset; the in-day rank is a window partitioned by (ticker, day).
+    Rows are counted per (ticker, time bucket); a running sum over that small table gives
+    each bucket's offset; the in-bucket rank is a window partitioned by (ticker, bucket).
     """
-    d = bars.withColumn(day_col, F.to_date("timestamp"))
+    d = bars.withColumn(day_col, F.date_trunc(bucket, "timestamp"))
     per_day = d.groupBy("ticker", day_col).agg(F.count(F.lit(1)).alias("_cnt"))
     wd = Window.partitionBy("ticker").orderBy(day_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_day.select("ticker", day_col,
@@ -128,7 +128,8 @@ def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5
     if chunk_rows < halo:
         raise ValueError(f"chunk_rows must be >= {halo}")
     base = ["ticker", "timestamp", "high", "low", "close"]
-    b = global_row_number(bars.select(*base, *[c for c in keep if c not in base]))
+    b = global_row_number(bars.select(*base, *[c for c in keep if c not in base]),
+                          bucket=p.order_bucket)
     b = b.withColumn("_chunk", F.floor((F.col("_gn") - 1) / chunk_rows).cast("long"))
     pos = (F.col("_gn") - 1) % chunk_rows
     own = b.withColumn("_halo", F.lit(False))

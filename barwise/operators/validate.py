@@ -55,7 +55,7 @@ def classify(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
             .when(F.col("high") < F.col("low"), RULE_OHLC))
     ruled = bars.select(*BAR_COLS, rule.alias("rule"))
     survivors = ruled.where(F.col("rule").isNull())
-    prev = previous_close(survivors)
+    prev = previous_close(survivors, p.order_bucket)
     pct = F.abs(F.try_divide(F.col("close"), F.col("_prev_close")) - 1)
     spiked = prev.withColumn("pct_change", pct).drop("_prev_close").withColumn(
         "rule",

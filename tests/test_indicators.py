@@ -48,7 +48,7 @@ def test_zigzag_rsi_50(spark):
 def test_chunked_equals_plain(spark):
     closes = [100 + ((i * 37) % 23) - ((i * 11) % 7) * 0.5 for i in range(700)]
     b = bars_df(spark, closes, step_min=60).unionByName(bars_df(spark, closes[::-1], ticker="U", step_min=60))
-    for p in (DEFAULT, GEN1):
+    for p in (DEFAULT, GEN1, DEFAULT.with_(order_bucket="hour")):
         plain = IND.indicators(b, p)
         chunked = IND.indicators_chunked(b, p, chunk_rows=60)
         assert plain.count() == chunked.count() == 1400
