@@ -42,3 +42,14 @@ def test_entry_runs(spark):
     assert df.count() > 0
     assert df.columns == ["ticker", "timestamp", "signal", "signal_score", "close", "sma20", "sma50",
                           "rsi", "vortex_positive", "vortex_negative", "stop_loss", "take_profit"]
+
+
+@pytest.mark.parametrize("name", ["validate_events", "intraday_gaps_top20", "freshness",
+                                  "equity_curve", "indicators_chunked", "stream_resample"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, sf_dir, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query_matches_oracle(spark, con, sf_dir, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
