@@ -130,13 +130,15 @@ def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5
     base = ["ticker", "timestamp", "high", "low", "close"]
     b = global_row_number(bars.select(*base, *[c for c in keep if c not in base]),
                           bucket=p.order_bucket)
-    b = b.withColumn("_chunk", F.floor((F.col("_gn") - 1) / chunk_rows).cast("long"))
+    chunk = F.floor((F.col("_gn") - 1) / chunk_rows).cast("long")
     pos = (F.col("_gn") - 1) % chunk_rows
-    own = b.withColumn("_halo", F.lit(False))
-    carried = (b.where(pos >= chunk_rows - halo)
-               .withColumn("_chunk", F.col("_chunk") + 1)
-               .withColumn("_halo", F.lit(True)))
-    both = own.unionByName(carried)
+    # each row goes to its own chunk, and the last ``halo`` rows of a chunk also to the
+    # next one (as halo): one pass with inline, not a union that re-reads the input
+    own = F.struct(chunk.alias("_chunk"), F.lit(False).alias("_halo"))
+    carried = F.struct((chunk + 1).alias("_chunk"), F.lit(True).alias("_halo"))
+    copies = F.when(pos >= chunk_rows - halo, F.array(own, carried)).otherwise(F.array(own))
+    cols = [c for c in b.columns]
+    both = b.select(*cols, F.inline(copies))
     part = ["ticker", "_chunk"]
     staged = _with_inputs(both, part, "_gn")
     out = _rolling(staged, part, "_gn", F.col("_gn"), p)
