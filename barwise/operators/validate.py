@@ -54,33 +54,37 @@ def classify(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
             .when(F.col("volume").isNull() | (F.col("volume") < 0), RULE_VOLUME)
             .when(F.col("high") < F.col("low"), RULE_OHLC))
     ruled = bars.select(*BAR_COLS, rule.alias("rule"))
-    survivors = ruled.where(F.col("rule").isNull())
-    prev = previous_close(survivors, p.order_bucket)
-    pct = F.abs(F.try_divide(F.col("close"), F.col("_prev_close")) - 1)
-    spiked = prev.withColumn("pct_change", pct).drop("_prev_close").withColumn(
-        "rule",
-        F.when(F.col("pct_change") > p.extreme_bar_pct_change, RULE_EXTREME)
-         .when(F.col("pct_change") > p.max_bar_pct_change, RULE_SPIKE))
-    rejected = ruled.where(F.col("rule").isNotNull()).withColumn(
-        "pct_change", F.lit(None).cast("double"))
-    return spiked.unionByName(rejected)
-
-
-def previous_close(rows: DataFrame, bucket: str = "day") -> DataFrame:
-    """``_prev_close``: close of the previous row of the same ticker in time order.
-
-    Skew-safe form of ``lag(close) over (partition by ticker order by timestamp)``: the
-    lag runs within (ticker, time bucket); the first row of a bucket takes the last close
-    of the nearest earlier bucket that has rows, found with a lag over one row per
-    (ticker, bucket). Exact, and a ticker's rows are spread over its buckets."""
-    b = rows.withColumn("_bk", F.date_trunc(bucket, "timestamp"))
-    in_bucket = F.lag("close").over(Window.partitionBy("ticker", "_bk").orderBy("timestamp"))
-    last = b.groupBy("ticker", "_bk").agg(F.max_by("close", "timestamp").alias("_last"))
-    carry = last.select("ticker", "_bk", F.lag("_last").over(
-        Window.partitionBy("ticker").orderBy("_bk")).alias("_carry"))
+    prev = previous_close(ruled, p.order_bucket, valid=F.col("rule").isNull())
+    passed = F.col("rule").isNull()
+    pct = F.when(passed, F.abs(F.try_divide(F.col("close"), F.col("_prev_close")) - 1))
+    return (prev.withColumn("pct_change", pct).drop("_prev_close")
+            .withColumn("rule", F.when(~passed, F.col("rule"))
+                        .when(F.col("pct_change") > p.extreme_bar_pct_change, RULE_EXTREME)
+                        .when(F.col("pct_change") > p.max_bar_pct_change, RULE_SPIKE)))
+
+
+def previous_close(rows: DataFrame, bucket: str = "day", valid: Column | None = None) -> DataFrame:
+    """``_prev_close``: close of the previous *valid* row of the same ticker in time order
+    (all rows are valid when ``valid`` is None).
+
+    Skew-safe form of a lag over the whole ticker: within (ticker, time bucket) it is the
+    last valid close before the row (``last`` ignoring nulls over a growing frame); the
+    first rows of a bucket take the last valid close of the nearest earlier bucket that
+    has one, found over one row per (ticker, bucket). Exact, one pass over the rows (no
+    union of valid and invalid rows), and a ticker's rows are spread over its buckets."""
+    ok = F.lit(True) if valid is None else valid
+    b = rows.withColumn("_bk", F.date_trunc(bucket, "timestamp")).withColumn("_ok", ok)
+    good_close = F.when(F.col("_ok"), F.col("close"))
+    before = Window.partitionBy("ticker", "_bk").orderBy("timestamp").rowsBetween(
+        Window.unboundedPreceding, -1)
+    in_bucket = F.last(good_close, ignorenulls=True).over(before)
+    last = b.groupBy("ticker", "_bk").agg(
+        F.max_by("close", F.when(F.col("_ok"), F.col("timestamp"))).alias("_last"))
+    earlier = Window.partitionBy("ticker").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("ticker", "_bk", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
     return (b.withColumn("_in", in_bucket).join(carry, ["ticker", "_bk"])
             .withColumn("_prev_close", F.coalesce(F.col("_in"), F.col("_carry")))
-            .drop("_bk", "_in", "_carry"))
+            .drop("_bk", "_ok", "_in", "_carry"))
 
 
 def clean(classified: DataFrame) -> DataFrame:
