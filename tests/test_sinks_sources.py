@@ -62,3 +62,21 @@ def test_csv_landing_zone_conforms_like_parquet(spark, sf_dir):
     a = VD.conform_vendor(landed, A.symbol_dim(spark, sf_dir))
     b = VD.conform_vendor(raw, A.symbol_dim(spark, sf_dir))
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_event_marks_and_unknown_type(spark):
+    from barwise.operators import quality as Q
+    df = spark.createDataFrame([("GAP_DETECTED",), ("OHLC_INCONSISTENCY",), ("API_ERROR",)], "event_type string")
+    marks = {r["event_type"]: r["m"] for r in df.select("event_type", Q.event_mark().alias("m")).collect()}
+    assert marks == {"GAP_DETECTED": "G", "OHLC_INCONSISTENCY": "?", "API_ERROR": "X"}
+
+
+def test_keep_existing_and_bounded_broadcast(spark):
+    from barwise.functions.broadcast import bounded_broadcast
+    df = spark.createDataFrame([("A", 1.0)], "ticker string, close double")
+    assert schemas.keep_existing(df, ["close", "missing", "ticker"]).columns == ["close", "ticker"]
+    hinted = bounded_broadcast(df, max_rows=13)
+    plan = hinted.join(df, "ticker")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
+    unbounded = bounded_broadcast(df, max_rows=10**9)
+    assert unbounded is df
