@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as SC
 from ..config import DEFAULT, GEN1
 from ..operators import indicators as IND
+from ..operators import portfolio as PF
+from ..operators import quality as Q
 from ..operators import resample as RS
+from ..operators import serving as SV
 from ..operators import signals as SIG
+from ..operators import upsert as U
+from ..operators import validate as V
+from ..session import scratch_path
 from ..sources import adapters as A
+from ..sources import vendor as VD
+from ..streaming import jobs as J
 from . import oracle_sql as O
+from . import portfolio_sql as PS
 from .catalog import register
 
 P = DEFAULT
@@ -138,10 +148,6 @@ def resample_dirty(spark, sf_dir):
 
 # ---- validation (circuit breaker) ---------------------------------------------------
 
-from ..operators import quality as Q  # noqa: E402
-from ..operators import upsert as U  # noqa: E402
-from ..operators import validate as V  # noqa: E402
-from ..sources import vendor as VD  # noqa: E402
 
 CLASSIFIED = [
     O.EV, O.BARS_10M, O.DIRTY_BARS,
@@ -415,9 +421,6 @@ def dq_event_feed(spark, sf_dir):
 
 # ---- portfolio and trade log (user tickers: thousands of keys) ----------------------
 
-from ..operators import portfolio as PF  # noqa: E402
-from .. import schemas as SC  # noqa: E402
-from . import portfolio_sql as PS  # noqa: E402
 
 PORT = PS.port_ctes(P)
 PORT_DOUBLES = ["avg_entry_price", "current_price", "unrealized_pnl", "realized_pnl"]
@@ -535,7 +538,6 @@ def step_trade_rows(spark, sf_dir):
 
 # ---- serving reads ---------------------------------------------------------------------
 
-from ..operators import serving as SV  # noqa: E402
 
 SIG_1H = [O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"), *O.signal_ctes()]
 R2 = "CAST(100.0 AS DOUBLE)"
@@ -760,8 +762,6 @@ def signals_after_cooldown_36(spark, sf_dir):
 
 # ---- streaming (bars landed as time-ordered files, drained with availableNow) ----------
 
-from ..streaming import jobs as J  # noqa: E402
-from ..session import scratch_path  # noqa: E402
 
 STREAM_CHUNKS = 4
 
