@@ -136,21 +136,30 @@ class BatchSinks:
 
 def run_indicator_stream(spark: SparkSession, landing: str, out: str, p: Params = DEFAULT,
                          max_files: int | None = None, cooldown: bool = True,
-                         checkpoint: str | None = None, trigger: dict | None = None) -> BatchSinks:
+                         checkpoint: str | None = None, trigger: dict | None = None,
+                         state_partitions: int | None = None) -> BatchSinks:
     """Start the stream, run until the landing zone is drained (availableNow), return
     the sink object (its ``metrics`` hold one dict per micro-batch).
 
     ``trigger`` defaults to ``{"availableNow": True}``; ``{"processingTime": "60 seconds"}``
-    runs it continuously (STR-4).
+    runs it continuously (STR-4). ``state_partitions`` sets the number of state-store
+    partitions (the stateful operator's parallelism) for a new checkpoint; Spark keeps
+    the number recorded in an existing checkpoint.
     """
     ensure_checkpoint_dir(spark)
     ckpt = checkpoint or f"{out}/_checkpoint"
     sinks = BatchSinks(out, p, cooldown)
-    q = (indicator_stream(bar_stream(spark, landing, max_files), p)
-         .writeStream.foreachBatch(sinks).outputMode("append")
-         .option("checkpointLocation", ckpt)
-         .trigger(**(trigger or {"availableNow": True}))
-         .start())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (indicator_stream(bar_stream(spark, landing, max_files), p)
+             .writeStream.foreachBatch(sinks).outputMode("append")
+             .option("checkpointLocation", ckpt)
+             .trigger(**(trigger or {"availableNow": True}))
+             .start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     sinks.query = q
     if (trigger or {}).get("processingTime") is None:
         q.awaitTermination()

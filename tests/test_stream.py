@@ -91,3 +91,13 @@ def test_cooldown_across_batches(spark):
                       and (lab not in last or (t - last[lab]).total_seconds() > 1800)]
     assert len(allsig) > len(expect) > 0
     assert gold == sorted(expect)
+
+
+def test_state_partitions_option(spark):
+    landing = scratch_path(spark, "land")
+    bars_df(spark, [float(i) for i in range(1, 21)]).repartition(1).write.parquet(landing)
+    out = scratch_path(spark, "out")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    J.run_indicator_stream(spark, landing, out, cooldown=False, state_partitions=3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert J.read_output(spark, out, "silver").count() == 20
