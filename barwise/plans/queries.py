@@ -766,12 +766,19 @@ def signals_after_cooldown_36(spark, sf_dir):
 STREAM_CHUNKS = 4
 
 
+def _state_parts(spark) -> int:
+    """State-store partitions for a fresh stream checkpoint: the cluster's parallelism
+    (not spark.sql.shuffle.partitions, which may be a batch-sized 200)."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _stream_out(spark, sf_dir, cooldown: bool):
     bars = A.bars_1h(spark, sf_dir)
     landing = scratch_path(spark, "landing-1h")
     files = J.land_in_time_order(bars, landing, STREAM_CHUNKS, files_per_chunk=2)
     out = scratch_path(spark, "stream-out")
-    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=cooldown)
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=cooldown,
+                           state_partitions=_state_parts(spark))
     return out
 
 
@@ -789,7 +796,8 @@ def stream_indicators_many_keys(spark, sf_dir):
     landing = scratch_path(spark, "landing-ticks")
     files = J.land_in_time_order(ticks, landing, STREAM_CHUNKS, files_per_chunk=4)
     out = scratch_path(spark, "stream-ticks-out")
-    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False)
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
+                           state_partitions=_state_parts(spark))
     return J.read_output(spark, out, "silver")
 
 
@@ -823,7 +831,8 @@ def stream_indicators_late_repaired(spark, sf_dir):
     again = bars.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
     again.repartition(files, "ticker").write.mode("append").parquet(landing)
     out = scratch_path(spark, "stream-late-out")
-    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False)
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
+                           state_partitions=_state_parts(spark))
     return J.corrected_indicators(spark, out, bars, P)
 
 
@@ -836,7 +845,8 @@ def stream_dedup(spark, sf_dir):
     again = b.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
     again.repartition(1).write.mode("append").parquet(landing)
     out = scratch_path(spark, "dedup-out")
-    J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "1 hour"), out)
+    J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "1 hour"), out,
+                     state_partitions=_state_parts(spark))
     return spark.read.parquet(out)
 
 
@@ -857,7 +867,8 @@ def stream_resample(spark, sf_dir):
     landing = scratch_path(spark, "landing-5m")
     J.land_in_time_order(A.bars_5m(spark, sf_dir), landing, 4, files_per_chunk=2)
     out = scratch_path(spark, "resample-out")
-    J.run_to_parquet(J.stream_resample(J.bar_stream(spark, landing, 2), 10, "10 minutes"), out)
+    J.run_to_parquet(J.stream_resample(J.bar_stream(spark, landing, 2), 10, "10 minutes"), out,
+                     state_partitions=_state_parts(spark))
     return spark.read.parquet(out)
 
 

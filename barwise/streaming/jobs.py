@@ -215,11 +215,20 @@ def stream_dedup(bars: DataFrame, delay: str = "1 hour") -> DataFrame:
             .dropDuplicatesWithinWatermark(["ticker", "_ts"]).drop("_ts"))
 
 
-def run_to_parquet(df: DataFrame, out: str, checkpoint: str | None = None) -> None:
-    """Drain a streaming DataFrame into parquet with availableNow."""
-    q = (df.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint or f"{out}_checkpoint")
-         .outputMode("append").trigger(availableNow=True).start())
+def run_to_parquet(df: DataFrame, out: str, checkpoint: str | None = None,
+                   state_partitions: int | None = None) -> None:
+    """Drain a streaming DataFrame into parquet with availableNow (``state_partitions``
+    as in ``run_indicator_stream``)."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (df.writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", checkpoint or f"{out}_checkpoint")
+             .outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
 
 
