@@ -843,7 +843,7 @@ def stream_dedup(spark, sf_dir):
     b = A.bars_10m(spark, sf_dir)
     J.land_in_time_order(b, landing, 2, files_per_chunk=2)
     again = b.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
-    again.repartition(1).write.mode("append").parquet(landing)
+    again.repartition(2, "ticker").write.mode("append").parquet(landing)
     out = scratch_path(spark, "dedup-out")
     J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "1 hour"), out,
                      state_partitions=_state_parts(spark))
