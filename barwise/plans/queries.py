@@ -16,6 +16,7 @@ from ..operators import upsert as U
 from ..operators import validate as V
 from ..session import scratch_path
 from ..sources import adapters as A
+from ..sources import tables as TB
 from ..sources import vendor as VD
 from ..streaming import jobs as J
 from . import oracle_sql as O
@@ -904,3 +905,30 @@ def upsert_indicators(spark, sf_dir):
     recomputed = _ind(bars.where(
         F.col("timestamp") >= F.lit(A.UPSERT_SOURCE_START).cast("timestamp_ntz")))
     return U.merge_frames(stored, recomputed, ["ticker", "timestamp"])
+
+
+# ---- SRV-2 / SRC-5 / FLT-1/2: one ticker's bars, non-null indicators, signals ---------
+
+
+TICKER = "purchase"
+
+
+@register("ticker_bars",
+          W([O.EV, O.BARS_1H], f"SELECT * FROM bars_1h WHERE ticker = '{TICKER}'"),
+          ["open", "high", "low", "close"])
+def ticker_bars(spark, sf_dir):
+    return TB.scan_ticker(A.bars_1h(spark, sf_dir), TICKER)
+
+
+@register("ticker_indicators",
+          W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h")],
+            f"SELECT * FROM ind WHERE ticker = '{TICKER}' AND rsi IS NOT NULL"),
+          O.IND_COLS)
+def ticker_indicators(spark, sf_dir):
+    return TB.scan_ticker(_ind(A.bars_1h(spark, sf_dir)), TICKER, not_null="rsi")
+
+
+@register("ticker_signals", W(SIG_1H, f"SELECT {O.SIG_SELECT} FROM sig WHERE ticker = '{TICKER}'"),
+          O.SIG_DOUBLES)
+def ticker_signals(spark, sf_dir):
+    return TB.scan_ticker(flagship(spark, sf_dir), TICKER)
