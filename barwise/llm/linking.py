@@ -7,7 +7,7 @@ and only members that are still in different components are compared with each o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .textarrays import U64, mix, runs
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
@@ -24,43 +25,40 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (key, id): those whose key has two different ids next to each
-    other. State between batches is one row."""
-    last_key = last_id = None
-    last_out = True
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of their first column, those whose neighbour has the same value.
+    What is held between batches is one row."""
+    held = None  # the last row of the batch before, if it isn't out yet
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        schema = batch.schema
-        key, ident = (np.asarray(batch.column(i)) for i in (0, 1))
-        again = np.zeros(len(key), bool)
-        again[1:] = (key[1:] == key[:-1]) & (ident[1:] == ident[:-1])
+        key = np.asarray(batch.column(0))
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
-        if last_key is not None and key[0] == last_key:
-            same[0] = True
-            again[0] = ident[0] == last_id
-        # the first run of the batch may go on with the row before it
-        ahead = np.zeros(len(key), bool)
-        ahead[:-1] = same[1:]
-        keep = (same | ahead) & ~again
-        if same[0] and not last_out:
-            yield pa.RecordBatch.from_arrays([pa.array([last_key]), pa.array([last_id])], schema=schema)
+        same[0] = last is not None and key[0] == last
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        if same[0] and held is not None:
+            yield held
         if keep.any():
             yield batch.filter(pa.array(keep))
-        last_key, last_id = key[-1], ident[-1]
-        last_out = bool(keep[-1] or again[-1])  # what it repeats is out
+        last = key[-1]
+        held = None if keep[-1] else pa.RecordBatch.from_arrays(
+            [x.slice(len(key) - 1).take(pa.array([0])) for x in batch.columns], schema=batch.schema)
+
+
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a long, the first column) other rows have too: one shuffle on the
+    key, then a streamed pass over each sorted partition. A key's rows are never held."""
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(_repeats, df.schema)
 
 
 def shared_keys(df: DataFrame, key: str, ident: str) -> DataFrame:
-    """(key, ident) without the keys of a single ident: one shuffle on the key and a
-    streamed pass over the sorted rows. A few rows of single keys may stay (a repeated row
-    whose neighbours are in another batch); ``groups`` removes them exactly."""
+    """(key, id) without the keys that have one row; ``groups`` drops those of one id."""
     pairs = df.select(F.col(key).cast("long").alias("key"), F.col(ident).cast("long").alias("id")) \
         .where("key is not null and id is not null")
-    return pairs.repartition("key").sortWithinPartitions("key", "id") \
-        .mapInArrow(_shared_runs, "key long, id long")
+    return repeated_keys(pairs, "key")
 
 
 def groups(members: DataFrame) -> DataFrame:
@@ -79,7 +77,6 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     without a link have no row."""
     edges = landed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .where("u <> v").distinct(), "cc")
-    before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -89,51 +86,141 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
             .union(low).distinct()
         edges = landed(small, "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when every id points at one root and no root points on
+        ends = edges.selectExpr("u as x", "1 as up", "0 as down").union(edges.selectExpr("v", "0", "1"))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")) \
+                .where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
-        before = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")) \
         .union(edges.select("v", "v")).distinct()
 
 
-def linked_components(spark: SparkSession, grouped: DataFrame,
-                      verify: Callable[[DataFrame], DataFrame], reach: float) -> DataFrame:
-    """(id, comp) under all verified links between ids that share a key.
-
-    ``grouped`` (key, id, head) comes from ``groups`` and is stored. ``verify`` takes pairs
-    (a, b) and returns (a, b, dist): the exact distance, a metric, of the pairs that can
-    reach the threshold at all by size; others may be left out. Ids link when dist is at
-    most ``reach``.
-
-    First each member is compared with its key's head. A pair of members that is still in
-    two components is then compared too, unless the distances to their common head differ
-    by more than ``reach`` (triangle inequality: such a pair can't link) or one of them was
-    left out against the head. So no link is lost, and a group of near copies costs about
-    its size."""
-    eps = 1e-9
+def similarities(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets (id, grams) have a Jaccard similarity of num / den or more."""
+    b = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    a = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
+    na, nb = F.size("ga"), F.size("gb")
+    return pairs.join(b, "b").join(a, "a") \
+        .where(F.greatest(na, nb).cast("long") * num <= F.least(na, nb).cast("long") * den) \
+        .select("a", "b", (na + nb).cast("long").alias("total"),
+                F.size(F.array_intersect("ga", "gb")).cast("long").alias("common")) \
+        .where(F.col("common") * (den + num) >= F.col("total") * num).select("a", "b")
+
+
+def _fingerprints(grams: list[np.ndarray], bits: int) -> np.ndarray:
+    """One byte for each of 2**bits blocks of a sorted set's hashes (52 bits or less)."""
+    out = np.zeros((len(grams), 1 << bits), np.uint8)
+    for i, g in enumerate(grams):
+        if len(g):
+            g = mix(g.view(U64))
+            block = np.sort((g >> U64(64 - bits)) << U64(8) | ((g & U64(0xFF)) | U64(1)))
+            at = (block >> U64(8)).astype(np.int64)
+            begin = runs(at)
+            out[i, at[begin]] = np.add.reduceat(block & U64(0xFF), begin).astype(np.uint8)
+    return out
+
+
+def block_links(comp: np.ndarray, out: np.ndarray, left: np.ndarray, right: np.ndarray, grams: list[np.ndarray],
+                num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join components among the rows of one block of the product.
+
+    ``left`` and ``right`` mark the rows to be multiplied; at least one of a pair is ``out``.
+    The sets are cut into many narrow blocks: sets that link differ in at most as many blocks
+    as in elements. Pairs below that bound, of the wrong sizes or already in one component
+    are discarded; the overlap of the others is counted in full."""
+    size = np.array([len(g) for g in grams], np.int64)
+    bits = int(np.clip(np.ceil(np.log2(max(2, size.max()))) , 6, 12))
+    marks = _fingerprints(grams, bits)
+    label = np.unique(comp, return_inverse=True)[1]
+    cols = np.flatnonzero(right)
+    links = []
+    for i in np.flatnonzero(left):
+        j = cols[(label[cols] != label[i]) & (out[i] | out[cols])]
+        j = j[(np.maximum(size[i], size[j]) * num <= np.minimum(size[i], size[j]) * den)]
+        if not len(j):
+            continue
+        apart = ((size[i] + size[j]) * (den - num)) // (den + num)
+        j = j[(marks[j] != marks[i]).sum(axis=1) <= apart]
+        for k in j.tolist():
+            if label[k] == label[i]:
+                continue
+            common = len(np.intersect1d(grams[i], grams[k], assume_unique=True))
+            if common * (den + num) >= (size[i] + size[k]) * num:
+                links.append((int(i), k))
+                label[label == label[k]] = label[i]
+    return links
+
+
+def _products(num: int, den: int):
+    """(a, b) of rows sorted by block pair (key, p, q): key, p, q, id, comp, out, side, grams."""
+    def product(rows: pa.Table) -> pa.RecordBatch:
+        comp, out, side = (np.asarray(rows.column(x)) for x in ("comp", "out", "side"))
+        ids = np.asarray(rows.column("id"))
+        flat = rows.column("grams").combine_chunks()
+        offsets, values = np.asarray(flat.offsets), np.asarray(flat.values)
+        grams = [values[offsets[i]:offsets[i + 1]] for i in range(len(ids))]
+        links = block_links(comp, out, (side & 1) > 0, (side & 2) > 0, grams, num, den)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(ids[i]) for i, _ in links], pa.int64()), pa.array([int(ids[j]) for _, j in links], pa.int64())],
+            names=["a", "b"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [np.asarray(batch.column(x)) for x in ("key", "p", "q")]
+            begin = runs(*keys)
+            for a, b in zip(begin, np.append(begin[1:], batch.num_rows)):
+                now = tuple(int(k[a]) for k in keys)
+                if held and now != name:
+                    yield product(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                name = now
+        if held:
+            yield product(pa.Table.from_batches(held))
+    return task
+
+
+def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame, num: int, den: int,
+                      rows: int = 1024, elements: int = 1 << 20) -> DataFrame:
+    """(id, comp) under all links between ids that share a key: the Jaccard similarity of
+    their sets (id, grams: distinct longs) is num / den or more.
+
+    ``grouped`` (key, id, head) comes from ``groups``; it and ``sets`` are stored. First each
+    member is compared with its key's head. In keys whose members are then in several
+    components, the members outside the head's component are multiplied with all members,
+    in blocks of about ``rows`` rows or ``elements`` set elements, so that a task holds two
+    blocks at most; a block's product returns only links that join components. So no link
+    between components is lost, and what is written grows with the members, not the pairs."""
     star = grouped.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    near = landed(verify(star), "star")
-    comp = landed(components(spark, near.where(F.col("dist") <= reach)), "comp")
-    own = grouped.join(comp, "id", "left").select(
-        "key", "id", "head", F.coalesce("comp", "id").alias("comp"))
+    near = landed(similarities(star, sets, num, den), "star")
+    comp = landed(components(spark, near), "comp")
+    own = grouped.join(comp, "id", "left").select("key", "id", "head", F.coalesce("comp", "id").alias("comp"))
     split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi") \
         .select("key")
-    rest = own.join(split, "key", "left_semi")
-    head_comp = comp.select(F.col("id").alias("head"), F.col("comp").alias("head_comp"))
-    rest = rest.join(near.select(F.col("a").alias("head"), F.col("b").alias("id"), "dist"), ["head", "id"], "left") \
-        .join(head_comp, "head", "left") \
-        .withColumn("head_comp", F.coalesce("head_comp", "head")) \
-        .where("id <> head")
-    rest = landed(rest, "rest")
-    x = rest.where("comp <> head_comp").select(
-        "key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("dist").alias("da"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("dist").alias("db"), "head_comp")
-    pairs = x.join(y, "key").where(
-        (F.col("ca") != F.col("cb"))
-        & ((F.col("cb") == F.col("head_comp")) | (F.col("a") < F.col("b")))
-        # a distance that was left out says nothing: the pair is compared
-        & (F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= reach + eps)))
-    more = verify(pairs.select("a", "b").distinct()).where(F.col("dist") <= reach)
-    links = near.where(F.col("dist") <= reach).select("a", "b").union(more.select("a", "b"))
-    return components(spark, links)
+    head = comp.select(F.col("id").alias("head"), F.col("comp").alias("head_comp"))
+    rest = landed(own.join(split, "key", "left_semi").join(head, "head", "left")
+                  .withColumn("out", F.col("comp") != F.coalesce("head_comp", "head"))
+                  .join(sets.select("id", F.size("grams").alias("n")), "id")
+                  .select("key", "id", "comp", "out", "n"), "rest")
+    blocks = lambda n, m: F.ceil(F.greatest(n / rows, m / elements, F.lit(1))).cast("int")
+    plan = rest.groupBy("key").agg(
+        blocks(F.sum(F.col("out").cast("long")), F.sum(F.when(F.col("out"), F.col("n")))).alias("np"),
+        blocks(F.count("*"), F.sum("n")).alias("nq"))
+    placed = rest.join(plan, "key").withColumn("h", F.xxhash64("id"))
+    p, q = F.pmod("h", "np").cast("int"), F.pmod("h", "nq").cast("int")
+    as_left = placed.where("out").select("key", "id", "comp", "out", p.alias("p"), F.lit(1).alias("side"),
+                                         F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
+    as_right = placed.select("key", "id", "comp", "out", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"),
+                             F.lit(2).alias("side"), q.alias("q"))
+    cells = as_left.unionByName(as_right).groupBy("key", "p", "q", "id", "comp", "out") \
+        .agg(F.sum("side").cast("int").alias("side")).join(sets, "id")
+    more = cells.select("key", "p", "q", "id", "comp", "out", "side", "grams") \
+        .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id") \
+        .mapInArrow(_products(num, den), "a long, b long")
+    more = landed(more.distinct(), "more")
+    if more.isEmpty():
+        return comp
+    return components(spark, near.union(more))

@@ -6,7 +6,8 @@ into blocks by their hash. Two documents of sizes x and y reach similarity g onl
 one block's columns must be the same in both. So only rows (documents) that agree on a whole
 block meet, and all other cells of the product lie below the bound that follows from the
 sizes and are discarded without being computed. For pairs that meet, the overlap is
-accumulated over all blocks (the exact intersection) and held against the threshold.
+accumulated over all blocks (the exact intersection) and held against the threshold. In a
+row block of near copies the product is taken cell block by cell block (see ``linking``).
 
 The number of blocks depends on the size: sizes are cut into intervals, and a document is
 also blocked as a member of the next interval if a partner there can be near enough.
@@ -162,18 +163,6 @@ def _sets(n: int):
     return task
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, dist) of the pairs that the sizes allow: one minus the exact Jaccard similarity."""
-    b = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    a = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    both = pairs.join(b, "b").join(a, "a")
-    na, nb = F.size("ga"), F.size("gb")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(F.greatest(na, nb) * num <= F.least(na, nb) * den) \
-        .select("a", "b", (na + nb).alias("total"), common.alias("common")) \
-        .select("a", "b", (1.0 - F.col("common") / (F.col("total") - F.col("common"))).alias("dist"))
-
-
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
                      num: int = 90, den: int = 100) -> DataFrame:
     """id_col, n_shingles, component_id for each row: documents link when their sets of word
@@ -193,8 +182,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = grouped.select("id").distinct()
     sets = linking.landed(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
                           .mapInArrow(_sets(n), "id long, grams array<long>"), "sets")
-    reach = (den - num) / den
-    comp = linking.linked_components(spark, grouped, lambda p: overlaps(p, sets, num, den), reach + 1e-12)
+    comp = linking.linked_components(spark, grouped, sets, num, den)
     of_class = classes.join(comp, classes["rep"] == comp["id"], "left") \
         .select("k1", "k2", "size", F.coalesce("comp", "rep").alias("comp"))
     return incidence.select("id", "size", "k1", "k2").join(of_class, ["k1", "k2", "size"], "left") \
