@@ -7,6 +7,7 @@ and only members that are still in different components are compared with each o
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +21,20 @@ from .textarrays import U64, mix, runs
 
 def landed(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: cuts the lineage for good."""
-    path = scratch_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark removes a finished query's shuffle files once the driver's JVM has collected the
+    # plan; without a nudge they stay on the executors' disks until the job ends.
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of their first column, those whose neighbour has the same value.
-    What is held between batches is one row."""
+    """Of rows in order of their first column, those whose neighbour has the same value, and
+    those with a value in the column ``more``. What is held between batches is one row."""
     held = None  # the last row of the batch before, if it isn't out yet
     last = None
     for batch in batches:
@@ -39,6 +46,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[0] = last is not None and key[0] == last
         keep = same.copy()
         keep[:-1] |= same[1:]
+        if "more" in batch.schema.names:
+            keep |= np.asarray(batch.column("more").is_valid())
         if same[0] and held is not None:
             yield held
         if keep.any():
@@ -50,7 +59,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """The rows whose key (a long, the first column) other rows have too: one shuffle on the
-    key, then a streamed pass over each sorted partition. A key's rows are never held."""
+    key, then a streamed pass over each sorted partition. A key's rows are never held. Rows
+    with a value in a column named ``more`` are kept in any case."""
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(_repeats, df.schema)
 
 

@@ -18,8 +18,8 @@ sorting with a difference cover, cut at ``length`` bytes, where only equality ma
   edges) are the remaining suffixes: each is named by its ``length`` bytes, sorted, and
   compared with its neighbours; all but the first of a name are repeats.
 
-Sorting streams over partitions; a group of equal names is never held in memory, and firsts
-are aggregates. Names are 64-bit hashes. Rules: a null or empty text has no bytes; a text
+Equal names within a text are one row before anything is shuffled. Sorting streams over
+partitions; a group of equal names is never held in memory, and firsts are aggregates. Names are 64-bit hashes. Rules: a null or empty text has no bytes; a text
 shorter than ``length`` loses none. Rows with a null id are neither compared nor changed.
 Places in rows that share an id are compared as in one document; a repeated row is not
 earlier than itself. Other columns are ignored. Strings are judged on the input.
@@ -43,7 +43,10 @@ GRAM = 28
 #: A perfect difference set modulo 73: each residue but 0 is a difference of just one pair.
 DIFFERENCES = (1, 2, 4, 8, 16, 32, 37, 55, 64)
 MODULUS = 73
-SAMPLE = "key long, name long, id long, place int, lo int, hi int"
+SPANS = "array<struct<lo:int,end:int>>"
+SAMPLE = f"key long, name long, id long, place int, lo int, hi int, more {SPANS}"
+WINDOW = f"key long, id long, place int, more {SPANS}"
+SPAN_TYPE = pa.list_(pa.struct([("lo", pa.int32()), ("end", pa.int32())]))
 
 
 def _least_in_windows(g: np.ndarray, width: int) -> np.ndarray:
@@ -98,6 +101,20 @@ def sampled(c: Chunk, length: int, cover: str) -> tuple[np.ndarray, ...]:
     return row, place, lo, hi, short, long
 
 
+def first_of_each(lo: np.ndarray, end: np.ndarray, *names: np.ndarray) -> tuple[np.ndarray, list]:
+    """Of rows in order of place, the first of each combination of ``names``, and for each
+    of these the runs (lo, end) that its repeats cover together, None without repeats. So a
+    string that a text repeats many times is one row."""
+    order = np.lexsort(names[::-1])  # stable: places stay in order
+    begin = runs(*(x[order] for x in names))
+    stop = np.append(begin[1:], len(order))
+    more: list = [None] * len(begin)
+    for i in np.flatnonzero(stop - begin > 1).tolist():
+        again = order[begin[i] + 1:stop[i]]
+        more[i] = [{"lo": a, "end": b} for a, b in zip(*(x.tolist() for x in covered(lo[again], end[again])))]
+    return order[begin], more
+
+
 def _samples(length: int, cover: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +122,18 @@ def _samples(length: int, cover: str):
             for c in chunks(batch.column(1)):
                 row, place, lo, hi, short, long = sampled(c, length, cover)
                 base = c.bounds[row]
+                place, lo, hi = place - base, lo - base, hi - base
+                keep, more = first_of_each(lo, hi + length, row, short, long)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(short.view(np.int64)), pa.array(long.view(np.int64)), pa.array(ids[c.start + row]),
-                     *(pa.array((x - base).astype(np.int32)) for x in (place, lo, hi))],
-                    names=["key", "name", "id", "place", "lo", "hi"])
+                    [pa.array(short[keep].view(np.int64)), pa.array(long[keep].view(np.int64)),
+                     pa.array(ids[c.start + row[keep]]),
+                     *(pa.array(x[keep].astype(np.int32)) for x in (place, lo, hi)), pa.array(more, SPAN_TYPE)],
+                    names=["key", "name", "id", "place", "lo", "hi", "more"])
     return task
 
 
 def _windows(length: int):
-    """(key, id, place) of the windows that start in the spans of packed texts."""
+    """(key, id, place, more) of the windows that start in the spans of packed texts."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -131,9 +151,11 @@ def _windows(length: int):
                         np.add.at(step, hi + 1, -1)
                         start = np.flatnonzero(np.cumsum(step)[:n] > 0)
                         h = c.span_hash(prefix, base + start, base + start + length)
+                        keep, more = first_of_each(start, start + length, h)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(h.view(np.int64)), pa.array(np.full(len(h), ids[at + c.start + r])),
-                             pa.array(start.astype(np.int32))], names=["key", "id", "place"])
+                            [pa.array(h[keep].view(np.int64)), pa.array(np.full(len(keep), ids[at + c.start + r])),
+                             pa.array(start[keep].astype(np.int32)), pa.array(more, SPAN_TYPE)],
+                            names=["key", "id", "place", "more"])
     return task
 
 
@@ -167,26 +189,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(texts: DataFrame, length: int, cover: str) -> tuple[DataFrame, DataFrame]:
     """(spans, stored): spans (id, lo, end) that cover all bytes to remove, and (id, packed),
     the texts that have any."""
-    samples = texts.mapInArrow(_samples(length, cover), SAMPLE)
-    shared = linking.landed(linking.repeated_keys(samples, "key"), "shared")
+    shared = linking.landed(linking.repeated_keys(texts.mapInArrow(_samples(length, cover), SAMPLE), "key"), "shared")
+    inside = shared.select("id", F.inline("more"))  # repeats within a text
     at = F.struct("id", "place")
     first = shared.groupBy("key", "name").agg(F.min(F.struct("id", "place", "lo", "hi")).alias("first"))
     first = linking.landed(first, "first")
     repeats = shared.join(first, ["key", "name"]) \
         .where(at != F.struct("first.id", "first.place")) \
-        .select("id", "lo", (F.col("hi") + length).alias("end"))
+        .select("id", "lo", (F.col("hi") + length).alias("end")).union(inside)
     several = first.groupBy("key").agg(F.count("*").alias("names")).where("names > 1").select("key")
     edges = first.join(several, "key", "left_semi").select("first.id", "first.lo", "first.hi")
     edges = linking.landed(edges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "edges")
     repeats = linking.landed(repeats, "repeats")
     touched = edges.select("id").union(repeats.select("id")).distinct()
     stored = linking.landed(packed(texts).join(touched, "id", "left_semi"), "touched")
-    windows = stored.join(edges, "id").mapInArrow(_windows(length), "key long, id long, place int")
-    same = linking.landed(linking.repeated_keys(windows, "key"), "windows")
+    same = linking.landed(linking.repeated_keys(
+        stored.join(edges, "id").mapInArrow(_windows(length), WINDOW), "key"), "windows")
+    inside = same.select("id", F.inline("more"))
     earliest = same.groupBy("key").agg(F.min(at).alias("first"))
     more = same.join(earliest, "key").where(at != F.col("first")) \
         .select("id", F.col("place").alias("lo"), (F.col("place") + length).alias("end"))
-    return repeats.union(more), stored
+    return repeats.union(more).union(inside), stored
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
