@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, ngram_join, substring_dedup, toxicity
+from . import (bpe, compression, decontamination, license_scan, line_dedup, ngram_join, quality_rules, secret_scan,
+               substring_dedup, toxicity)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -15,12 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines",
                        F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -33,6 +46,10 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labelled(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -42,7 +59,71 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_fuzzy_line_dedup, op5_bpe_pair_index, op6_noisy_channel_toxicity, op7_latent_decontamination,
-    op9_ngram_jaccard_join, op10_suffix_dedup)}
-#: None of these has a DuckDB form that ends on whole tables; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+    op1_distribution_quality, op2_fuzzy_line_dedup, op3_secret_ownership, op4_compression_quality, op5_bpe_pair_index,
+    op6_noisy_channel_toxicity, op7_latent_decontamination, op8_license_set_join, op9_ngram_jaccard_join,
+    op10_suffix_dedup)}
+
+#: A-Z lower-cased, as the contracts want it.
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NGRAM_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) r USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"({i}, '{label}', '{text.lower()}')"
+                          for i, (label, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH phrase(p, label, n) AS (VALUES {phrases}),
+template(t, label, body) AS (VALUES {templates}),
+own AS (SELECT t, label, list_distinct(regexp_extract_all(body, '{word}')) AS own FROM template),
+d AS (SELECT doc_id, coalesce({LOWER}, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS w FROM d),
+places AS (
+  SELECT doc_id, label, i - 1 AS place
+  FROM w, phrase, unnest(range(1, len(w) - n + 2)) AS u(i)
+  WHERE array_to_string(w[i:i + n - 1], ' ') = p
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+    list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '{word}')) AS block FROM d
+), blocks AS (
+  SELECT doc_id, label, len(list_intersect(own, block)) / len(own) AS share FROM lines, own
+  WHERE len(list_intersect(own, block)) >= 0.9 * len(own) - 1e-9
+), found AS (
+  SELECT doc_id, count(*) AS n_blocks, max(share) AS best, list_distinct(list(label)) AS labels
+  FROM blocks GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',')
+    AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score,
+  coalesce(n_blocks, 0) AS n_blocks
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+#: The others have no DuckDB form that ends on whole tables; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op8_license_set_join": _license_sql(), "op9_ngram_jaccard_join": NGRAM_SQL}
