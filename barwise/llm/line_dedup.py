@@ -76,7 +76,7 @@ def band_keys(both: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
             break
         near = np.roll(least, -step, axis=1)
         need &= near != _NONE
-        full[need] = mix(near[need] + U64(step) * U64(0x9E3779B97F4A7C15))
+        full[need] = mix(near[need] + U64(step * 0x9E3779B97F4A7C15 % 2**64))
     keys = np.tile(mix(np.arange(1, bands + 1, dtype=U64)), (n, 1))
     for i in range(rows):
         keys = mix(keys * U64(0x9FB21C651E98DF25) + full[:, i::rows])
@@ -109,32 +109,41 @@ def _signed_lines(k: int, bands: int, rows: int, min_chars: int):
     return task
 
 
-def _wanted_sets(k: int, min_chars: int):
-    """(id, grams): the shingle sets of the wanted lines of packed texts."""
+def _wanted_lines(min_chars: int):
+    """(id, value, size): the trimmed, lower-cased wanted lines of packed texts."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(batch.schema.get_field_index("lines"))
             squeezed = batch.column(batch.schema.get_field_index("packed"))
             for at in range(0, batch.num_rows, 200):
-                texts = unpacked(squeezed.slice(at, 200))
                 asked = [set(x.as_py()) for x in wanted.slice(at, 200)]
-                for c in chunks(texts, lower=True):
-                    chars, row, number, first, end = _eligible(c, min_chars)
+                for c in chunks(unpacked(squeezed.slice(at, 200)), lower=True):
+                    _, row, number, first, end = _eligible(c, min_chars)
                     pick = np.array([n in asked[c.start + r] for r, n in zip(row.tolist(), number.tolist())], bool)
                     if not pick.any():
                         continue
-                    prefix, first, end = c.prefix_hash(), first[pick], end[pick]
-                    line = c.span_hash(prefix, first, end).view(np.int64)
-                    for a in range(0, len(line), _BLOCK):
-                        both = shingles(c, prefix, chars, first[a:a + _BLOCK], end[a:a + _BLOCK], k)
-                        n = len(line[a:a + _BLOCK])
-                        counts = np.bincount((both >> U64(_BITS)).astype(np.int64), minlength=n)
-                        grams = (both & U64((1 << _BITS) - 1)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(line[a:a + _BLOCK]), lists(grams, counts, pa.int64())], names=["id", "grams"])
+                    first, end, raw = first[pick], end[pick], c.data.tobytes()
+                    line = c.span_hash(c.prefix_hash(), first, end).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(line), pa.array([raw[a:b].decode() for a, b in zip(first, end)], pa.string()),
+                         pa.array((end - first).astype(np.int32))], names=["id", "value", "size"])
     return task
 
 
+def shingle_sets(k: int):
+    """Lines to their sorted distinct shingle hashes."""
+    def expand(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        for c in chunks(column, rows=_BLOCK):
+            chars = np.append(np.flatnonzero((c.data & 0xC0) != 0x80), len(c.data))
+            both = shingles(c, c.prefix_hash(), chars, c.bounds[:-1], c.bounds[1:], k)
+            stop = np.searchsorted(both >> U64(_BITS), np.arange(len(c)), "right")
+            low = both & U64((1 << _BITS) - 1)
+            out += [low[a:b] for a, b in zip(np.concatenate([[0], stop[:-1]]), stop)]
+        return out
+    return expand
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8,
                   bands: int = 9, rows: int = 4, similarity: float = 0.8, min_chars: int = 20) -> DataFrame:
     """(id, removed): the sorted numbers (from 0) of the lines to remove, for each document
@@ -152,9 +161,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .groupBy("hash").agg(F.min(F.struct("id", "line")).alias("at")) \
         .groupBy("at.id").agg(F.collect_list("at.line").alias("lines"))
     sets = linking.landed(
-        packed(texts).join(wanted, "id").mapInArrow(_wanted_sets(k, min_chars), "id long, grams array<long>")
+        packed(texts).join(wanted, "id").mapInArrow(_wanted_lines(min_chars), "id long, value string, size int")
         .dropDuplicates(["id"]), "sets")
-    comp = linking.linked_components(spark, grouped, sets, round(similarity * 1000), 1000)
+    comp = linking.linked_components(spark, grouped, sets, shingle_sets(k), round(similarity * 1000), 1000)
     placed = signed.select("id", "line", "hash").join(comp.withColumnRenamed("id", "hash"), "hash", "left") \
         .select("id", "line", F.coalesce("comp", "hash").alias("comp"))
     first = placed.groupBy("comp").agg(F.min(F.struct("id", "line")).alias("first"),

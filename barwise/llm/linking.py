@@ -8,7 +8,7 @@ and only members that are still in different components are compared with each o
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,10 @@ from ..session import scratch_path
 from .textarrays import U64, mix, runs
 
 
+#: A column of values to each row's sorted distinct 64-bit hashes.
+Expand = Callable[[pa.Array], list[np.ndarray]]
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: cuts the lineage for good."""
     spark, schema = df.sparkSession, df.schema
@@ -64,11 +68,32 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(_repeats, df.schema)
 
 
+def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id) in order, one of each."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ident = (np.asarray(x) for x in batch.columns)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+        new[0] = last != (key[0], ident[0])
+        last = (key[-1], ident[-1])
+        if new.any():
+            yield batch.filter(pa.array(new))
+
+
+def _shared_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _repeats(_distinct_pairs(batches))
+
+
 def shared_keys(df: DataFrame, key: str, ident: str) -> DataFrame:
-    """(key, id) without the keys that have one row; ``groups`` drops those of one id."""
+    """Distinct (key, id) of the keys that two ids or more have: one shuffle on the key, then
+    a streamed pass over each sorted partition. A key's rows are never held."""
     pairs = df.select(F.col(key).cast("long").alias("key"), F.col(ident).cast("long").alias("id")) \
         .where("key is not null and id is not null")
-    return repeated_keys(pairs, "key")
+    return pairs.repartition("key").sortWithinPartitions("key", "id") \
+        .mapInArrow(_shared_pairs, "key long, id long")
 
 
 def groups(members: DataFrame) -> DataFrame:
@@ -105,16 +130,24 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         .union(edges.select("v", "v")).distinct()
 
 
-def similarities(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets (id, grams) have a Jaccard similarity of num / den or more."""
-    b = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    a = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    na, nb = F.size("ga"), F.size("gb")
-    return pairs.join(b, "b").join(a, "a") \
-        .where(F.greatest(na, nb).cast("long") * num <= F.least(na, nb).cast("long") * den) \
-        .select("a", "b", (na + nb).cast("long").alias("total"),
-                F.size(F.array_intersect("ga", "gb")).cast("long").alias("common")) \
-        .where(F.col("common") * (den + num) >= F.col("total") * num).select("a", "b")
+def similarities(pairs: DataFrame, sets: DataFrame, expand: Expand, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of num / den or more."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                left, right = (expand(part.column(part.schema.get_field_index(x))) for x in ("va", "vb"))
+                keep = np.zeros(part.num_rows, bool)
+                for i, (x, y) in enumerate(zip(left, right)):
+                    if max(len(x), len(y)) * num <= min(len(x), len(y)) * den:
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        keep[i] = common * (den + num) >= (len(x) + len(y)) * num
+                if keep.any():
+                    yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    b = sets.select(F.col("id").alias("b"), F.col("value").alias("vb"))
+    a = sets.select(F.col("id").alias("a"), F.col("value").alias("va"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "va", "vb").mapInArrow(task, "a long, b long")
 
 
 def _fingerprints(grams: list[np.ndarray], bits: int) -> np.ndarray:
@@ -123,7 +156,7 @@ def _fingerprints(grams: list[np.ndarray], bits: int) -> np.ndarray:
     for i, g in enumerate(grams):
         if len(g):
             g = mix(g.view(U64))
-            block = np.sort((g >> U64(64 - bits)) << U64(8) | ((g & U64(0xFF)) | U64(1)))
+            block = np.sort(((g >> U64(64 - bits)) << U64(8)) | (g & U64(0xFF)) | U64(1))
             at = (block >> U64(8)).astype(np.int64)
             begin = runs(at)
             out[i, at[begin]] = np.add.reduceat(block & U64(0xFF), begin).astype(np.uint8)
@@ -161,14 +194,12 @@ def block_links(comp: np.ndarray, out: np.ndarray, left: np.ndarray, right: np.n
     return links
 
 
-def _products(num: int, den: int):
-    """(a, b) of rows sorted by block pair (key, p, q): key, p, q, id, comp, out, side, grams."""
+def _products(expand: Expand, num: int, den: int):
+    """(a, b) of rows sorted by block pair (key, p, q): key, p, q, id, comp, out, side, value."""
     def product(rows: pa.Table) -> pa.RecordBatch:
         comp, out, side = (np.asarray(rows.column(x)) for x in ("comp", "out", "side"))
         ids = np.asarray(rows.column("id"))
-        flat = rows.column("grams").combine_chunks()
-        offsets, values = np.asarray(flat.offsets), np.asarray(flat.values)
-        grams = [values[offsets[i]:offsets[i + 1]] for i in range(len(ids))]
+        grams = expand(rows.column("value").combine_chunks())
         links = block_links(comp, out, (side & 1) > 0, (side & 2) > 0, grams, num, den)
         return pa.RecordBatch.from_arrays(
             [pa.array([int(ids[i]) for i, _ in links], pa.int64()), pa.array([int(ids[j]) for _, j in links], pa.int64())],
@@ -193,10 +224,11 @@ def _products(num: int, den: int):
     return task
 
 
-def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame, num: int, den: int,
-                      rows: int = 1024, elements: int = 1 << 20) -> DataFrame:
+def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame, expand: Expand, num: int,
+                      den: int, rows: int = 1024, elements: int = 1 << 20) -> DataFrame:
     """(id, comp) under all links between ids that share a key: the Jaccard similarity of
-    their sets (id, grams: distinct longs) is num / den or more.
+    their sets is num / den or more. ``sets`` (id, value, size) has a compact value for each id,
+    which tasks ``expand`` to the sorted distinct hashes (64-bit), and about how many they are.
 
     ``grouped`` (key, id, head) comes from ``groups``; it and ``sets`` are stored. First each
     member is compared with its key's head. In keys whose members are then in several
@@ -205,7 +237,7 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
     blocks at most; a block's product returns only links that join components. So no link
     between components is lost, and what is written grows with the members, not the pairs."""
     star = grouped.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    near = landed(similarities(star, sets, num, den), "star")
+    near = landed(similarities(star, sets, expand, num, den), "star")
     comp = landed(components(spark, near), "comp")
     own = grouped.join(comp, "id", "left").select("key", "id", "head", F.coalesce("comp", "id").alias("comp"))
     split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi") \
@@ -213,7 +245,7 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
     head = comp.select(F.col("id").alias("head"), F.col("comp").alias("head_comp"))
     rest = landed(own.join(split, "key", "left_semi").join(head, "head", "left")
                   .withColumn("out", F.col("comp") != F.coalesce("head_comp", "head"))
-                  .join(sets.select("id", F.size("grams").alias("n")), "id")
+                  .join(sets.select("id", F.col("size").alias("n")), "id")
                   .select("key", "id", "comp", "out", "n"), "rest")
     blocks = lambda n, m: F.ceil(F.greatest(n / rows, m / elements, F.lit(1))).cast("int")
     plan = rest.groupBy("key").agg(
@@ -227,9 +259,9 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
                              F.lit(2).alias("side"), q.alias("q"))
     cells = as_left.unionByName(as_right).groupBy("key", "p", "q", "id", "comp", "out") \
         .agg(F.sum("side").cast("int").alias("side")).join(sets, "id")
-    more = cells.select("key", "p", "q", "id", "comp", "out", "side", "grams") \
+    more = cells.select("key", "p", "q", "id", "comp", "out", "side", "value") \
         .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id") \
-        .mapInArrow(_products(num, den), "a long, b long")
+        .mapInArrow(_products(expand, num, den), "a long, b long")
     more = landed(more.distinct(), "more")
     if more.isEmpty():
         return comp

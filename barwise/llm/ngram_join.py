@@ -159,10 +159,16 @@ def _sets(n: int):
                 counts = np.bincount(row, minlength=len(c))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.start, len(c)).cast(pa.int64()),
-                     lists(bits.view(np.int64), counts, pa.int64())], names=["id", "grams"])
+                     lists(bits.view(np.int64), counts, pa.int64()), pa.array(counts, pa.int32())],
+                    names=["id", "value", "size"])
     return task
 
 
+def set_values(column: pa.Array) -> list[np.ndarray]:
+    offsets, values = np.asarray(column.offsets), np.asarray(column.values)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
                      num: int = 90, den: int = 100) -> DataFrame:
     """id_col, n_shingles, component_id for each row: documents link when their sets of word
@@ -181,8 +187,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = linking.landed(linking.groups(members).select("key", "id", "head"), "groups")
     wanted = grouped.select("id").distinct()
     sets = linking.landed(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-                          .mapInArrow(_sets(n), "id long, grams array<long>"), "sets")
-    comp = linking.linked_components(spark, grouped, sets, num, den)
+                          .mapInArrow(_sets(n), "id long, value array<long>, size int"), "sets")
+    comp = linking.linked_components(spark, grouped, sets, set_values, num, den)
     of_class = classes.join(comp, classes["rep"] == comp["id"], "left") \
         .select("k1", "k2", "size", F.coalesce("comp", "rep").alias("comp"))
     return incidence.select("id", "size", "k1", "k2").join(of_class, ["k1", "k2", "size"], "left") \
