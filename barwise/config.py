@@ -37,7 +37,6 @@ class Params:
     gap_threshold_minutes: int = 25
     stale_hours: float = 24.0
     gap_report_limit: int = 20
-    gap_event_limit: int = 10
     no_stop_level: float = 0.0
     no_take_level: float = 999999.0
     # ---- parity switches (generation 2 is the default contract) ----
@@ -45,8 +44,8 @@ class Params:
     warmup: str = "gated"
     # first row (1-based) that gets a Vortex value: 16 in generation 2, 15 in generation 1.
     vortex_min_rows: int = 16
-    # rows of history a stream keeps per ticker: max(50, 15, 15) + 5.
-    tail_cap: int = 55
+    # rows of history a stream keeps per ticker; None: as many as the windows need, and 5.
+    tail_cap: int | None = None
     # only let the portfolio fold act on a signal not yet in the trade log (off = parity).
     gate_on_new_signal: bool = False
     # ---- execution ----
@@ -74,6 +73,14 @@ class Params:
         """Longest look-back any indicator needs, in rows (current row included)."""
         return max(self.sma_long, self.rsi_period + 1, self.vortex_period + 1)
 
+    @property
+    def state_rows(self) -> int:
+        """Rows of history a stream keeps per ticker; never fewer than the windows need."""
+        rows = self.history_rows + 5 if self.tail_cap is None else self.tail_cap
+        if rows < self.history_rows:
+            raise ValueError(f"tail_cap must be >= {self.history_rows}, the longest window")
+        return rows
+
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 

@@ -1,12 +1,10 @@
 """Broadcast only what has a proven size bound.
 
-``small_side`` leaves the decision to Adaptive Query Execution: after the shuffle map
-stage AQE knows the real byte size of each join side and turns a sort-merge join into a
-broadcast hash join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``. Sides
-whose row count grows with the data (per-ticker maxima, latest rows) go through it.
-
-``bounded_broadcast`` adds an explicit hint, and only when the caller passes a static
-row bound (e.g. a literal dimension table) whose size fits under the threshold.
+Sides whose row count grows with the data (per-ticker maxima, latest rows) get no hint:
+after the shuffle map stage Adaptive Query Execution knows the real byte size of each join
+side and turns a sort-merge join into a broadcast hash join only below
+``spark.sql.adaptive.autoBroadcastJoinThreshold``. A dimension that is small by nature goes
+through ``checked_broadcast``, which counts it first.
 """
 
 from __future__ import annotations
@@ -14,15 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_THRESHOLD = 10 * 1024 * 1024
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    return df
-
 
-def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int = 256,
-                      threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    if max_rows * row_bytes <= threshold:
-        return F.broadcast(df)
-    return df
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows (at most one more is
+    counted), as it is otherwise."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -84,11 +84,13 @@ def last_rows(df: DataFrame, n: int, key: str = "ticker", order: str = "timestam
 
 
 def indicators_tail(bars: DataFrame, p: Params | None = None) -> DataFrame:
-    """IND-8, generation 1: keep the last ``tail_cap`` bars per ticker, restart the
-    row index inside that tail and compute with partial SMA warm-up."""
+    """IND-8, generation 1: each bar's indicators over the ``history_rows`` bars up to it,
+    with partial SMA warm-up. That generation keeps this many bars between batches and
+    counts rows inside them; no frame is longer and no gate asks for more rows, so the
+    values are those of frames over the whole ticker, for every bar."""
     from ..config import GEN1
     p = p or GEN1
-    return indicators(last_rows(bars, p.tail_cap), p)
+    return indicators_chunked(bars, p, p.chunk_rows)
 
 
 def with_rsi_zone(ind: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -113,23 +115,30 @@ def global_row_number(bars: DataFrame, day_col: str = "_day", bucket: str = "day
                              F.coalesce(F.sum("_cnt").over(wd), F.lit(0)).alias("_off"))
     win_day = Window.partitionBy("ticker", day_col).orderBy("timestamp")
     ranked = d.withColumn("_inday", F.row_number().over(win_day))
-    return (ranked.join(offsets, ["ticker", day_col])
+    # null tickers and times are groups like any other (their rows are ranked first)
+    o = offsets.select(F.col("ticker").alias("_t"), F.col(day_col).alias("_d"), "_off")
+    return (ranked.join(o, ranked["ticker"].eqNullSafe(o["_t"]) & ranked[day_col].eqNullSafe(o["_d"]))
             .withColumn("_gn", F.col("_off") + F.col("_inday"))
-            .drop("_off", "_inday", day_col))
+            .drop("_off", "_inday", day_col, "_t", "_d"))
 
 
 def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5000,
-                       keep: tuple[str, ...] = ()) -> DataFrame:
+                       keep: tuple[str, ...] = (), before: DataFrame | None = None) -> DataFrame:
     """Same values as ``indicators`` with each ticker split into chunks of
     ``chunk_rows`` rows. Each chunk also receives the last ``history_rows + 5`` rows of
     the previous chunk as a halo, so every rolling frame and lag is complete; warm-up
-    gates use the global row number, never the in-chunk one."""
+    gates use the global row number, never the in-chunk one. ``before`` (ticker, _before)
+    gives the number of older bars of a ticker that ``bars`` leaves out."""
     halo = p.history_rows + 5
     if chunk_rows < halo:
         raise ValueError(f"chunk_rows must be >= {halo}")
     base = ["ticker", "timestamp", "high", "low", "close"]
     b = global_row_number(bars.select(*base, *[c for c in keep if c not in base]),
                           bucket=p.order_bucket)
+    seen = F.col("_gn")
+    if before is not None:
+        b = b.join(before, "ticker", "left")
+        seen = seen + F.coalesce("_before", F.lit(0))
     chunk = F.floor((F.col("_gn") - 1) / chunk_rows).cast("long")
     pos = (F.col("_gn") - 1) % chunk_rows
     # each row goes to its own chunk, and the last ``halo`` rows of a chunk also to the
@@ -141,5 +150,26 @@ def indicators_chunked(bars: DataFrame, p: Params = DEFAULT, chunk_rows: int = 5
     both = b.select(*cols, F.inline(copies))
     part = ["ticker", "_chunk"]
     staged = _with_inputs(both, part, "_gn")
-    out = _rolling(staged, part, "_gn", F.col("_gn"), p)
+    out = _rolling(staged, part, "_gn", seen, p)
     return out.where(~F.col("_halo")).select(*OUT_COLS, *[c for c in keep if c not in OUT_COLS])
+
+
+def indicators_from(bars: DataFrame, touched: DataFrame, p: Params = DEFAULT,
+                    chunk_rows: int = 5000) -> DataFrame:
+    """The rows of ``indicators`` from each touched ticker's ``first_new`` time on.
+
+    Of older bars only the last ``history_rows`` of a ticker are read into the windows (a
+    ranked prefix, so Catalyst limits each group first); the warm-up gates add the number
+    of bars before them. ``touched``: (ticker, first_new), one row for each ticker."""
+    base = ["ticker", "timestamp", "high", "low", "close"]
+    t = bars.select(*base).join(touched.select("ticker", "first_new"), "ticker")
+    older = t.where(F.col("timestamp") < F.col("first_new"))
+    near = last_rows(older.select("ticker", "timestamp"), p.history_rows)
+    edge = near.groupBy("ticker").agg(F.min("timestamp").alias("_edge"), F.count(F.lit(1)).alias("_taken"))
+    counts = older.groupBy("ticker").agg(F.count(F.lit(1)).alias("_older"))
+    before = counts.join(edge, "ticker").select("ticker", "_edge", (F.col("_older") - F.col("_taken")).alias("_before"))
+    rows = t.join(before.select("ticker", "_edge"), "ticker", "left") \
+        .where(F.col("timestamp") >= F.coalesce("_edge", "first_new"))
+    out = indicators_chunked(rows.select(*base), p, chunk_rows, before=before.select("ticker", "_before"))
+    return out.join(touched.select("ticker", "first_new"), "ticker") \
+        .where(F.col("timestamp") >= F.col("first_new")).select(*OUT_COLS)

@@ -317,8 +317,10 @@ def step_frame(portfolio: DataFrame, bars: DataFrame, signals: DataFrame, log: D
     }
     j = j.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in closed.items()})
 
+    # only the snapshot's own keys matter: one row a ticker, so the whole log isn't de-duplicated
+    asked = j.where(F.col("s_ls").isNotNull()).select("ticker", "s_ls", "s_lt")
     keys = log.select("ticker", F.col("signal").alias("s_ls"), F.col("timestamp").alias("s_lt")) \
-              .dropDuplicates(["ticker", "s_ls", "s_lt"]).withColumn("_logged", F.lit(True))
+              .join(asked, ["ticker", "s_ls", "s_lt"], "left_semi").dropDuplicates(["ticker", "s_ls", "s_lt"]).withColumn("_logged", F.lit(True))
     j = j.join(keys, ["ticker", "s_ls", "s_lt"], "left")
     is_new = F.col("s_ls").isNotNull() & F.col("_logged").isNull()
     act = F.when(is_new, F.col("s_ls")) if p.gate_on_new_signal else F.col("s_ls")
@@ -349,6 +351,15 @@ def step_trade_rows(frame: DataFrame, as_of: Column, p: Params = DEFAULT) -> Dat
     return to_trade_log(rows, as_of)
 
 
+def step_new_trades(frame: DataFrame) -> DataFrame:
+    """POR-8 from the step frame: the rows of ``new_trades`` without another derivation."""
+    return frame.where("_is_new").select(
+        "ticker", F.col("s_cp").alias("current_price"), F.col("s_ls").alias("last_signal"),
+        F.col("s_score").alias("signal_score"), F.col("s_sp").alias("signal_price"),
+        F.col("s_stop").alias("stop_loss"), F.col("s_take").alias("take_profit"),
+        F.col("s_lt").alias("last_signal_time"))
+
+
 def portfolio_step(portfolio: DataFrame, bars: DataFrame, signals: DataFrame, log: DataFrame,
                    as_of: Column, p: Params = DEFAULT,
                    materialize: bool = False) -> tuple[DataFrame, DataFrame]:

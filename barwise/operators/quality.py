@@ -49,19 +49,34 @@ def low_bar_count(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     prof = bar_profile(bars).where(F.col("bar_count") < p.min_expected_bars)
     return prof.select(
         F.lit(MISSING_BARS).alias("event_type"), "ticker",
-        F.format_string(f"Only %d bars (expected >={p.min_expected_bars})", F.col("bar_count")).alias("message"),
+        F.format_string(f"%d bars stored, at least {p.min_expected_bars} wanted", F.col("bar_count")).alias("message"),
         F.col("bar_count").cast("int").alias("bar_count"))
 
 
+def previous_time(bars: DataFrame, bucket: str = "day") -> DataFrame:
+    """``prev_ts``: the time of the ticker's previous bar on the same date. In buckets below
+    a day the first bar of a bucket takes the last time of the nearest earlier bucket of
+    that date, found over one row for each (ticker, bucket)."""
+    b = bars.withColumn("_bk", F.date_trunc(bucket, "timestamp"))
+    inside = F.lag("timestamp").over(Window.partitionBy("ticker", "_bk").orderBy("timestamp"))
+    if bucket == "day":
+        return b.withColumn("prev_ts", inside).drop("_bk")
+    last = b.groupBy("ticker", "_bk").agg(F.max("timestamp").alias("_last"))
+    day = Window.partitionBy("ticker", F.to_date("_bk")).orderBy("_bk")
+    carry = last.select("ticker", "_bk", F.lag("_last").over(day).alias("_carry"))
+    return b.withColumn("_in", inside).join(carry, ["ticker", "_bk"]) \
+        .withColumn("prev_ts", F.coalesce("_in", "_carry")).drop("_bk", "_in", "_carry")
+
+
 def intraday_gaps(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """WIN-2 + DQ-2: consecutive bars of a ticker on the same calendar date more than
     ``gap_threshold_minutes`` apart (whole minutes, truncated).
 
-    Only same-date pairs count, so the lag is taken within (ticker, date): the same
-    result as a lag over the whole ticker, but a ticker's history is spread over one
-    window partition per day instead of one task."""
-    w = Window.partitionBy("ticker", F.to_date("timestamp")).orderBy("timestamp")
-    g = bars.select("ticker", "timestamp", F.lag("timestamp").over(w).alias("prev_ts"))
+    Only same-date pairs count, so the lag is taken within (ticker, time bucket of a day or
+    less): the same result as a lag over the whole ticker, but a ticker's history is spread
+    over its buckets instead of one task."""
+    prev = previous_time(bars.select("ticker", "timestamp"), p.order_bucket)
+    g = prev.select("ticker", "timestamp", "prev_ts")
     gap = F.timestamp_diff("MINUTE", F.col("prev_ts"), F.col("timestamp"))
     return (g.where(F.col("prev_ts").isNotNull())
             .select("ticker", "prev_ts", "timestamp", gap.alias("gap_minutes"))
@@ -78,9 +93,9 @@ def top_gaps(bars: DataFrame, p: Params = DEFAULT, limit: int | None = None) ->
 
 
 def gap_events(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The first ``gap_event_limit`` of the reported gaps become GAP_DETECTED events."""
-    g = top_gaps(bars, p, p.gap_event_limit)
-    msg = F.format_string("%dmin intraday gap: %s to %s", F.col("gap_minutes"),
+    """Every intraday gap becomes a GAP_DETECTED event (only the report is cut)."""
+    g = intraday_gaps(bars, p)
+    msg = F.format_string("%d minutes without a bar from %s to %s", F.col("gap_minutes"),
                           F.col("prev_ts").cast("string"), F.col("timestamp").cast("string"))
     return g.select(F.lit(GAP_DETECTED).alias("event_type"), "ticker", msg.alias("message"),
                     F.col("gap_minutes").cast("int").alias("bar_count"))
@@ -94,7 +109,7 @@ def freshness(bars: DataFrame, as_of: Column, p: Params = DEFAULT) -> DataFrame:
     shown = F.round(hours * 10) / 10
     return (latest.where(F.col("latest").isNotNull() & (hours > p.stale_hours))
             .select(F.lit(STALE_DATA).alias("event_type"), F.lit(ALL_TICKERS).alias("ticker"),
-                    F.format_string("Latest bar is %.1fh old. Last: %s", shown,
+                    F.format_string("newest bar is %.1f hours old (%s)", shown,
                                     F.col("latest").cast("string")).alias("message"),
                     F.lit(0).alias("bar_count")))
 
@@ -110,7 +125,7 @@ def duplicate_events(bars: DataFrame) -> DataFrame:
     d = duplicate_keys(bars).agg(F.count(F.lit(1)).alias("n"))
     return d.where(F.col("n") > 0).select(
         F.lit(DUPLICATE_DETECTED).alias("event_type"), F.lit(ALL_TICKERS).alias("ticker"),
-        F.format_string("%d duplicate rows in Bronze after MERGE (unexpected)", F.col("n")).alias("message"),
+        F.format_string("%d bar keys are stored more than once", F.col("n")).alias("message"),
         F.col("n").cast("int").alias("bar_count"))
 
 

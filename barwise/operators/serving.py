@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.broadcast import small_side
 from ..functions.numeric import round_half_up
 from .signals import annotation
 
@@ -78,10 +77,12 @@ def running_sum_by_time(df: DataFrame, value: str, ts: str = "timestamp",
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_b.select("_b", F.coalesce(F.sum("_b_sum").over(before), F.lit(0.0)).alias("_b_off"))
     inside = Window.partitionBy("_b").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    cum = (per_ts.withColumn("_in", F.sum("_ts_sum").over(inside))
-           .join(small_side(offsets), "_b")
-           .select(ts, (F.col("_b_off") + F.col("_in")).alias(out)))
-    return df.join(cum, ts)
+    o = offsets.select(F.col("_b").alias("_ob"), "_b_off")
+    staged = per_ts.withColumn("_in", F.sum("_ts_sum").over(inside))
+    # rows without a time are one tie, before all others, as in the plain window
+    cum = (staged.join(o, staged["_b"].eqNullSafe(o["_ob"]))
+           .select(F.col(ts).alias("_at"), (F.col("_b_off") + F.col("_in")).alias(out)))
+    return df.join(cum, df[ts].eqNullSafe(cum["_at"])).drop("_at")
 
 
 def equity_curve(log: DataFrame, bucket_unit: str = "day") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import DEFAULT, Params
 from ..functions import indicators as X
-from ..functions.broadcast import small_side
 from ..functions.numeric import round_half_up
 
 SIGNAL_COLS = [f.name for f in schemas.SIGNALS.fields]
@@ -64,7 +63,7 @@ def apply_cooldown(cands: DataFrame, history: DataFrame, p: Params = DEFAULT) ->
     The per-key maxima are one row per (ticker, label): bounded by the key count, they
     are broadcast only when the planner's size estimate says they are small.
     """
-    last = small_side(last_signal_times(history))
+    last = last_signal_times(history)
     j = cands.join(last, ["ticker", "signal"], "left")
     dist = F.unix_timestamp("timestamp") - F.unix_timestamp("last_signal_time")
     keep = F.col("last_signal_time").isNull() | (dist > p.cooldown_seconds)

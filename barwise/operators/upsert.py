@@ -6,51 +6,66 @@ join on the key takes the source side where present. Counting matched and unmatc
 source rows on the same join gives the merge metrics.
 
 ``upsert_path`` writes the result to a date-partitioned parquet table with dynamic
-partition overwrite: only the dates the source touches are read and rewritten, so the
-cost follows the size of the update, not of the table. It is idempotent.
+partition overwrite. It works in two steps, so that a caller can record the counts before
+anything is visible: ``stage_upsert`` merges the touched dates (a literal partition filter)
+into a staging folder and counts on the way, ``publish_upsert`` replaces those dates and
+removes the staging folder. Both steps can be repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import drop_path, scratch_path
+from .sinks import read_if_present
 
 
-def dedup_by_key(source: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key; among duplicates the largest row (by value) wins, which is
-    deterministic and partially aggregated before the shuffle."""
-    rest = [c for c in source.columns if c not in keys]
-    if not rest:
+def dedup_by_key(source: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key, partially aggregated before the shuffle: the row with the largest
+    ``order`` column (the last delivered; it isn't part of the result), ties and no order
+    by the largest row."""
+    rest = [c for c in source.columns if c not in keys and c != order]
+    ranked = ([order] if order else []) + rest
+    if not ranked:
         return source.dropDuplicates(keys)
-    best = F.max(F.struct(*[F.col(c) for c in rest])).alias("_row")
+    best = F.max(F.struct(*[F.col(c) for c in ranked])).alias("_row")
     return source.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def _joined(target: DataFrame, source: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    src = dedup_by_key(source, keys)
+def _joined(target: DataFrame, source: DataFrame, keys: list[str],
+            order: str | None = None) -> tuple[DataFrame, list[str]]:
+    src = dedup_by_key(source, keys, order)
     cols = [c for c in target.columns if c not in keys]
     t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in cols], F.lit(True).alias("_in_t"))
     s = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in_s"))
     return t.join(s, keys, "full_outer"), cols
 
 
-def merge_frames(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+def _counts() -> list:
+    s, t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
+    return [F.count_if(s & ~t).alias("num_inserted_rows"), F.count_if(s & t).alias("num_updated_rows")]
+
+
+def _taken(keys: list[str], cols: list[str]) -> list:
+    from_s = F.col("_in_s").isNotNull()
+    return [*keys, *[F.when(from_s, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c) for c in cols]]
+
+
+def merge_frames(target: DataFrame, source: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Matched keys take all non-key values from the source; unmatched source rows are
     inserted; other target rows are kept."""
-    j, cols = _joined(target, source, keys)
-    from_s = F.col("_in_s").isNotNull()
-    return j.select(*keys, *[F.when(from_s, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c)
-                             for c in cols])
+    j, cols = _joined(target, source, keys, order)
+    return j.select(*_taken(keys, cols))
 
 
 def merge_metrics(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """One row: inserted and updated source-row counts of the merge."""
     j, _ = _joined(target, source, keys)
-    s, t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
-    return j.agg(F.count_if(s & ~t).alias("num_inserted_rows"),
-                 F.count_if(s & t).alias("num_updated_rows"))
+    return j.agg(*_counts())
 
 
 def duplicate_merge_event(metrics: DataFrame) -> DataFrame:
@@ -58,30 +73,60 @@ def duplicate_merge_event(metrics: DataFrame) -> DataFrame:
     u = F.col("num_updated_rows")
     return metrics.where(u > 0).select(
         F.lit("DUPLICATE_DETECTED").alias("event_type"), F.lit("ALL").alias("ticker"),
-        F.format_string("%d duplicate (ticker,timestamp) rows merged instead of duplicated", u).alias("message"),
+        F.format_string("%d delivered bars were already stored and replaced them", u).alias("message"),
         u.cast("int").alias("bar_count"))
 
 
-def upsert_path(spark: SparkSession, source: DataFrame, path: str, keys: list[str],
-                date_col: str = "date", ts_col: str = "timestamp") -> None:
-    """Upsert ``source`` into the parquet table at ``path`` partitioned by ``date_col``.
+@dataclass
+class StagedUpsert:
+    """A merged result that is not visible yet."""
+    path: str
+    stage: str
+    schema: T.StructType
+    date_col: str
+    inserted: int
+    updated: int
+
 
-    The touched dates are a semi-join filter on the target scan, so only their
-    partitions are read; the merged rows are staged under the shared checkpoint
-    folder (cutting lineage to the files being replaced) and then written with
-    dynamic partition overwrite, leaving all other dates untouched.
-    """
+def stage_upsert(spark: SparkSession, source: DataFrame, path: str, keys: list[str], order: str | None = None,
+                 date_col: str = "date", ts_col: str = "timestamp") -> StagedUpsert:
+    """Merge ``source`` with the touched dates of the table at ``path`` into a staging
+    folder. The dates are few (one per calendar day) and become literals of a partition
+    filter, so other dates aren't listed or read. Only an absent path counts as no table."""
     src = source.withColumn(date_col, F.to_date(ts_col))
-    try:
-        target = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first write: no table yet
-        src.write.mode("overwrite").partitionBy(date_col).parquet(path)
-        return
-    dates = src.select(date_col).distinct()
-    touched = target.join(dates, date_col, "left_semi")
-    merged = merge_frames(touched.select(*src.columns), src, keys + [date_col])
+    columns = [c for c in src.columns if c != order]
+    schema = src.select(*columns).schema
+    dates = [r[0] for r in src.select(date_col).distinct().collect()]
+    target = read_if_present(spark, path, schema)
+    if target is None:
+        target = spark.createDataFrame([], schema)
+    known = [d for d in dates if d is not None]
+    touched = F.col(date_col).isin(known) if known else F.lit(False)
+    if None in dates:
+        touched = touched | F.col(date_col).isNull()
+    target = target.where(touched)
+    merge_keys = keys + [date_col]
+    j, cols = _joined(target.select(*columns), src, merge_keys, order)
+    counted = Observation()
     stage = scratch_path(spark, "upsert-stage")
-    merged.write.mode("overwrite").partitionBy(date_col).parquet(stage)
-    staged = spark.read.parquet(stage)
-    (staged.select(*src.columns).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path))
+    (j.observe(counted, *_counts()).select(*_taken(merge_keys, cols)).select(*columns)
+     .write.partitionBy(date_col).parquet(stage))
+    n = counted.get
+    return StagedUpsert(path, stage, schema, date_col, n["num_inserted_rows"], n["num_updated_rows"])
+
+
+def publish_upsert(spark: SparkSession, staged: StagedUpsert) -> None:
+    """Replace the touched dates of the table by the staged rows; other dates stay."""
+    (spark.read.schema(staged.schema).parquet(staged.stage).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(staged.date_col).parquet(staged.path))
+    drop_path(spark, staged.stage)
+
+
+def upsert_path(spark: SparkSession, source: DataFrame, path: str, keys: list[str], order: str | None = None,
+                date_col: str = "date", ts_col: str = "timestamp") -> dict[str, int]:
+    """Upsert ``source`` into the parquet table at ``path`` partitioned by ``date_col``; the
+    counts of inserted and updated keys. Among source rows of one key the last by ``order``
+    wins, on the first write too. Idempotent."""
+    staged = stage_upsert(spark, source, path, keys, order, date_col, ts_col)
+    publish_upsert(spark, staged)
+    return {"num_inserted_rows": staged.inserted, "num_updated_rows": staged.updated}

@@ -82,9 +82,12 @@ def previous_close(rows: DataFrame, bucket: str = "day", valid: Column | None =
         F.max_by("close", F.when(F.col("_ok"), F.col("timestamp"))).alias("_last"))
     earlier = Window.partitionBy("ticker").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select("ticker", "_bk", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    return (b.withColumn("_in", in_bucket).join(carry, ["ticker", "_bk"])
+    c = carry.select(F.col("ticker").alias("_t"), F.col("_bk").alias("_b"), "_carry")
+    staged = b.withColumn("_in", in_bucket)
+    # null tickers and times are groups like any other
+    return (staged.join(c, staged["ticker"].eqNullSafe(c["_t"]) & staged["_bk"].eqNullSafe(c["_b"]))
             .withColumn("_prev_close", F.coalesce(F.col("_in"), F.col("_carry")))
-            .drop("_bk", "_ok", "_in", "_carry"))
+            .drop("_bk", "_ok", "_in", "_carry", "_t", "_b"))
 
 
 def clean(classified: DataFrame) -> DataFrame:

@@ -22,5 +22,3 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def double_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

@@ -12,6 +12,7 @@ from ..operators import quality as Q
 from ..operators import resample as RS
 from ..operators import serving as SV
 from ..operators import signals as SIG
+from ..operators import sinks as K
 from ..operators import upsert as U
 from ..operators import validate as V
 from ..session import scratch_path
@@ -19,6 +20,7 @@ from ..sources import adapters as A
 from ..sources import tables as TB
 from ..sources import vendor as VD
 from ..streaming import jobs as J
+from . import medallion as M
 from . import oracle_sql as O
 from . import portfolio_sql as PS
 from .catalog import register
@@ -30,10 +32,20 @@ W = O.with_ctes
 # ---- flagship: events -> hourly bars -> indicators -> scored signals -----------
 
 def _ind(bars):
-    """Indicators with the skew-safe chunked plan (same values as the plain window)."""
+    """Indicators with the skew-safe chunked plan (same values as the plain window): for
+    tables of few tickers with long histories. Tables of many short tickers (user ticks)
+    take ``IND.indicators``, whose single shuffle spreads over the tickers."""
     return IND.indicators_chunked(bars, P, chunk_rows=P.chunk_rows)
 
 
+def _stored(df, name):
+    """The frame written to scratch and read again: a table that several branches of a
+    query read, derived once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def flagship(spark, sf_dir):
     return SIG.signals(_ind(A.bars_1h(spark, sf_dir)), P)
 
@@ -86,10 +98,7 @@ def indicators_many_keys(spark, sf_dir):
 
 
 @register("indicators_gen1_tail",
-          W([O.EV, O.BARS_1H,
-             ("tail", "SELECT * FROM bars_1h QUALIFY row_number() OVER "
-                      "(PARTITION BY ticker ORDER BY timestamp DESC) <= 50"),
-             *O.indicator_ctes("tail", p=GEN1)], "SELECT * FROM ind"),
+          W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h", p=GEN1)], "SELECT * FROM ind"),
           O.IND_COLS)
 def indicators_gen1_tail(spark, sf_dir):
     return IND.indicators_tail(A.bars_1h(spark, sf_dir), GEN1)
@@ -115,20 +124,21 @@ def rsi_zones(spark, sf_dir):
                 FROM ind WHERE {O.buy_sql(GEN1)}"""),
           O.IND_COLS)
 def signals_gen1(spark, sf_dir):
-    return SIG.signals_gen1(IND.indicators(A.bars_1h(spark, sf_dir), GEN1), GEN1)
+    return SIG.signals_gen1(IND.indicators_chunked(A.bars_1h(spark, sf_dir), GEN1, GEN1.chunk_rows), GEN1)
 
 
 # ---- resample -----------------------------------------------------------------------
 
-@register("resample_10m",
-          W([O.EV, O.BARS_5M],
-            """SELECT ticker, time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp,
+RESAMPLE_BODY = """SELECT ticker, time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp,
                       arg_min(open, timestamp) FILTER (WHERE open IS NOT NULL) AS open,
                       max(high) AS high, min(low) AS low,
                       arg_max(close, timestamp) FILTER (WHERE close IS NOT NULL) AS close,
                       CAST(sum(volume) AS BIGINT) AS volume
-               FROM bars_5m GROUP BY 1, 2 HAVING count(close) > 0"""),
-          ["open", "high", "low", "close"])
+               FROM bars_5m GROUP BY 1, 2 HAVING count(close) > 0"""
+RESAMPLE_SQL = W([O.EV, O.BARS_5M], RESAMPLE_BODY)
+
+
+@register("resample_10m", RESAMPLE_SQL, ["open", "high", "low", "close"])
 def resample_10m(spark, sf_dir):
     return RS.resample(A.bars_5m(spark, sf_dir), 10)
 
@@ -218,7 +228,7 @@ def bar_profile(spark, sf_dir):
 
 
 LOW_BARS_SQL = (f"SELECT 'MISSING_BARS' AS event_type, ticker, "
-                f"printf('Only %d bars (expected >={P.min_expected_bars})', count(*)) AS message, "
+                f"printf('%d bars stored, at least {P.min_expected_bars} wanted', count(*)) AS message, "
                 f"CAST(count(*) AS INTEGER) AS bar_count FROM user_ticks GROUP BY ticker "
                 f"HAVING count(*) < {P.min_expected_bars}")
 
@@ -247,10 +257,9 @@ def intraday_gaps_top20(spark, sf_dir):
 
 
 GAP_EVENTS_SQL = (f"SELECT 'GAP_DETECTED' AS event_type, ticker, "
-                  f"printf('%dmin intraday gap: %s to %s', gap_minutes, CAST(prev_ts AS VARCHAR), "
+                  f"printf('%d minutes without a bar from %s to %s', gap_minutes, CAST(prev_ts AS VARCHAR), "
                   f"CAST(timestamp AS VARCHAR)) AS message, CAST(gap_minutes AS INTEGER) AS bar_count "
-                  f"FROM (SELECT * FROM gaps ORDER BY gap_minutes DESC, ticker, timestamp "
-                  f"LIMIT {P.gap_event_limit})")
+                  f"FROM gaps")
 
 
 @register("gap_events", W([O.EV, O.BARS_10M, *GAPS], GAP_EVENTS_SQL))
@@ -260,7 +269,7 @@ def gap_events(spark, sf_dir):
 
 FRESH_SQL = f"""
   SELECT 'STALE_DATA' AS event_type, 'ALL' AS ticker,
-         printf('Latest bar is %.1fh old. Last: %s', round(h * 10) / 10, CAST(latest AS VARCHAR)) AS message,
+         printf('newest bar is %.1f hours old (%s)', round(h * 10) / 10, CAST(latest AS VARCHAR)) AS message,
          0 AS bar_count
   FROM (SELECT latest,
                CAST(epoch_us({O.ts(A.AS_OF)}) // 1000000 - epoch_us(latest) // 1000000 AS DOUBLE) / 3600.0 AS h
@@ -279,8 +288,7 @@ DUP_SRC = ("dup_src", f"""
   SELECT * FROM bars_10m WHERE CAST(timestamp AS DATE) = DATE '{A.REDELIVERED_DAY}'""")
 
 
-def _redelivered(spark, sf_dir):
-    b = A.bars_10m(spark, sf_dir)
+def _redelivered(b):
     return b.unionByName(b.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date")))
 
 
@@ -288,12 +296,12 @@ def _redelivered(spark, sf_dir):
           W([O.EV, O.BARS_10M, DUP_SRC],
             "SELECT ticker, timestamp, count(*) AS cnt FROM dup_src GROUP BY 1, 2 HAVING count(*) > 1"))
 def duplicate_bars(spark, sf_dir):
-    return Q.duplicate_keys(_redelivered(spark, sf_dir))
+    return Q.duplicate_keys(_redelivered(A.bars_10m(spark, sf_dir)))
 
 
 DUP_EVENT_SQL = """
   SELECT 'DUPLICATE_DETECTED' AS event_type, 'ALL' AS ticker,
-         printf('%d duplicate rows in Bronze after MERGE (unexpected)', n) AS message,
+         printf('%d bar keys are stored more than once', n) AS message,
          CAST(n AS INTEGER) AS bar_count
   FROM (SELECT count(*) AS n FROM (SELECT 1 FROM dup_src GROUP BY ticker, timestamp HAVING count(*) > 1))
   WHERE n > 0"""
@@ -301,7 +309,7 @@ DUP_EVENT_SQL = """
 
 @register("duplicate_events", W([O.EV, O.BARS_10M, DUP_SRC], DUP_EVENT_SQL))
 def duplicate_events(spark, sf_dir):
-    return Q.duplicate_events(_redelivered(spark, sf_dir))
+    return Q.duplicate_events(_redelivered(A.bars_10m(spark, sf_dir)))
 
 
 # ---- vendor landing: conform + missing sources ---------------------------------------
@@ -353,21 +361,34 @@ def _upsert_inputs(spark, sf_dir):
     return tgt, src
 
 
-@register("upsert_bars",
-          W(UPSERT_CTES, """
+UPSERT_SQL = W(UPSERT_CTES, """
             SELECT coalesce(s.ticker, t.ticker) AS ticker, coalesce(s.timestamp, t.timestamp) AS timestamp,
                    CASE WHEN s.ticker IS NOT NULL THEN s.open ELSE t.open END AS open,
                    CASE WHEN s.ticker IS NOT NULL THEN s.high ELSE t.high END AS high,
                    CASE WHEN s.ticker IS NOT NULL THEN s.low ELSE t.low END AS low,
                    CASE WHEN s.ticker IS NOT NULL THEN s.close ELSE t.close END AS close,
                    CASE WHEN s.ticker IS NOT NULL THEN s.volume ELSE t.volume END AS volume
-            FROM tgt t FULL OUTER JOIN src s ON t.ticker = s.ticker AND t.timestamp = s.timestamp"""),
-          ["open", "high", "low", "close"])
+            FROM tgt t FULL OUTER JOIN src s ON t.ticker = s.ticker AND t.timestamp = s.timestamp""")
+
+
+@register("upsert_bars", UPSERT_SQL, ["open", "high", "low", "close"])
 def upsert_bars(spark, sf_dir):
     tgt, src = _upsert_inputs(spark, sf_dir)
     return U.merge_frames(tgt, src, ["ticker", "timestamp"])
 
 
+@register("upsert_path_table", UPSERT_SQL,
+          ["open", "high", "low", "close"],
+          note="two upserts into a date-partitioned table on disk, the second with repeated "
+               "keys, then read back")
+def upsert_path_table(spark, sf_dir):
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    path = scratch_path(spark, "upsert-table")
+    U.upsert_path(spark, tgt.unionByName(tgt), path, ["ticker", "timestamp"])
+    U.upsert_path(spark, src, path, ["ticker", "timestamp"])
+    return spark.read.schema(SC.BARS).parquet(path).select(SC.BARS.names)
+
+
 @register("upsert_metrics",
           W(UPSERT_CTES, """
             SELECT count(*) FILTER (WHERE t.ticker IS NULL) AS num_inserted_rows,
@@ -381,7 +402,7 @@ def upsert_metrics(spark, sf_dir):
 @register("upsert_event",
           W(UPSERT_CTES, """
             SELECT 'DUPLICATE_DETECTED' AS event_type, 'ALL' AS ticker,
-                   printf('%d duplicate (ticker,timestamp) rows merged instead of duplicated', n) AS message,
+                   printf('%d delivered bars were already stored and replaced them', n) AS message,
                    CAST(n AS INTEGER) AS bar_count
             FROM (SELECT count(*) AS n FROM src s JOIN tgt t
                   ON t.ticker = s.ticker AND t.timestamp = s.timestamp) WHERE n > 0"""))
@@ -403,21 +424,43 @@ FEED_UNION = " UNION ALL ".join(f"({s})" for s in [
     "SELECT * FROM val_events", LOW_BARS_SQL, GAP_EVENTS_SQL, FRESH_SQL, DUP_EVENT_SQL, MISSING_SQL])
 
 
+def _all_events(spark, sf_dir):
+    dirty = A.dirty_bars(spark, sf_dir)
+    b10 = _stored(A.bars_10m(spark, sf_dir), "bars-10m")
+    vendor, dim = A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir)
+    return Q.union_events(V.events(V.classify(dirty, P), P),
+                          Q.low_bar_count(A.user_ticks(spark, sf_dir), P),
+                          Q.gap_events(b10, P),
+                          Q.freshness(b10, A.as_of_lit(), P),
+                          Q.duplicate_events(_redelivered(b10)),
+                          VD.missing_sources(vendor, dim))
+
+
 @register("dq_event_feed",
           W(FEED_CTES, f"""
             SELECT event_type, ticker, message, {O.ts(A.AS_OF)} AS detected_at, {_mark_sql()} AS mark
             FROM ({FEED_UNION}) ORDER BY detected_at DESC, event_type, ticker, message LIMIT 15"""))
 def dq_event_feed(spark, sf_dir):
-    dirty = A.dirty_bars(spark, sf_dir)
-    b10 = A.bars_10m(spark, sf_dir)
-    vendor, dim = A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir)
-    ev = Q.union_events(V.events(V.classify(dirty, P), P),
-                        Q.low_bar_count(A.user_ticks(spark, sf_dir), P),
-                        Q.gap_events(b10, P),
-                        Q.freshness(b10, A.as_of_lit(), P),
-                        Q.duplicate_events(_redelivered(spark, sf_dir)),
-                        VD.missing_sources(vendor, dim))
-    return Q.recent_events(Q.to_event_log(ev, A.as_of_lit()), 15)
+    return Q.recent_events(Q.to_event_log(_all_events(spark, sf_dir), A.as_of_lit()), 15)
+
+
+@register("dq_event_counts",
+          W(FEED_CTES, f"""
+            SELECT event_type, count(*) AS events, CAST(sum(bar_count) AS BIGINT) AS bars
+            FROM ({FEED_UNION}) GROUP BY event_type"""))
+def dq_event_counts(spark, sf_dir):
+    return _all_events(spark, sf_dir).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("bar_count").alias("bars"))
+
+
+@register("surrogate_ids",
+          W(FEED_CTES, f"SELECT count(*) AS rows, count(*) AS ids, count(*) AS rebuilt FROM ({FEED_UNION})"),
+          note="event rows, their distinct ids, and the ids found again in a second build")
+def surrogate_ids(spark, sf_dir):
+    first, second = (Q.to_event_log(_all_events(spark, sf_dir), A.as_of_lit()).select("event_id") for _ in range(2))
+    again = second.distinct().withColumn("again", F.lit(1))
+    return first.join(again, "event_id", "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids"), F.count("again").alias("rebuilt"))
 
 
 # ---- portfolio and trade log (user tickers: thousands of keys) ----------------------
@@ -431,7 +474,7 @@ TRIG_DOUBLES = ["avg_entry_price", "realized_pnl", "current_price", "exit_pnl"]
 
 def _port_inputs(spark, sf_dir):
     bars = A.user_ticks(spark, sf_dir)
-    sig = SIG.signals(_ind(bars), P)
+    sig = _stored(SIG.signals(IND.indicators(bars, P), P), "signals")
     return bars, sig, A.portfolio_prev(spark, sf_dir)
 
 
@@ -482,18 +525,15 @@ def portfolio_updates(spark, sf_dir):
           ["current_price", "signal_score", "signal_price", "stop_loss", "take_profit"])
 def new_trades(spark, sf_dir):
     bars, sig, prev = _port_inputs(spark, sf_dir)
-    exits = PF.exit_trades(PF.exit_triggers(prev, bars, sig, P), A.as_of_lit())
-    return PF.new_trades(PF.portfolio_updates(bars, sig), _log_hist(sig).unionByName(exits))
+    return PF.step_new_trades(PF.step_frame(prev, bars, sig, _log_hist(sig), A.as_of_lit(), P))
 
 
 @register("trade_entries", W(PORT, "SELECT * FROM entries"), TRADE_DOUBLES)
 def trade_entries(spark, sf_dir):
     bars, sig, prev = _port_inputs(spark, sf_dir)
-    trig = PF.exit_triggers(prev, bars, sig, P)
-    exits = PF.exit_trades(trig, A.as_of_lit())
-    after = PF.close_positions(prev, trig, A.as_of_lit())
-    nt = PF.new_trades(PF.portfolio_updates(bars, sig), _log_hist(sig).unionByName(exits))
-    return PF.trade_entries(nt, after, P)
+    frame = PF.step_frame(prev, bars, sig, _log_hist(sig), A.as_of_lit(), P)
+    return PF.step_trade_rows(frame, A.as_of_lit(), P).where(F.col("signal").isin("BUY", "SELL")) \
+        .drop("trade_id", "created_at")
 
 
 @register("portfolio_merge",
@@ -544,28 +584,6 @@ SIG_1H = [O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"), *O.signal_ctes()]
 R2 = "CAST(100.0 AS DOUBLE)"
 
 
-@register("performance_summary",
-          W([O.TRADE_LOG], f"""
-            SELECT total_trades, buy_count, sell_count, auto_exits,
-                   round(pnl * {R2}) / {R2} AS total_pnl, round(win * {R2}) / {R2} AS avg_win,
-                   round(loss * {R2}) / {R2} AS avg_loss,
-                   CASE WHEN nz > 0 THEN CAST((wins * 2000 + nz) // (2 * nz) AS DOUBLE) / {O.dbl(10.0)}
-                   END AS win_rate
-            FROM (SELECT count(*) AS total_trades,
-                         count(*) FILTER (WHERE signal = 'BUY') AS buy_count,
-                         count(*) FILTER (WHERE signal = 'SELL') AS sell_count,
-                         count(*) FILTER (WHERE signal IN ('STOP_LOSS', 'TAKE_PROFIT')) AS auto_exits,
-                         sum(coalesce(pnl_realized, 0.0)) AS pnl,
-                         avg(CASE WHEN pnl_realized > 0 THEN pnl_realized END) AS win,
-                         avg(CASE WHEN pnl_realized < 0 THEN pnl_realized END) AS loss,
-                         count(*) FILTER (WHERE pnl_realized > 0) AS wins,
-                         count(*) FILTER (WHERE pnl_realized <> 0) AS nz
-                  FROM trade_log)"""),
-          ["total_pnl", "avg_win", "avg_loss", "win_rate"])
-def performance_summary(spark, sf_dir):
-    return SV.performance_summary(A.trade_log(spark, sf_dir))
-
-
 def _perf_sql(where: str = "") -> str:
     return f"""
         SELECT total_trades, buy_count, sell_count, auto_exits,
@@ -585,6 +603,12 @@ def _perf_sql(where: str = "") -> str:
               FROM trade_log {where})"""
 
 
+@register("performance_summary", W([O.TRADE_LOG], _perf_sql()),
+          ["total_pnl", "avg_win", "avg_loss", "win_rate"])
+def performance_summary(spark, sf_dir):
+    return SV.performance_summary(A.trade_log(spark, sf_dir))
+
+
 def _perf_text_sql(where: str = "") -> str:
     return W([O.TRADE_LOG, ("perf", _perf_sql(where))], """
         SELECT CAST(total_trades AS VARCHAR) AS total_trades,
@@ -665,7 +689,7 @@ def signal_counts(spark, sf_dir):
             UNION ALL SELECT 'trade_log', count(*) FROM trade_log
             UNION ALL SELECT 'data_quality_events', count(*) FROM val_events"""))
 def layer_counts(spark, sf_dir):
-    ind = _ind(A.bars_1h(spark, sf_dir))
+    ind = _stored(_ind(A.bars_1h(spark, sf_dir)), "indicators")
     return SV.layer_counts(raw_market_data=A.bars_10m(spark, sf_dir), technical_indicators=ind,
                            trade_signals=SIG.signals(ind, P), trade_log=A.trade_log(spark, sf_dir),
                            data_quality_events=V.events(V.classify(A.dirty_bars(spark, sf_dir), P), P))
@@ -727,7 +751,7 @@ def chart_feed(spark, sf_dir):
             FROM ind WHERE {O.buy_sql(GEN1)}"""),
           O.SIG_DOUBLES)
 def conform_evolved(spark, sf_dir):
-    gen1 = SIG.signals_gen1(IND.indicators(A.bars_1h(spark, sf_dir), GEN1), GEN1)
+    gen1 = SIG.signals_gen1(IND.indicators_chunked(A.bars_1h(spark, sf_dir), GEN1, GEN1.chunk_rows), GEN1)
     return SC.conform(gen1, SC.SIGNALS)
 
 
@@ -745,7 +769,7 @@ def _cooldown_sql(bars: int) -> str:
 
 
 def _cooldown(spark, sf_dir, bars: int):
-    sig = SIG.signals(_ind(A.bars_10m(spark, sf_dir)), P)
+    sig = _stored(SIG.signals(_ind(A.bars_10m(spark, sf_dir)), P), "signals-10m")
     split = F.lit(A.SPLIT_TS).cast("timestamp_ntz")
     hist, cand = sig.where(F.col("timestamp") < split), sig.where(F.col("timestamp") >= split)
     return SIG.apply_cooldown(cand, hist, P.with_(cooldown_bars=bars)).select(*SIG.SIGNAL_COLS)
@@ -810,67 +834,211 @@ def stream_signals(spark, sf_dir):
     return J.read_output(spark, _stream_out(spark, sf_dir, False), "gold")
 
 
-@register("stream_signals_cooldown",
-          W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h"), *O.signal_ctes()],
-            f"SELECT {O.SIG_SELECT} FROM sig"),
-          O.SIG_DOUBLES,
-          note="cooldown against signals stored by earlier micro-batches. Hourly bars are "
-               "3600 s apart, more than the 1800 s cooldown, so no signal may be dropped: the "
-               "expected rows are all signals. Drops across batches are checked on 10-minute "
-               "bars against a hand computation in tests/test_stream.py")
+def _cooldown_slices_sql() -> str:
+    """The cooldown slice by slice, as the stream applies it: a slice's candidates against
+    the signals kept from the slices before it."""
+    secs = P.cooldown_seconds
+    ctes = [O.EV, O.BARS_10M, *O.indicator_ctes("bars_10m", "ind10"), *O.signal_ctes("ind10", "sig10"),
+            ("edges", "SELECT min(epoch_us(timestamp)) AS lo, max(epoch_us(timestamp)) AS hi FROM bars_10m"),
+            ("cut", f"""SELECT s.*, least({STREAM_CHUNKS - 1}, (epoch_us(timestamp) - lo) * {STREAM_CHUNKS} // (hi - lo))
+                    AS slice FROM sig10 s, edges"""),
+            ("kept0", f"SELECT {O.SIG_SELECT} FROM cut WHERE slice = 0")]
+    for k in range(1, STREAM_CHUNKS):
+        ctes.append((f"kept{k}", f"""
+          SELECT * FROM kept{k - 1} UNION ALL
+          SELECT {O.SIG_SELECT} FROM (
+            SELECT c.*, l.last FROM cut c
+            LEFT JOIN (SELECT ticker, signal, max(timestamp) AS last FROM kept{k - 1} GROUP BY 1, 2) l
+            ON c.ticker = l.ticker AND c.signal = l.signal WHERE c.slice = {k})
+          WHERE last IS NULL OR epoch_us(timestamp) // 1000000 - epoch_us(last) // 1000000 > {secs}"""))
+    return W(ctes, f"SELECT * FROM kept{STREAM_CHUNKS - 1}")
+
+
+def _land_with_empty_file(spark, bars, name):
+    """Four time slices of one file each, and an empty delivery after the second."""
+    landing = scratch_path(spark, name)
+    J.land_in_time_order(bars, landing, STREAM_CHUNKS, empty_after=1)
+    return landing
+
+
+@register("stream_signals_cooldown", _cooldown_slices_sql(), O.SIG_DOUBLES,
+          note="10-minute bars in 4 micro-batches and an empty one between them: signals within "
+               "the cooldown of one stored by an earlier micro-batch are dropped")
 def stream_signals_cooldown(spark, sf_dir):
-    return J.read_output(spark, _stream_out(spark, sf_dir, True), "gold")
+    landing = _land_with_empty_file(spark, A.bars_10m(spark, sf_dir), "landing-cooldown")
+    out = scratch_path(spark, "stream-cooldown")
+    J.run_indicator_stream(spark, landing, out, P, max_files=1, cooldown=True, state_partitions=_state_parts(spark))
+    return J.read_output(spark, out, "gold")
+
+
+@register("stream_batch_metrics",
+          W([O.EV, O.BARS_10M, *O.indicator_ctes("bars_10m", "ind10"), *O.signal_ctes("ind10", "sig10"),
+             ("edges", "SELECT min(epoch_us(timestamp)) AS lo, max(epoch_us(timestamp)) AS hi FROM bars_10m")], f"""
+            SELECT slice + CASE WHEN slice >= 2 THEN 1 ELSE 0 END AS batch_id, count(*) AS indicators,
+                   count(s.signal) AS signals, count(*) FILTER (WHERE s.signal = 'BUY') AS buy,
+                   count(*) FILTER (WHERE s.signal = 'SELL') AS sell
+            FROM (SELECT b.*, least({4 - 1}, (epoch_us(timestamp) - lo) * {4} // (hi - lo)) AS slice
+                  FROM bars_10m b, edges) b
+            LEFT JOIN sig10 s ON s.ticker = b.ticker AND s.timestamp = b.timestamp
+            GROUP BY slice"""),
+          note="counts of each micro-batch; the empty one writes nothing and has no row")
+def stream_batch_metrics(spark, sf_dir):
+    landing = _land_with_empty_file(spark, A.bars_10m(spark, sf_dir), "landing-metrics")
+    out = scratch_path(spark, "stream-metrics")
+    sinks = J.run_indicator_stream(spark, landing, out, P, max_files=1, cooldown=False,
+                                   state_partitions=_state_parts(spark))
+    return spark.createDataFrame([tuple(m[c] for c in J.METRIC_COLS) for m in sinks.metrics],
+                                 ", ".join(f"{c} long" for c in J.METRIC_COLS))
+
+
+@register("stream_processing_time", IND_SQL, O.IND_COLS,
+          note="the same stream under a processing-time trigger, stopped once all is processed")
+def stream_processing_time(spark, sf_dir):
+    landing = scratch_path(spark, "landing-pt")
+    files = J.land_in_time_order(A.bars_1h(spark, sf_dir), landing, STREAM_CHUNKS, files_per_chunk=1)
+    out = scratch_path(spark, "stream-pt")
+    sinks = J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
+                                   trigger={"processingTime": "1 second"}, state_partitions=_state_parts(spark))
+    try:
+        sinks.query.processAllAvailable()
+    finally:
+        sinks.query.stop()
+    return J.read_output(spark, out, "silver")
 
 
-@register("stream_indicators_late_repaired", IND_SQL, O.IND_COLS,
-          note="bars_1h streamed in 4 slices, then one day re-delivered: those bars arrive "
-               "late, are diverted, and their tickers are recomputed over the bar table")
-def stream_indicators_late_repaired(spark, sf_dir):
+@register("stream_recovered", IND_SQL, O.IND_COLS,
+          note="half of the bars drained, then a new query over the other half from the same "
+               "checkpoint: state and file log are recovered")
+def stream_recovered(spark, sf_dir):
     bars = A.bars_1h(spark, sf_dir)
+    split = F.lit(A.SPLIT_TS).cast("timestamp_ntz")
+    landing, out = scratch_path(spark, "landing-rec"), scratch_path(spark, "stream-rec")
+    for part in (bars.where(F.col("timestamp") < split), bars.where(F.col("timestamp") >= split)):
+        part.repartition(2, "ticker").write.mode("append").parquet(landing)
+        J.run_indicator_stream(spark, landing, out, P, cooldown=False, checkpoint=f"{out}/_checkpoint",
+                               state_partitions=_state_parts(spark))
+    return J.read_output(spark, out, "silver")
+
+
+@register("stream_indicators_late_repaired",
+          W([O.EV, O.USER_TICKS, *O.indicator_ctes("user_ticks")], "SELECT * FROM ind"), O.IND_COLS,
+          note="user ticks streamed without one day of some tickers, which arrives last: those "
+               "bars are diverted as late and only their tickers are recomputed in batch")
+def stream_indicators_late_repaired(spark, sf_dir):
+    ticks = A.user_ticks(spark, sf_dir)
+    held_back = F.col("ticker").endswith("3") & (F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
     landing = scratch_path(spark, "landing-late")
-    files = J.land_in_time_order(bars, landing, STREAM_CHUNKS, files_per_chunk=2)
-    again = bars.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
-    again.repartition(files, "ticker").write.mode("append").parquet(landing)
+    files = J.land_in_time_order(ticks.where(~held_back), landing, STREAM_CHUNKS, files_per_chunk=1)
+    ticks.where(held_back).coalesce(1).write.mode("append").parquet(landing)
     out = scratch_path(spark, "stream-late-out")
     J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
                            state_partitions=_state_parts(spark))
-    return J.corrected_indicators(spark, out, bars, P)
+    return J.corrected_indicators(spark, out, ticks, P)
 
 
 @register("stream_dedup", W([O.EV, O.BARS_10M], "SELECT * FROM bars_10m"),
-          ["open", "high", "low", "close"], note="bars_10m landed with one day delivered twice")
+          ["open", "high", "low", "close"],
+          note="bars_10m with repeats inside the watermark (dropped as duplicates), a day repeated "
+               "after it, and new bars that arrive after it (found by the reconciliation)")
 def stream_dedup(spark, sf_dir):
     landing = scratch_path(spark, "landing-dup")
     b = A.bars_10m(spark, sf_dir)
-    J.land_in_time_order(b, landing, 2, files_per_chunk=2)
-    again = b.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
-    again.repartition(2, "ticker").write.mode("append").parquet(landing)
+    slot = F.floor(F.unix_timestamp("timestamp") / 600)
+    day = F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date")
+    held_back = day & (slot % 7 == 0)
+    sent = b.where(~held_back)
+    J.land_in_time_order(sent, landing, 2, repeat_last="1 hour")
+    b.where(day).coalesce(1).write.mode("append").parquet(landing)
     out = scratch_path(spark, "dedup-out")
-    J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "1 hour"), out,
+    J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "2 hours"), out,
                      state_partitions=_state_parts(spark))
-    return spark.read.parquet(out)
-
-
-@register("stream_resample",
-          W([O.EV, O.BARS_5M], """
-            SELECT ticker, time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp,
-                   arg_min(open, timestamp) FILTER (WHERE open IS NOT NULL) AS open,
-                   max(high) AS high, min(low) AS low,
-                   arg_max(close, timestamp) FILTER (WHERE close IS NOT NULL) AS close,
-                   CAST(sum(volume) AS BIGINT) AS volume
-            FROM bars_5m GROUP BY 1, 2
-            HAVING count(close) > 0
-               AND time_bucket(INTERVAL '10 minutes', timestamp) + INTERVAL '10 minutes'
-                   <= (SELECT max(timestamp) FROM bars_5m) - INTERVAL '10 minutes'"""),
-          ["open", "high", "low", "close"],
-          note="windows closed by the final watermark (max time - 10 minutes)")
+    landed = spark.read.schema(SC.BARS).parquet(landing)
+    kept = spark.read.schema(SC.BARS).parquet(out)
+    return kept.unionByName(J.late_new_bars(kept, landed))
+
+
+@register("stream_resample", RESAMPLE_SQL, ["open", "high", "low", "close"],
+          note="windows closed by the watermark, and after the drain the rest resampled in batch")
 def stream_resample(spark, sf_dir):
     landing = scratch_path(spark, "landing-5m")
     J.land_in_time_order(A.bars_5m(spark, sf_dir), landing, 4, files_per_chunk=2)
     out = scratch_path(spark, "resample-out")
     J.run_to_parquet(J.stream_resample(J.bar_stream(spark, landing, 2), 10, "10 minutes"), out,
                      state_partitions=_state_parts(spark))
-    return spark.read.parquet(out)
+    emitted = spark.read.schema(SC.BARS).parquet(out)
+    landed = spark.read.schema(SC.BARS).parquet(landing)
+    return emitted.unionByName(J.closing_windows(emitted, landed, 10).select(*SC.BARS.names))
+
+
+# ---- runs over the table layout ------------------------------------------------------
+
+@register("stream_to_portfolio",
+          W(PORT + PS.merge_ctes("pa", "upd"), PS.merge_sql("mc_j", P)), PORT_DOUBLES,
+          note="user ticks streamed, one day of some tickers late; bars, indicators and signals "
+               "land in the tables, late tickers repaired, and the portfolio step reads them")
+def stream_to_portfolio(spark, sf_dir):
+    root = scratch_path(spark, "layers-stream")
+    ticks = A.user_ticks(spark, sf_dir)
+    held_back = F.col("ticker").endswith("3") & (F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    landing, out = scratch_path(spark, "landing-tables"), scratch_path(spark, "stream-tables")
+    files = J.land_in_time_order(ticks.where(~held_back), landing, STREAM_CHUNKS, files_per_chunk=1)
+    ticks.where(held_back).coalesce(1).write.mode("append").parquet(landing)
+    no_cooldown = P.with_(cooldown_bars=-10**9)
+    J.run_indicator_stream(spark, landing, out, no_cooldown, max_files=files, cooldown=False,
+                           state_partitions=_state_parts(spark))
+    J.publish_stream(spark, out, spark.read.schema(SC.BARS).parquet(landing), root, 2, no_cooldown)
+    K.append_batch(A.portfolio_prev(spark, sf_dir), root, "portfolio_state", 1)
+    K.append_batch(_log_hist(K.read_layer(spark, root, "trade_signals")), root, "trade_log", 1)
+    port, _ = M.refresh_portfolio(spark, root, 2, A.as_of_lit(), P)
+    return port
+
+
+RUN_CTES = [O.EV, O.BARS_5M, O.SYMBOL_DIM, O.VENDOR_BARS,
+            ("landed", """
+              SELECT d.ticker, v."Datetime" AS timestamp, TRY_CAST(v."Open" AS DOUBLE) AS open,
+                     TRY_CAST(v."High" AS DOUBLE) AS high, TRY_CAST(v."Low" AS DOUBLE) AS low,
+                     TRY_CAST(v."Close" AS DOUBLE) AS close, TRY_CAST(v."Volume" AS BIGINT) AS volume
+              FROM vendor_bars v JOIN symbol_dim d ON v.symbol = d.symbol"""),
+            ("dirty_bars", RESAMPLE_BODY.replace("bars_5m", "landed")), *CLASSIFIED[3:],
+            ("run_bars", "SELECT ticker, timestamp, open, high, low, close, volume FROM cls WHERE rule IS NULL OR rule = 6"),
+            *O.indicator_ctes("run_bars"), *O.signal_ctes()]
+
+
+def _run_all(spark, sf_dir, root, run_id):
+    M.ingest_bars(spark, A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir), root, run_id, A.as_of_lit())
+    M.quality_checks(spark, root, run_id, A.as_of_lit())
+    M.refresh_signals(spark, root, run_id)
+    M.refresh_portfolio(spark, root, run_id, A.as_of_lit())
+
+
+@register("medallion_retry",
+          W(RUN_CTES, f"""
+            SELECT ticker, signal, signal_score, close AS price,
+                   CAST(CASE WHEN signal = 'BUY' THEN {P.buy_shares} ELSE 0 END AS BIGINT) AS quantity,
+                   CAST(0 AS DOUBLE) AS pnl_realized, stop_loss, take_profit, timestamp
+            FROM sig QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY timestamp DESC, signal DESC) = 1"""),
+          TRADE_DOUBLES, note="all four steps run twice with one run id: the trade log is that of one run")
+def medallion_retry(spark, sf_dir):
+    root = scratch_path(spark, "layers-retry")
+    for _ in range(2):
+        _run_all(spark, sf_dir, root, 1)
+    return K.read_layer(spark, root, "trade_log").drop("trade_id", "created_at")
+
+
+@register("reset_then_ingest",
+          W(RUN_CTES, """
+            SELECT 'raw_market_data' AS tbl, count(*) AS rows FROM run_bars
+            UNION ALL SELECT 'technical_indicators', 0 UNION ALL SELECT 'trade_signals', 0
+            UNION ALL SELECT 'portfolio_state', 0
+            UNION ALL SELECT 'trade_log', count(DISTINCT ticker) FROM sig"""),
+          note="a full run, the guarded reset, and an ingest into the emptied layers")
+def reset_then_ingest(spark, sf_dir):
+    root = scratch_path(spark, "layers-reset")
+    _run_all(spark, sf_dir, root, 1)
+    K.reset_layers(spark, root, confirm=True)
+    M.ingest_bars(spark, A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir), root, 2, A.as_of_lit())
+    names = ["raw_market_data", "technical_indicators", "trade_signals", "portfolio_state", "trade_log"]
+    return SV.layer_counts(**{n: K.read_layer(spark, root, n) for n in names})
 
 
 # ---- SNK-4: keyed upsert of indicators (a recomputation over a later window) ---------

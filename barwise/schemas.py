@@ -66,10 +66,5 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def keep_existing(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Keep the listed columns that exist, in the listed order."""
-    return df.select(*[c for c in wanted if c in df.columns])
-
-
 def empty(spark, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.broadcast import small_side
+from ..functions.broadcast import checked_broadcast
 
 # Layout of landed vendor rows in text formats (csv / json): numbers stay text until
 # ``typed_decode`` so one bad value becomes a null instead of failing the read.
@@ -44,22 +44,50 @@ def typed_decode(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
+#: Symbol dimensions up to this size are broadcast; their rows are counted first.
+MAX_SYMBOLS = 20_000
+
+
+def _decoded(raw: DataFrame) -> DataFrame:
+    renamed = raw.withColumnsRenamed({k: v for k, v in VENDOR_NAMES.items() if k in raw.columns})
+    return typed_decode(renamed, schemas.BARS)
+
+
 def conform_vendor(raw: DataFrame, symbol_dim: DataFrame, symbol_col: str = "symbol") -> DataFrame:
     """Rename, decode and map vendor rows to (ticker, timestamp, open..volume).
 
-    Rows whose symbol is not in the dimension are dropped (inner join); the dimension is
-    one row per tracked symbol, and AQE broadcasts it once its real size is known.
+    Rows whose symbol is not in the dimension or whose time can't be decoded have no place
+    in the bar table; ``rejected_rows`` reports them. The landed rows are not shuffled: the
+    dimension (one row per tracked symbol) is broadcast if it has ``MAX_SYMBOLS`` rows or
+    fewer, which is checked, and joined by the planner's choice otherwise.
     """
-    renamed = raw.withColumnsRenamed({k: v for k, v in VENDOR_NAMES.items() if k in raw.columns})
-    decoded = typed_decode(renamed, schemas.BARS)
-    mapped = decoded.join(small_side(symbol_dim), symbol_col, "inner")
+    mapped = _decoded(raw).where(F.col("timestamp").isNotNull()) \
+        .join(checked_broadcast(symbol_dim, MAX_SYMBOLS), symbol_col, "inner")
     return schemas.conform(mapped, schemas.BARS)
 
 
 def missing_sources(raw: DataFrame, symbol_dim: DataFrame, symbol_col: str = "symbol") -> DataFrame:
     """SRC-4: a MISSING_BARS event (count 0) for each tracked symbol with no rows."""
-    absent = symbol_dim.join(raw.select(symbol_col), symbol_col, "left_anti")
+    seen = raw.groupBy(symbol_col).agg(F.count(F.lit(1)).alias("_rows"))
+    absent = symbol_dim.join(seen, symbol_col, "left").where(F.col("_rows").isNull())
     return absent.select(
         F.lit("MISSING_BARS").alias("event_type"), "ticker",
         F.format_string("No data returned for %s", F.col(symbol_col)).alias("message"),
         F.lit(0).alias("bar_count"))
+
+
+def rejected_rows(raw: DataFrame, symbol_dim: DataFrame, symbol_col: str = "symbol") -> DataFrame:
+    """One event for each tracked symbol with rows whose time can't be decoded
+    (UNDECODED_TIME), and one for each symbol outside the dimension (UNMAPPED_SYMBOL)."""
+    counts = _decoded(raw).groupBy(symbol_col).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("timestamp").isNull()).alias("_undecoded"))
+    dim = symbol_dim.select(F.col(symbol_col).alias("_symbol"), "ticker")
+    j = counts.join(dim, F.col(symbol_col) == F.col("_symbol"), "left")
+    unmapped = F.col("_symbol").isNull()
+    name = F.coalesce(F.col(symbol_col), F.lit("<none>"))
+    return j.where(unmapped | (F.col("_undecoded") > 0)).select(
+        F.when(unmapped, "UNMAPPED_SYMBOL").otherwise("UNDECODED_TIME").alias("event_type"),
+        F.when(unmapped, name).otherwise(F.col("ticker")).alias("ticker"),
+        F.when(unmapped, F.format_string("%d rows of a symbol that is not tracked", "_rows"))
+        .otherwise(F.format_string("%d rows without a readable time", "_undecoded")).alias("message"),
+        F.when(unmapped, F.col("_rows")).otherwise(F.col("_undecoded")).cast("int").alias("bar_count"))

@@ -11,29 +11,40 @@ and re-delivery dedup with watermarks.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..config import DEFAULT, Params
 from ..operators import indicators as IND
 from ..operators import resample as RS
 from ..operators import signals as SIG
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..operators import sinks as K
+from ..operators import upsert as U
+from ..operators.sinks import read_if_present
+from ..session import drop_path, ensure_checkpoint_dir, scratch_path
 from .processor import OUTPUT, RollingIndicatorProcessor
 
+COOLDOWN = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("signal", T.StringType()),
+                         T.StructField("last_signal_time", T.TimestampNTZType()), T.StructField("v", T.LongType())])
+METRIC_COLS = ["batch_id", "indicators", "signals", "buy", "sell"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def land_in_time_order(df: DataFrame, path: str, chunks: int, ts_col: str = "timestamp",
-                       files_per_chunk: int = 1, key: str = "ticker") -> int:
+                       files_per_chunk: int = 1, key: str = "ticker", empty_after: int | None = None,
+                       repeat_last: str | None = None) -> int:
     """Write ``df`` as ``chunks`` consecutive time slices, one append each, so file
     modification order equals time order (the file source reads files in that order).
     Within a slice rows are hash-partitioned by ``key``: one key's rows of a slice land
-    in one file. Returns the number of files per slice (for ``maxFilesPerTrigger``)."""
+    in one file. ``empty_after`` adds an empty file after that slice, ``repeat_last`` lands
+    each slice's last rows (an interval up to its newest) again. Returns the number of files
+    per slice (for ``maxFilesPerTrigger``)."""
     df = df.persist()
     span = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     lo, hi = span["lo"], span["hi"]
@@ -49,22 +60,30 @@ def land_in_time_order(df: DataFrame, path: str, chunks: int, ts_col: str = "tim
             cond = cond & (F.col(ts_col) >= F.lit(bounds[i]))
         if bounds[i + 1] is not None:
             cond = cond & (F.col(ts_col) < F.lit(bounds[i + 1]))
-        (df.where(cond).repartition(files_per_chunk, key)
-         .write.mode("append").parquet(path))
+        part = df.where(cond)
+        spread = part.coalesce(1) if files_per_chunk == 1 else part.repartition(files_per_chunk, key)
+        spread.write.mode("append").parquet(path)
+        if i == empty_after:
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+        if repeat_last:
+            newest = part.agg(F.max(ts_col).alias("t")).first()["t"]
+            again = F.col(ts_col) > F.lit(newest) - F.expr(f"INTERVAL {repeat_last}")
+            part.where(again).coalesce(1).write.mode("append").parquet(path)
     df.unpersist()
     return files_per_chunk
 
 
-DEFAULT_MAX_FILES = 64
+#: Bytes of landed files that a micro-batch takes (about 60 bytes a bar before compression).
+DEFAULT_MAX_BYTES = "128m"
 
 
-def bar_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """The landing zone as a stream. ``maxFilesPerTrigger`` is always set (default
-    ``DEFAULT_MAX_FILES``): it bounds a micro-batch, and so the rows one ticker hands to
-    the state update at once, also for ``availableNow`` runs over a large backlog."""
-    return (spark.readStream.schema(schemas.BARS)
-            .option("maxFilesPerTrigger", max_files or DEFAULT_MAX_FILES)
-            .parquet(landing))
+def bar_stream(spark: SparkSession, landing: str, max_files: int | None = None,
+               max_bytes: str = DEFAULT_MAX_BYTES) -> DataFrame:
+    """The landing zone as a stream. A micro-batch is always bounded, by bytes or, where
+    ``max_files`` is given, by files: this bounds the rows that one ticker hands to the state
+    update at once, also for ``availableNow`` runs over a large backlog."""
+    bound = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", max_bytes)
+    return spark.readStream.schema(schemas.BARS).option(*bound).parquet(landing)
 
 
 def indicator_stream(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -88,14 +107,19 @@ class BatchSinks:
     out: str
     p: Params = DEFAULT
     cooldown: bool = True
-    metrics: list = field(default_factory=list)
+    #: The latest micro-batches' counts; a continuous stream keeps no longer history.
+    metrics: deque = field(default_factory=lambda: deque(maxlen=1000))
     query: object = None
 
-    def _read(self, spark, path):
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
+    def _last_times(self, spark, batch_id: int) -> DataFrame | None:
+        """(ticker, signal, last_signal_time) as of the newest version before this batch;
+        empty micro-batches write no version, so its number may be any smaller one."""
+        stored = read_if_present(spark, f"{self.out}/cooldown", COOLDOWN)
+        if stored is None:
             return None
+        earlier = stored.where(F.col("v") < batch_id)
+        newest = earlier.agg(F.max("v").alias("v")).first()["v"]
+        return None if newest is None else earlier.where(F.col("v") == newest).drop("v")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -113,7 +137,7 @@ class BatchSinks:
             late.write.mode("overwrite").parquet(f"{self.out}/late/batch_id={batch_id}")
 
             sig = SIG.signals(ind, self.p)
-            prev = self._read(spark, f"{self.out}/cooldown/v={batch_id - 1}") if self.cooldown else None
+            prev = self._last_times(spark, batch_id) if self.cooldown else None
             if prev is not None:
                 sig = SIG.apply_cooldown(sig, prev.withColumnRenamed("last_signal_time", "timestamp"),
                                          self.p).select(*SIG.SIGNAL_COLS)
@@ -166,16 +190,21 @@ def run_indicator_stream(spark: SparkSession, landing: str, out: str, p: Params
     return sinks
 
 
+OUTPUTS = {"silver": schemas.INDICATORS, "gold": schemas.SIGNALS,
+           "late": T.StructType([f for f in schemas.INDICATORS.fields if f.name in ("ticker", "timestamp", "close")])}
+
+
 def read_output(spark: SparkSession, out: str, layer: str) -> DataFrame:
-    """Read one sink layer (silver / gold / late) across all batches."""
-    return spark.read.parquet(f"{out}/{layer}").drop("batch_id")
+    """One sink layer (silver / gold / late) across all batches; empty before the first."""
+    df = read_if_present(spark, f"{out}/{layer}", OUTPUTS[layer])
+    return schemas.empty(spark, OUTPUTS[layer]) if df is None else df.select(OUTPUTS[layer].names)
 
 
 def reconcile_late(bars: DataFrame, late: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Recompute, in batch, the indicators of every ticker that received a late bar
     (semi join on ticker), for an upsert into the indicator table."""
     touched = late.select("ticker").distinct()
-    return IND.indicators(bars.join(touched, "ticker", "left_semi"), p)
+    return IND.indicators_chunked(bars.join(touched, "ticker", "left_semi"), p, p.chunk_rows)
 
 
 def corrected_indicators(spark: SparkSession, out: str, bars: DataFrame,
@@ -183,16 +212,42 @@ def corrected_indicators(spark: SparkSession, out: str, bars: DataFrame,
     """The stream's indicator output with every ticker that received a late bar replaced
     by a batch recomputation over ``bars`` (the bar table, late bars included). Tickers
     without late bars keep the streamed rows; only the touched tickers are recomputed."""
-    silver = read_output(spark, out, "silver")
-    try:
-        late = read_output(spark, out, "late")
-    except AnalysisException:
-        return silver
+    silver, late = read_output(spark, out, "silver"), read_output(spark, out, "late")
     touched = late.select("ticker").distinct()
     kept = silver.join(touched, "ticker", "left_anti")
     return kept.unionByName(reconcile_late(bars, late, p))
 
 
+def publish_stream(spark: SparkSession, out: str, bars: DataFrame, root: str, run_id: int,
+                   p: Params = DEFAULT) -> None:
+    """Land a drained stream in the tables that the portfolio reads: its bars and indicators
+    are upserted, its signals appended under ``run_id``. Where late bars came, a ticker's
+    rows from its first late bar on are recomputed over the bar table first, indicators and
+    signals both (the signals against the cooldown of what was stored before). ``bars`` are
+    the landed bars. It can be repeated with its ``run_id``."""
+    key = schemas.BAR_KEY
+    U.upsert_path(spark, bars, K.table_path(root, "raw_market_data"), key)
+    first_late = read_output(spark, out, "late").groupBy("ticker").agg(F.min("timestamp").alias("first_new"))
+    stage = scratch_path(spark, "late-tickers")
+    first_late.write.parquet(stage)
+    first_late = spark.read.schema(first_late.schema).parquet(stage)
+
+    def before_late(df: DataFrame) -> DataFrame:
+        late = first_late.withColumnRenamed("ticker", "_t")
+        return df.join(late, df["ticker"] == late["_t"], "left") \
+            .where(F.col("first_new").isNull() | (F.col("timestamp") < F.col("first_new"))).drop("_t", "first_new")
+
+    repaired = IND.indicators_from(K.read_layer(spark, root, "raw_market_data"), first_late, p, p.chunk_rows)
+    silver = before_late(read_output(spark, out, "silver")).unionByName(repaired)
+    U.upsert_path(spark, silver, K.table_path(root, "technical_indicators"), key)
+    kept = before_late(read_output(spark, out, "gold"))
+    stored = K.read_layer(spark, root, "trade_signals", but_batch=run_id).unionByName(kept)
+    again = SIG.apply_cooldown(SIG.signals(repaired, p), stored, p).select(*SIG.SIGNAL_COLS)
+    signals = kept.unionByName(again).checkpoint(eager=True)
+    K.append_batch(signals, root, "trade_signals", run_id)
+    drop_path(spark, stage)
+
+
 # ---- STR-7 / STR-8 -------------------------------------------------------------------
 
 def stream_resample(bars: DataFrame, minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
@@ -208,17 +263,35 @@ def stream_resample(bars: DataFrame, minutes: int = 10, delay: str = "10 minutes
         "open", "high", "low", "close", "volume")
 
 
+def closing_windows(emitted: DataFrame, bars: DataFrame, minutes: int = 10) -> DataFrame:
+    """The windows of a drained resample stream that no watermark has closed: the bars'
+    windows without an emitted row, resampled in batch. With ``emitted`` they are complete."""
+    start = F.window("timestamp", f"{minutes} minutes")["start"]
+    open_bars = bars.withColumn("_w", start.cast("timestamp_ntz")) \
+        .join(emitted.select("ticker", F.col("timestamp").alias("_w")), ["ticker", "_w"], "left_anti")
+    return RS.resample(open_bars.drop("_w"), minutes)
+
+
+def late_new_bars(kept: DataFrame, landed: DataFrame) -> DataFrame:
+    """Bars that a drained dedup stream dropped as older than its watermark though their key
+    was never delivered before: one row for each landed key without a kept row."""
+    missing = landed.join(kept.select(*schemas.BAR_KEY), schemas.BAR_KEY, "left_anti")
+    return U.dedup_by_key(missing, schemas.BAR_KEY).select(*landed.columns)
+
+
 def stream_dedup(bars: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop re-delivered bars (same ticker and time) seen within the watermark delay."""
+    """Drop re-delivered bars (same ticker and time) seen within the watermark delay. Bars
+    older than the watermark are dropped too, repeated or not: ``late_new_bars`` finds the
+    new ones among them."""
     ts = bars.withColumn("_ts", F.col("timestamp").cast("timestamp"))
     return (ts.withWatermark("_ts", delay)
             .dropDuplicatesWithinWatermark(["ticker", "_ts"]).drop("_ts"))
 
 
 def run_to_parquet(df: DataFrame, out: str, checkpoint: str | None = None,
-                   state_partitions: int | None = None) -> None:
+                   state_partitions: int | None = None) -> StreamingQuery:
     """Drain a streaming DataFrame into parquet with availableNow (``state_partitions``
-    as in ``run_indicator_stream``)."""
+    as in ``run_indicator_stream``); the ended query, for its progress."""
     spark = df.sparkSession
     before = spark.conf.get("spark.sql.shuffle.partitions")
     if state_partitions:
@@ -230,7 +303,4 @@ def run_to_parquet(df: DataFrame, out: str, checkpoint: str | None = None,
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, name)
+    return q

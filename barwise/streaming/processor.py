@@ -1,6 +1,6 @@
 """STR-1/2: per-ticker rolling state as a typed ``StatefulProcessor``.
 
-State per ticker: one typed ``ValueState`` holding the last ``tail_cap`` bars as
+State per ticker: one typed ``ValueState`` holding the last ``state_rows`` bars as
 parallel arrays (time in microseconds, high, low, close) and the number of bars seen,
 which keeps warm-up gates global. One read and one write per ticker and micro-batch. Each micro-batch is sorted by time; a bar not newer than the newest bar
 already in state (or repeated in the batch) is *late*: it is emitted with
@@ -32,6 +32,7 @@ def _to_us(ts: pd.Series) -> np.ndarray:
 
 class RollingIndicatorProcessor(StatefulProcessor):
     def __init__(self, p: Params = DEFAULT):
+        p.state_rows  # rejects a state shorter than the windows before the stream starts
         self.p = p
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -86,8 +87,8 @@ class RollingIndicatorProcessor(StatefulProcessor):
             extra["is_late"] = True
             out = pd.concat([out, extra], ignore_index=True)
 
-        # keep only the last ``tail_cap`` bars (state stays bounded whatever the batch size)
-        keep = self.p.tail_cap
+        # keep only the last ``state_rows`` bars (state stays bounded whatever the batch size)
+        keep = self.p.state_rows
         ts_all = np.concatenate([hist_ts, ts[~late]])[-keep:]
         self.tail.update((ts_all.tolist(), high[-keep:].tolist(), low[-keep:].tolist(),
                           close[-keep:].tolist(), seen + len(fresh)))

@@ -2,7 +2,7 @@
 
 It is the numpy twin of ``operators.indicators``: frame sums add the frame's values
 first to last (as Spark's sliding frame does), so stream and batch give the same
-doubles. It only ever sees one ticker's micro-batch plus at most ``tail_cap`` rows of
+doubles. Nulls (NaN) are skipped as Spark's aggregates do. It only ever sees one ticker's micro-batch plus at most ``state_rows`` rows of
 state, so its memory is bounded.
 """
 
@@ -26,6 +26,26 @@ def window_sum(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def window_total(x: np.ndarray, w: int) -> np.ndarray:
+    """``window_sum`` as Spark's SUM over a frame: nulls (NaN) are skipped, a frame without
+    a value is NaN."""
+    gap = np.isnan(x)
+    if not gap.any():
+        return window_sum(x, w)
+    n = window_sum((~gap).astype(float), w)
+    return np.where(n > 0, window_sum(np.where(gap, 0.0, x), w), np.nan)
+
+
+def window_mean(x: np.ndarray, w: int) -> np.ndarray:
+    """Spark's AVG over a full frame: the mean of the values that aren't null."""
+    gap = np.isnan(x)
+    if not gap.any():
+        return window_sum(x, w) / w
+    n = window_sum((~gap).astype(float), w)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n > 0, window_sum(np.where(gap, 0.0, x), w) / n, np.nan)
+
+
 def indicator_arrays(high: np.ndarray, low: np.ndarray, close: np.ndarray, first_n: int,
                      p: Params = DEFAULT) -> dict[str, np.ndarray]:
     """Indicators for every row of (history + new rows); ``first_n`` is the global
@@ -35,21 +55,21 @@ def indicator_arrays(high: np.ndarray, low: np.ndarray, close: np.ndarray, first
     ph = np.concatenate([[np.nan], high[:-1]])
     pl = np.concatenate([[np.nan], low[:-1]])
     delta = close - pc
-    gain = np.maximum(delta, 0.0)
-    loss = np.maximum(-delta, 0.0)
+    gain = np.fmax(delta, 0.0)  # an unknown change counts as none, as in the batch plan
+    loss = np.fmax(-delta, 0.0)
     tr = np.fmax(high - low, np.fmax(np.abs(high - pc), np.abs(low - pc)))
     vmp = np.abs(high - pl)
     vmn = np.abs(low - ph)
 
-    sma_s = window_sum(close, p.sma_short) / p.sma_short
-    sma_l = window_sum(close, p.sma_long) / p.sma_long
-    ag = window_sum(gain, p.rsi_period) / p.rsi_period
-    al = window_sum(loss, p.rsi_period) / p.rsi_period
+    sma_s = window_mean(close, p.sma_short)
+    sma_l = window_mean(close, p.sma_long)
+    ag = window_mean(gain, p.rsi_period)
+    al = window_mean(loss, p.rsi_period)
     with np.errstate(divide="ignore", invalid="ignore"):
         rsi = np.where(al > 0, 100.0 - 100.0 / (1.0 + ag / al), 100.0)
-        trs = window_sum(tr, p.vortex_period)
-        vp = np.where(trs > 0, window_sum(vmp, p.vortex_period) / trs, np.nan)
-        vn = np.where(trs > 0, window_sum(vmn, p.vortex_period) / trs, np.nan)
+        trs = window_total(tr, p.vortex_period)
+        vp = np.where(trs > 0, window_total(vmp, p.vortex_period) / trs, np.nan)
+        vn = np.where(trs > 0, window_total(vmn, p.vortex_period) / trs, np.nan)
     nan = np.nan
     return {
         "sma20": np.where(n >= p.sma_short, sma_s, nan),

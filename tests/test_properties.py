@@ -30,3 +30,34 @@ def test_chunked_equals_plain_on_random_series(spark, closes, chunk):
     chunked = round_doubles(IND.indicators_chunked(b, DEFAULT, chunk_rows=chunk))
     assert chunked.count() == len(closes)
     assert plain.exceptAll(chunked).count() == 0
+
+
+def test_null_keys_lose_no_rows(spark):
+    """Chunked = plain, and the carried and running forms keep rows, with null keys."""
+    import datetime as dt
+
+    from barwise.operators import serving as SV
+    from barwise.operators import validate as V
+    from barwise.plans.output import round_doubles
+    from helpers import T0, bars_df
+    bars = bars_df(spark, [100.0 + i % 11 for i in range(70)])
+    odd = bars_df(spark, [5.0], ticker=None).unionByName(
+        bars_df(spark, [6.0]).withColumn("timestamp", F.lit(None).cast("timestamp_ntz")))
+    every = bars.unionByName(odd)
+    plain, chunked = IND.indicators(every), IND.indicators_chunked(every, chunk_rows=60)
+    assert plain.count() == chunked.count() == 72
+    assert round_doubles(chunked).exceptAll(round_doubles(plain)).count() == 0
+    assert V.classify(every).count() == 72
+    log = spark.createDataFrame([(None, 3.0), (T0, 8.0), (T0 + dt.timedelta(days=2), 1.0)],
+                                "timestamp timestamp_ntz, pnl_realized double")
+    got, want = SV.equity_curve(log), SV.equity_curve_plain(log)
+    assert got.count() == 3 and got.exceptAll(want).count() == 0
+
+
+def test_gaps_do_not_depend_on_the_bucket(spark, sf_dir):
+    from barwise.config import DEFAULT
+    from barwise.operators import quality as Q
+    from barwise.sources import adapters as A
+    bars = A.bars_10m(spark, sf_dir)
+    day, hour = (Q.intraday_gaps(bars, DEFAULT.with_(order_bucket=b)) for b in ("day", "hour"))
+    assert day.count() == hour.count() > 100 and day.exceptAll(hour).count() == 0

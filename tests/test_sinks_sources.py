@@ -71,12 +71,10 @@ def test_event_marks_and_unknown_type(spark):
     assert marks == {"GAP_DETECTED": "G", "OHLC_INCONSISTENCY": "?", "API_ERROR": "X"}
 
 
-def test_keep_existing_and_bounded_broadcast(spark):
-    from barwise.functions.broadcast import bounded_broadcast
-    df = spark.createDataFrame([("A", 1.0)], "ticker string, close double")
-    assert schemas.keep_existing(df, ["close", "missing", "ticker"]).columns == ["close", "ticker"]
-    hinted = bounded_broadcast(df, max_rows=13)
+def test_broadcast_needs_a_checked_size(spark):
+    from barwise.functions.broadcast import checked_broadcast
+    df = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C", 3.0)], "ticker string, close double")
+    hinted = checked_broadcast(df, max_rows=3)
     plan = hinted.join(df, "ticker")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
-    unbounded = bounded_broadcast(df, max_rows=10**9)
-    assert unbounded is df
+    assert checked_broadcast(df, max_rows=2) is df

@@ -101,3 +101,57 @@ def test_state_partitions_option(spark):
     J.run_indicator_stream(spark, landing, out, cooldown=False, state_partitions=3)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert J.read_output(spark, out, "silver").count() == 20
+
+
+def test_empty_batches_do_not_reset_the_cooldown(spark, sf_dir):
+    bars = A.bars_10m(spark, sf_dir)
+    counts = []
+    for empty_after in (None, 0):
+        landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+        J.land_in_time_order(bars, landing, 2, empty_after=empty_after)
+        J.run_indicator_stream(spark, landing, out, max_files=1, cooldown=True)
+        counts.append(J.read_output(spark, out, "gold").count())
+    assert counts[0] == counts[1]
+
+
+def test_dedup_drops_repeats_and_finds_new_late_bars(spark):
+    landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+    bars = bars_df(spark, [float(i) for i in range(1, 91)])
+    new_late = bars_df(spark, [7.5], start=T0 + dt.timedelta(minutes=5))
+    J.land_in_time_order(bars, landing, 3, repeat_last="1 hour")
+    new_late.coalesce(1).write.mode("append").parquet(landing)
+    q = J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "2 hours"), out)
+    dropped = sum(op["customMetrics"]["numDroppedDuplicateRows"]
+                  for p in q.recentProgress for op in p["stateOperators"])
+    assert dropped > 0
+    kept = spark.read.parquet(out)
+    assert kept.count() == 90
+    late = J.late_new_bars(kept, spark.read.schema(schemas.BARS).parquet(landing)).collect()
+    assert [r["close"] for r in late] == [7.5]
+
+
+def test_null_closes_are_skipped_alike_in_batch_and_stream(spark):
+    closes = [100 + (i * 7 % 13) for i in range(90)]
+    for i in (30, 31, 64):
+        closes[i] = None
+    bars = bars_df(spark, [None if c is None else float(c) for c in closes])
+    landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+    J.land_in_time_order(bars, landing, 3)
+    J.run_indicator_stream(spark, landing, out, max_files=1, cooldown=False)
+    got, want = (round_doubles(x) for x in (J.read_output(spark, out, "silver"), IND.indicators(bars)))
+    assert got.count() == 90 and got.exceptAll(want).count() == 0
+    assert want.where("sma20 is not null and sma50 is not null").count() > 30
+
+
+def test_state_follows_the_windows(spark):
+    import pytest
+    from barwise.config import DEFAULT
+    p = DEFAULT.with_(sma_long=100)
+    bars = bars_df(spark, [100.0 + i % 17 for i in range(220)])
+    landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+    J.land_in_time_order(bars, landing, 4)
+    J.run_indicator_stream(spark, landing, out, p, max_files=1, cooldown=False)
+    got, want = (round_doubles(x) for x in (J.read_output(spark, out, "silver"), IND.indicators(bars, p)))
+    assert got.exceptAll(want).count() == 0 and want.where("sma50 is not null").count() == 121
+    with pytest.raises(ValueError):
+        J.RollingIndicatorProcessor(p.with_(tail_cap=55))

@@ -64,7 +64,7 @@ def test_gap_and_freshness(spark):
     assert [r["gap_minutes"] for r in g] == [30, 30]
     asof = F.lit("2024-01-04 10:30:00").cast("timestamp_ntz")
     f = Q.freshness(b, asof).collect()
-    assert f[0]["message"] == "Latest bar is 48.0h old. Last: 2024-01-02 10:30:00"
+    assert f[0]["message"] == "newest bar is 48.0 hours old (2024-01-02 10:30:00)"
     assert Q.freshness(b, F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")).count() == 0
 
 
