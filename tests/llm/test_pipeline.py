@@ -53,7 +53,7 @@ def test_lcs():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
-        assert decontamination.lcs_length(a, b) == t[-1, -1]
+        assert decontamination.lcs_length(decontamination.places_of(a.tolist()), len(a), b.tolist()) == t[-1, -1]
 
 
 def test_pipeline(spark, tmp_path):
