@@ -130,18 +130,30 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         .union(edges.select("v", "v")).distinct()
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+
+
 def similarities(pairs: DataFrame, sets: DataFrame, expand: Expand, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of num / den or more."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                left, right = (expand(part.column(part.schema.get_field_index(x))) for x in ("va", "vb"))
-                keep = np.zeros(part.num_rows, bool)
-                for i, (x, y) in enumerate(zip(left, right)):
-                    if max(len(x), len(y)) * num <= min(len(x), len(y)) * den:
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[i] = common * (den + num) >= (len(x) + len(y)) * num
+                a, b = (np.asarray(part.column(x)) for x in ("a", "b"))
+                # a head comes with many members: each id's set is expanded once
+                ids, first, of = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+                values = pa.concat_arrays([part.column("va"), part.column("vb")]).take(pa.array(first))
+                sets = expand(values)
+                left, right = of[:len(a)], of[len(a):]
+                size = np.array([len(x) for x in sets], np.int64)
+                x, y = size[left], size[right]
+                keep = np.maximum(x, y) * num <= np.minimum(x, y) * den
+                for i in np.flatnonzero(keep).tolist():
+                    common = overlap(sets[left[i]], sets[right[i]])
+                    keep[i] = common * (den + num) >= (x[i] + y[i]) * num
                 if keep.any():
                     yield part.select(["a", "b"]).filter(pa.array(keep))
 
@@ -187,7 +199,7 @@ def block_links(comp: np.ndarray, out: np.ndarray, left: np.ndarray, right: np.n
         for k in j.tolist():
             if label[k] == label[i]:
                 continue
-            common = len(np.intersect1d(grams[i], grams[k], assume_unique=True))
+            common = overlap(grams[i], grams[k])
             if common * (den + num) >= (size[i] + size[k]) * num:
                 links.append((int(i), k))
                 label[label == label[k]] = label[i]
