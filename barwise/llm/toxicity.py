@@ -7,8 +7,8 @@
    span is a lattice (a sign can stand for a letter, be noise or a gap; a repeated letter or
    a separator can be dropped), and the Viterbi path under the character model and the
    channel's costs is the restored text.
-3. The words of the plain and of the restored text are scored with a logistic model whose
-   words and weights are learned from labelled rows.
+3. The words of the plain and of the restored text are scored with a logistic model over
+   words and word beginnings (inflected forms share one), learned from labelled rows.
 
 Labels are read only of rows whose crc32 of the id as text modulo 3 is not 1, and of at most
 ``max_labels`` such rows (chosen by the id's hash): this bounds what the driver fits on.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import SPACED, Chunk, byte_table, chunks, runs, word_hashes, words
+from .textarrays import SPACED, Chunk, Words, byte_table, chunks, runs, words
 
 #: Bytes of words made of letters; texts are lower-cased before.
 LETTERS = byte_table((0x00, 0x60), (0x7B, 0x7F))
@@ -50,6 +50,15 @@ _CLASS[0x61:0x7B] = np.arange(1, 27)
 _CLASS[0x80:] = 27
 
 
+#: Lengths in characters of the word beginnings that are tried besides whole words.
+BEGINNINGS = range(4, 9)
+
+
+def features(word: str) -> list[str]:
+    """The word, and its beginnings marked by a star."""
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
+
+
 def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
@@ -157,7 +166,7 @@ class _Restorer:
 
 
 def _word_rows(model: np.ndarray):
-    """(id, word): the distinct plain and restored words of each text."""
+    """(id, word, form): the features of the distinct plain and restored words (forms) of each text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _Restorer(model)
         for batch in batches:
@@ -168,14 +177,21 @@ def _word_rows(model: np.ndarray):
                 pairs = {(r, raw[a:b].decode(errors="replace"))
                          for r, a, b in zip(w.row.tolist(), w.first.tolist(), w.end.tolist())}
                 pairs |= {(r, x) for r, span in suspicious(c) for x in restorer.words(span)}
+                rows = [(ids[c.start + r], f, x) for r, x in pairs for f in features(x)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[c.start + r] for r, _ in pairs], pa.int64()),
-                     pa.array([x for _, x in pairs], pa.string())], names=["id", "word"])
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
+                     pa.array([r[2] for r in rows], pa.string())], names=["id", "word", "form"])
     return task
 
 
+def evidence(best: float, words: float) -> float:
+    """A text's evidence: the sum of its flagged whole words' weights, and at least its
+    strongest feature's."""
+    return max(best, words)
+
+
 class Model:
-    """Flagged words with their weights, and the logistic curve over a text's sum of weights."""
+    """Flagged features with their weights, and the logistic curve over a text's evidence."""
 
     def __init__(self, weights: dict[str, float], slope: float, offset: float):
         self.weights, self.slope, self.offset = weights, slope, offset
@@ -200,48 +216,59 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_labels: int = 20_000, min_support: int = 5) -> Model | None:
+        label_col: str = "toxic", max_labels: int = 8000, min_support: int = 4) -> Model | None:
     """The scoring model, from at most ``max_labels`` labelled rows that are not held out.
 
-    Words are chosen one by one: each time the word that covers the most toxic texts not
-    yet covered (clean ones count against it five times), until less than ``min_support``
-    texts or a hundredth of the toxic ones are gained."""
+    A word is flagged if four fifths of the texts that hold it are toxic (a word beginning: 97
+    of 100) and its support is significant among all that were tried: support * log(share / base rate) is at least
+    log(words) + 2. Support counts unlike texts only: texts are told apart by the least hash
+    of their words under three hash functions, and the smallest of the three numbers of
+    different values counts, so the words of a much copied toxic text aren't flagged."""
     sample = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")) \
         .where("id is not null and y is not null").where(~held_out("id")) \
         .orderBy(F.xxhash64("id"), "id", "y").limit(max_labels)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # copies of a text count once
     found = texts.where("text is not null").join(F.broadcast(sample), "id").groupBy("text") \
-        .agg(F.min("id").alias("id"), F.max("y").alias("y"))
-    found = found.persist()
+        .agg(F.min("id").alias("id"), F.max("y").alias("y")).persist()
     try:
+        forms = found.select("id", "text").mapInArrow(_word_rows(model), "id long, word string, form string").persist()
+        # a beginning must stand for several forms: else the whole word says all
+        several = forms.where("word like '%*'").groupBy("word").agg(F.countDistinct("form").alias("forms")) \
+            .where("forms >= 4").select("word")
+        pairs = forms.select("id", "word").distinct()
+        pairs = pairs.where("word not like '%*'").union(pairs.join(several, "word").select("id", "word")) \
+            .join(found.select("id", "y"), "id").persist()
         y = {r.id: r.y for r in found.select("id", "y").collect()}
         n_toxic = sum(y.values())
         if not n_toxic or n_toxic == len(y):
             return None
-        pairs = found.select("id", "text").mapInArrow(_word_rows(model), "id long, word string").distinct() \
-            .join(found.select("id", "y"), "id").persist()
+        signs = {r.id: (r.a, r.b, r.c) for r in pairs.groupBy("id").agg(
+            *(F.min(F.xxhash64("word", F.lit(k))).alias(x) for k, x in enumerate("abc"))).collect()}
+        words_tried = pairs.select("word").distinct().count()
         useful = pairs.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")) \
-            .where((F.col("t") >= min_support) & (F.col("t") >= 0.8 * F.col("n")))
-        cover: dict[str, set] = {}
+            .where((F.col("t") >= min_support)
+                   & (F.col("t") >= F.when(F.col("word").endswith("*"), 0.97).otherwise(0.8) * F.col("n")))
+        holders: dict[str, list] = {}
         for r in pairs.join(useful, "word").select("word", "id").collect():
-            cover.setdefault(r.word, set()).add(r.id)
+            holders.setdefault(r.word, []).append(r.id)
         pairs.unpersist()
+        forms.unpersist()
     finally:
         found.unpersist()
-    least, left, weights, total = max(min_support, n_toxic / 100), dict(y), {}, dict.fromkeys(y, 0.0)
-    while cover:
-        gain = {x: sum((1 if left[i] else -5) for i in ids if i in left) for x, ids in cover.items()}
-        word = min(gain, key=lambda x: (-gain[x], x))
-        if gain[word] < least:
-            break
-        ids = cover.pop(word)
+    base, weights = n_toxic / len(y), {}
+    for word, ids in sorted(holders.items()):
         t = sum(y[i] for i in ids)
-        weights[word] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((len(ids) - t + 0.5) / (len(y) - n_toxic + 1))
-        for i in ids:
-            total[i] += weights[word]
-            if y[i]:
-                left.pop(i, None)
+        support = min(len({signs[i][k] for i in ids if y[i]}) for k in range(3))
+        if support >= min_support and support * math.log(t / len(ids) / base) >= math.log(words_tried) + 2:
+            weights[word] = math.log((t + 0.5) / (n_toxic + 1)) \
+                - math.log((len(ids) - t + 0.5) / (len(y) - n_toxic + 1))
+    best, whole = dict.fromkeys(y, 0.0), dict.fromkeys(y, 0.0)
+    for word, weight in weights.items():
+        for i in holders[word]:
+            best[i] = max(best[i], weight)
+            whole[i] += 0.0 if word.endswith("*") else weight
+    total = {i: evidence(best[i], whole[i]) for i in y}
     if not weights:
         return None
     ids = list(y)
@@ -252,40 +279,68 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
 def _scored(model: np.ndarray, scorer: Model | None):
     """(key, score, flagged, restored) for (key, text): flagged are the weighted words found,
     restored those of them that only decoding brought out."""
-    vocabulary = sorted(scorer.weights) if scorer else []
+    weights = scorer.weights if scorer else {}
+    by_length: dict[int, dict[str, float]] = {}  # 0: whole words
+    for name, weight in weights.items():
+        start = name.endswith("*")
+        by_length.setdefault(len(name) - 1 if start else 0, {})[name.rstrip("*")] = weight
+
+    def tables() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for k, entries in by_length.items():
+            own = next(chunks(pa.array(list(entries))))
+            h = own.span_hash(own.prefix_hash(), own.bounds[:-1], own.bounds[1:])
+            order = np.argsort(h)
+            out[k] = h[order], np.array(list(entries.values()))[order]
+        return out
+
+    def hits(c: Chunk, w: Words, lookup: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word number, weight, whole word?) of the flagged features of a chunk's words."""
+        prefix = c.prefix_hash()
+        chars = np.append(np.flatnonzero((c.data & 0xC0) != 0x80), len(c.data))
+        first = np.searchsorted(chars, w.first)
+        places, found, whole = [], [], []
+        for k, (table, weight) in lookup.items():
+            at = np.arange(len(w.first))
+            end = w.end
+            if k:
+                at = at[first + k < len(chars)]
+                at = at[chars[first[at] + k] <= w.end[at]]
+                end = chars[first[at] + k]
+            h = c.span_hash(prefix, w.first[at], end)
+            slot = np.minimum(np.searchsorted(table, h), len(table) - 1)
+            ok = table[slot] == h
+            places.append(at[ok])
+            found.append(weight[slot[ok]])
+            whole.append(np.full(int(ok.sum()), k == 0))
+        return tuple(np.concatenate(x) for x in (places, found, whole))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _Restorer(model)
-        weight = np.array([scorer.weights[x] for x in vocabulary]) if scorer else np.zeros(0)
-        index = {x: i for i, x in enumerate(vocabulary)}
-        table = hashed = None
-        if vocabulary:
-            own = next(chunks(pa.array(vocabulary)))
-            # a vocabulary word is one word, so its hash is that of its text
-            table = word_hashes(own, words(own, LETTERS))
-            order = np.argsort(table)
-            hashed = table[order]
+        restorer, lookup = _Restorer(model), tables()
         for batch in batches:
-            text_at = batch.schema.get_field_index("text")
-            for c in chunks(batch.column(text_at), lower=True):
-                flags = [set() for _ in range(len(c))]
-                decoded = [set() for _ in range(len(c))]
-                if vocabulary:
+            for c in chunks(batch.column(batch.schema.get_field_index("text")), lower=True):
+                flags: list[dict] = [{} for _ in range(len(c))]  # word -> (best weight, as a whole word)
+                decoded: list[dict] = [{} for _ in range(len(c))]
+                if lookup:
                     w = words(c, LETTERS)
-                    h = word_hashes(c, w)
-                    at = np.minimum(np.searchsorted(hashed, h), len(hashed) - 1)
-                    hit = np.flatnonzero(hashed[at] == h)
-                    for r, v in zip(w.row[hit].tolist(), order[at[hit]].tolist()):
-                        flags[r].add(v)
+                    raw = c.data.tobytes()
+                    for i, weight, whole in zip(*(x.tolist() for x in hits(c, w, lookup))):
+                        word = raw[w.first[i]:w.end[i]].decode(errors="replace")
+                        old = flags[w.row[i]].get(word, (0.0, 0.0))
+                        flags[w.row[i]][word] = max(old[0], weight), weight if whole else old[1]
                     for r, span in suspicious(c):
-                        decoded[r].update(index[x] for x in restorer.words(span) if x in index)
-                total = np.array([weight[list(f | g)].sum() for f, g in zip(flags, decoded)])
+                        for word in restorer.words(span):
+                            known = [weights[f] for f in features(word) if f in weights]
+                            if known and word not in flags[r]:
+                                decoded[r][word] = max(known), weights.get(word, 0.0)
+                both = [f | g for f, g in zip(flags, decoded)]
+                total = np.array([evidence(max((x for x, _ in f.values()), default=0.0), sum(x for _, x in f.values()))
+                                  for f in both])
                 score = scorer.probability(total) if scorer else np.zeros(len(c))
-                name = lambda found: sorted(vocabulary[i] for i in found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.start, len(c)), pa.array(score),
-                     pa.array([name(f | g) for f, g in zip(flags, decoded)], pa.list_(pa.string())),
-                     pa.array([name(g - f) for f, g in zip(flags, decoded)], pa.list_(pa.string()))],
+                     pa.array([sorted(f) for f in both], pa.list_(pa.string())),
+                     pa.array([sorted(g) for g in decoded], pa.list_(pa.string()))],
                     names=["id", "score", "flagged", "restored"])
     return task
 
