@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
 
     A word is flagged if four fifths of the texts that hold it are toxic (a word beginning: 97
     of 100) and its support is significant among all that were tried: support * log(share / base rate) is at least
-    log(words) + 2. Support counts unlike texts only: texts are told apart by the least hash
+    log(tried) + 2. Support counts unlike texts only: texts are told apart by the least hash
     of their words under three hash functions, and the smallest of the three numbers of
     different values counts, so the words of a much copied toxic text aren't flagged."""
     sample = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")) \
@@ -243,9 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
         n_toxic = sum(y.values())
         if not n_toxic or n_toxic == len(y):
             return None
-        signs = {r.id: (r.a, r.b, r.c) for r in pairs.groupBy("id").agg(
+        signs = {r.id: (r.a, r.b, r.c) for r in pairs.where("word not like '%*'").groupBy("id").agg(
             *(F.min(F.xxhash64("word", F.lit(k))).alias(x) for k, x in enumerate("abc"))).collect()}
-        words_tried = pairs.select("word").distinct().count()
+        tried = dict.fromkeys((False, True), 1) | {
+            r.star: r.n for r in pairs.groupBy(F.col("word").endswith("*").alias("star"))
+            .agg(F.countDistinct("word").alias("n")).collect()}
         useful = pairs.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")) \
             .where((F.col("t") >= min_support)
                    & (F.col("t") >= F.when(F.col("word").endswith("*"), 0.97).otherwise(0.8) * F.col("n")))
@@ -260,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
     for word, ids in sorted(holders.items()):
         t = sum(y[i] for i in ids)
         support = min(len({signs[i][k] for i in ids if y[i]}) for k in range(3))
-        if support >= min_support and support * math.log(t / len(ids) / base) >= math.log(words_tried) + 2:
+        if support >= min_support and support * math.log(t / len(ids) / base) >= math.log(tried[word.endswith("*")]) + 2:
             weights[word] = math.log((t + 0.5) / (n_toxic + 1)) \
                 - math.log((len(ids) - t + 0.5) / (len(y) - n_toxic + 1))
     best, whole = dict.fromkeys(y, 0.0), dict.fromkeys(y, 0.0)
