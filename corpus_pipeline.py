@@ -6,8 +6,8 @@ shared folder and read again. All stages but the last return the columns of ``do
 1. toxicity: documents whose restored text scores 0.7 or more go.
 2. line dedup: fuzzy copies of lines go, all but the first of the table; a document goes
    only if it had words and none are left.
-3. near duplicates: of each component of documents that share 0.8 of their five-word
-   n-grams, the one of the least doc_id stays.
+3. near duplicates: documents link at a Jaccard similarity of 0.9 of their five-word n-grams
+   (README: why not 0.8); of each component the one of the least doc_id stays.
 4. decontamination: documents that hold a benchmark item go.
 5. BPE: token ids and the digests of ids and decoded text, one row for each document.
 
@@ -43,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.ngram_components(docs, n=5, num=80, den=100)
+    classes = ngram_join.ngram_components(docs, n=5, num=90, den=100)
     copies = classes.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
