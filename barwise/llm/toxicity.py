@@ -216,7 +216,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_labels: int = 8000, min_support: int = 4) -> Model | None:
+        label_col: str = "toxic", max_labels: int = 5000, min_support: int = 4) -> Model | None:
     """The scoring model, from at most ``max_labels`` labelled rows that are not held out.
 
     A word is flagged if four fifths of the texts that hold it are toxic (a word beginning: 97
