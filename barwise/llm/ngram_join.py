@@ -9,6 +9,11 @@ sizes and are discarded without being computed. For pairs that meet, the overlap
 accumulated over all blocks (the exact intersection) and held against the threshold. In a
 row block of near copies the product is taken cell block by cell block (see ``linking``).
 
+There are some blocks more than that, so that linked documents agree on several; documents
+that share fewer blocks with others than a partner needs are discarded, and blocks of a
+single n-gram, which a common passage suffices to share, are left out where the count of
+blocks allows it.
+
 The number of blocks depends on the size: sizes are cut into intervals, and a document is
 also blocked as a member of the next interval if a partner there can be near enough.
 Documents with the same set are one row of the product (their first document).
@@ -34,7 +39,7 @@ from . import linking
 from .textarrays import SPACED, U64, Chunk, chunks, lists, mix, runs, word_hashes, words
 
 _LOW52 = U64((1 << 52) - 1)
-#: A document may have so many blocks without n-grams before agreeing on empty blocks counts.
+#: Spare blocks at least: linked documents agree on more blocks than these.
 SPARE = 2
 
 
@@ -64,68 +69,85 @@ def set_bits(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Sizes:
     """Set sizes cut into intervals, and the number of blocks of each."""
 
-    def __init__(self, num: int, den: int, widen: int = 3):
-        self.num, self.den, self.widen = num, den, widen
-        self.first, self.last, self.blocks = [1], [1], []
-        self.blocks.append(self._blocks(1))
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.first, self.last = [1], [1]
+        self.blocks, self.spare = ([x] for x in self._blocks(1))
 
-    def _blocks(self, most: int) -> int:
-        """More than the n-grams that only one of two linked sets can have, and SPARE.
-        0: sets of this size link only if they are the same."""
+    def _blocks(self, most: int) -> tuple[int, int]:
+        """(blocks, spare): one block more than the n-grams that only one of two linked sets
+        can have, and ``spare`` further ones, so that linked sets agree on more than
+        ``spare`` blocks. 0 blocks: sets of this size link only if they are the same."""
         apart = 2 * most * (self.den - self.num) // (self.den + self.num)
-        return apart + 1 + SPARE if apart else 0
+        spare = max(SPARE, apart // 4)
+        return (apart + 1 + spare, spare) if apart else (0, 0)
 
     def upto(self, n: int) -> None:
         while self.last[-1] < n:
             first = self.last[-1] + 1
-            last = max(first, int(first * (self.den / self.num) ** self.widen))
+            last = max(first, first * self.den // self.num)
             self.first.append(first)
             self.last.append(last)
-            self.blocks.append(self._blocks(last))
+            blocks, spare = self._blocks(last)
+            self.blocks.append(blocks)
+            self.spare.append(spare)
 
-    def roles(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(which rows, interval, blocks) for the own interval and for the next one."""
+    def roles(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which rows, interval, blocks, spare) for the own interval and for the next one."""
         if not len(n):
             return []
         self.upto(int(n.max()) * self.den // self.num + 1)
-        last, blocks = np.array(self.last), np.array(self.blocks)
+        last, blocks, spare = np.array(self.last), np.array(self.blocks), np.array(self.spare)
         own = np.searchsorted(last, n)
         reach = np.flatnonzero((n * self.den // self.num > last[own]) & (n > 0))
         out = []
         for at, interval in ((np.flatnonzero(n > 0), own), (reach, own + 1)):
             at = at[blocks[interval[at]] > 0]
-            out.append((at, interval[at], blocks[interval[at]]))
+            out.append((at, interval[at], blocks[interval[at]], spare[interval[at]]))
         return out
 
 
-def _signatures(row: np.ndarray, bits: np.ndarray, n: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature): a hash of each block of each row's set, for both its roles."""
-    rows, sigs = [], []
-    for at, interval, blocks in sizes.roles(n):
-        if not len(at):
-            continue
-        per_row = np.zeros(len(n), np.int64)
-        per_row[at] = blocks
-        kind = np.zeros(len(n), np.int64)
-        kind[at] = interval + 1
+def _signatures(row: np.ndarray, bits: np.ndarray, n: np.ndarray, sizes: Sizes) -> list[tuple]:
+    """For both roles (rows, signatures, need, parity): hashes of each row's blocks, how many
+    of them a partner must share, and the parity of the row's interval in this role, which is
+    also the signatures' last bit.
+
+    Linked sets agree on more than ``spare`` blocks. Blocks of one n-gram or none (small
+    ones) say little: a set with at most ``spare`` small blocks leaves them out, as it must
+    still share more than ``spare`` less its small blocks; a set with more emits all its
+    blocks, empty ones too, and must share one."""
+    out = []
+    for at, interval, blocks, spare in sizes.roles(n):
+        per_row, kind, spares = (np.zeros(len(n), np.int64) for _ in range(3))
+        per_row[at], kind[at], spares[at] = blocks, interval + 1, spare
         use = per_row[row] > 0
         r, b = row[use], bits[use]
         block = ((b >> U64(20)) * per_row[r].astype(U64)) >> U64(32)  # rises with the hash
         salt = mix(kind[r].astype(U64) * U64(0x1000003) + block)
         begin = runs(r, block)
-        sums = np.add.reduceat(mix(b ^ salt), begin)
-        rows.append(r[begin])
-        sigs.append(mix(sums ^ salt[begin]))
-        full = np.bincount(r[begin], minlength=len(n))
-        for x in at[per_row[at] - full[at] > SPARE]:  # rare: few n-grams, unluckily spread
-            empty = np.setdiff1d(np.arange(per_row[x]), block[begin][r[begin] == x].astype(np.int64))
+        need = np.zeros(len(n), np.int64)
+        if not len(begin):
+            out.append((np.zeros(0, np.int64), np.zeros(0, U64), need, kind & 1))
+            continue
+        sums = mix(np.add.reduceat(mix(b ^ salt), begin) ^ salt[begin])
+        large = np.diff(np.append(begin, len(r))) > 1
+        owner = r[begin]
+        small = per_row - np.bincount(owner[large], minlength=len(n))
+        few = small <= spares
+        need[at] = np.where(few, 1 + spares - small, 1)[at]
+        keep = large | ~few[owner]
+        rows, sigs = [owner[keep]], [sums[keep]]
+        for x in at[~few[at]]:
+            full = block[begin][owner == x].astype(np.int64)
+            empty = np.setdiff1d(np.arange(per_row[x]), full)
             rows.append(np.full(len(empty), x))
             sigs.append(mix(mix(U64(kind[x]) * U64(0x1000003) + empty.astype(U64)) ^ U64(0x5BD1E995)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    rows, sigs = np.concatenate(rows), np.concatenate(sigs)
-    order = np.argsort(rows, kind="stable")
-    return rows[order], sigs[order]
+        rows, sigs = np.concatenate(rows), np.concatenate(sigs)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        out.append((rows, (sigs[order] & ~U64(1)) | (kind[rows] & 1).astype(U64), need, kind & 1))
+    none = np.zeros(len(n), np.int64)
+    return out or [(np.zeros(0, np.int64), np.zeros(0, U64), none, none)] * 2
 
 
 def _incidence(n: int, num: int, den: int):
@@ -142,12 +164,17 @@ def _incidence(n: int, num: int, den: int):
                     if len(begin):
                         key[row[begin]] = np.add.reduceat(mix(bits ^ salt), begin)
                     keys.append(mix(key).view(np.int64))
-                owner, sigs = _signatures(row, bits, size, sizes)
+                (own, own_sigs, *own_need), (up, up_sigs, *up_need) = _signatures(row, bits, size, sizes)
+                needs = np.zeros((2, len(c)), np.int64)
+                for need, parity in (own_need, up_need):
+                    at = np.flatnonzero(need)
+                    needs[parity[at], at] = need[at]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.start, len(c)).cast(pa.int64()), pa.array(size), pa.array(keys[0]),
-                     pa.array(keys[1]),
-                     lists(sigs.view(np.int64), np.bincount(owner, minlength=len(c)), pa.int64())],
-                    names=["id", "size", "k1", "k2", "sigs"])
+                     pa.array(keys[1]), pa.array(needs[0]), pa.array(needs[1]),
+                     lists(own_sigs.view(np.int64), np.bincount(own, minlength=len(c)), pa.int64()),
+                     lists(up_sigs.view(np.int64), np.bincount(up, minlength=len(c)), pa.int64())],
+                    names=["id", "size", "k1", "k2", "need0", "need1", "sigs0", "sigs1"])
     return task
 
 
@@ -169,6 +196,18 @@ def set_values(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def _enough(members: DataFrame, needs: DataFrame) -> DataFrame:
+    """The (key, id) rows, of keys with several ids, of the ids that share as many keys of an
+    interval (an id's two intervals differ in the key's last bit) as a partner needs."""
+    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi") \
+        .select("key")
+    rows = members.join(shared, "key", "left_semi").withColumn("odd", F.col("key").bitwiseAND(1))
+    counts = rows.groupBy("id", "odd").agg(F.count("*").alias("n")).join(needs, "id") \
+        .where(F.col("n") >= F.when(F.col("odd") == 0, F.col("need0")).otherwise(F.col("need1"))) \
+        .select("id", "odd")
+    return rows.join(counts, ["id", "odd"], "left_semi").select("key", "id")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
                      num: int = 90, den: int = 100) -> DataFrame:
     """id_col, n_shingles, component_id for each row: documents link when their sets of word
@@ -177,13 +216,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     incidence = linking.landed(texts.mapInArrow(
-        _incidence(n, num, den), "id long, size long, k1 long, k2 long, sigs array<long>"), "incidence")
+        _incidence(n, num, den), "id long, size long, k1 long, k2 long, need0 long, need1 long, "
+                                 "sigs0 array<long>, sigs1 array<long>"), "incidence")
     classes = linking.landed(
         incidence.where("size > 0 and id is not null").groupBy("k1", "k2", "size").agg(F.min("id").alias("rep")),
         "classes")
-    blocks = incidence.select("id", F.explode("sigs").alias("sig"))
+    blocks = incidence.select("id", F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
     members = linking.landed(linking.shared_keys(blocks, "sig", "id"), "members")
-    members = members.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    needs = incidence.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi") \
+        .groupBy("id").agg(F.min("need0").alias("need0"), F.min("need1").alias("need1"))
+    for _ in range(3):  # who shares too few blocks links with nobody; without them, others do
+        members = linking.landed(_enough(members, needs), "members")
     grouped = linking.landed(linking.groups(members).select("key", "id", "head"), "groups")
     wanted = grouped.select("id").distinct()
     sets = linking.landed(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
