@@ -7,7 +7,7 @@ Encoding works on a piece of a partition at a time: its texts are split into wor
 byte-level pattern, and the distinct words not encoded before form one symbol array. An
 index maps every mergeable pair to all its positions in that array. The active ranks, those
 with positions, are taken in ascending order from a heap: all occurrences of the pair are
-merged at once, and the lists of the pairs that thereby vanish or appear are updated. That
+merged at once (leftmost first where they overlap), and the lists of the pairs that thereby vanish or appear are updated. That
 is the same result as merging each word by itself, since merges never cross words and a
 pair of a lower rank can't appear from merging one of a higher rank without being found in
 its turn. Token ids of words are kept by the task up to a fixed number of words.
@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import lists
+from .textarrays import lists, runs
 
 #: The split pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -59,77 +59,105 @@ class Vocabulary:
         self.bytes = {i: bytes(byte_of[ch] for ch in piece) for piece, i in ids.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: content.encode() for content, i in self.added.items()}
-        self.byte_id = [ids.get(ch, -1) for _, ch in sorted(byte_characters().items())]
-        #: (left id, right id) -> (rank, merged id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_id = np.array([ids[ch] for _, ch in sorted(byte_characters().items())], np.int64)
+        self.width = max(ids.values()) + 1
+        #: left id * width + right id -> (rank, merged id)
+        self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.merges.setdefault(ids[left] * self.width + ids[right], (rank, ids[left + right]))
         self.split_added = regex.compile("|".join(
             regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
 
 
-def encode_words(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
-    """Token ids of distinct words, by merging all their pairs together in order of rank."""
-    size = [len(p) for p in pieces]
-    byte_id = vocabulary.byte_id
-    symbol = [byte_id[b] for p in pieces for b in p]
-    n = len(symbol)
-    after = list(range(1, n + 1))  # the next symbol of the word, n at its end
-    ahead = list(range(-1, n - 1))  # the one before, -1 at its start
-    start, at = [], 0
-    for s in size:
-        start.append(at)
-        if s:
-            ahead[at] = -1
-            after[at + s - 1] = n
-        at += s
-    merges = vocabulary.merges
-    index: dict[tuple[int, int], list[int]] = {}
-    for i in range(n):
-        j = after[i]
-        if j < n:
-            pair = (symbol[i], symbol[j])
-            if pair in merges:
-                index.setdefault(pair, []).append(i)
-    heap = [(*merges[p], p) for p in index]
-    heapq.heapify(heap)
+def encode_words(pieces: list[bytes], vocabulary: Vocabulary, bulk: int = 24) -> list[list[int]]:
+    """Token ids of distinct words, by merging all their pairs together in order of rank.
+
+    Symbols of all words stand in one array, linked to their neighbours in the word. The index
+    maps a mergeable pair to its places; lists of ``bulk`` places or more are merged by array
+    operations, shorter ones one by one."""
+    if not pieces:
+        return []
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    n = len(data)
+    symbol = np.append(vocabulary.byte_id[data], -2)  # -2: beyond the end of a word, -1: merged away
+    stop = np.cumsum(sizes)
+    after = np.arange(1, n + 2)
+    after[stop[sizes > 0] - 1] = n
+    ahead = np.arange(-1, n)
+    ahead[(stop - sizes)[sizes > 0]] = -1
+    width, merges = vocabulary.width, vocabulary.merges
+    index: dict[int, list] = {}
+    heap: list[tuple[int, int, int]] = []
+
+    def add(codes: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(codes, kind="stable")
+        codes, places = codes[order], places[order]
+        begin = runs(codes)
+        for code, x, y in zip(codes[begin].tolist(), begin.tolist(), np.append(begin[1:], len(codes)).tolist()):
+            if code in merges:
+                if code not in index:
+                    index[code] = []
+                    heapq.heappush(heap, (*merges[code], code))
+                index[code].append(places[x:y])
+
+    def add_one(code: int, place: int) -> None:
+        if code in merges:
+            if code not in index:
+                index[code] = []
+                heapq.heappush(heap, (*merges[code], code))
+            index[code].append(place)
+
+    first = np.flatnonzero(after[:n] < n)
+    add(symbol[first].astype(np.int64) * width + symbol[after[first]], first)
     while heap:
-        _, new, pair = heapq.heappop(heap)
-        left, right = pair
-        places = index.pop(pair, None)
-        if not places:
+        _, new, code = heapq.heappop(heap)
+        found = index.pop(code, None)
+        if not found:
             continue
-        places.sort()  # from left to right, as overlapping occurrences need
-        for i in places:
-            j = after[i]
-            if symbol[i] != left or j >= n or symbol[j] != right:
-                continue  # merged away meanwhile
-            symbol[i] = new
-            symbol[j] = -1
-            k = after[i] = after[j]
-            if k < n:
-                ahead[k] = i
-                p = (new, symbol[k])
-                if p in merges:
-                    if p not in index:
-                        index[p] = [i]
-                        heapq.heappush(heap, (*merges[p], p))
-                    else:
-                        index[p].append(i)
-            h = ahead[i]
-            if h >= 0:
-                p = (symbol[h], new)
-                if p in merges:
-                    if p not in index:
-                        index[p] = [h]
-                        heapq.heappush(heap, (*merges[p], p))
-                    else:
-                        index[p].append(h)
-    out = []
-    for s, a in zip(size, start):
-        out.append([x for x in symbol[a:a + s] if x >= 0])
-    return out
+        left, right = divmod(code, width)
+        places = np.unique(np.concatenate([np.atleast_1d(x) for x in found])) if len(found) > 1 \
+            else np.atleast_1d(found[0])
+        if len(places) < bulk:
+            for i in places.tolist():
+                j = int(after[i])
+                if symbol[i] != left or symbol[j] != right:
+                    continue  # merged away meanwhile
+                k, h = int(after[j]), int(ahead[i])
+                symbol[i], symbol[j] = new, -1
+                after[i] = k
+                if k < n:
+                    ahead[k] = i
+                    add_one(new * width + int(symbol[k]), i)
+                if h >= 0:
+                    add_one(int(symbol[h]) * width + new, h)
+            continue
+        j = after[places]
+        ok = (symbol[places] == left) & (symbol[j] == right)
+        places, j = places[ok], j[ok]
+        if left == right and len(places):
+            # overlapping occurrences: every other one of a run, from its left end
+            chain = np.append(True, places[1:] != j[:-1])
+            start = np.flatnonzero(chain)
+            ok = (np.arange(len(places)) - start[np.cumsum(chain) - 1]) % 2 == 0
+            places, j = places[ok], j[ok]
+        if not len(places):
+            continue
+        k = after[j]
+        symbol[places], symbol[j] = new, -1
+        after[places] = k
+        inner = k < n
+        ahead[k[inner]] = places[inner]
+        h = ahead[places]
+        back = h >= 0
+        add(np.concatenate([new * width + symbol[k[inner]].astype(np.int64),
+                            symbol[h[back]].astype(np.int64) * width + new]),
+            np.concatenate([places[inner], h[back]]))
+    alive = np.flatnonzero(symbol[:n] >= 0)
+    cut = np.searchsorted(alive, stop)
+    ids = symbol[alive].tolist()
+    return [ids[x:y] for x, y in zip([0, *cut[:-1].tolist()], cut.tolist())]
 
 
 class Codec:
