@@ -74,11 +74,11 @@ def land_in_time_order(df: DataFrame, path: str, chunks: int, ts_col: str = "tim
 
 
 #: Bytes of landed files that a micro-batch takes (about 60 bytes a bar before compression).
-DEFAULT_MAX_BYTES = "128m"
+DEFAULT_MAX_BYTES = 128 << 20
 
 
 def bar_stream(spark: SparkSession, landing: str, max_files: int | None = None,
-               max_bytes: str = DEFAULT_MAX_BYTES) -> DataFrame:
+               max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
     """The landing zone as a stream. A micro-batch is always bounded, by bytes or, where
     ``max_files`` is given, by files: this bounds the rows that one ticker hands to the state
     update at once, also for ``availableNow`` runs over a large backlog."""
