@@ -184,7 +184,9 @@ def block_links(comp: np.ndarray, out: np.ndarray, left: np.ndarray, right: np.n
     as in elements. Pairs below that bound, of the wrong sizes or already in one component
     are discarded; the overlap of the others is counted in full."""
     size = np.array([len(g) for g in grams], np.int64)
-    bits = int(np.clip(np.ceil(np.log2(max(2, size.max()))) , 6, 12))
+    # twice as many narrow blocks as linked sets can differ in
+    most = 2 * int(size.max()) * (den - num) // (den + num)
+    bits = int(np.clip(np.ceil(np.log2(2 * most + 2)), 5, 12))
     marks = _fingerprints(grams, bits)
     label = np.unique(comp, return_inverse=True)[1]
     cols = np.flatnonzero(right)

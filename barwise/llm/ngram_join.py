@@ -10,9 +10,8 @@ accumulated over all blocks (the exact intersection) and held against the thresh
 row block of near copies the product is taken cell block by cell block (see ``linking``).
 
 There are some blocks more than that, so that linked documents agree on several; documents
-that share fewer blocks with others than a partner needs are discarded, and blocks of a
-single n-gram, which a common passage suffices to share, are left out where the count of
-blocks allows it.
+that share fewer blocks with others than a partner needs (a common passage makes them share
+a few) are discarded, and empty blocks are left out where the count of blocks allows it.
 
 The number of blocks depends on the size: sizes are cut into intervals, and a document is
 also blocked as a member of the next interval if a partner there can be near enough.
@@ -112,10 +111,9 @@ def _signatures(row: np.ndarray, bits: np.ndarray, n: np.ndarray, sizes: Sizes)
     of them a partner must share, and the parity of the row's interval in this role, which is
     also the signatures' last bit.
 
-    Linked sets agree on more than ``spare`` blocks. Blocks of one n-gram or none (small
-    ones) say little: a set with at most ``spare`` small blocks leaves them out, as it must
-    still share more than ``spare`` less its small blocks; a set with more emits all its
-    blocks, empty ones too, and must share one."""
+    Linked sets agree on more than ``spare`` blocks. Empty blocks say nothing: a set with at
+    most ``spare`` of them leaves them out, as it must still share more than ``spare`` less
+    its empty blocks; a set with more emits them too and must share one."""
     out = []
     for at, interval, blocks, spare in sizes.roles(n):
         per_row, kind, spares = (np.zeros(len(n), np.int64) for _ in range(3))
@@ -130,13 +128,11 @@ def _signatures(row: np.ndarray, bits: np.ndarray, n: np.ndarray, sizes: Sizes)
             out.append((np.zeros(0, np.int64), np.zeros(0, U64), need, kind & 1))
             continue
         sums = mix(np.add.reduceat(mix(b ^ salt), begin) ^ salt[begin])
-        large = np.diff(np.append(begin, len(r))) > 1
         owner = r[begin]
-        small = per_row - np.bincount(owner[large], minlength=len(n))
-        few = small <= spares
-        need[at] = np.where(few, 1 + spares - small, 1)[at]
-        keep = large | ~few[owner]
-        rows, sigs = [owner[keep]], [sums[keep]]
+        empty_blocks = per_row - np.bincount(owner, minlength=len(n))
+        few = empty_blocks <= spares
+        need[at] = np.where(few, 1 + spares - empty_blocks, 1)[at]
+        rows, sigs = [owner], [sums]
         for x in at[~few[at]]:
             full = block[begin][owner == x].astype(np.int64)
             empty = np.setdiff1d(np.arange(per_row[x]), full)
