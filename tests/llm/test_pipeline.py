@@ -44,6 +44,44 @@ def test_leaks_are_found_and_clean_texts_left(spark, leaked):
     assert decontamination.leaks(d, b.limit(0)).count() == 0
 
 
+def test_clean_long_texts_and_short_items(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.sample(words_of(i), 15)) + ".") for i in range(6)]
+    long = [" ".join(x for _ in range(20_000 // 12) for x in [*rng.choices(words_of(99), k=7),
+                                                              *rng.choices(words_of(i), k=5)]) for i in range(6)]
+    hidden = long[1].split(" ")
+    hidden[9000:9000] = items[1][1].split(" ")
+    docs = [*enumerate(long), (10, " ".join(hidden)), (11, "so it is Too, SHORT here"), (12, "too long, short"),
+            (13, "ends with too"), (14, "short begins"), (15, "too short"), (16, "x " * 5000 + "too short")]
+    b = spark.createDataFrame([*items, (50, "Too short!"), (51, "too short"), (52, "?!"), (53, "")],
+                              "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    want = {(10, 1)} | {(i, k) for i in (11, 15, 16) for k in (50, 51)}
+    found = decontamination.leaks(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert {(r.doc_id, r.start_word) for r in found} == {(10, 9000), (11, 3), (15, 0), (16, 5000)}
+    assert {r.doc_id for r in decontamination.without_leaks(d, b).collect()} == {i for i, _ in docs} - {10, 11, 15, 16}
+    only_short = decontamination.leaks(d, b.where("item_id = 50")).collect()
+    assert {(r.doc_id, r.item_id) for r in only_short} == {(11, 50), (15, 50), (16, 50)}
+
+
+def words_of(i):
+    return [f"{x}{i}" for x in "abcdefghijklmnopqrst"]
+
+
+def test_windows_miss_nothing():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(4, 9)
+        item, region = rng.choices(range(7), k=n), rng.choices(range(12), k=rng.randint(1, 60))
+        where, width = decontamination.places_of(item), -(-3 * n // 2)
+        best = max(decontamination.lcs_length(where, n, region[a:a + width]) for a in range(len(region)))
+        least = rng.randint(1, n)
+        got = [decontamination.lcs_length(where, n, region[a:z])
+               for a, z in decontamination._windows(region, where, n, least)]
+        assert best < least or max(got) == best
+
+
 def test_lcs():
     import numpy as np
     rng = np.random.default_rng(1)
