@@ -2,8 +2,10 @@
 
 1. A character trigram model is counted over the whole table (28 symbols: a-z, any other
    letter, and everything else as a gap).
-2. Spans that look disguised are decoded: words with digits or signs among their letters,
-   letters repeated three times or more, and three or more single characters in a row. The
+2. Spans that look disguised are decoded: words with look-alike digits or signs before, among
+   or after their letters, words of two or more of these without a letter, letters parted by
+   separators, letters repeated three times or more, and three or more single characters in a
+   row. The
    span is a lattice (a sign can stand for a letter, be noise or a gap; a repeated letter or
    a separator can be dropped), and the Viterbi path under the character model and the
    channel's costs is the restored text.
@@ -43,8 +45,8 @@ STANDS_FOR, NOISE, GAP, DROP_SEPARATOR, DROP_REPEAT = 0.7, 4.0, 2.0, 1.0, 0.3
 
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(x) for x in LOOKS_LIKE]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[0x30:0x3A] = True
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[ord(x) for x in GAP_SIGNS if x != " "]] = True
 _CLASS = np.zeros(256, np.int64)
 _CLASS[0x61:0x7B] = np.arange(1, 27)
 _CLASS[0x80:] = 27
@@ -90,30 +92,38 @@ def _symbol(ch: str) -> int:
 
 
 def restore(span: str, model: list) -> str:
-    """The likeliest text behind a lower-cased span, gaps as single spaces."""
+    """The likeliest text behind a lower-cased span, gaps as single spaces. Where no letter
+    shows what the signs are, look-alikes are read as letters or noise, not as gaps."""
+    some = any(ch.isalpha() for ch in span)
     # state: the last two characters; kept with its cost and the text so far
-    paths = {(" ", " "): (0.0, "")}
+    paths: dict = {(" ", " "): (0.0, None)}  # the text as (text before, character)
     before = ""
     for ch in span + " ":
         if ch.isalpha():
             options = [(ch, 0.0)] + ([("", DROP_REPEAT)] if ch == before else [])
         else:
             options = [(x, STANDS_FOR) for x in LOOKS_LIKE.get(ch, "")]
-            options += [(" ", 0.0 if ch not in LOOKS_LIKE else GAP)]
+            options += [(" ", 0.0 if ch not in LOOKS_LIKE else GAP)] if some or ch not in LOOKS_LIKE else []
             options += [("", DROP_SEPARATOR if ch in GAP_SIGNS else NOISE)]
         before = ch
+        steps = [(out, price, _symbol(out) if out else 0) for out, price in options]
         best: dict = {}
         for (a, b), (cost, text) in paths.items():
-            for out, price in options:
+            row = model[_symbol(a)][_symbol(b)]
+            for out, price, symbol in steps:
                 if out == "" or (out == " " and b == " "):
                     state, now, new = (a, b), cost + price, text
                 else:
-                    state, new = (b, out), text + out
-                    now = cost + price - model[_symbol(a)][_symbol(b)][_symbol(out)]
-                if state not in best or now < best[state][0]:
+                    state, new, now = (b, out), (text, out), cost + price - row[symbol]
+                old = best.get(state)
+                if old is None or now < old[0]:
                     best[state] = (now, new)
         paths = best
-    return min(paths.values())[1].strip()
+    text, out = min(paths.values(), key=lambda x: x[0])[1], []
+    while text:
+        text, ch = text
+        out.append(ch)
+    return "".join(reversed(out)).strip()
 
 
 def suspicious(c: Chunk) -> list[tuple[int, str]]:
@@ -125,16 +135,15 @@ def suspicious(c: Chunk) -> list[tuple[int, str]]:
     sign = _SIGN[d]
     of = np.searchsorted(w.first, np.arange(len(d)), "right") - 1  # the word at or before a byte
     inside = SPACED[d]
-    # a letter later in the word: signs at a word's end are punctuation, digits may be letters
-    last_letter = np.full(len(w.first), -1)
+    first_letter, last_letter = np.full(len(w.first), len(d)), np.full(len(w.first), -1)
     at = np.flatnonzero(letter)
     last_letter[of[at]] = at
+    first_letter[of[at[::-1]]] = at[::-1]
     has_letter = last_letter >= 0
-    mark = np.flatnonzero(sign & inside)
-    mark = mark[has_letter[of[mark]]]
-    mark = mark[(mark < last_letter[of[mark]]) | (_DIGIT[d[mark]] & (mark == last_letter[of[mark]] + 1))]
-    hit = np.zeros(len(w.first), bool)
-    hit[of[mark]] = True
+    signs = np.bincount(of[sign & inside], minlength=len(w.first))
+    hit = np.where(has_letter, signs > 0, signs > 1)
+    mark = np.flatnonzero(_SEPARATOR[d] & inside)
+    hit[of[mark[(mark > first_letter[of[mark]]) & (mark < last_letter[of[mark]])]]] = True
     if len(d) > 2:
         same = letter[2:] & (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2]) & (d[2:] < 0x80)
         at = np.flatnonzero(same) + 2

@@ -207,6 +207,35 @@ def test_toxicity(spark):
     assert kept == {i for i in got if not got[i].predicted}
 
 
+def test_toxicity_parted_and_signs_only(spark):
+    def rude(rng, t):
+        w = t.split(" ")
+        for x in rng.sample(["blorf", "zunkit", "tiblas", "biglet"], 2):
+            w.insert(rng.randrange(len(w)), x)
+        return " ".join(w)
+
+    docs, labels, _ = labelled_corpus(spark, "toxic", rude)
+    disguised = {"you bl0rf of ease": "blorf", "what z u n k i t here": "zunkit", "real tibllllas and": "tiblas",
+                 "such a z3nk!t zunk!t": "zunkit", "bl-o-r-f a": "blorf", "the b.l.o.r.f in": "blorf",
+                 "on b_l_o_r_f, is": "blorf", "z~u~n~k~i~t": "zunkit", "an zun,kit. or": "zunkit",
+                 "to tibla$ he": "tiblas", "to tibla$, he": "tiblas", "is 8!9137 at": "biglet"}
+    more = docs.union(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(disguised)], docs.schema))
+    got = {r.doc_id: r for r in toxicity.score_documents(more, labels).collect()}
+    assert {t: (got[9000 + i].predicted, got[9000 + i].restored) for i, t in enumerate(disguised)} \
+        == {t: (1, [x]) for t, x in disguised.items()}
+    assert not any(got[i].predicted for i in (5000, 5001))
+    kept = {r.doc_id for r in toxicity.without_toxic(more, labels).collect()}
+    assert not kept & {9000 + i for i in range(len(disguised))}
+
+
+def test_restoring_a_long_span():
+    from time import process_time
+    model = [[[0.0] * toxicity.SYMBOLS] * toxicity.SYMBOLS] * toxicity.SYMBOLS
+    begin = process_time()
+    assert toxicity.restore("ab" * 30_000, model) == "ab" * 30_000
+    assert process_time() - begin < 20
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
