@@ -2,14 +2,19 @@
 
 Each whole text is searched for candidates: the base kinds ``assign`` (a keyword, ``:`` or
 ``=``, and a value of 6 characters or more), ``access`` (AKIA..., 20 or more) and ``hex``
-(24 or more), and vendor kinds (tokens with fixed prefixes, private key headers). Candidates
-are leftmost and non-overlapping within a kind. Positions are code points; an end is
-exclusive.
+(24 or more), and vendor kinds (tokens with fixed prefixes, private keys). Candidates are
+leftmost and non-overlapping within a kind. Positions are code points; an end is exclusive.
+
+A private key is its header, body and END line, or where the END line is missing the header
+and the base64 lines after it. Its value is the body without header fields, white space
+(written as escapes too) and quotes, so that a key is the same however it is wrapped; a
+header without a body is its own value.
 
 A candidate's value is hashed. Hashes are counted over the whole corpus by distinct
 repository and owner: a value at ``copied_owners`` owners or more is a widely copied example;
 one that a single owner has and that looks live (``live_chars`` characters or more, letters
-and digits, at least ``live_kinds`` different characters, no placeholder word) is an
+and digits, at least ``live_kinds`` different characters, no placeholder word; a private key:
+base64 of ``live_key_chars`` characters or more, twice as many different ones) is an
 owner-specific credential; the rest is unclear. Counting is pre-aggregated by (hash, owner,
 repository), so a value in a third of all documents shuffles as a few rows for each task.
 
@@ -29,12 +34,18 @@ from . import linking
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+#: A private key's header; a body up to an END line (no five dashes); base64 lines without one.
+HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+BLANK = r"""(?:[\s"']|\\[nrt])"""
+BODY = r"[^-]*+(?:-{1,4}+[^-]++)*+"
+FIELDS = rf"(?:{BLANK}*+[A-Za-z][A-Za-z-]{{1,40}}: [^\n\\]*+)*+"
+RUN = rf"{FIELDS}(?:{BLANK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{BLANK}*+[A-Za-z0-9+/]+={{1,2}})?+"
 #: Fixed patterns of vendor kinds.
 VENDORS = {
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "google": r"AIza[A-Za-z0-9_-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private-key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "private-key": rf"{HEADER}(?:{BODY}{HEADER.replace('BEGIN', 'END')}|{RUN})",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "stripe": r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
 }
@@ -60,6 +71,8 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int = 0, lea
     zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), matches, lambda p, m: F.struct(
         p.alias("piece"), m["whole"].alias("whole"), m["value"].alias("value")))
     spans = F.aggregate(zipped, start, step)["spans"]
+    if kind == "private-key":
+        spans = F.transform(spans, lambda x: x.withField("value", key_body(x["value"])))
     if least > 1:
         spans = F.filter(spans, lambda x: F.length(x["value"]) >= least)
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPAN))
@@ -76,18 +89,27 @@ def candidates(docs: DataFrame, text_col: str = "text") -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
+def key_body(key: Column) -> Column:
+    """A private key's value."""
+    inner = F.regexp_replace(key, rf"^{HEADER}{FIELDS}|{HEADER.replace('BEGIN', 'END')}$", "")
+    body = F.regexp_replace(inner, BLANK, "")
+    return F.when(body == "", key).otherwise(body)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["finish"])), ",")
 
 
-def looks_live(value: Column, live_chars: int, live_kinds: int) -> Column:
-    return (F.length(value) >= live_chars) & value.rlike("[A-Za-z]") & value.rlike("[0-9]") \
-        & ~value.rlike(PLACEHOLDERS) & (F.size(F.array_distinct(F.split(value, ""))) >= live_kinds)
+def looks_live(kind: Column, value: Column, live_chars: int, live_kinds: int, live_key_chars: int) -> Column:
+    kinds = F.size(F.array_distinct(F.split(value, "")))
+    key = (F.length(value) >= live_key_chars) & value.rlike("^[A-Za-z0-9+/]+={0,2}$") & (kinds >= 2 * live_kinds)
+    return F.when(kind == "private-key", key).otherwise((F.length(value) >= live_chars) & value.rlike("[A-Za-z]") & value.rlike("[0-9]") \
+        & ~value.rlike(PLACEHOLDERS) & (kinds >= live_kinds))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None,
          repository: Column | None = None, copied_owners: int = 3, live_chars: int = 16,
-         live_kinds: int = 8) -> DataFrame:
+         live_kinds: int = 8, live_key_chars: int = 64) -> DataFrame:
     """id_col, spans (array of start, rank, kind, finish, value and verdict) for each row;
     verdict is copied, owner-specific or unclear. ``owner`` and ``repository`` default to the
     column source, and to source and lang together."""
@@ -102,7 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         .withColumn("hash", F.sha2("span.value", 256))
     spread = found.select("hash", "owner", "repository").distinct().groupBy("hash").agg(
         F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    live = looks_live(F.col("span.value"), live_chars, live_kinds)
+    live = looks_live(F.col("span.kind"), F.col("span.value"), live_chars, live_kinds, live_key_chars)
     verdict = F.when(F.col("owners") >= copied_owners, "copied") \
         .when((F.col("owners") == 1) & live, "owner-specific").otherwise("unclear")
     judged = found.join(spread, "hash").select(
