@@ -7,14 +7,14 @@ Jensen-Shannon distance (base 2, 0 to 1).
 
 References are counted over the whole table by language: all characters by class, and all
 words (lower-cased) in ``buckets`` hash buckets, of which the ``common`` fullest of a
-language stand for its common words and the rest is one class. The ``max_languages``
-languages with the most words and at least ``least_words`` of them have references. A text
-is held against each and keeps the least distance, so that a text of another language than
-its label says, or of none, isn't rejected for it.
+language stand for its common words and the rest is one class. Every language of at least
+``least_words`` words has a reference. A text is held against each and keeps the least
+distance, so that a text of another language than its label says isn't rejected for it.
 
 Guards: a text of fewer than ``min_words`` words or ``min_chars`` code points in words is too
-short for the histograms and is judged by the base rules alone; so is every text if there is
-no reference. Rules: a null or empty text has no words and fails the base rules. Each input
+short for the histograms and is judged by the base rules alone. So is a text whose language
+has no reference, or that has no language: its distances from the others' are given if there
+are any, but say nothing against it. Rules: a null or empty text has no words and fails the base rules. Each input
 row has one output row, whatever its id; repeated rows count repeatedly in the references.
 Other columns are ignored. An empty table gives an empty result.
 """
@@ -119,6 +119,12 @@ def _count(buckets: int):
                     total = totals.setdefault(lang, np.zeros(10 + buckets, np.int64))
                     total[:10] += np.bincount(_CLASS[c.data[mine[row_of]]], minlength=10)
                     total[10:] += np.bincount(_buckets(c, w, buckets)[mine[w.row]], minlength=buckets)
+                if len(totals) > 200:
+                    yield from rows(totals)
+                    totals.clear()
+        yield from rows(totals)
+
+    def rows(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at),
@@ -130,33 +136,35 @@ class References:
     """Of each language: the shares of character classes, its common words' buckets and their
     shares (the last share is that of all other words)."""
 
-    def __init__(self, totals: dict[str, np.ndarray], common: int):
-        self.chars, self.slots, self.words = [], [], []
-        for lang in sorted(totals):
-            chars, counts = totals[lang][:9].astype(float), totals[lang][10:].astype(float)
-            top = np.argsort(-counts, kind="stable")[:common]
-            slot = np.full(len(counts), len(top))
-            slot[top] = np.arange(len(top))
+    def __init__(self, rows: list, buckets: int):
+        self.langs, self.chars, self.slots, self.words = [], [], [], []
+        for r in sorted(rows, key=lambda r: r.lang):
+            chars = np.zeros(9)
+            for x in r.chars:
+                chars[x.cell] = x.n
+            counts = np.array([x.n for x in r.top], float)
+            slot = np.full(buckets, len(counts), np.min_scalar_type(len(counts)))
+            slot[[x.cell - 10 for x in r.top]] = np.arange(len(counts))
+            self.langs.append(r.lang)
             self.chars.append(chars / chars.sum())
             self.slots.append(slot)
-            self.words.append(np.append(counts[top], counts.sum() - counts[top].sum()) / counts.sum())
+            self.words.append(np.append(counts, r.words - counts.sum()) / r.words)
 
 
-def references(docs: DataFrame, text_col: str, lang_col: str, buckets: int, common: int, max_languages: int,
-               least_words: int) -> References:
-    """Counted over the whole table; at most max_languages * buckets numbers come back."""
+def references(docs: DataFrame, text_col: str, lang_col: str, buckets: int, common: int, least_words: int) -> References:
+    """Counted over the whole table; of each language nine classes and ``common`` buckets come back."""
     counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(_count(buckets), "lang string, cell long, n long") \
-        .groupBy("lang", "cell").agg(F.sum("n").alias("n")).persist()
-    try:
-        kept = counted.where("cell >= 10").groupBy("lang").agg(F.sum("n").alias("words")) \
-            .where(F.col("words") >= least_words).orderBy(F.desc("words"), "lang").limit(max_languages)
-        totals: dict[str, np.ndarray] = {}
-        for r in counted.join(F.broadcast(kept.select("lang")), "lang").collect():
-            totals.setdefault(r.lang, np.zeros(10 + buckets, np.int64))[r.cell] = r.n
-    finally:
-        counted.unpersist()
-    return References(totals, common)
+        .groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    # the fullest buckets first, of equally full ones the first; by parts of the buckets, then of all
+    best = lambda c: F.slice(F.array_sort(c), 1, common)
+    parts = counted.groupBy("lang", F.pmod("cell", F.lit(32)).alias("part")).agg(
+        F.sum(F.when(F.col("cell") >= 10, F.col("n"))).alias("words"),
+        F.collect_list(F.when(F.col("cell") < 9, F.struct("cell", "n"))).alias("chars"),
+        best(F.collect_list(F.when(F.col("cell") >= 10, F.struct((-F.col("n")).alias("m"), "cell", "n")))).alias("top"))
+    return References(parts.groupBy("lang").agg(
+        F.sum("words").alias("words"), F.flatten(F.collect_list("chars")).alias("chars"),
+        best(F.flatten(F.collect_list("top"))).alias("top")).where(F.col("words") >= least_words).collect(), buckets)
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -172,9 +180,12 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
 
-def _judge(refs: References, buckets: int, min_words: int, min_chars: int, most_chars: float, most_words: float):
+def _judge(shipped, buckets: int, min_words: int, min_chars: int, most_chars: float, most_words: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = shipped.value
+        have = set(refs.langs)
         for batch in batches:
+            own = np.array([x in have for x in batch.column(2).to_pylist()], bool)
             for c in chunks(batch.column(1)):
                 w = words(c, SPACED)
                 h = word_hashes(c, w)
@@ -197,7 +208,7 @@ def _judge(refs: References, buckets: int, min_words: int, min_chars: int, most_
                         better = one + two < by_char + by_word
                         by_char, by_word = np.where(better, one, by_char), np.where(better, two, by_word)
                 known = (n_words >= min_words) & (word_chars >= min_chars) & np.isfinite(by_char)
-                kept = ~failed & ~(known & ((by_char > most_chars) | (by_word > most_words)))
+                kept = ~failed & ~(known & own[c.start:c.stop] & ((by_char > most_chars) | (by_word > most_words)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.start, rows), pa.array(n_words), pa.array(word_chars.astype(np.int64)),
                      pa.array(n_symbols.astype(np.int64)), pa.array(dup_lines.astype(np.int64)),
@@ -212,12 +223,13 @@ NAMES = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wo
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     min_words: int = 50, min_chars: int = 200, most_chars: float = 0.28, most_words: float = 0.5,
-                    buckets: int = 8192, common: int = 64, max_languages: int = 100,
-                    least_words: int = 1000) -> DataFrame:
+                    buckets: int = 8192, common: int = 64, least_words: int = 1000) -> DataFrame:
     """id_col, the base counts, base_failed, kept, and the two distances from the nearest
     reference (null where a guard applies)."""
-    refs = references(docs, text_col, lang_col, buckets, common, max_languages, least_words)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    refs = docs.sparkSession.sparkContext.broadcast(
+        references(docs, text_col, lang_col, buckets, common, least_words))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+                       F.col(lang_col).cast("string").alias("lang"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
         _judge(refs, buckets, min_words, min_chars, most_chars, most_words),

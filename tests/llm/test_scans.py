@@ -80,6 +80,27 @@ def test_quality_rules_reject_other_distributions(spark):
     assert all(got[i] for i in range(60))
 
 
+def test_quality_rules_of_many_and_rare_languages(spark):
+    rng = random.Random(6)
+
+    def prose(k, n=120):
+        first = 0x400 + 40 * (k % 8) if k >= 0 else 0x61
+        word = lambda j: "".join(chr(first + x) for x in (j % 7, j // 7 % 7, j // 49 % 7, j // 343 % 7))
+        return " ".join(word(rng.choice([*range(12), *rng.sample(range(2401), 12)])) for _ in range(n))
+
+    junk = " ".join(f"X{j}Q!!% ||ZZ" for j in range(100))
+    data = [(i, prose(-1), "en") for i in range(40)]
+    data += [(100 + 10 * k + i, prose(k, 100), f"l{k:03}") for k in range(104) for i in range(1 + 3 * (k % 2))]
+    data += [(5000, prose(200, 800), "rare"), (5001, prose(201), None), (5002, junk, "en"), (5003, junk, "none")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge_documents(docs, least_words=400).collect()}
+    assert len(got) == len(data) and not any(r.base_failed for i, r in got.items())
+    assert [i for i, r in got.items() if not r.kept] == [5002]
+    only = docs.where("lang = 'en' or doc_id = 5001 or lang = 'rare'")
+    got = {r.doc_id: r for r in quality_rules.judge_documents(only).collect()}
+    assert got[5000].char_distance > 0.28 and got[5000].kept and got[5001].kept and not got[5002].kept
+
+
 def brute_secrets(t):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
