@@ -1,7 +1,9 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
-A line is compared when its trimmed form (A-Z lower-cased) has ``min_chars`` characters or
-more; shorter lines are never removed. Each compared line gets a one-permutation MinHash of
+Every line that has a word takes part, by its trimmed form (A-Z lower-cased). Lines of fewer
+than ``min_chars`` characters (or ``k``) are too short to be compared fuzzily: they are linked
+to their exact copies only, by hash (with ``keep_single`` those of a single word stay). Each
+longer line gets a one-permutation MinHash of
 its distinct character ``k``-shingles in ``bands`` bands of ``rows`` values; lines that
 agree on a band meet, and pairs that meet are verified by the exact Jaccard similarity of
 their shingle sets (``similarity`` or more links them). At 0.8 a pair meets with a
@@ -83,21 +85,32 @@ def band_keys(both: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _eligible(c: Chunk, min_chars: int):
-    row, number, first, end = line_spans(c)
+def _eligible(c: Chunk, min_chars: int, keep_single: bool = False):
+    """The characters, the spans of the lines to compare fuzzily, and those of the shorter ones."""
+    spans = line_spans(c)
     chars = np.append(np.flatnonzero((c.data & 0xC0) != 0x80), len(c.data))
-    size = np.searchsorted(chars, end) - np.searchsorted(chars, first)
+    size = np.searchsorted(chars, spans[3]) - np.searchsorted(chars, spans[2])
     ok = size >= min_chars
-    return chars, row[ok], number[ok], first[ok], end[ok]
+    short = ~ok
+    if keep_single:
+        blanks = np.concatenate([[0], np.cumsum(~SPACED[c.data])])
+        short &= blanks[spans[3]] > blanks[spans[2]]
+    return chars, tuple(x[ok] for x in spans), tuple(x[short] for x in spans)
 
 
-def _signed_lines(k: int, bands: int, rows: int, min_chars: int):
+def _signed_lines(k: int, bands: int, rows: int, min_chars: int, keep_single: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for c in chunks(batch.column(1), lower=True):
-                chars, row, number, first, end = _eligible(c, min_chars)
+                chars, (row, number, first, end), (row_, number_, first_, end_) = _eligible(c, min_chars, keep_single)
                 prefix = c.prefix_hash()
+                if len(row_):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[c.start + row_]), pa.array(number_, pa.int32()),
+                         pa.array(c.span_hash(prefix, first_, end_).view(np.int64)),
+                         lists(np.zeros(0, np.int64), np.zeros(len(row_), np.int64), pa.int64())],
+                        names=["id", "line", "hash", "bands"])
                 line = c.span_hash(prefix, first, end).view(np.int64)
                 for a in range(0, len(row), _BLOCK):
                     b = min(a + _BLOCK, len(row))
@@ -118,7 +131,7 @@ def _wanted_lines(min_chars: int):
             for at in range(0, batch.num_rows, 200):
                 asked = [set(x.as_py()) for x in wanted.slice(at, 200)]
                 for c in chunks(unpacked(squeezed.slice(at, 200)), lower=True):
-                    _, row, number, first, end = _eligible(c, min_chars)
+                    _, (row, number, first, end), _ = _eligible(c, min_chars)
                     pick = np.array([n in asked[c.start + r] for r, n in zip(row.tolist(), number.tolist())], bool)
                     if not pick.any():
                         continue
@@ -145,14 +158,15 @@ def shingle_sets(k: int):
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8,
-                  bands: int = 9, rows: int = 4, similarity: float = 0.8, min_chars: int = 20) -> DataFrame:
+                  bands: int = 9, rows: int = 4, similarity: float = 0.8, min_chars: int = 20,
+                  keep_single: bool = False) -> DataFrame:
     """(id, removed): the sorted numbers (from 0) of the lines to remove, for each document
     that loses any."""
-    spark = docs.sparkSession
+    spark, min_chars = docs.sparkSession, max(min_chars, k)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .where("id is not null and text is not null")
     signed = linking.landed(texts.mapInArrow(
-        _signed_lines(k, bands, rows, min_chars), "id long, line int, hash long, bands array<long>"), "lines")
+        _signed_lines(k, bands, rows, min_chars, keep_single), "id long, line int, hash long, bands array<long>"), "lines")
     banded = signed.select("hash", F.explode("bands").alias("band"))
     members = linking.landed(linking.shared_keys(banded, "band", "hash"), "members")
     grouped = linking.landed(linking.groups(members).select("key", "id", "head"), "groups")

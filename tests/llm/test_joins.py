@@ -1,6 +1,7 @@
 """n-gram join, line dedup and substring dedup against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -171,6 +172,26 @@ def test_line_dedup(docs, rows):
     assert differ <= 2  # banding finds a pair at the threshold with a probability of 0.99
 
 
+def test_short_lines_by_exact_copies(spark):
+    rng = random.Random(3)
+    short = ["wh the.", "and ornd.", "é", "x", "-- 7", "Nineteen characters", "seven c"]
+    data = [(i, "\n".join(rng.choice([x, f" {x.upper() if x.isascii() else x}\t", "", "  ", f"row {i} {rng.random()}"])
+                          for x in rng.choices(short, k=12))) for i in range(40)]
+    data += [(50, "seven d\nseven c"), (51, None), (52, ""), (None, "wh the.\nwh the."), data[3]]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    seen, want = set(), {}
+    for i, t in sorted({x for x in data if x[0] is not None}, key=lambda x: x[0]):
+        lines = [trimmed(x) for x in (t or "").split("\n")]
+        want[i] = [n for n, x in enumerate(lines) if x and (x in seen or x in lines[:n])]
+        seen |= set(lines)
+    for r in line_dedup.dedup_lines(docs).collect():
+        assert r.removed_lines == want.get(r.doc_id, []), r.doc_id
+    kept = {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(docs, keep_single=True).collect()}
+    texts = {i: t.split("\n") for i, t in data if t and i is not None}
+    assert all(kept[i] == [n for n in x if " " in trimmed(texts[i][n])] for i, x in want.items())
+    assert sum(map(len, want.values())) > 150 and want[50] == [1]
+
+
 def brute_spans(rows, length):
     seen, out = {}, {}
     for i, t in sorted((r[0], r[1] or "") for r in rows if r[0] is not None):
