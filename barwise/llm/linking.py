@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_path, scratch_path
 from .textarrays import U64, mix, runs
 
 
@@ -33,7 +33,15 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the folders of frames that ``landed`` returned and that nothing reads any more."""
+    for df in frames:
+        drop_path(df.sparkSession, df.scratch)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, compression, decontamination, license_scan, line_dedup, ngram_join, quality_rules, secret_scan,
-               substring_dedup, toxicity)
+from . import (bpe, compression, decontamination, hard_negatives, license_scan, line_dedup, near_vectors, ngram_join,
+               quality_rules, secret_scan, spelling, substring_dedup, toxicity)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -58,10 +58,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), slip_every=199))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_distribution_quality, op2_fuzzy_line_dedup, op3_secret_ownership, op4_compression_quality, op5_bpe_pair_index,
     op6_noisy_channel_toxicity, op7_latent_decontamination, op8_license_set_join, op9_ngram_jaccard_join,
-    op10_suffix_dedup)}
+    op10_suffix_dedup, op11_rotation_codes, op12_kronecker_negatives, op13_spelling_variants)}
 
 #: A-Z lower-cased, as the contracts want it.
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,5 +138,46 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND list_bool_and([isfinite(x) for x in embedding])
+    AND list_bool_or([x <> 0 for x in embedding])
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)
+"""
+
+NEGATIVE_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and([isfinite(x) for x in embedding])
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id,
+    list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positive AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+WHERE 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 5
+"""
+
 #: The others have no DuckDB form that ends on whole tables; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op8_license_set_join": _license_sql(), "op9_ngram_jaccard_join": NGRAM_SQL}
+ORACLES: dict[str, str] = {"op8_license_set_join": _license_sql(), "op9_ngram_jaccard_join": NGRAM_SQL,
+                           "op11_rotation_codes": VECTOR_SQL, "op12_kronecker_negatives": NEGATIVE_SQL}
