@@ -46,8 +46,12 @@ def bar_profile(bars: DataFrame) -> DataFrame:
 
 def low_bar_count(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """DQ-1: MISSING_BARS for tickers with fewer bars than expected."""
-    prof = bar_profile(bars).where(F.col("bar_count") < p.min_expected_bars)
-    return prof.select(
+    return low_bars(bar_profile(bars), p)
+
+
+def low_bars(profile: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """``low_bar_count`` of a ``bar_profile``."""
+    return profile.where(F.col("bar_count") < p.min_expected_bars).select(
         F.lit(MISSING_BARS).alias("event_type"), "ticker",
         F.format_string(f"%d bars stored, at least {p.min_expected_bars} wanted", F.col("bar_count")).alias("message"),
         F.col("bar_count").cast("int").alias("bar_count"))
@@ -122,8 +126,12 @@ def duplicate_keys(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def duplicate_events(bars: DataFrame) -> DataFrame:
     """DQ-4: one DUPLICATE_DETECTED event when any key is duplicated."""
-    d = duplicate_keys(bars).agg(F.count(F.lit(1)).alias("n"))
-    return d.where(F.col("n") > 0).select(
+    return repeated_key_event(duplicate_keys(bars).agg(F.count(F.lit(1)).alias("n")))
+
+
+def repeated_key_event(repeated: DataFrame) -> DataFrame:
+    """The event of one row ``n``, the number of repeated keys."""
+    return repeated.where(F.col("n") > 0).select(
         F.lit(DUPLICATE_DETECTED).alias("event_type"), F.lit(ALL_TICKERS).alias("ticker"),
         F.format_string("%d bar keys are stored more than once", F.col("n")).alias("message"),
         F.col("n").cast("int").alias("bar_count"))

@@ -1,7 +1,8 @@
 """SNK-1/6/8: table layout, retry-safe appends and the guarded reset of transient layers.
 
-Tables are parquet directories under one root. Bars and indicators are partitioned by
-``date`` (upserts rewrite only touched dates); signals, the trade log, the DQ log and the
+Tables are parquet directories under one root. Bars and indicators are versioned tables
+(``versions``: upserts write the touched dates beside the old ones and publish them at
+once); signals, the trade log, the DQ log and the
 portfolio's versions are partitioned by the writing batch, so a retried batch overwrites its
 own directory instead of appending twice. A batch key is a run's number or, where several
 kinds of run write one table, ``kind-number``.
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..session import path_exists
+from . import versions
 
 # fixed values: table names of the medallion layout
 LAYERS: dict[str, T.StructType] = {
@@ -62,9 +64,10 @@ def read_batch(spark: SparkSession, root: str, name: str, batch_id: int | str) -
 def read_layer(spark: SparkSession, root: str, name: str, but_batch: int | str | None = None) -> DataFrame:
     """All rows of a layer, typed and empty if it was never written; without the batch
     ``but_batch``, so that a retried run sees what its first attempt saw."""
+    if name in DATED:
+        return versions.read(spark, table_path(root, name), LAYERS[name])
     df = read_if_present(spark, table_path(root, name),
-                         T.StructType([*LAYERS[name].fields, T.StructField("batch_id", T.StringType())])
-                         if name not in DATED else LAYERS[name])
+                         T.StructType([*LAYERS[name].fields, T.StructField("batch_id", T.StringType())]))
     if df is None:
         return schemas.empty(spark, LAYERS[name])
     if but_batch is not None:
@@ -98,13 +101,15 @@ def run_fact(spark: SparkSession, root: str, name: str, run_id: int, schema: str
 
 
 def reset_layers(spark: SparkSession, root: str, confirm: bool = False) -> list[str]:
-    """SNK-8: empty the four transient layers (typed, zero rows, in their own partitioning);
-    the trade log and the DQ log are audit tables and stay. Needs ``confirm=True``. A stream
+    """SNK-8: empty the four transient layers (typed, zero rows; the versioned ones by a version
+    without rows); the trade log and the DQ log are audit tables and stay. Needs ``confirm=True``. A stream
     reading these layers must also start from a new checkpoint path."""
     if not confirm:
         raise PermissionError("reset_layers needs confirm=True")
     for name in TRANSIENT:
-        part = "date" if name in DATED else "batch_id"
-        (schemas.empty(spark, LAYERS[name]).withColumn(part, F.lit(None).cast("string"))
-         .write.mode("overwrite").partitionBy(part).parquet(table_path(root, name)))
+        if name in DATED:
+            versions.clear(spark, table_path(root, name))
+            continue
+        (schemas.empty(spark, LAYERS[name]).withColumn("batch_id", F.lit(None).cast("string"))
+         .write.mode("overwrite").partitionBy("batch_id").parquet(table_path(root, name)))
     return TRANSIENT

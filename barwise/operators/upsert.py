@@ -5,23 +5,14 @@ key (a MERGE with two source rows for one target row is ambiguous), then a full
 join on the key takes the source side where present. Counting matched and unmatched
 source rows on the same join gives the merge metrics.
 
-``upsert_path`` writes the result to a date-partitioned parquet table with dynamic
-partition overwrite. It works in two steps, so that a caller can record the counts before
-anything is visible: ``stage_upsert`` merges the touched dates (a literal partition filter)
-into a staging folder and counts on the way, ``publish_upsert`` replaces those dates and
-removes the staging folder. Both steps can be repeated.
+``operators.versions`` writes the result to a table: it merges the touched dates only and
+publishes them as the table's next version.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import drop_path, scratch_path
-from .sinks import read_if_present
 
 
 def dedup_by_key(source: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -36,8 +27,10 @@ def dedup_by_key(source: DataFrame, keys: list[str], order: str | None = None) -
     return source.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def _joined(target: DataFrame, source: DataFrame, keys: list[str],
+def joined(target: DataFrame, source: DataFrame, keys: list[str],
             order: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(full outer join, value columns): the target's values as ``_t_*``, the source's as
+    ``_s_*``, and which side a row stands in."""
     src = dedup_by_key(source, keys, order)
     cols = [c for c in target.columns if c not in keys]
     t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in cols], F.lit(True).alias("_in_t"))
@@ -45,12 +38,14 @@ def _joined(target: DataFrame, source: DataFrame, keys: list[str],
     return t.join(s, keys, "full_outer"), cols
 
 
-def _counts() -> list:
+def counts() -> list:
+    """Inserted and updated rows of a ``joined`` frame."""
     s, t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
     return [F.count_if(s & ~t).alias("num_inserted_rows"), F.count_if(s & t).alias("num_updated_rows")]
 
 
-def _taken(keys: list[str], cols: list[str]) -> list:
+def taken(keys: list[str], cols: list[str]) -> list:
+    """The merged columns of a ``joined`` frame: the source's values where it has the key."""
     from_s = F.col("_in_s").isNotNull()
     return [*keys, *[F.when(from_s, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c) for c in cols]]
 
@@ -58,14 +53,14 @@ def _taken(keys: list[str], cols: list[str]) -> list:
 def merge_frames(target: DataFrame, source: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Matched keys take all non-key values from the source; unmatched source rows are
     inserted; other target rows are kept."""
-    j, cols = _joined(target, source, keys, order)
-    return j.select(*_taken(keys, cols))
+    j, cols = joined(target, source, keys, order)
+    return j.select(*taken(keys, cols))
 
 
 def merge_metrics(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """One row: inserted and updated source-row counts of the merge."""
-    j, _ = _joined(target, source, keys)
-    return j.agg(*_counts())
+    j, _ = joined(target, source, keys)
+    return j.agg(*counts())
 
 
 def duplicate_merge_event(metrics: DataFrame) -> DataFrame:
@@ -75,58 +70,3 @@ def duplicate_merge_event(metrics: DataFrame) -> DataFrame:
         F.lit("DUPLICATE_DETECTED").alias("event_type"), F.lit("ALL").alias("ticker"),
         F.format_string("%d delivered bars were already stored and replaced them", u).alias("message"),
         u.cast("int").alias("bar_count"))
-
-
-@dataclass
-class StagedUpsert:
-    """A merged result that is not visible yet."""
-    path: str
-    stage: str
-    schema: T.StructType
-    date_col: str
-    inserted: int
-    updated: int
-
-
-def stage_upsert(spark: SparkSession, source: DataFrame, path: str, keys: list[str], order: str | None = None,
-                 date_col: str = "date", ts_col: str = "timestamp") -> StagedUpsert:
-    """Merge ``source`` with the touched dates of the table at ``path`` into a staging
-    folder. The dates are few (one per calendar day) and become literals of a partition
-    filter, so other dates aren't listed or read. Only an absent path counts as no table."""
-    src = source.withColumn(date_col, F.to_date(ts_col))
-    columns = [c for c in src.columns if c != order]
-    schema = src.select(*columns).schema
-    dates = [r[0] for r in src.select(date_col).distinct().collect()]
-    target = read_if_present(spark, path, schema)
-    if target is None:
-        target = spark.createDataFrame([], schema)
-    known = [d for d in dates if d is not None]
-    touched = F.col(date_col).isin(known) if known else F.lit(False)
-    if None in dates:
-        touched = touched | F.col(date_col).isNull()
-    target = target.where(touched)
-    merge_keys = keys + [date_col]
-    j, cols = _joined(target.select(*columns), src, merge_keys, order)
-    counted = Observation()
-    stage = scratch_path(spark, "upsert-stage")
-    (j.observe(counted, *_counts()).select(*_taken(merge_keys, cols)).select(*columns)
-     .write.partitionBy(date_col).parquet(stage))
-    n = counted.get
-    return StagedUpsert(path, stage, schema, date_col, n["num_inserted_rows"], n["num_updated_rows"])
-
-
-def publish_upsert(spark: SparkSession, staged: StagedUpsert) -> None:
-    """Replace the touched dates of the table by the staged rows; other dates stay."""
-    (spark.read.schema(staged.schema).parquet(staged.stage).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(staged.date_col).parquet(staged.path))
-    drop_path(spark, staged.stage)
-
-
-def upsert_path(spark: SparkSession, source: DataFrame, path: str, keys: list[str], order: str | None = None,
-                date_col: str = "date", ts_col: str = "timestamp") -> dict[str, int]:
-    """Upsert ``source`` into the parquet table at ``path`` partitioned by ``date_col``; the
-    counts of inserted and updated keys. Among source rows of one key the last by ``order``
-    wins, on the first write too. Idempotent."""
-    staged = stage_upsert(spark, source, path, keys, order, date_col, ts_col)
-    publish_upsert(spark, staged)
-    return {"num_inserted_rows": staged.inserted, "num_updated_rows": staged.updated}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
 
-# fixed values: event types and their message templates
+# fixed values: event types
 INVALID_PRICE = "INVALID_PRICE"
 INVALID_VOLUME = "INVALID_VOLUME"
 OHLC_INCONSISTENCY = "OHLC_INCONSISTENCY"
@@ -107,16 +107,16 @@ def events(classified: DataFrame, p: Params = DEFAULT) -> DataFrame:
     n = F.col("n")
     lo_pct = int(round(p.max_bar_pct_change * 100))
     hi_pct = int(round(p.extreme_bar_pct_change * 100))
-    msg = (F.when(F.col("rule") == RULE_NULL, F.format_string("%d rows with NaN prices removed", n))
+    msg = (F.when(F.col("rule") == RULE_NULL, F.format_string("%d bars dropped: a price is missing", n))
            .when(F.col("rule") == RULE_FLOOR,
-                 F.format_string(f"%d rows with price <= {p.min_valid_price} removed", n))
-           .when(F.col("rule") == RULE_VOLUME, F.format_string("%d rows with negative volume removed", n))
-           .when(F.col("rule") == RULE_OHLC, F.format_string("%d rows where high < low removed", n))
+                 F.format_string(f"%d bars dropped: a price is not above {p.min_valid_price}", n))
+           .when(F.col("rule") == RULE_VOLUME, F.format_string("%d bars dropped: the volume is below zero", n))
+           .when(F.col("rule") == RULE_OHLC, F.format_string("%d bars dropped: the high lies under the low", n))
            .when(F.col("rule") == RULE_EXTREME,
-                 F.concat(F.format_string(f"%d rows with >{hi_pct}%% bar-to-bar change removed (max: ", n),
+                 F.concat(F.format_string(f"%d bars dropped: the close moved over {hi_pct}%% (at most ", n),
                           _pct_text(F.col("worst")), F.lit(")")))
            .otherwise(F.concat(
-               F.format_string(f"%d bars with {lo_pct}%%-{hi_pct}%% change flagged (kept). Worst: ", n),
+               F.format_string(f"%d bars kept though the close moved {lo_pct}%% to {hi_pct}%%, the ticker's largest move being ", n),
                _pct_text(F.col("worst")))))
     etype = F.element_at(F.create_map(*[x for k, v in RULE_EVENT.items() for x in (F.lit(k), F.lit(v))]),
                          F.col("rule"))

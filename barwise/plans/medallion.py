@@ -12,7 +12,9 @@ trade time). Every step can be repeated with its ``run_id``, after a failure or
 success, and leaves the tables as one run does: it reads prior state without its own batch
 (older portfolio version, signals, trade log, events), replaces its own batch, and facts
 that its first attempt found before it changed a table (merge counts, touched tickers) are
-kept under ``_run_facts`` and reused.
+kept under ``_run_facts`` and reused. Bars and indicators are published as one version each:
+a reader sees none or all of a run's rows. A run that another writer's version refuses
+(``versions.CommitConflict``) is repeated with its ``run_id``.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from ..operators import signals as SIG
 from ..operators import sinks as K
 from ..operators import upsert as U
 from ..operators import validate as V
+from ..operators import versions as VT
 from ..session import drop_path, scratch_path
 from ..sources import vendor as VD
 
@@ -45,7 +48,7 @@ def ingest_bars(spark: SparkSession, raw: DataFrame, symbol_dim: DataFrame, root
     bars = RS.resample(VD.conform_vendor(raw, symbol_dim), minutes)
     classified = V.classify(bars, p).checkpoint(eager=True)
     clean = V.clean(classified)
-    staged = U.stage_upsert(spark, clean, K.table_path(root, "raw_market_data"), KEY)
+    staged = VT.stage(spark, K.table_path(root, "raw_market_data"), clean, KEY)
     # what a repeated attempt could no longer count, as its own rows are stored by then
     counted = spark.createDataFrame([(staged.inserted, staged.updated)], METRICS)
     metrics = K.run_fact(spark, root, "merge_metrics", run_id, METRICS, counted)
@@ -54,7 +57,7 @@ def ingest_bars(spark: SparkSession, raw: DataFrame, symbol_dim: DataFrame, root
     events = Q.union_events(V.events(classified, p), VD.missing_sources(raw, symbol_dim),
                             VD.rejected_rows(raw, symbol_dim), U.duplicate_merge_event(metrics))
     K.append_batch(Q.to_event_log(events, as_of), root, "data_quality_events", f"ingest-{run_id}")
-    U.publish_upsert(spark, staged)
+    VT.publish(spark, staged)
     return K.read_batch(spark, root, "data_quality_events", f"ingest-{run_id}")
 
 
@@ -87,7 +90,7 @@ def refresh_signals(spark: SparkSession, root: str, run_id: int, touched: DataFr
     stage = scratch_path(spark, "indicators")
     ind.write.parquet(stage)
     ind = spark.read.schema(ind.schema).parquet(stage)
-    U.upsert_path(spark, ind, K.table_path(root, "technical_indicators"), KEY)
+    VT.merge(spark, K.table_path(root, "technical_indicators"), ind, KEY)
     stored = K.read_layer(spark, root, "trade_signals", but_batch=run_id)
     last = SIG.last_signal_times(stored)
     cands = SIG.signals(ind, p).join(

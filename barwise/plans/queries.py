@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as SC
 from ..config import DEFAULT, GEN1
+from ..operators import bar_stats as BS
 from ..operators import indicators as IND
 from ..operators import portfolio as PF
 from ..operators import quality as Q
@@ -15,8 +16,10 @@ from ..operators import signals as SIG
 from ..operators import sinks as K
 from ..operators import upsert as U
 from ..operators import validate as V
+from ..operators import versions as VT
 from ..session import scratch_path
 from ..sources import adapters as A
+from ..sources import landed as LD
 from ..sources import tables as TB
 from ..sources import vendor as VD
 from ..streaming import jobs as J
@@ -192,13 +195,13 @@ VALIDATE_EVENTS = [
                        WHEN 5 THEN 'EXTREME_SPIKE_REMOVED' ELSE 'PRICE_SPIKE_FLAGGED' END AS event_type,
              ticker,
              CASE rule
-               WHEN 1 THEN printf('%d rows with NaN prices removed', n)
-               WHEN 2 THEN printf('%d rows with price <= 0.01 removed', n)
-               WHEN 3 THEN printf('%d rows with negative volume removed', n)
-               WHEN 4 THEN printf('%d rows where high < low removed', n)
-               WHEN 5 THEN printf('%d rows with >50%% bar-to-bar change removed (max: %.1f%%)', n,
+               WHEN 1 THEN printf('%d bars dropped: a price is missing', n)
+               WHEN 2 THEN printf('%d bars dropped: a price is not above 0.01', n)
+               WHEN 3 THEN printf('%d bars dropped: the volume is below zero', n)
+               WHEN 4 THEN printf('%d bars dropped: the high lies under the low', n)
+               WHEN 5 THEN printf('%d bars dropped: the close moved over 50%% (at most %.1f%%)', n,
                                   round(worst * 1000) / 10)
-               ELSE printf('%d bars with 20%%-50%% change flagged (kept). Worst: %.1f%%', n,
+               ELSE printf('%d bars kept though the close moved 20%% to 50%%, the ticker''s largest move being %.1f%%', n,
                            round(worst * 1000) / 10) END AS message,
              CAST(n AS INTEGER) AS bar_count
       FROM (SELECT *, max(rule_max) OVER (PARTITION BY ticker) AS worst FROM per_rule)"""),
@@ -326,6 +329,46 @@ def conform_bars(spark, sf_dir):
     return VD.conform_vendor(A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir))
 
 
+BROKEN = "click"
+
+
+def _loaded_symbols(spark, sf_dir):
+    """Vendor files landed in a folder for each symbol; those of one symbol hold no table."""
+    path, broken = scratch_path(spark, "landed-symbols"), f"{BROKEN.upper()}.EV"
+    raw = A.vendor_bars(spark, sf_dir)
+    raw.where(F.col("symbol") != broken).write.partitionBy("symbol").parquet(path)
+    raw.where(F.col("symbol") == broken).select(F.concat_ws(",", "Datetime", "Close").alias("value")) \
+        .coalesce(1).write.text(f"{path}/symbol={broken}")
+    return LD.load_symbols(spark, path, "parquet", files="part-*")
+
+
+@register("load_symbols_bars",
+          W([O.EV, O.BARS_5M, O.SYMBOL_DIM, O.VENDOR_BARS], f"""
+            SELECT d.ticker, v."Datetime" AS timestamp,
+                   TRY_CAST(v."Open" AS DOUBLE) AS open, TRY_CAST(v."High" AS DOUBLE) AS high,
+                   TRY_CAST(v."Low" AS DOUBLE) AS low, TRY_CAST(v."Close" AS DOUBLE) AS close,
+                   TRY_CAST(v."Volume" AS BIGINT) AS volume
+            FROM vendor_bars v JOIN symbol_dim d ON v.symbol = d.symbol WHERE d.ticker <> '{BROKEN}'"""),
+          ["open", "high", "low", "close"],
+          note="a folder for each symbol, one of them unreadable: the others load")
+def load_symbols_bars(spark, sf_dir):
+    return VD.conform_vendor(LD.loaded_rows(_loaded_symbols(spark, sf_dir)), A.symbol_dim(spark, sf_dir))
+
+
+@register("load_symbols_events",
+          W([O.EV, O.BARS_5M, O.SYMBOL_DIM, O.VENDOR_BARS], f"""
+            SELECT 'API_ERROR' AS event_type, ticker,
+                   printf('1 delivered files of %s can''t be read', symbol) AS message, 0 AS bar_count
+            FROM symbol_dim WHERE ticker = '{BROKEN}'
+            UNION ALL
+            SELECT 'MISSING_BARS', ticker, printf('No data returned for %s', symbol), 0
+            FROM symbol_dim WHERE symbol NOT IN (SELECT DISTINCT symbol FROM vendor_bars) OR ticker = '{BROKEN}'"""),
+          note="the unreadable symbol is one API_ERROR event, it and the absent one have no bars")
+def load_symbols_events(spark, sf_dir):
+    loaded, dim = _loaded_symbols(spark, sf_dir), A.symbol_dim(spark, sf_dir)
+    return Q.union_events(LD.load_errors(loaded, dim), VD.missing_sources(LD.loaded_rows(loaded), dim))
+
+
 MISSING_SQL = """
   SELECT 'MISSING_BARS' AS event_type, ticker, printf('No data returned for %s', symbol) AS message,
          0 AS bar_count
@@ -361,14 +404,15 @@ def _upsert_inputs(spark, sf_dir):
     return tgt, src
 
 
-UPSERT_SQL = W(UPSERT_CTES, """
+UPSERT_BODY = """
             SELECT coalesce(s.ticker, t.ticker) AS ticker, coalesce(s.timestamp, t.timestamp) AS timestamp,
                    CASE WHEN s.ticker IS NOT NULL THEN s.open ELSE t.open END AS open,
                    CASE WHEN s.ticker IS NOT NULL THEN s.high ELSE t.high END AS high,
                    CASE WHEN s.ticker IS NOT NULL THEN s.low ELSE t.low END AS low,
                    CASE WHEN s.ticker IS NOT NULL THEN s.close ELSE t.close END AS close,
                    CASE WHEN s.ticker IS NOT NULL THEN s.volume ELSE t.volume END AS volume
-            FROM tgt t FULL OUTER JOIN src s ON t.ticker = s.ticker AND t.timestamp = s.timestamp""")
+            FROM tgt t FULL OUTER JOIN src s ON t.ticker = s.ticker AND t.timestamp = s.timestamp"""
+UPSERT_SQL = W(UPSERT_CTES, UPSERT_BODY)
 
 
 @register("upsert_bars", UPSERT_SQL, ["open", "high", "low", "close"])
@@ -379,14 +423,108 @@ def upsert_bars(spark, sf_dir):
 
 @register("upsert_path_table", UPSERT_SQL,
           ["open", "high", "low", "close"],
-          note="two upserts into a date-partitioned table on disk, the second with repeated "
-               "keys, then read back")
+          note="two upserts into a versioned table on disk, the first with repeated keys, "
+               "then read back")
 def upsert_path_table(spark, sf_dir):
     tgt, src = _upsert_inputs(spark, sf_dir)
     path = scratch_path(spark, "upsert-table")
-    U.upsert_path(spark, tgt.unionByName(tgt), path, ["ticker", "timestamp"])
-    U.upsert_path(spark, src, path, ["ticker", "timestamp"])
-    return spark.read.schema(SC.BARS).parquet(path).select(SC.BARS.names)
+    VT.merge(spark, path, tgt.unionByName(tgt), SC.BAR_KEY)
+    VT.merge(spark, path, src, SC.BAR_KEY)
+    return VT.read(spark, path, SC.BARS)
+
+
+def _two_versions(spark, sf_dir):
+    """A bar table of three versions: a first load, an upsert, and a deletion of one day."""
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    path = scratch_path(spark, "versioned")
+    VT.merge(spark, path, tgt, SC.BAR_KEY)
+    VT.merge(spark, path, src, SC.BAR_KEY)
+    day = VT.read(spark, path, SC.BARS).where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    VT.merge(spark, path, None, SC.BAR_KEY, remove=day, schema=SC.BARS)
+    return path
+
+
+@register("table_versions",
+          W(UPSERT_CTES, f"""
+            SELECT 1 AS version, * FROM tgt
+            UNION ALL SELECT 2, * FROM ({UPSERT_BODY})
+            UNION ALL SELECT 3, * FROM ({UPSERT_BODY}) WHERE CAST(timestamp AS DATE) <> DATE '{A.REDELIVERED_DAY}'"""),
+          ["open", "high", "low", "close"],
+          note="every version of a table that was loaded, upserted and partly deleted, read after all of it")
+def table_versions(spark, sf_dir):
+    path = _two_versions(spark, sf_dir)
+    read = [VT.read(spark, path, SC.BARS, v).select(F.lit(v).alias("version"), "*") for v in VT.versions(spark, path)]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@register("table_changes",
+          W(UPSERT_CTES, f"""
+            SELECT n.*, CASE WHEN t.ticker IS NULL THEN 'insert' ELSE 'update' END AS change, 2 AS version
+            FROM ({UPSERT_BODY}) n LEFT JOIN tgt t ON t.ticker = n.ticker AND t.timestamp = n.timestamp
+            WHERE t.ticker IS NULL OR t.open <> n.open OR t.high <> n.high OR t.low <> n.low
+               OR t.close <> n.close OR t.volume <> n.volume
+            UNION ALL
+            SELECT n.*, 'delete', 3 FROM ({UPSERT_BODY}) n WHERE CAST(timestamp AS DATE) = DATE '{A.REDELIVERED_DAY}'"""),
+          ["open", "high", "low", "close"],
+          note="rows that the second and the third version inserted, updated or deleted")
+def table_changes(spark, sf_dir):
+    path = _two_versions(spark, sf_dir)
+    return VT.changes(spark, path, SC.BARS, SC.BAR_KEY, 1, 2).unionByName(
+        VT.changes(spark, path, SC.BARS, SC.BAR_KEY, 2, 3))
+
+
+LAST_VERSION = [*UPSERT_CTES, ("last_bars", f"""
+  SELECT * FROM ({UPSERT_BODY}) WHERE CAST(timestamp AS DATE) <> DATE '{A.REDELIVERED_DAY}'""")]
+
+
+@register("stream_table_corrections",
+          W([*LAST_VERSION, *O.indicator_ctes("last_bars")], "SELECT * FROM ind"), O.IND_COLS,
+          note="a stream over a bar table that is rewritten: after its first load, and again after an "
+               "upsert and a deletion, the changes correct the indicator table")
+def stream_table_corrections(spark, sf_dir):
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    bars, feed, ind, checkpoint = (scratch_path(spark, f"corrected-{x}") for x in ("bars", "feed", "ind", "offsets"))
+    VT.merge(spark, bars, tgt, SC.BAR_KEY)
+    J.run_corrections(spark, bars, feed, ind, checkpoint, P)
+    VT.merge(spark, bars, src, SC.BAR_KEY)
+    day = VT.read(spark, bars, SC.BARS).where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    VT.merge(spark, bars, None, SC.BAR_KEY, remove=day, schema=SC.BARS)
+    J.run_corrections(spark, bars, feed, ind, checkpoint, P)
+    return VT.read(spark, ind, SC.INDICATORS)
+
+
+def _stats_in_step(spark, sf_dir):
+    """Daily statistics refreshed after each of the table's three versions; both paths."""
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    bars, stats = scratch_path(spark, "stats-bars"), scratch_path(spark, "stats")
+    VT.merge(spark, bars, tgt, SC.BAR_KEY)
+    BS.refresh(spark, bars, stats)
+    VT.merge(spark, bars, src, SC.BAR_KEY)
+    BS.refresh(spark, bars, stats)
+    day = VT.read(spark, bars, SC.BARS).where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    VT.merge(spark, bars, None, SC.BAR_KEY, remove=day, schema=SC.BARS)
+    BS.refresh(spark, bars, stats)
+    return BS.read(spark, stats)
+
+
+@register("stored_bar_profile",
+          W(LAST_VERSION, """SELECT ticker, count(*) AS bar_count, min(timestamp) AS first_bar,
+                             max(timestamp) AS last_bar FROM last_bars GROUP BY ticker"""),
+          note="from daily statistics kept in step by touched dates")
+def stored_bar_profile(spark, sf_dir):
+    return BS.bar_profile(_stats_in_step(spark, sf_dir))
+
+
+@register("stored_checks",
+          W(LAST_VERSION, f"""
+            SELECT 'MISSING_BARS' AS event_type, ticker,
+                   printf('%d bars stored, at least {P.min_expected_bars} wanted', n) AS message,
+                   CAST(n AS INTEGER) AS bar_count
+            FROM (SELECT ticker, count(*) AS n FROM last_bars GROUP BY ticker) WHERE n < {P.min_expected_bars}
+            UNION ALL {FRESH_SQL.replace("bars_10m", "last_bars")}"""),
+          note="low counts, freshness and repeated keys from the daily statistics")
+def stored_checks(spark, sf_dir):
+    return BS.checks(_stats_in_step(spark, sf_dir), A.as_of_lit(), P)
 
 
 @register("upsert_metrics",
@@ -855,19 +993,20 @@ def _cooldown_slices_sql() -> str:
 
 
 def _land_with_empty_file(spark, bars, name):
-    """Four time slices of one file each, and an empty delivery after the second."""
+    """Four time slices, and an empty delivery after the second; the folder and the files of a
+    slice."""
     landing = scratch_path(spark, name)
-    J.land_in_time_order(bars, landing, STREAM_CHUNKS, empty_after=1)
-    return landing
+    return landing, J.land_in_time_order(bars, landing, STREAM_CHUNKS, empty_after=1)
 
 
 @register("stream_signals_cooldown", _cooldown_slices_sql(), O.SIG_DOUBLES,
           note="10-minute bars in 4 micro-batches and an empty one between them: signals within "
                "the cooldown of one stored by an earlier micro-batch are dropped")
 def stream_signals_cooldown(spark, sf_dir):
-    landing = _land_with_empty_file(spark, A.bars_10m(spark, sf_dir), "landing-cooldown")
+    landing, files = _land_with_empty_file(spark, A.bars_10m(spark, sf_dir), "landing-cooldown")
     out = scratch_path(spark, "stream-cooldown")
-    J.run_indicator_stream(spark, landing, out, P, max_files=1, cooldown=True, state_partitions=_state_parts(spark))
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=True,
+                           state_partitions=_state_parts(spark))
     return J.read_output(spark, out, "gold")
 
 
@@ -883,9 +1022,9 @@ def stream_signals_cooldown(spark, sf_dir):
             GROUP BY slice"""),
           note="counts of each micro-batch; the empty one writes nothing and has no row")
 def stream_batch_metrics(spark, sf_dir):
-    landing = _land_with_empty_file(spark, A.bars_10m(spark, sf_dir), "landing-metrics")
+    landing, files = _land_with_empty_file(spark, A.bars_10m(spark, sf_dir), "landing-metrics")
     out = scratch_path(spark, "stream-metrics")
-    sinks = J.run_indicator_stream(spark, landing, out, P, max_files=1, cooldown=False,
+    sinks = J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
                                    state_partitions=_state_parts(spark))
     return spark.createDataFrame([tuple(m[c] for c in J.METRIC_COLS) for m in sinks.metrics],
                                  ", ".join(f"{c} long" for c in J.METRIC_COLS))
@@ -895,7 +1034,7 @@ def stream_batch_metrics(spark, sf_dir):
           note="the same stream under a processing-time trigger, stopped once all is processed")
 def stream_processing_time(spark, sf_dir):
     landing = scratch_path(spark, "landing-pt")
-    files = J.land_in_time_order(A.bars_1h(spark, sf_dir), landing, STREAM_CHUNKS, files_per_chunk=1)
+    files = J.land_in_time_order(A.bars_1h(spark, sf_dir), landing, STREAM_CHUNKS)
     out = scratch_path(spark, "stream-pt")
     sinks = J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
                                    trigger={"processingTime": "1 second"}, state_partitions=_state_parts(spark))
@@ -928,8 +1067,8 @@ def stream_indicators_late_repaired(spark, sf_dir):
     ticks = A.user_ticks(spark, sf_dir)
     held_back = F.col("ticker").endswith("3") & (F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
     landing = scratch_path(spark, "landing-late")
-    files = J.land_in_time_order(ticks.where(~held_back), landing, STREAM_CHUNKS, files_per_chunk=1)
-    ticks.where(held_back).coalesce(1).write.mode("append").parquet(landing)
+    files = J.land_in_time_order(ticks.where(~held_back), landing, STREAM_CHUNKS)
+    J.land(ticks.where(held_back), landing, files)
     out = scratch_path(spark, "stream-late-out")
     J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
                            state_partitions=_state_parts(spark))
@@ -947,10 +1086,10 @@ def stream_dedup(spark, sf_dir):
     day = F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date")
     held_back = day & (slot % 7 == 0)
     sent = b.where(~held_back)
-    J.land_in_time_order(sent, landing, 2, repeat_last="1 hour")
-    b.where(day).coalesce(1).write.mode("append").parquet(landing)
+    files = J.land_in_time_order(sent, landing, 2, repeat_last="1 hour")
+    J.land(b.where(day), landing, files)
     out = scratch_path(spark, "dedup-out")
-    J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, 1), "2 hours"), out,
+    J.run_to_parquet(J.stream_dedup(J.bar_stream(spark, landing, files), "2 hours"), out,
                      state_partitions=_state_parts(spark))
     landed = spark.read.schema(SC.BARS).parquet(landing)
     kept = spark.read.schema(SC.BARS).parquet(out)
@@ -970,6 +1109,30 @@ def stream_resample(spark, sf_dir):
     return emitted.unionByName(J.closing_windows(emitted, landed, 10).select(*SC.BARS.names))
 
 
+@register("stream_indicators_hot_ticker", IND_SQL, O.IND_COLS,
+          note="the rolling state as a table and the chunked plan in each micro-batch: no Python holds a "
+               "ticker's bars (here in chunks of 500 rows)")
+def stream_indicators_hot_ticker(spark, sf_dir):
+    landing, out = scratch_path(spark, "landing-hot"), scratch_path(spark, "stream-hot")
+    files = J.land_in_time_order(A.bars_1h(spark, sf_dir), landing, STREAM_CHUNKS)
+    J.run_chunked_stream(spark, landing, out, P.with_(chunk_rows=500), max_files=files, cooldown=False)
+    return J.read_output(spark, out, "silver")
+
+
+@register("stream_indicators_reordered", IND_SQL, O.IND_COLS,
+          note="bars arrive up to five hours late, out of order, within a watermark of six: the state "
+               "puts them in order, none is diverted as late")
+def stream_indicators_reordered(spark, sf_dir):
+    landing, out = scratch_path(spark, "landing-shuffled"), scratch_path(spark, "stream-shuffled")
+    late = F.make_dt_interval(hours=F.pmod(F.xxhash64("ticker", "timestamp"), F.lit(6)).cast("int"))
+    arriving = A.bars_1h(spark, sf_dir).withColumn("_arrival", F.col("timestamp") + late)
+    files = J.land_in_time_order(arriving, landing, STREAM_CHUNKS, ts_col="_arrival")
+    J.land_close(spark, landing, "6 hours")
+    J.run_indicator_stream(spark, landing, out, P, max_files=files, cooldown=False,
+                           state_partitions=_state_parts(spark), late_delay="6 hours")
+    return J.read_output(spark, out, "silver")
+
+
 # ---- runs over the table layout ------------------------------------------------------
 
 @register("stream_to_portfolio",
@@ -981,8 +1144,8 @@ def stream_to_portfolio(spark, sf_dir):
     ticks = A.user_ticks(spark, sf_dir)
     held_back = F.col("ticker").endswith("3") & (F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
     landing, out = scratch_path(spark, "landing-tables"), scratch_path(spark, "stream-tables")
-    files = J.land_in_time_order(ticks.where(~held_back), landing, STREAM_CHUNKS, files_per_chunk=1)
-    ticks.where(held_back).coalesce(1).write.mode("append").parquet(landing)
+    files = J.land_in_time_order(ticks.where(~held_back), landing, STREAM_CHUNKS)
+    J.land(ticks.where(held_back), landing, files)
     no_cooldown = P.with_(cooldown_bars=-10**9)
     J.run_indicator_stream(spark, landing, out, no_cooldown, max_files=files, cooldown=False,
                            state_partitions=_state_parts(spark))

@@ -25,6 +25,12 @@ BARS = _st(("ticker", S), ("timestamp", TS), ("open", D), ("high", D), ("low", D
 INDICATORS = _st(("ticker", S), ("timestamp", TS), ("close", D), ("sma20", D), ("sma50", D),
                  ("rsi", D), ("vortex_positive", D), ("vortex_negative", D))
 
+#: A ticker's last bars and how many it has seen: the rolling state as a table.
+ROLLING_TAIL = _st(("ticker", S), ("timestamp", TS), ("high", D), ("low", D), ("close", D), ("seen", L))
+
+#: One row a ticker and date: see ``operators.bar_stats``.
+BAR_STATS = _st(("ticker", S), ("bar_count", L), ("repeated_keys", L), ("first_bar", TS), ("last_bar", TS))
+
 SIGNALS = _st(("ticker", S), ("timestamp", TS), ("signal", S), ("signal_score", D),
               ("close", D), ("sma20", D), ("sma50", D), ("rsi", D), ("vortex_positive", D),
               ("vortex_negative", D), ("stop_loss", D), ("take_profit", D))

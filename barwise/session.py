@@ -77,3 +77,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder of this engine from the file system that holds it."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def child_versions(spark: SparkSession, path: str, prefix: str = "v=") -> list[int]:
+    """The numbers of the finished folders ``<prefix><n>`` in a folder, smallest first."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(jvm_path)]
+    return sorted(int(n[len(prefix):]) for n in names
+                  if n.startswith(prefix) and path_exists(spark, f"{path}/{n}/_SUCCESS"))

@@ -1,5 +1,7 @@
 """Golden micro-fixtures for the indicator formulas and warm-up gates."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,11 +62,35 @@ def test_chunk_size_must_cover_history(spark):
         IND.indicators_chunked(bars_df(spark, [1.0, 2.0]), DEFAULT, chunk_rows=10)
 
 
-def test_tail_keeps_last_50(spark):
-    out = IND.indicators_tail(bars_df(spark, [float(i) for i in range(1, 81)]))
-    rows = by_ts(out)
-    assert len(rows) == 50 and rows[0]["close"] == 31.0
-    assert rows[0]["sma20"] == pytest.approx(31.0)  # index restarts inside the tail
+def replayed_tail(closes, highs, lows):
+    """Generation 1, bar by bar: a state of the last 50 bars, and the newest bar's values over it."""
+    state, out = [], []
+    for bar in zip(closes, highs, lows):
+        state = [*state, bar][-50:]
+        c, h, lo = zip(*state)
+        n = len(state)
+        row = {"sma20": sum(c[-20:]) / len(c[-20:]), "sma50": sum(c) / n, "rsi": None, "vp": None, "vn": None}
+        if n >= 15:
+            steps = [b - a for a, b in zip(c[-15:], c[-14:])]
+            gain, loss = (sum(max(s * x, 0) for x in steps) / 14 for s in (1, -1))
+            row["rsi"] = 100 - 100 / (1 + gain / loss) if loss > 0 else 100.0
+            true = sum(max(h[i] - lo[i], abs(h[i] - c[i - 1]), abs(lo[i] - c[i - 1])) for i in range(-14, 0))
+            row["vp"] = sum(abs(h[i] - lo[i - 1]) for i in range(-14, 0)) / true
+            row["vn"] = sum(abs(lo[i] - h[i - 1]) for i in range(-14, 0)) / true
+        out.append(row)
+    return out
+
+
+def test_gen1_tail_equals_a_bar_by_bar_replay(spark):
+    closes = [100 + 9 * math.sin(i / 5) + (i * 37 % 11) / 3 for i in range(130)]
+    highs = [c + 1 + i % 3 for i, c in enumerate(closes)]
+    lows = [c - 1 - i % 4 for i, c in enumerate(closes)]
+    rows = by_ts(IND.indicators_tail(bars_df(spark, closes, highs=highs, lows=lows)))
+    want = replayed_tail(closes, highs, lows)
+    assert len(rows) == 130
+    for got, w in zip(rows, want):
+        for c, x in (("sma20", "sma20"), ("sma50", "sma50"), ("rsi", "rsi"), ("vortex_positive", "vp"), ("vortex_negative", "vn")):
+            assert got[c] == (None if w[x] is None else pytest.approx(w[x], abs=1e-9)), (got, w)
 
 
 def test_plain_plan_has_one_exchange(spark):

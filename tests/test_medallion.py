@@ -4,11 +4,12 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barwise import schemas
 from barwise.operators import indicators as IND
 from barwise.operators import sinks as K
-from barwise.operators import upsert as U
+from barwise.operators import versions as VT
 from barwise.plans import medallion as M
 from barwise.plans.output import round_doubles
 from barwise.session import scratch_path
@@ -122,26 +123,29 @@ def test_first_upsert_keeps_the_last_delivered_row(spark):
     row = "ticker string, timestamp timestamp_ntz, close double, seq int"
     t = T0
     first = spark.createDataFrame([("A", t, 9.0, 1), ("A", t, 5.0, 2), ("B", t, 1.0, 1)], row)
-    assert U.upsert_path(spark, first, path, ["ticker", "timestamp"], order="seq") \
-        == {"num_inserted_rows": 2, "num_updated_rows": 0}
+    one = VT.merge(spark, path, first, ["ticker", "timestamp"], order="seq")
+    assert (one.inserted, one.updated) == (2, 0)
     more = spark.createDataFrame([("B", t, 3.0, 9), ("B", t, 8.0, 4), ("C", t, 2.0, 1)], row)
-    assert U.upsert_path(spark, more, path, ["ticker", "timestamp"], order="seq") \
-        == {"num_inserted_rows": 1, "num_updated_rows": 1}
-    got = {r["ticker"]: r["close"] for r in spark.read.parquet(path).collect()}
+    two = VT.merge(spark, path, more, ["ticker", "timestamp"], order="seq")
+    assert (two.inserted, two.updated) == (1, 1)
+    schema = T.StructType([f for f in first.schema.fields if f.name != "seq"])
+    got = {r["ticker"]: r["close"] for r in VT.read(spark, path, schema).collect()}
     assert got == {"A": 5.0, "B": 3.0, "C": 2.0}
 
 
-def test_upsert_reads_only_the_touched_dates(spark, sf_dir):
+def test_upsert_reads_and_writes_only_the_touched_dates(spark, sf_dir):
     path = scratch_path(spark, "bars")
     bars = A.bars_10m(spark, sf_dir)
-    U.upsert_path(spark, bars, path, schemas.BAR_KEY)
+    before = VT.merge(spark, path, bars, schemas.BAR_KEY)
     one_day = bars.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
-    staged = U.stage_upsert(spark, one_day, path, schemas.BAR_KEY)
-    days = spark.read.parquet(staged.stage).select("date").distinct().count()
-    assert days == 1 and staged.inserted == 0 and staged.updated == one_day.count()
-    target = spark.read.schema(staged.schema).parquet(path).where(F.col("date").isin([one_day.select(
-        F.to_date("timestamp")).first()[0]]))
-    assert re.search(r"PartitionFilters: \[[^\]]*date", target._jdf.queryExecution().executedPlan().toString())
+    staged = VT.stage(spark, path, one_day, schemas.BAR_KEY)
+    assert list(staged.parts) == [str(A.REDELIVERED_DAY)[:10]]
+    assert staged.inserted == 0 and staged.updated == one_day.count()
+    after = VT.publish(spark, staged)
+    assert {d for d in after.parts if after.parts[d] != before.parts[d]} == set(staged.parts)
+    stored = VT.read(spark, path, schemas.BARS.add("date", "date")) \
+        .where(F.col("date") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    assert re.search(r"PartitionFilters: \[[^\]]*date", stored._jdf.queryExecution().executedPlan().toString())
 
 
 def test_landed_rows_are_not_shuffled_on_the_symbol(spark, sf_dir):

@@ -10,6 +10,7 @@ from barwise.config import DEFAULT
 from barwise.operators import portfolio as PF
 from barwise.operators import serving as SV
 from barwise.operators import upsert as U
+from barwise.operators import versions as VT
 from barwise.session import scratch_path
 
 T = dt.datetime(2024, 1, 10, 15, 0)
@@ -84,11 +85,11 @@ def test_upsert_counts_and_idempotent(spark):
     assert again.exceptAll(merged).count() == 0
 
     path = scratch_path(spark, "bars-table")
-    U.upsert_path(spark, t, path, ["ticker", "timestamp"])
-    U.upsert_path(spark, s, path, ["ticker", "timestamp"])
-    first = sorted(spark.read.parquet(path).drop("date").collect())
-    U.upsert_path(spark, s, path, ["ticker", "timestamp"])
-    second = sorted(spark.read.parquet(path).drop("date").collect())
+    VT.merge(spark, path, t, ["ticker", "timestamp"])
+    VT.merge(spark, path, s, ["ticker", "timestamp"])
+    first = sorted(VT.read(spark, path, schemas.BARS).collect())
+    VT.merge(spark, path, s, ["ticker", "timestamp"])
+    second = sorted(VT.read(spark, path, schemas.BARS).collect())
     assert len(first) == 3 and first == second
 
 

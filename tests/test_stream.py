@@ -155,3 +155,69 @@ def test_state_follows_the_windows(spark):
     assert got.exceptAll(want).count() == 0 and want.where("sma50 is not null").count() == 121
     with pytest.raises(ValueError):
         J.RollingIndicatorProcessor(p.with_(tail_cap=55))
+
+
+def _same(got, want):
+    got, want = round_doubles(got), round_doubles(want)
+    return got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_late_bars_are_put_in_order_within_the_watermark(spark):
+    import random
+    rng = random.Random(3)
+    a = bars_df(spark, [100 + (i * 7 % 13) / 2 for i in range(200)], "A")
+    b = bars_df(spark, [50 + (i * 5 % 17) / 2 for i in range(150)], "B", start=T0 + dt.timedelta(minutes=5))
+    bars = a.unionByName(b)
+    rows = sorted(bars.collect(), key=lambda r: (r["timestamp"] + dt.timedelta(minutes=rng.randint(0, 110)), r["ticker"]))
+    landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+    for i in range(0, len(rows), 60):
+        spark.createDataFrame(rows[i:i + 60], schemas.BARS).coalesce(1).write.mode("append").parquet(landing)
+    J.run_indicator_stream(spark, landing, out, max_files=1, cooldown=False, late_delay="2 hours")
+    so_far = J.read_output(spark, out, "silver").count()
+    assert 0 < so_far < 350                                  # the newest wait for the watermark
+    J.land_close(spark, landing, "2 hours")
+    J.run_indicator_stream(spark, landing, out, max_files=1, cooldown=False, late_delay="2 hours")
+    assert _same(J.read_output(spark, out, "silver"), IND.indicators(bars))
+    assert J.read_output(spark, out, "late").count() == 0
+
+
+def test_one_hot_ticker_in_one_micro_batch(spark):
+    """400,000 bars of a ticker in a micro-batch, spread over tasks; late and repeated bars."""
+    from barwise.config import DEFAULT
+    p = DEFAULT.with_(chunk_rows=20_000, order_bucket="hour")
+    t = F.timestamp_add("SECOND", F.col("id") * 10, F.lit(T0).cast("timestamp_ntz"))
+    wave = F.sin(F.col("id") / 9) * 8 + 100 + F.col("id") % 5
+    bars = schemas.conform(spark.range(400_000).select(
+        F.lit("HOT").alias("ticker"), t.alias("timestamp"), wave.alias("open"), (wave + 1).alias("high"),
+        (wave - 1).alias("low"), wave.alias("close"), F.lit(1).alias("volume")), schemas.BARS)
+    other = bars_df(spark, [float(i % 9 + 1) for i in range(70)], "COLD")
+    split = F.lit(T0 + dt.timedelta(minutes=60000)).cast("timestamp_ntz")
+    landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+    J.land(bars.where(F.col("timestamp") < split).unionByName(other.limit(40)), landing, 4)
+    J.run_chunked_stream(spark, landing, out, p, cooldown=False)
+    rest = bars.where(F.col("timestamp") >= split)
+    J.land(rest.unionByName(other.exceptAll(other.limit(40))).unionByName(rest.limit(3)), landing, 4)
+    J.land(bars.limit(2), landing, 1)
+    J.run_chunked_stream(spark, landing, out, p, cooldown=False)
+    both = bars.unionByName(other)
+    assert _same(J.read_output(spark, out, "silver"), IND.indicators_chunked(both, p, p.chunk_rows))
+    assert J.read_output(spark, out, "late").count() == 5
+    sinks = J.ChunkedSinks(out, p)
+    plan = sinks.indicators(spark.read.schema(schemas.BARS).parquet(landing), 9)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "Arrow" not in plan
+
+
+def test_a_repeated_micro_batch_leaves_the_same_state(spark):
+    from barwise.session import child_versions
+    landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+    bars = bars_df(spark, [100 + (i * 7 % 13) / 2 for i in range(120)])
+    J.land_in_time_order(bars, landing, 4)
+    J.run_chunked_stream(spark, landing, out, max_files=1)
+    assert child_versions(spark, f"{out}/tail") == [2, 3] and len(child_versions(spark, f"{out}/cooldown")) <= 2
+    sinks = J.ChunkedSinks(out)
+    newest = bars.where(F.col("timestamp") >= J.read_output(spark, out, "silver").agg(F.max("timestamp")).first()[0]
+                        - dt.timedelta(minutes=290))
+    before = sorted(spark.read.parquet(f"{out}/tail/v=3").collect())
+    sinks(newest, 3)
+    assert sorted(spark.read.parquet(f"{out}/tail/v=3").collect()) == before
+    assert _same(J.read_output(spark, out, "silver"), IND.indicators(bars))
