@@ -1,9 +1,8 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
 Every line that has a word takes part, by its trimmed form (A-Z lower-cased). Lines of fewer
-than ``min_chars`` characters (or ``k``) are too short to be compared fuzzily: they are linked
-to their exact copies only, by hash (with ``keep_single`` those of a single word stay). Each
-longer line gets a one-permutation MinHash of
+than ``k`` characters have no shingle: they are linked to their exact copies only, by hash. Lines are counted as distinct rows first,
+so a line that stands everywhere is one row in the join. Each longer line gets a one-permutation MinHash of
 its distinct character ``k``-shingles in ``bands`` bands of ``rows`` values; lines that
 agree on a band meet, and pairs that meet are verified by the exact Jaccard similarity of
 their shingle sets (``similarity`` or more links them). At 0.8 a pair meets with a
@@ -19,16 +18,19 @@ table gives an empty result. No line, group or candidate is capped.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import linking
 from .packing import packed, unpacked
-from .textarrays import SPACED, U64, Chunk, chunks, lists, mix, runs, words
+from .textarrays import SPACED, U64, Chunk, chunks, mix, runs, words
 
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
 _BITS = 44
@@ -85,44 +87,44 @@ def band_keys(both: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _eligible(c: Chunk, min_chars: int, keep_single: bool = False):
+def _eligible(c: Chunk, k: int):
     """The characters, the spans of the lines to compare fuzzily, and those of the shorter ones."""
     spans = line_spans(c)
     chars = np.append(np.flatnonzero((c.data & 0xC0) != 0x80), len(c.data))
-    size = np.searchsorted(chars, spans[3]) - np.searchsorted(chars, spans[2])
-    ok = size >= min_chars
-    short = ~ok
-    if keep_single:
-        blanks = np.concatenate([[0], np.cumsum(~SPACED[c.data])])
-        short &= blanks[spans[3]] > blanks[spans[2]]
-    return chars, tuple(x[ok] for x in spans), tuple(x[short] for x in spans)
+    ok = np.searchsorted(chars, spans[3]) - np.searchsorted(chars, spans[2]) >= k
+    return chars, tuple(x[ok] for x in spans), tuple(x[~ok] for x in spans)
 
 
-def _signed_lines(k: int, bands: int, rows: int, min_chars: int, keep_single: bool):
+def _signed_lines(k: int, bands: int, rows: int):
+    """(id, line, hash, b0, b1, ...) of every line; the bands only where the line is compared
+    fuzzily and stands for the first time in the chunk."""
+    names = ["id", "line", "hash", *(f"b{i}" for i in range(bands))]
+    none = pa.nulls(0, pa.int64())
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for c in chunks(batch.column(1), lower=True):
-                chars, (row, number, first, end), (row_, number_, first_, end_) = _eligible(c, min_chars, keep_single)
+                chars, long, short = _eligible(c, k)
                 prefix = c.prefix_hash()
-                if len(row_):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[c.start + row_]), pa.array(number_, pa.int32()),
-                         pa.array(c.span_hash(prefix, first_, end_).view(np.int64)),
-                         lists(np.zeros(0, np.int64), np.zeros(len(row_), np.int64), pa.int64())],
-                        names=["id", "line", "hash", "bands"])
+                row, number, first, end = (np.concatenate(x) for x in zip(long, short))
                 line = c.span_hash(prefix, first, end).view(np.int64)
-                for a in range(0, len(row), _BLOCK):
-                    b = min(a + _BLOCK, len(row))
-                    keys = band_keys(shingles(c, prefix, chars, first[a:b], end[a:b], k), b - a, bands, rows)
+                _, new = np.unique(line[:len(long[0])], return_index=True)
+                again = np.setdiff1d(np.arange(len(line)), new)
+                for a in range(0, len(new), _BLOCK):
+                    some = new[a:a + _BLOCK]
+                    keys = band_keys(shingles(c, prefix, chars, first[some], end[some], k), len(some), bands, rows).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[c.start + row[some]]), pa.array(number[some], pa.int32()), pa.array(line[some]),
+                         *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(bands))], names=names)
+                if len(again):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[c.start + row[a:b]]), pa.array(number[a:b], pa.int32()), pa.array(line[a:b]),
-                         lists(keys.reshape(-1).view(np.int64), np.full(b - a, bands), pa.int64())],
-                        names=["id", "line", "hash", "bands"])
+                        [pa.array(ids[c.start + row[again]]), pa.array(number[again], pa.int32()), pa.array(line[again]),
+                         *([pa.nulls(len(again), none.type)] * bands)], names=names)
     return task
 
 
-def _wanted_lines(min_chars: int):
+def _wanted_lines(k: int):
     """(id, value, size): the trimmed, lower-cased wanted lines of packed texts."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +133,7 @@ def _wanted_lines(min_chars: int):
             for at in range(0, batch.num_rows, 200):
                 asked = [set(x.as_py()) for x in wanted.slice(at, 200)]
                 for c in chunks(unpacked(squeezed.slice(at, 200)), lower=True):
-                    _, (row, number, first, end), _ = _eligible(c, min_chars)
+                    _, (row, number, first, end), _ = _eligible(c, k)
                     pick = np.array([n in asked[c.start + r] for r, n in zip(row.tolist(), number.tolist())], bool)
                     if not pick.any():
                         continue
@@ -158,48 +160,63 @@ def shingle_sets(k: int):
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8,
-                  bands: int = 9, rows: int = 4, similarity: float = 0.8, min_chars: int = 20,
-                  keep_single: bool = False) -> DataFrame:
+                  bands: int = 9, rows: int = 4, similarity: float = 0.8) -> DataFrame:
     """(id, removed): the sorted numbers (from 0) of the lines to remove, for each document
     that loses any."""
-    spark, min_chars = docs.sparkSession, max(min_chars, k)
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .where("id is not null and text is not null")
+    keys = [f"b{i}" for i in range(bands)]
     signed = linking.landed(texts.mapInArrow(
-        _signed_lines(k, bands, rows, min_chars, keep_single), "id long, line int, hash long, bands array<long>"), "lines")
-    banded = signed.select("hash", F.explode("bands").alias("band"))
+        _signed_lines(k, bands, rows),
+        ", ".join(["id long, line int, hash long", *(f"{b} long" for b in keys)])), "lines")
+    # a line that stands a million times is one row from here on
+    place = F.struct("id", "line")
+    distinct = linking.landed(signed.groupBy("hash").agg(
+        *[F.max(b).alias(b) for b in keys], F.min(place).alias("first"), F.max(place).alias("last")), "distinct")
+    banded = distinct.where("b0 is not null").select("hash", F.explode(F.array(*keys)).alias("band"))
     members = linking.landed(linking.shared_keys(banded, "band", "hash"), "members")
     grouped = linking.landed(linking.groups(members).select("key", "id", "head"), "groups")
-    wanted = signed.select("id", "line", "hash") \
-        .join(grouped.select(F.col("id").alias("hash")).distinct(), "hash") \
-        .groupBy("hash").agg(F.min(F.struct("id", "line")).alias("at")) \
-        .groupBy("at.id").agg(F.collect_list("at.line").alias("lines"))
+    linking.release(members)
+    wanted = distinct.join(grouped.select(F.col("id").alias("hash")).distinct(), "hash") \
+        .groupBy("first.id").agg(F.collect_list("first.line").alias("lines"))
     sets = linking.landed(
-        packed(texts).join(wanted, "id").mapInArrow(_wanted_lines(min_chars), "id long, value string, size int")
+        packed(texts).join(wanted, "id").mapInArrow(_wanted_lines(k), "id long, value string, size int")
         .dropDuplicates(["id"]), "sets")
     comp = linking.linked_components(spark, grouped, sets, shingle_sets(k), round(similarity * 1000), 1000)
-    placed = signed.select("id", "line", "hash").join(comp.withColumnRenamed("id", "hash"), "hash", "left") \
-        .select("id", "line", F.coalesce("comp", "hash").alias("comp"))
-    first = placed.groupBy("comp").agg(F.min(F.struct("id", "line")).alias("first"),
-                                       F.max(F.struct("id", "line")).alias("last")).where("first <> last")
-    return placed.join(first, "comp").where(F.struct("id", "line") != F.col("first")) \
+    linking.release(grouped, sets)
+    placed = distinct.join(comp.withColumnRenamed("id", "hash"), "hash", "left") \
+        .select("hash", F.coalesce("comp", "hash").alias("comp"), "first", "last")
+    kept = placed.groupBy("comp").agg(F.min("first").alias("kept"), F.max("last").alias("end")).where("kept <> end")
+    kept = linking.landed(placed.join(kept, "comp").select("hash", "kept"), "kept")
+    linking.release(distinct)
+    return signed.select("id", "line", "hash").join(kept, "hash").where(place != F.col("kept")) \
         .groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def without_lines(text: Column, removed: Column) -> Column:
-    """The text without the lines of these numbers; unchanged where removed is null."""
-    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(removed, i))
-    return F.when(removed.isNull(), text).otherwise(F.array_join(left, "\n"))
+@F.pandas_udf(StringType())
+def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
+    """The texts without the lines of these numbers; a null text stays null."""
+    def rest(t, gone):
+        if t is None or gone is None:
+            return t
+        lines = t.split("\n")
+        return "\n".join([x for x, stays in zip(lines, ~np.isin(np.arange(len(lines)), gone)) if stays])
+    return pd.Series([rest(t, gone) for t, gone in zip(text, removed)], dtype=object)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with ``text`` rewritten and two columns more: n_lines (lines before) and
-    removed_lines (numbers of the lines that went; empty if none)."""
-    gone = removed_lines(docs, id_col, text_col, **options).select(
-        F.col("id").alias("__id"), F.col("removed").alias("__removed"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left") \
-        .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0)
-                    .otherwise(F.size(F.split(text_col, "\n", -1))).cast("long")) \
-        .withColumn("removed_lines", F.coalesce("__removed", F.array().cast("array<int>"))) \
-        .withColumn(text_col, without_lines(F.col(text_col), F.col("__removed"))) \
-        .drop("__id", "__removed")
+    removed_lines (numbers of the lines that went; empty if none). Input columns of these two
+    names are replaced by them."""
+    own, gone_ = (f"{x}-{uuid.uuid4().hex}" for x in ("id", "removed"))  # no input column has these names
+    gone = removed_lines(docs, id_col, text_col, **options).select(F.col("id").alias(own), F.col("removed").alias(gone_))
+    text, removed = F.col(text_col), F.col(f"`{gone_}`")
+    joined = docs.drop(*[c for c in ("n_lines", "removed_lines") if c not in (id_col, text_col)]) \
+        .join(gone, docs[id_col].cast("long") == gone[f"`{own}`"], "left")
+    left = without_lines(F.when(removed.isNotNull(), text.cast("string")), removed)
+    return joined.select(
+        *[F.when(removed.isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`")
+          for c in joined.columns if c not in (own, gone_)],
+        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
+        F.coalesce(removed, F.array().cast("array<int>")).alias("removed_lines"))

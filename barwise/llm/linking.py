@@ -128,7 +128,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
             .union(low).distinct()
-        edges = landed(small, "cc")
+        edges, before = landed(small, "cc"), edges
+        release(before)
         # done when every id points at one root and no root points on
         ends = edges.selectExpr("u as x", "1 as up", "0 as down").union(edges.selectExpr("v", "0", "1"))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")) \
@@ -144,30 +145,39 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
 
 
-def similarities(pairs: DataFrame, sets: DataFrame, expand: Expand, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of num / den or more."""
+def similarities(pairs: DataFrame, sets: DataFrame, expand: Expand, num: int, den: int, rows: int = 1024) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of num / den or more.
+
+    The pairs of one ``a`` are dealt over tasks, ``rows`` of them each; every member's set is
+    shipped once for a pair and the set of ``a`` once for each deal. ``pairs`` is stored."""
+    dealt = landed(pairs.groupBy("a").agg(F.ceil(F.count("*") / rows).cast("int").alias("deals")), "deals")
+    members = pairs.join(dealt, "a").select("a", F.pmod(F.xxhash64("b"), "deals").cast("int").alias("deal"), "b") \
+        .join(sets.select(F.col("id").alias("b"), "value"), "b").select("a", "deal", "b", "value")
+    heads = dealt.select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")) \
+        .join(sets.select(F.col("id").alias("a"), "value"), "a") \
+        .select("a", "deal", F.lit(None).cast("long").alias("b"), "value")
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                a, b = (np.asarray(part.column(x)) for x in ("a", "b"))
-                # a head comes with many members: each id's set is expanded once
-                ids, first, of = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
-                values = pa.concat_arrays([part.column("va"), part.column("vb")]).take(pa.array(first))
-                sets = expand(values)
-                left, right = of[:len(a)], of[len(a):]
-                size = np.array([len(x) for x in sets], np.int64)
-                x, y = size[left], size[right]
-                keep = np.maximum(x, y) * num <= np.minimum(x, y) * den
-                for i in np.flatnonzero(keep).tolist():
-                    common = overlap(sets[left[i]], sets[right[i]])
-                    keep[i] = common * (den + num) >= (x[i] + y[i]) * num
+                a, deal = np.asarray(part.column("a")), np.asarray(part.column("deal"))
+                is_head = np.asarray(part.column("b").is_null())
+                grams = expand(part.column("value"))
+                keep = np.zeros(len(a), bool)
+                for i in range(len(a)):
+                    if is_head[i]:
+                        key, head = (a[i], deal[i]), np.array(grams[i])
+                    elif (a[i], deal[i]) == key:  # a head without a set has no pairs
+                        x, y = len(head), len(grams[i])
+                        if max(x, y) * num <= min(x, y) * den:
+                            keep[i] = overlap(head, grams[i]) * (den + num) >= (x + y) * num
                 if keep.any():
                     yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    b = sets.select(F.col("id").alias("b"), F.col("value").alias("vb"))
-    a = sets.select(F.col("id").alias("a"), F.col("value").alias("va"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "va", "vb").mapInArrow(task, "a long, b long")
+    return members.unionByName(heads).repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first()) \
+        .mapInArrow(task, "a long, b long")
 
 
 def _fingerprints(grams: list[np.ndarray], bits: int) -> np.ndarray:
@@ -247,32 +257,59 @@ def _products(expand: Expand, num: int, den: int):
 
 
 def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame, expand: Expand, num: int,
-                      den: int, rows: int = 1024, elements: int = 1 << 20) -> DataFrame:
+                      den: int, rows: int = 1024, elements: int = 1 << 20, stars: int = 2) -> DataFrame:
     """(id, comp) under all links between ids that share a key: the Jaccard similarity of
     their sets is num / den or more. ``sets`` (id, value, size) has a compact value for each id,
     which tasks ``expand`` to the sorted distinct hashes (64-bit), and about how many they are.
 
-    ``grouped`` (key, id, head) comes from ``groups``; it and ``sets`` are stored. First each
-    member is compared with its key's head. In keys whose members are then in several
-    components, the members outside the head's component are multiplied with all members,
-    in blocks of about ``rows`` rows or ``elements`` set elements, so that a task holds two
-    blocks at most; a block's product returns only links that join components. So no link
-    between components is lost, and what is written grows with the members, not the pairs."""
-    star = grouped.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    near = landed(similarities(star, sets, expand, num, den), "star")
-    comp = landed(components(spark, near), "comp")
-    own = grouped.join(comp, "id", "left").select("key", "id", "head", F.coalesce("comp", "id").alias("comp"))
-    split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi") \
-        .select("key")
-    head = comp.select(F.col("id").alias("head"), F.col("comp").alias("head_comp"))
-    rest = landed(own.join(split, "key", "left_semi").join(head, "head", "left")
-                  .withColumn("out", F.col("comp") != F.coalesce("head_comp", "head"))
-                  .join(sets.select("id", F.col("size").alias("n")), "id")
-                  .select("key", "id", "comp", "out", "n"), "rest")
+    ``grouped`` (key, id, head) comes from ``groups``; it and ``sets`` are stored. Keys with one
+    head are one group: ids that share a key share its head. In each round every group's head
+    is compared with the members that aren't in its component; in groups whose members are
+    then still in several components, the first member outside the components of all heads so
+    far is the next head. A few rounds (``stars``) join what is one cluster or some. After
+    that, members outside the first head's component are multiplied with all members, in
+    blocks of about ``rows`` rows or ``elements`` set elements, so that a task holds two blocks
+    at most; heads so far have met everyone and stay out. A block's product returns only links
+    that join components. So no link between components is lost, and what is written grows
+    with the members, not the pairs."""
+    own = landed(grouped.select(F.col("head").alias("key"), "id").distinct()
+                 .select("key", "id", F.col("id").alias("comp"), (F.col("id") == F.col("key")).alias("met")), "groups-by-head")
+    heads = own.where("met").select("key", F.col("key").alias("head"), F.col("key").alias("head_comp"))
+    links, comp = None, None
+    for turn in range(stars):
+        pairs = own.join(heads, "key").where("comp <> head_comp").select(F.col("head").alias("a"), F.col("id").alias("b"))
+        pairs = landed(pairs.distinct(), "star")
+        near = landed(similarities(pairs, sets, expand, num, den), "near")
+        release(pairs)
+        links = near if links is None else links.union(near)
+        comp, before = landed(components(spark, links), "comp"), comp
+        fresh = own.select("key", "id", "met").join(comp, "id", "left") \
+            .select("key", "id", F.coalesce("comp", "id").alias("comp"), "met")
+        # a member whose component holds a head of the group waits for the products
+        split = fresh.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        fresh = landed(fresh.join(split, "key", "left_semi"), "groups-by-head")
+        release(own, *([before] if before is not None else []))
+        if turn == stars - 1:
+            own = fresh
+            break
+        reached = fresh.where("met").select("key", "comp").distinct()
+        heads = fresh.join(reached, ["key", "comp"], "left_anti").groupBy("key") \
+            .agg(F.min(F.struct("id", "comp")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.comp").alias("head_comp"))
+        heads = landed(heads, "heads")
+        if heads.isEmpty():
+            own = fresh
+            break
+        own = landed(fresh.join(heads.select("key", F.col("head").alias("id"), F.lit(True).alias("now")), ["key", "id"], "left")
+                     .select("key", "id", "comp", (F.col("met") | F.col("now").isNotNull()).alias("met")), "groups-by-head")
+        release(fresh)
+    first = own.where(F.col("id") == F.col("key")).select("key", F.col("comp").alias("head_comp"))
+    rest = own.join(first, "key").where(~F.col("met")).withColumn("out", F.col("comp") != F.col("head_comp"))
+    rest = landed(rest.join(sets.select("id", F.col("size").alias("n")), "id").select("key", "id", "comp", "out", "n"), "rest")
     blocks = lambda n, m: F.ceil(F.greatest(n / rows, m / elements, F.lit(1))).cast("int")
-    plan = rest.groupBy("key").agg(
+    plan = landed(rest.groupBy("key").agg(
         blocks(F.sum(F.col("out").cast("long")), F.sum(F.when(F.col("out"), F.col("n")))).alias("np"),
-        blocks(F.count("*"), F.sum("n")).alias("nq"))
+        blocks(F.count("*"), F.sum("n")).alias("nq"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .where("lo <> hi").drop("lo", "hi"), "plan")
     placed = rest.join(plan, "key").withColumn("h", F.xxhash64("id"))
     p, q = F.pmod("h", "np").cast("int"), F.pmod("h", "nq").cast("int")
     as_left = placed.where("out").select("key", "id", "comp", "out", p.alias("p"), F.lit(1).alias("side"),
@@ -285,6 +322,7 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
         .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id") \
         .mapInArrow(_products(expand, num, den), "a long, b long")
     more = landed(more.distinct(), "more")
+    release(rest, plan)
     if more.isEmpty():
         return comp
-    return components(spark, near.union(more))
+    return components(spark, links.union(more))

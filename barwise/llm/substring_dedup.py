@@ -15,8 +15,10 @@ sorting with a difference cover, cut at ``length`` bytes, where only equality ma
 * Recurse. The others get a longer name: all bytes of the windows that they stand for. Of
   the suffixes with one long name, all but the first are repeats, with all their windows.
 * Merge. Windows of suffixes whose short names are shared by several long ones (match
-  edges) are the remaining suffixes: each is named by its ``length`` bytes, sorted, and
-  compared with its neighbours; all but the first of a name are repeats.
+  edges) are the remaining suffixes. Any such window holds, besides the short name's bytes,
+  half of the other bytes on one side of it, so these first get a name over that stretch and
+  those whose stretch is shared stay. Each window left is named by its ``length`` bytes, sorted,
+  and compared with its neighbours; all but the first of a name are repeats.
 
 Equal names within a text are one row before anything is shuffled. Sorting streams over
 partitions; a group of equal names is never held in memory, and firsts are aggregates. Names are 64-bit hashes. Rules: a null or empty text has no bytes; a text
@@ -159,6 +161,38 @@ def _windows(length: int):
     return task
 
 
+def _longer_names(length: int):
+    """(key, id, lo, hi) of the match edges (place, lo, hi) of packed texts: a window that
+    starts at most ``half`` bytes before the sampled place holds the bytes from there to its own
+    end at least, any other the ``half + 1`` bytes before the place. Each edge gives a row for
+    either kind of its windows, named by these bytes and the short name's."""
+    rest = length - GRAM
+    half = (rest - 1) // 2
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for at in range(0, batch.num_rows, 200):
+                edges = batch.column(2).slice(at, 200)
+                for c in chunks(unpacked(batch.column(1).slice(at, 200))):
+                    some = edges.slice(c.start, len(c))
+                    counts = np.diff(np.asarray(some.offsets))
+                    row = np.repeat(np.arange(len(c)), counts)
+                    place, lo, hi = (np.asarray(x).astype(np.int64) for x in some.flatten().flatten())
+                    prefix, start = c.prefix_hash(), c.bounds[row] + place
+                    near, far = np.maximum(lo, place - half) <= hi, lo <= place - half - 1
+                    right = c.span_hash(prefix, start[near], start[near] + GRAM + rest - half)
+                    left = c.span_hash(prefix, start[far] - half - 1, start[far] + GRAM)
+                    key = np.concatenate([right, mix(left ^ U64(0x9E3779B97F4A7C15))])
+                    owner = ids[at + c.start + np.concatenate([row[near], row[far]])]
+                    first = np.concatenate([np.maximum(lo, place - half)[near], lo[far]])
+                    last = np.concatenate([hi[near], np.minimum(hi, place - half - 1)[far]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(owner), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
+                        names=["key", "id", "lo", "hi"])
+    return task
+
+
 def covered(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs (first, end) that the spans cover together; touching spans join."""
     order = np.argsort(lo, kind="stable")
@@ -197,14 +231,23 @@ def repeated_spans(texts: DataFrame, length: int, cover: str) -> tuple[DataFrame
     repeats = shared.join(first, ["key", "name"]) \
         .where(at != F.struct("first.id", "first.place")) \
         .select("id", "lo", (F.col("hi") + length).alias("end")).union(inside)
-    several = first.groupBy("key").agg(F.count("*").alias("names")).where("names > 1").select("key")
-    edges = first.join(several, "key", "left_semi").select("first.id", "first.lo", "first.hi")
-    edges = linking.landed(edges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "edges")
     repeats = linking.landed(repeats, "repeats")
+    linking.release(shared)
+    several = first.groupBy("key").agg(F.count("*").alias("names")).where("names > 1").select("key")
+    edges = first.join(several, "key", "left_semi").select("first.*")
+    edges = linking.landed(edges.groupBy("id").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("edges")), "edges")
+    linking.release(first)
     touched = edges.select("id").union(repeats.select("id")).distinct()
     stored = linking.landed(packed(texts).join(touched, "id", "left_semi"), "touched")
+    # most edges share little more than the short name: only windows inside a longer common
+    # stretch are expanded
+    named = stored.join(edges, "id").mapInArrow(_longer_names(length), "key long, id long, lo int, hi int")
+    stretches = linking.landed(linking.repeated_keys(named, "key").groupBy("id").agg(
+        F.collect_list(F.struct("lo", "hi")).alias("spans")), "stretches")
+    linking.release(edges)
     same = linking.landed(linking.repeated_keys(
-        stored.join(edges, "id").mapInArrow(_windows(length), WINDOW), "key"), "windows")
+        stored.join(stretches, "id").mapInArrow(_windows(length), WINDOW), "key"), "windows")
+    linking.release(stretches)
     inside = same.select("id", F.inline("more"))
     earliest = same.groupBy("key").agg(F.min(at).alias("first"))
     more = same.join(earliest, "key").where(at != F.col("first")) \

@@ -4,9 +4,8 @@ Each stage takes all that its predecessor kept; its result is written as Parquet
 shared folder and read again. All stages but the last return the columns of ``documents``.
 
 1. toxicity: documents whose restored text scores 0.7 or more go.
-2. line dedup: fuzzy copies of lines go, and exact copies of lines under 20 characters, all
-   but the first of the table; a line of one word under 20 characters stays. A document goes
-   only if it had words and none are left.
+2. line dedup: fuzzy copies of lines go, all but the first of the table (lines too short for
+   a shingle by exact copies). A document goes only if it had words and none are left.
 3. near duplicates: of each component of documents that share 0.8 of their five-word
    n-grams, the one of the least doc_id stays.
 4. decontamination: documents that hold a benchmark item go.
@@ -36,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs, keep_single=True)
+    kept = line_dedup.dedup_lines(docs)
     changed = F.size("removed_lines") > 0
     return kept.where(~changed | F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")) \
         .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \

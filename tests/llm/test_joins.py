@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -116,7 +117,7 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 
 
 def shingle_set(line, k=8):
-    return {line[i:i + k] for i in range(len(line) - k + 1)}
+    return {line[i:i + k] for i in range(len(line) - k + 1)} or {line}
 
 
 def lower(t):
@@ -132,7 +133,7 @@ def test_line_dedup(docs, rows):
     for r in rows:
         if r[0] is not None and r[1] is not None:
             for i, line in enumerate(r[1].split("\n")):
-                if len(trimmed(line)) >= 20:
+                if trimmed(line):
                     seen.setdefault(trimmed(line), []).append((r[0], i))
     lines = sorted(seen)
     sets = [shingle_set(x) for x in lines]
@@ -186,12 +187,57 @@ def test_short_lines_by_exact_copies(spark):
         seen |= set(lines)
     for r in line_dedup.dedup_lines(docs).collect():
         assert r.removed_lines == want.get(r.doc_id, []), r.doc_id
-    kept = {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(docs, keep_single=True).collect()}
-    texts = {i: t.split("\n") for i, t in data if t and i is not None}
-    assert all(kept[i] == [n for n in x if " " in trimmed(texts[i][n])] for i, x in want.items())
     assert sum(map(len, want.values())) > 150 and want[50] == [1]
 
 
+def test_line_dedup_of_a_long_text_and_clashing_columns(spark):
+    texts = ["the same line over and over\n" * 60_000, "x\r\nthe same line over and over"]
+    docs = spark.createDataFrame([(i, t, 9, "a", [1], 5, "b", 7) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, n_lines int, removed_lines string, removed array<int>, "
+                                 "hash int, first string, line int")
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert got[0].text == "the same line over and over\n" and got[0].n_lines == 60_001
+    assert got[1].text == "x\r" and got[1].removed_lines == [1] and got[1].n_lines == 2
+    assert (got[1].removed, got[1].hash, got[1].first, got[1].line) == ([1], 5, "b", 7)
+
+
+def near_copies(n, seed=8):
+    """n sets of 60: a few clusters of near copies, members of which link by chains only."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for c in range(4):
+        base = rng.integers(0, 2**52, 60)
+        for _ in range(n // 4):
+            s = base.copy()
+            s[rng.choice(60, rng.integers(0, 4), replace=False)] = rng.integers(0, 2**52)
+            out.append(np.unique(s))
+    return out
+
+
+@pytest.mark.parametrize("rows", [1024, 16])
+def test_groups_are_linked_whole(spark, rows):
+    """One key holds several clusters, so that stars and products are both needed."""
+    sets = near_copies(160)
+    forest = Forest()
+    for i in range(len(sets)):
+        forest.root(i)
+        for j in range(i):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * c >= 90 * (len(sets[i]) + len(sets[j]) - c):
+                forest.link(i, j)
+    df = spark.createDataFrame([(i, [int(x) for x in s], len(s)) for i, s in enumerate(sets)],
+                               "id long, value array<long>, size int")
+    keys = spark.createDataFrame([(k, i) for i in range(len(sets)) for k in (1, 2 + i % 3)], "key long, id long")
+    for stars in (1, 2, 4):
+        got = linking.linked_components(spark, linking.groups(keys), df, ngram_join.set_values, 90, 100, rows=rows,
+                                        stars=stars)
+        comp = {r.id: r.comp for r in got.collect()}
+        assert {i: comp.get(i, i) for i in range(len(sets))} == {i: forest.root(i) for i in range(len(sets))}
+    assert len({forest.root(i) for i in range(len(sets))}) > 6
+
+
 def brute_spans(rows, length):
     seen, out = {}, {}
     for i, t in sorted((r[0], r[1] or "") for r in rows if r[0] is not None):
