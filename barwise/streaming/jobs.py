@@ -120,8 +120,10 @@ def reordered_indicator_stream(bars: DataFrame, delay: str, p: Params = DEFAULT)
     the state, and rows come out once the watermark has passed them."""
     spark = bars.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    timed = bars.withColumn("_ts", F.col("timestamp").cast("timestamp")).withColumn("_ms", F.unix_millis("_ts"))
-    return timed.withWatermark("_ts", delay).groupBy("ticker").transformWithStateInPandas(
+    # the names reach Python as fields of a tuple, which can't begin with an underscore
+    timed = bars.withColumn("event_time", F.col("timestamp").cast("timestamp")) \
+        .withColumn("event_ms", F.unix_millis("event_time"))
+    return timed.withWatermark("event_time", delay).groupBy("ticker").transformWithStateInPandas(
         statefulProcessor=ReorderingProcessor(p), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
 
 

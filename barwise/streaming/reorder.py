@@ -26,7 +26,7 @@ CLOSE = "__close__"
 
 
 class ReorderingProcessor(StatefulProcessor):
-    """Input: ticker, timestamp, high, low, close and ``_ms``, the watermark column in ms."""
+    """Input: ticker, timestamp, high, low, close and ``event_ms``, the watermark column in ms."""
 
     def __init__(self, p: Params = DEFAULT):
         p.state_rows  # rejects a state shorter than the windows before the stream starts
@@ -52,7 +52,7 @@ class ReorderingProcessor(StatefulProcessor):
             return
         mark, first = timerValues.getCurrentWatermarkInMs(), None
         for chunk in rows:
-            times = zip(_to_us(chunk["timestamp"]).tolist(), chunk["_ms"], chunk["high"], chunk["low"], chunk["close"])
+            times = zip(_to_us(chunk["timestamp"]).tolist(), chunk["event_ms"], chunk["high"], chunk["low"], chunk["close"])
             for us, ms, *prices in times:
                 self.waiting.updateValue((us,), (int(ms), *(None if pd.isna(x) else float(x) for x in prices)))
                 first = int(ms) if first is None else min(first, int(ms))
