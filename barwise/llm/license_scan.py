@@ -1,16 +1,19 @@
 """License scan by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a short standard notice; both are sets of words
-(A-Z lower-cased; runs of digits, letters and non-ASCII). A block matches a template if it
-contains a share of ``threshold`` or more of the template's words. The join:
+A template is a short standard notice, a block for it any stretch of a text of 1.25 times its
+words, wherever the lines break; both are sets of words (A-Z lower-cased; runs of digits,
+letters and non-ASCII). A block matches a template if it contains a share of ``threshold`` or
+more of the template's words. A stretch that begins with another word holds no more of the
+template than the one from its first template word, so blocks begin at template words. Of a
+template's matching blocks in a text the best is reported (the first of equal ones). The join:
 
 * Order: template words are ranked by their number of occurrences in the whole table, the
   rarest first (ties by the word's hash).
 * Prefix: of a template of t words that must share a = ceil(threshold * t), a matching block
-  holds one of the t - a + 1 rarest. Only blocks that hold such a word are looked at.
-* Length: a block of fewer than a words can't match.
-* Position: where the first common word is i-th in the template and j-th among the block's
-  template words, at most 1 + min(rest of the template, rest of the block) are common.
+  holds one of the t - a + 1 rarest. Only template words within a block's length of such a
+  word are looked at.
+* Length: a block of fewer than a words, at the end of a text, can't match.
+* Position: a block in which fewer than a template words stand from its begin on can't match.
 * The overlap of what is left is counted exactly.
 
 Templates are few and short, so their words and ranks go to every task. Beside the join,
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import ALNUM, U64, Chunk, Words, chunks, runs, word_hashes, words
+from .textarrays import ALNUM, Chunk, Words, chunks, word_hashes, words
 
 #: Fixed phrases and labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -55,7 +58,7 @@ TEMPLATES = [
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-BLOCKS = "array<struct<line:int,label:string,containment:double>>"
+BLOCKS = "array<struct<word:bigint,label:string,containment:double>>"
 
 
 def hashes(text: str) -> np.ndarray:
@@ -64,11 +67,13 @@ def hashes(text: str) -> np.ndarray:
 
 
 class Templates:
-    """Template words with their ranks, and each template's ranks in ascending order."""
+    """Template words with their ranks, and each template's words, prefix and block length."""
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.labels = [label for label, _ in templates]
-        self.sets = [np.unique(hashes(text)) for _, text in templates]
+        own = [hashes(text) for _, text in templates]
+        self.sets = [np.unique(h) for h in own]
+        self.width = [-(-5 * len(h) // 4) for h in own]
         self.need = [int(np.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.vocabulary = np.unique(np.concatenate(self.sets))
         self.order([0] * len(self.vocabulary))
@@ -78,14 +83,12 @@ class Templates:
         by_rank = np.lexsort((self.vocabulary, np.asarray(counts)))
         self.rank = np.empty(len(by_rank), np.int64)
         self.rank[by_rank] = np.arange(len(by_rank))
-        self.ranked = [np.sort(self.rank[np.searchsorted(self.vocabulary, s)]) for s in self.sets]
-        #: template numbers by the prefix word's rank
-        self.prefixes: dict[int, list[tuple[int, int]]] = {}
-        for t, (ranks, need) in enumerate(zip(self.ranked, self.need)):
-            for i, r in enumerate(ranks[:len(ranks) - need + 1].tolist()):
-                self.prefixes.setdefault(r, []).append((t, i))
-        self.is_prefix = np.zeros(len(by_rank), bool)
-        self.is_prefix[list(self.prefixes)] = True
+        self.within = np.zeros((len(self.sets), len(by_rank)), bool)
+        self.prefix = self.within.copy()
+        for t, (words_, need) in enumerate(zip(self.sets, self.need)):
+            ranks = np.sort(self.rank[np.searchsorted(self.vocabulary, words_)])
+            self.within[t, ranks] = True
+            self.prefix[t, ranks[:len(ranks) - need + 1]] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, ranks) of the hashes that are template words."""
@@ -93,21 +96,28 @@ class Templates:
         place = np.flatnonzero(self.vocabulary[at] == h)
         return place, self.rank[at[place]]
 
-    def matches(self, block: np.ndarray, size: int) -> list[tuple[int, float]]:
-        """(template, containment) of a block: its sorted distinct ranks and number of words."""
-        out, seen = [], set()
-        for j, r in enumerate(block.tolist()):
-            for t, i in self.prefixes.get(r, ()):
-                if t in seen:
-                    continue
-                seen.add(t)  # ascending: this is the first common prefix word
-                ranks, need = self.ranked[t], self.need[t]
-                if size < need or min(len(ranks) - i, len(block) - j) < need:
-                    continue
-                common = len(np.intersect1d(ranks, block, assume_unique=True))
-                if common >= need:
-                    out.append((t, common / len(ranks)))
-        return out
+    def matches(self, place: np.ndarray, rank: np.ndarray, row: np.ndarray, end: np.ndarray) -> Iterator[tuple]:
+        """(template, row, first word, containment) of the best block of each template in each
+        row. ``place`` and ``rank`` are the template words of a chunk in order, ``row`` their rows
+        and ``end`` where their rows end."""
+        for t, (need, width) in enumerate(zip(self.need, self.width)):
+            rare = place[self.prefix[t, rank]]
+            if not len(rare):
+                continue
+            own = np.flatnonzero(self.within[t, rank])
+            at, words_ = place[own], rank[own]
+            stop = np.minimum(at + width, end[own])
+            last = np.searchsorted(at, stop)
+            reach = np.searchsorted(rare, stop) > np.searchsorted(rare, at)  # a prefix word in the block
+            enough = reach & (last - np.arange(len(at)) >= need) & (stop - at >= need)
+            best: dict[int, tuple] = {}
+            for i in np.flatnonzero(enough).tolist():
+                common = len(np.unique(words_[i:last[i]]))
+                of = int(row[own[i]])
+                if common >= need and (of not in best or common > best[of][0]):
+                    best[of] = (common, int(at[i]))
+            for of, (common, first) in best.items():
+                yield t, of, first, common / len(self.sets[t])
 
 
 def _count(templates: Templates):
@@ -154,26 +164,16 @@ def _scan(templates: Templates, phrases: dict[str, str]):
                         places[row].append(a - int(begin[row]))
                         base[row].add(label)
                 blocks: list[list] = [[] for _ in range(rows)]
-                breaks = np.flatnonzero(c.data == 0x0A)
                 at, rank = templates.find(h)
-                line = np.searchsorted(breaks, w.first, "left") + w.row  # rises; a row starts a new one
-                all_lines = np.bincount(line, minlength=1) if len(line) else np.zeros(1, np.int64)
-                first_line = np.searchsorted(breaks, c.bounds[:-1], "left") + np.arange(rows)
-                own = line[at]
-                start = runs(own)
-                hot = np.add.reduceat(templates.is_prefix[rank], start) > 0 if len(start) else np.zeros(0, bool)
-                for a, b in zip(start[hot].tolist(), np.append(start[1:], len(own))[hot].tolist()):
-                    row, number = int(w.row[at[a]]), int(own[a])
-                    for t, share in templates.matches(np.unique(rank[a:b]), int(all_lines[number])):
-                        blocks[row].append({"line": number - int(first_line[row]), "label": templates.labels[t],
-                                            "containment": share})
+                for t, row, first, share in templates.matches(at, rank, w.row[at], (begin + counts)[w.row[at]]):
+                    blocks[row].append({"word": first - int(begin[row]), "label": templates.labels[t], "containment": share})
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.start, rows), pa.array(counts),
                      pa.array([len(p) for p in places], pa.int64()),
                      pa.array([min(p) if p else None for p in places], pa.int64()),
                      pa.array([max(p) if p else None for p in places], pa.int64()),
                      pa.array([sorted(x) for x in base], pa.list_(pa.string())),
-                     pa.array(blocks, pa.list_(pa.struct([("line", pa.int32()), ("label", pa.string()),
+                     pa.array(blocks, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()),
                                                           ("containment", pa.float64())])))],
                     names=["id", "n_words", "n_base", "first_word", "last_word", "base", "blocks"])
     return task
@@ -183,7 +183,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   templates: list[tuple[str, str]] | None = None, threshold: float = 0.9,
                   phrases: dict[str, str] | None = None) -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base (labels of the phrases) and blocks
-    (line, label, containment of every matching block) for each row."""
+    (first word, label and containment of each matching template's best block) for each row."""
     joined = Templates(TEMPLATES if templates is None else templates, threshold)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = np.zeros(len(joined.vocabulary), np.int64)

@@ -257,7 +257,7 @@ def _products(expand: Expand, num: int, den: int):
 
 
 def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame, expand: Expand, num: int,
-                      den: int, rows: int = 1024, elements: int = 1 << 20, stars: int = 2) -> DataFrame:
+                      den: int, rows: int = 1024, elements: int = 1 << 20, stars: int = 4) -> DataFrame:
     """(id, comp) under all links between ids that share a key: the Jaccard similarity of
     their sets is num / den or more. ``sets`` (id, value, size) has a compact value for each id,
     which tasks ``expand`` to the sorted distinct hashes (64-bit), and about how many they are.
@@ -266,7 +266,8 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
     head are one group: ids that share a key share its head. In each round every group's head
     is compared with the members that aren't in its component; in groups whose members are
     then still in several components, the first member outside the components of all heads so
-    far is the next head. A few rounds (``stars``) join what is one cluster or some. After
+    far is the next head. A few rounds (``stars``), while groups are of more than a few blocks,
+    join what is one cluster or some. After
     that, members outside the first head's component are multiplied with all members, in
     blocks of about ``rows`` rows or ``elements`` set elements, so that a task holds two blocks
     at most; heads so far have met everyone and stay out. A block's product returns only links
@@ -289,7 +290,9 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
         split = fresh.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         fresh = landed(fresh.join(split, "key", "left_semi"), "groups-by-head")
         release(own, *([before] if before is not None else []))
-        if turn == stars - 1:
+        # groups of a few blocks are multiplied at once
+        largest = fresh.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        if turn == stars - 1 or largest <= 4 * rows:
             own = fresh
             break
         reached = fresh.where("met").select("key", "comp").distinct()

@@ -109,7 +109,6 @@ def _license_sql() -> str:
     return rf"""
 WITH phrase(p, label, n) AS (VALUES {phrases}),
 template(t, label, body) AS (VALUES {templates}),
-own AS (SELECT t, label, list_distinct(regexp_extract_all(body, '{word}')) AS own FROM template),
 d AS (SELECT doc_id, coalesce({LOWER}, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS w FROM d),
 places AS (
@@ -119,11 +118,17 @@ places AS (
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
     list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id
-), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '{word}')) AS block FROM d
+), own AS (
+  SELECT t, label, list_distinct(w) AS own, ceil(0.9 * len(list_distinct(w)) - 1e-9) AS need,
+    CAST(ceil(1.25 * len(w)) AS BIGINT) AS width
+  FROM (SELECT t, label, regexp_extract_all(body, '{word}') AS w FROM template)
 ), blocks AS (
-  SELECT doc_id, label, len(list_intersect(own, block)) / len(own) AS share FROM lines, own
-  WHERE len(list_intersect(own, block)) >= 0.9 * len(own) - 1e-9
+  SELECT doc_id, t, label, max(len(list_intersect(own, w[i:i + width - 1])) / len(own)) AS share
+  FROM (
+    SELECT doc_id, w, t, label, own, need, width FROM w, own WHERE len(list_intersect(own, w)) >= need
+  ), unnest(range(1, len(w) + 1)) AS u(i)
+  WHERE list_contains(own, w[i]) AND len(list_intersect(own, w[i:i + width - 1])) >= need
+  GROUP BY ALL
 ), found AS (
   SELECT doc_id, count(*) AS n_blocks, max(share) AS best, list_distinct(list(label)) AS labels
   FROM blocks GROUP BY doc_id

@@ -53,24 +53,43 @@ PLACEHOLDERS = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|test|00
 SPAN = "array<struct<start:bigint,rank:int,kind:string,finish:bigint,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def running_totals(numbers: Column, block: int = 256) -> Column:
+    """For each number of an array of longs the sum up to it. Sums of whole blocks are added
+    up first, so that a number costs a block at most and not all numbers before it."""
+    def of(n: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(n) - 1) / block).cast("int"), F.lit(0)))
+        sums = F.transform(blocks, lambda b: _total(F.slice(n, b * block + 1, F.lit(block))))
+        before = _let(sums, lambda all_: F.transform(blocks, lambda b: _total(F.slice(all_, F.lit(1), b))))
+        return _let(before, lambda start: F.transform(n, lambda _, i: F.get(start, F.floor(i / block).cast("int")) + _total(
+            F.slice(n, i - i % block + 1, i % block + 1))))
+    return F.when(F.size(numbers) == 0, numbers).otherwise(_let(numbers, of))
+
+
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int = 0, least: int = 1) -> Column:
     """The kind's spans: pieces between matches and the matches give the positions."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    matches = F.zip_with(found, values, lambda w, v: F.struct(F.length(w).cast("long").alias("size"), v.alias("value")))
+    zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), matches, lambda p, m: F.struct(
+        (F.length(p) + m["size"]).alias("step"), m["size"].alias("size"), m["value"].alias("value")))
 
-    def step(acc: Column, one: Column) -> Column:
-        at = acc["at"] + F.length(one["piece"])
-        end = at + F.length(one["whole"])
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                        end.alias("finish"), one["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(ones: Column) -> Column:
+        return _let(running_totals(F.transform(ones, lambda x: x["step"])), lambda ends: F.transform(
+            ones, lambda x, i: F.struct(
+                (F.get(ends, i) - x["size"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+                F.get(ends, i).alias("finish"), x["value"].alias("value"))))
 
-    matches = F.zip_with(found, values, lambda w, v: F.struct(w.alias("whole"), v.alias("value")))
-    zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), matches, lambda p, m: F.struct(
-        p.alias("piece"), m["whole"].alias("whole"), m["value"].alias("value")))
-    spans = F.aggregate(zipped, start, step)["spans"]
+    spans = _let(zipped, placed)
     if kind == "private-key":
         spans = F.transform(spans, lambda x: x.withField("value", key_body(x["value"])))
     if least > 1:
@@ -122,8 +141,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         named(repository).alias("repository"), candidates(docs, text_col).alias("spans")), "spans")
     found = rows.select("row", "owner", "repository", F.posexplode("spans").alias("pos", "span")) \
         .withColumn("hash", F.sha2("span.value", 256))
-    spread = found.select("hash", "owner", "repository").distinct().groupBy("hash").agg(
-        F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
+    # stored, so that the join below can split the rows of a value that stands everywhere
+    spread = linking.landed(found.select("hash", "owner", "repository").distinct().groupBy("hash").agg(
+        F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories")), "spread")
     live = looks_live(F.col("span.kind"), F.col("span.value"), live_chars, live_kinds, live_key_chars)
     verdict = F.when(F.col("owners") >= copied_owners, "copied") \
         .when((F.col("owners") == 1) & live, "owner-specific").otherwise("unclear")

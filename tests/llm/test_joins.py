@@ -211,7 +211,8 @@ def near_copies(n, seed=8):
         base = rng.integers(0, 2**52, 60)
         for _ in range(n // 4):
             s = base.copy()
-            s[rng.choice(60, rng.integers(0, 4), replace=False)] = rng.integers(0, 2**52)
+            k = rng.integers(0, 7)
+            s[rng.choice(60, k, replace=False)] = rng.integers(0, 2**52, k)
             out.append(np.unique(s))
     return out
 
