@@ -329,6 +329,30 @@ def conform_bars(spark, sf_dir):
     return VD.conform_vendor(A.vendor_bars(spark, sf_dir), A.symbol_dim(spark, sf_dir))
 
 
+def _text_rows(spark, sf_dir):
+    """Bars as a SQL endpoint returns them: arrays of strings, and a manifest of their columns."""
+    b = A.bars_5m(spark, sf_dir)
+    slot = F.floor(F.unix_timestamp("timestamp") / 300).cast("long")
+    cells = [F.col("ticker"), F.col("timestamp").cast("string"), F.when(slot % 97 == 0, "n/a").otherwise(F.col("close").cast("string")),
+             F.col("volume").cast("string")]
+    rows = b.select(F.array(*cells).alias("cells"))
+    manifest = spark.createDataFrame([(2, "close", "DOUBLE"), (0, "ticker", "STRING"), (3, "volume", "BIGINT"),
+                                      (1, "timestamp", "TIMESTAMP_NTZ"), (4, "note", "DATE")],
+                                     "position int, name string, type string")
+    return rows, manifest
+
+
+@register("decode_by_manifest",
+          W([O.EV, O.BARS_5M, O.VENDOR_BARS], """
+            SELECT split_part(lower(symbol), '.', 1) AS ticker, "Datetime" AS timestamp,
+                   TRY_CAST("Close" AS DOUBLE) AS close, TRY_CAST("Volume" AS BIGINT) AS volume, CAST(NULL AS DATE) AS note
+            FROM vendor_bars"""),
+          ["close"], note="rows of strings typed by a manifest that is data; bad and absent values are null")
+def decode_by_manifest(spark, sf_dir):
+    rows, manifest = _text_rows(spark, sf_dir)
+    return VD.decode_rows(rows, manifest)
+
+
 BROKEN = "click"
 
 
@@ -1059,6 +1083,23 @@ def stream_recovered(spark, sf_dir):
     return J.read_output(spark, out, "silver")
 
 
+@register("stream_state_check",
+          W([O.EV, O.BARS_1H, ("ranked", """
+              SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY timestamp DESC) AS r FROM bars_1h""")], f"""
+            SELECT ticker, count(*) AS bars_seen, CAST(least(count(*), {P.state_rows}) AS INTEGER) AS bars_kept,
+                   min(timestamp) FILTER (WHERE r <= {P.state_rows}) AS oldest_kept, max(timestamp) AS newest
+            FROM ranked GROUP BY ticker"""),
+          note="the rolling state read back from the state store after a restart, against the bars")
+def stream_state_check(spark, sf_dir):
+    bars = A.bars_1h(spark, sf_dir)
+    split = F.lit(A.SPLIT_TS).cast("timestamp_ntz")
+    landing, out = scratch_path(spark, "landing-state"), scratch_path(spark, "stream-state")
+    for part in (bars.where(F.col("timestamp") < split), bars.where(F.col("timestamp") >= split)):
+        J.land(part, landing, 2)
+        J.run_indicator_stream(spark, landing, out, P, cooldown=False, state_partitions=_state_parts(spark))
+    return J.stored_state(spark, f"{out}/_checkpoint")
+
+
 @register("stream_indicators_late_repaired",
           W([O.EV, O.USER_TICKS, *O.indicator_ctes("user_ticks")], "SELECT * FROM ind"), O.IND_COLS,
           note="user ticks streamed without one day of some tickers, which arrives last: those "

@@ -44,6 +44,24 @@ def typed_decode(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
+#: A manifest has a row for each column of a result.
+MAX_COLUMNS = 2_000
+
+
+def decode_rows(rows: DataFrame, manifest: DataFrame, cells: str = "cells") -> DataFrame:
+    """SRC-8 for results that come as arrays of strings with a manifest (position, name, type):
+    one typed column for each manifest row, by position. A value that can't be read as its
+    type, and one that a row is too short for, is null. Types are Spark SQL type names."""
+    columns = manifest.orderBy("position").select("position", "name", "type").limit(MAX_COLUMNS + 1).collect()
+    if len(columns) > MAX_COLUMNS:
+        raise ValueError(f"a manifest of more than {MAX_COLUMNS} columns")
+    names = [c["name"] for c in columns]
+    if len(set(names)) < len(names):
+        raise ValueError("a manifest names a column twice")
+    return rows.select(*[F.get(cells, F.lit(c["position"])).try_cast(c["type"].lower()).alias(c["name"])
+                         for c in columns])
+
+
 #: Symbol dimensions up to this size are broadcast; their rows are counted first.
 MAX_SYMBOLS = 20_000
 

@@ -11,6 +11,7 @@ and re-delivery dedup with watermarks.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ from ..operators import sinks as K
 from ..operators import upsert as U
 from ..operators import versions as VT
 from ..operators.sinks import read_if_present
-from ..session import child_versions, drop_path, ensure_checkpoint_dir, scratch_path
+from ..session import child_versions, drop_path, ensure_checkpoint_dir, path_exists, scratch_path
 from .processor import OUTPUT, RollingIndicatorProcessor
 from .reorder import CLOSE, ReorderingProcessor
 
@@ -306,6 +307,32 @@ def run_corrections(spark: SparkSession, bars: str, feed: str, indicators: str,
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
+#: The parameters that a stored rolling state depends on.
+STATE_PARAMS = ("sma_short", "sma_long", "rsi_period", "vortex_period", "vortex_min_rows", "warmup", "state_rows")
+
+
+def check_state_params(spark: SparkSession, checkpoint: str, p: Params) -> None:
+    """Refuse to resume a checkpoint whose state was kept under other windows; a new one
+    notes its own."""
+    noted, now = f"{checkpoint}_params", {name: getattr(p, name) for name in STATE_PARAMS}
+    if not path_exists(spark, f"{noted}/_SUCCESS"):
+        spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(noted)
+        return
+    then = json.loads(spark.read.text(noted).first()[0])
+    changed = sorted(name for name in now if then.get(name) != now[name])
+    if changed:
+        raise ValueError(f"the state in {checkpoint} was kept under other values of {', '.join(changed)}")
+
+
+def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """STR-5: what a checkpoint's rolling state holds for each ticker, read back from the state
+    store: bars seen, bars kept, oldest and newest kept time."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "tail").load()
+    at = lambda i: F.timestamp_micros(F.element_at("value.ts_us", i)).cast("timestamp_ntz")
+    return state.select(F.col("key.ticker").alias("ticker"), F.col("value.n").alias("bars_seen"),
+                        F.size("value.ts_us").alias("bars_kept"), at(1).alias("oldest_kept"), at(-1).alias("newest"))
+
+
 def run_indicator_stream(spark: SparkSession, landing: str, out: str, p: Params = DEFAULT,
                          max_files: int | None = None, cooldown: bool = True,
                          checkpoint: str | None = None, trigger: dict | None = None,
@@ -321,6 +348,7 @@ def run_indicator_stream(spark: SparkSession, landing: str, out: str, p: Params
     """
     ensure_checkpoint_dir(spark)
     ckpt = checkpoint or f"{out}/_checkpoint"
+    check_state_params(spark, ckpt, p)
     sinks = BatchSinks(out, p, cooldown)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     if state_partitions:

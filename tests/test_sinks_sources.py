@@ -78,3 +78,15 @@ def test_broadcast_needs_a_checked_size(spark):
     plan = hinted.join(df, "ticker")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
     assert checked_broadcast(df, max_rows=2) is df
+
+
+def test_rows_of_strings_are_typed_by_their_manifest(spark):
+    rows = spark.createDataFrame([(["7", "2.5", "2024-01-02 03:04:05", "x"],), (["seven", None, "soon"],), ([],), (None,)],
+                                 "cells array<string>")
+    manifest = spark.createDataFrame([(1, "b", "DOUBLE"), (0, "a", "INT"), (2, "t", "TIMESTAMP_NTZ"), (9, "z", "DECIMAL(9,2)")],
+                                     "position int, name string, type string")
+    out = VD.decode_rows(rows, manifest)
+    assert [t for _, t in out.dtypes] == ["int", "double", "timestamp_ntz", "decimal(9,2)"]
+    got = [tuple(r) for r in out.collect()]
+    assert got[0][:2] == (7, 2.5) and got[0][2].isoformat() == "2024-01-02T03:04:05" and got[0][3] is None
+    assert got[1:] == [(None, None, None, None)] * 3

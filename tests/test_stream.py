@@ -221,3 +221,21 @@ def test_a_repeated_micro_batch_leaves_the_same_state(spark):
     sinks(newest, 3)
     assert sorted(spark.read.parquet(f"{out}/tail/v=3").collect()) == before
     assert _same(J.read_output(spark, out, "silver"), IND.indicators(bars))
+
+
+def test_state_read_back_and_changed_windows_refused(spark):
+    import pytest
+    from barwise.config import DEFAULT
+    landing, out = scratch_path(spark, "land"), scratch_path(spark, "out")
+    bars_df(spark, [float(i) for i in range(1, 81)], "A").unionByName(bars_df(spark, [1.0] * 7, "B")) \
+        .write.mode("append").parquet(landing)
+    J.run_indicator_stream(spark, landing, out, cooldown=False)
+    bars_df(spark, [5.0], "B", start=T0 + dt.timedelta(minutes=900)).write.mode("append").parquet(landing)
+    J.run_indicator_stream(spark, landing, out, cooldown=False)
+    got = {r["ticker"]: r for r in J.stored_state(spark, f"{out}/_checkpoint").collect()}
+    assert (got["A"]["bars_seen"], got["A"]["bars_kept"]) == (80, DEFAULT.state_rows)
+    assert got["A"]["newest"] == T0 + dt.timedelta(minutes=790)
+    assert (got["B"]["bars_seen"], got["B"]["bars_kept"]) == (8, 8)
+    assert got["B"]["oldest_kept"] == T0 and got["B"]["newest"] == T0 + dt.timedelta(minutes=900)
+    with pytest.raises(ValueError, match="sma_long"):
+        J.run_indicator_stream(spark, landing, out, DEFAULT.with_(sma_long=30), cooldown=False)
