@@ -25,7 +25,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,7 @@ from ..session import drop_path, path_exists
 from .upsert import counts, joined, taken
 
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
+BUCKET = "_bucket"
 
 
 class CommitConflict(RuntimeError):
@@ -50,6 +51,12 @@ class Manifest:
     deleted: int = 0
     #: Of a derived table: the source's parts that this version was made from.
     source: dict[str, str] = field(default_factory=dict)
+    #: Folders that a date is dealt over by the hash of ``bucket_by``; 0: none.
+    buckets: int = 0
+    bucket_by: str = ""
+
+    def bucket(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(self.buckets)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -130,6 +137,19 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, date_col: str, p
     return spark.read.schema(full).option("basePath", data).parquet(*folders).select(full.names)
 
 
+def read_key(spark: SparkSession, path: str, schema: T.StructType, value: str, version: int | None = None,
+             date_col: str = "date") -> DataFrame:
+    """A version's rows of one value of the column that the table is dealt by. The bucket is a
+    literal of a partition filter, so other buckets' files aren't read; files are sorted by
+    key, so their statistics skip most of the bucket's other rows."""
+    of = manifest(spark, path, version)
+    if not of.buckets:
+        raise ValueError(f"{path} is not dealt into buckets")
+    stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    return _read(spark, path, stored, date_col, of.parts) \
+        .where((F.col(BUCKET) == of.bucket(F.lit(value))) & (F.col(of.bucket_by) == F.lit(value))).select(schema.names)
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType, version: int | None = None,
          date_col: str = "date") -> DataFrame:
     """A version's rows (the newest by default) with the columns of ``schema``."""
@@ -142,12 +162,15 @@ def _dates(df: DataFrame, date_col: str) -> list[str]:
 
 def stage(spark: SparkSession, path: str, source: DataFrame | None, keys: list[str], order: str | None = None,
           remove: DataFrame | None = None, schema: T.StructType | None = None, date_col: str = "date",
-          ts_col: str = "timestamp", base: Manifest | None = None) -> Staged:
+          ts_col: str = "timestamp", base: Manifest | None = None, buckets: int = 0) -> Staged:
     """Merge ``source`` into the newest version: matched keys take the source's values, others
     are inserted; the keys of ``remove`` that the source doesn't have are dropped. Among source
     rows of one key the last by ``order`` wins. Writes the touched dates whole, and nothing
-    that a reader sees."""
+    that a reader sees. A new table may be dealt into ``buckets`` by its first key (for
+    ``read_key``); it stays so."""
     base = base or manifest(spark, path)
+    if buckets and not base.version:
+        base = replace(base, buckets=buckets, bucket_by=keys[0])
     if source is None:
         source = spark.createDataFrame([], schema)
     src = source.withColumn(date_col, F.to_date(ts_col))
@@ -167,9 +190,14 @@ def stage(spark: SparkSession, path: str, source: DataFrame | None, keys: list[s
         gone = F.col("_gone").isNotNull() & F.col("_in_s").isNull()
     commit = uuid.uuid4().hex
     counted = Observation()
-    (both.observe(counted, *counts(), F.count_if(gone).alias("num_deleted_rows")).where(~gone)
-     .select(*taken(merge_keys, cols)).select(*columns)
-     .write.partitionBy(date_col).parquet(f"{path}/data/commit={commit}"))
+    merged = both.observe(counted, *counts(), F.count_if(gone).alias("num_deleted_rows")).where(~gone) \
+        .select(*taken(merge_keys, cols)).select(*columns)
+    folders = [date_col]
+    if base.buckets:
+        folders = [date_col, BUCKET]
+        merged = merged.withColumn(BUCKET, base.bucket(F.col(base.bucket_by))) \
+            .repartition(*folders).sortWithinPartitions(*folders, *keys)
+    merged.write.partitionBy(*folders).parquet(f"{path}/data/commit={commit}")
     n = counted.get
     written = {x.partition("=")[2] for x in _names(spark, f"{path}/data/commit={commit}") if x.startswith(f"{date_col}=")}
     return Staged(path, base, commit, {d: commit if d in written else None for d in dates}, "merge",
@@ -182,12 +210,14 @@ def publish(spark: SparkSession, staged: Staged) -> Manifest:
     base = staged.base
     while True:
         parts = {d: c for d, c in {**base.parts, **staged.parts}.items() if c}
-        new = Manifest(base.version + 1, parts, staged.operation, staged.inserted, staged.updated, staged.deleted)
+        new = Manifest(base.version + 1, parts, staged.operation, staged.inserted, staged.updated, staged.deleted,
+                       buckets=staged.base.buckets, bucket_by=staged.base.bucket_by)
         try:
             return _publish(spark, staged.path, new)
         except CommitConflict:
             newer = manifest(spark, staged.path)
-            if any(newer.parts.get(d) != staged.base.parts.get(d) for d in staged.parts):
+            if newer.buckets != staged.base.buckets or any(
+                    newer.parts.get(d) != staged.base.parts.get(d) for d in staged.parts):
                 raise
             base = newer
 
@@ -209,7 +239,8 @@ def merge(spark: SparkSession, path: str, source: DataFrame | None, keys: list[s
 def clear(spark: SparkSession, path: str) -> Manifest:
     """A version without rows; older ones stay readable."""
     base = manifest(spark, path)
-    return _publish(spark, path, Manifest(base.version + 1, {}, "clear"))
+    return _publish(spark, path, replace(Manifest(base.version + 1, {}, "clear"), buckets=base.buckets,
+                                         bucket_by=base.bucket_by))
 
 
 def changes(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], since: int,

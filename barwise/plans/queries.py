@@ -1292,6 +1292,19 @@ def ticker_bars(spark, sf_dir):
     return TB.scan_ticker(A.bars_1h(spark, sf_dir), TICKER)
 
 
+@register("ticker_bars_stored",
+          W(UPSERT_CTES, f"SELECT * FROM ({UPSERT_BODY}) WHERE ticker = '{TICKER}'"),
+          ["open", "high", "low", "close"],
+          note="one ticker of a versioned table whose dates are dealt into buckets by ticker: only its "
+               "bucket's files are read")
+def ticker_bars_stored(spark, sf_dir):
+    tgt, src = _upsert_inputs(spark, sf_dir)
+    path = scratch_path(spark, "bucketed")
+    VT.merge(spark, path, tgt, SC.BAR_KEY, buckets=8)
+    VT.merge(spark, path, src, SC.BAR_KEY)
+    return VT.read_key(spark, path, SC.BARS, TICKER)
+
+
 @register("ticker_indicators",
           W([O.EV, O.BARS_1H, *O.indicator_ctes("bars_1h")],
             f"SELECT * FROM ind WHERE ticker = '{TICKER}' AND rsi IS NOT NULL"),

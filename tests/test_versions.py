@@ -152,3 +152,26 @@ def test_statistics_stay_in_step_and_read_only_touched_dates(spark):
     VT.merge(spark, bars, days(spark, 2).withColumn("timestamp", F.lit(None).cast("timestamp_ntz")), KEY)
     BS.refresh(spark, bars, stats)
     assert BS.row_count(BS.read(spark, stats), "bars").first()["rows"] >= 1
+
+
+def test_one_ticker_reads_only_its_bucket(spark, sf_dir):
+    path = scratch_path(spark, "bucketed")
+    bars = A.bars_10m(spark, sf_dir)
+    VT.merge(spark, path, bars, KEY, buckets=4)
+    one_day = bars.where(F.to_date("timestamp") == F.lit(A.REDELIVERED_DAY).cast("date"))
+    VT.merge(spark, path, one_day.withColumn("close", F.col("close") + 1), KEY)      # the layout stays
+    for ticker in [r[0] for r in bars.select("ticker").distinct().collect()]:
+        got = VT.read_key(spark, path, schemas.BARS, ticker)
+        assert rows(got) == rows(VT.read(spark, path, schemas.BARS).where(F.col("ticker") == ticker))
+        folders = {r[0].split("_bucket=")[1].split("/")[0] for r in got.select(F.input_file_name()).distinct().collect()}
+        assert len(folders) == 1
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in plan and "_bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert VT.read_key(spark, path, schemas.BARS, "none").count() == 0
+    VT.clear(spark, path)
+    VT.merge(spark, path, one_day, KEY)
+    assert VT.manifest(spark, path).buckets == 4
+    plain = scratch_path(spark, "plain")
+    VT.merge(spark, plain, one_day, KEY)
+    with pytest.raises(ValueError):
+        VT.read_key(spark, plain, schemas.BARS, "view")
