@@ -6,8 +6,9 @@ texts it is like, and a logistic curve fitted on other labelled texts calibrates
 probability of label 1.
 
 Labels are read only of rows whose crc32 of the id as text modulo 3 is not 1, and of at most
-``max_labels`` rows of each class in the order of the id's hash (the bound of what the driver
-fits on); half of them train the dictionaries and half the curve. Labels, language, source
+``max_labels`` rows of each class in the order of the id's hash, whole texts of ``max_bytes``
+together at most (the bounds of what the driver fits on; texts of over 1/128 of that aren't
+chosen); half of them train the dictionaries and half the curve. Labels, language, source
 and id are never inputs of a score. Rules: null and empty texts get the score of a zero
 difference; rows with a null id are scored (held_out is null); with labels of one class or
 none the score is the share of label 1 (0.5 without labels). Texts are compressed whole.
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .toxicity import _logistic as logistic
-from .toxicity import held_out
+from . import linking
+from .fitting import held_out, logistic
 
 
 class Compressors:
@@ -56,7 +57,7 @@ def train_dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labels: int,
-        dictionary_bytes: int, level: int) -> tuple[bytes, bytes, float, float] | float:
+        max_bytes: int, dictionary_bytes: int, level: int) -> tuple[bytes, bytes, float, float] | float:
     """(good dictionary, bad dictionary, slope, offset), or the share of label 1 where there
     are not both classes."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")) \
@@ -65,11 +66,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_labels)
         some = part if some is None else some.union(part)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .where("text is not null").join(F.broadcast(some), "id") \
+    found = linking.landed(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        .where(F.octet_length("text") <= max_bytes // 128).join(F.broadcast(some), "id")
         .groupBy(F.sha2("text", 256).alias("copy")).agg(F.min("id").alias("id"), F.first("text").alias("text"),
-                                                        F.max("y").alias("y")) \
-        .select("text", "y", F.xxhash64("id").alias("h")).collect()
+                                                        F.max("y").alias("y")), "labelled")
+    # whole texts in the order of the id's hash, as many as the bound allows
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "copy")
+    chosen = found.select("copy", F.sum(F.octet_length("text").cast("long")).over(order).alias("upto")) \
+        .where(F.col("upto") <= max_bytes // 2).select("copy")
+    rows = found.join(chosen, "copy").select("text", "y", F.xxhash64("id").alias("h")).collect()
+    linking.release(found)
     rows = sorted(((r.h, r.text.encode(), r.y) for r in rows), key=lambda r: r[0])
     parts = {y: [t for _, t, z in rows if z == y and t] for y in (0, 1)}
     if min(len(x) for x in parts.values()) < 4:
@@ -84,9 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "quality", threshold: float = 0.5, max_labels: int = 3000,
-                    dictionary_bytes: int = 112_640, level: int = 3) -> DataFrame:
+                    max_bytes: int = 32 << 20, dictionary_bytes: int = 112_640, level: int = 3) -> DataFrame:
     """id_col, held_out, score, predicted, difference for each row."""
-    model = fit(docs, labels, id_col, text_col, label_col, max_labels, dictionary_bytes, level)
+    model = fit(docs, labels, id_col, text_col, label_col, max_labels, max_bytes, dictionary_bytes, level)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = None if isinstance(model, float) else Compressors(model[0], model[1], level)

@@ -64,15 +64,18 @@ def shingles(c: Chunk, prefix: np.ndarray, chars: np.ndarray, first: np.ndarray,
     return both[runs(both)]
 
 
-def band_keys(both: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
-    """(n, bands) keys: the smallest shingle hash in each of bands * rows bins, an empty bin
-    taking the next filled one's value, folded by band."""
-    bins = bands * rows
-    span, h = (both >> U64(_BITS)).astype(np.int64), both & U64((1 << _BITS) - 1)
-    slot = (h * U64(bins)) >> U64(_BITS)  # rises with the hash, so the first is the least
-    begin = runs(span, slot)
-    least = np.full((n, bins), _NONE)
-    least[span[begin], slot[begin].astype(np.int64)] = h[begin]
+def band_keys(c: Chunk, prefix: np.ndarray, chars: np.ndarray, lo: np.ndarray, counts: np.ndarray, k: int, bands: int,
+              rows: int) -> np.ndarray:
+    """(n, bands) keys of n spans that begin at the characters ``lo`` and have ``counts`` k-shingles:
+    the smallest shingle hash in each of bands * rows bins, an empty bin taking the next filled
+    one's value, folded by band."""
+    n, bins = len(lo), bands * rows
+    span = np.repeat(np.arange(n), counts)
+    at = np.arange(len(span)) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
+    h = c.span_hash(prefix, chars[at], chars[at + k]) >> U64(64 - _BITS)
+    least = np.full(n * bins, _NONE)
+    np.minimum.at(least, span * bins + ((h * U64(bins)) >> U64(_BITS)).astype(np.int64), h)
+    least = least.reshape(n, bins)
     full = least.copy()
     for step in range(1, bins):
         need = full == _NONE
@@ -88,11 +91,15 @@ def band_keys(both: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
 
 
 def _eligible(c: Chunk, k: int):
-    """The characters, the spans of the lines to compare fuzzily, and those of the shorter ones."""
-    spans = line_spans(c)
-    chars = np.append(np.flatnonzero((c.data & 0xC0) != 0x80), len(c.data))
-    ok = np.searchsorted(chars, spans[3]) - np.searchsorted(chars, spans[2]) >= k
-    return chars, tuple(x[ok] for x in spans), tuple(x[~ok] for x in spans)
+    """Where the characters begin, the spans of the lines to compare fuzzily (row, number, first,
+    end, first character, shingles), and those of the shorter ones."""
+    starts = (c.data & 0xC0) != 0x80
+    before = np.concatenate([[0], np.cumsum(starts)])
+    row, number, first, end = line_spans(c)
+    lo = before[first]
+    counts = before[end] - lo - k + 1
+    spans, ok = (row, number, first, end, lo, counts), counts > 0
+    return np.append(np.flatnonzero(starts), len(c.data)), tuple(x[ok] for x in spans), tuple(x[~ok] for x in spans)
 
 
 def _signed_lines(k: int, bands: int, rows: int):
@@ -107,13 +114,13 @@ def _signed_lines(k: int, bands: int, rows: int):
             for c in chunks(batch.column(1), lower=True):
                 chars, long, short = _eligible(c, k)
                 prefix = c.prefix_hash()
-                row, number, first, end = (np.concatenate(x) for x in zip(long, short))
+                row, number, first, end, lo, counts = (np.concatenate(x) for x in zip(long, short))
                 line = c.span_hash(prefix, first, end).view(np.int64)
                 _, new = np.unique(line[:len(long[0])], return_index=True)
                 again = np.setdiff1d(np.arange(len(line)), new)
                 for a in range(0, len(new), _BLOCK):
                     some = new[a:a + _BLOCK]
-                    keys = band_keys(shingles(c, prefix, chars, first[some], end[some], k), len(some), bands, rows).view(np.int64)
+                    keys = band_keys(c, prefix, chars, lo[some], counts[some], k, bands, rows).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[c.start + row[some]]), pa.array(number[some], pa.int32()), pa.array(line[some]),
                          *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(bands))], names=names)
@@ -133,7 +140,7 @@ def _wanted_lines(k: int):
             for at in range(0, batch.num_rows, 200):
                 asked = [set(x.as_py()) for x in wanted.slice(at, 200)]
                 for c in chunks(unpacked(squeezed.slice(at, 200)), lower=True):
-                    _, (row, number, first, end), _ = _eligible(c, k)
+                    _, (row, number, first, end, _, _), _ = _eligible(c, k)
                     pick = np.array([n in asked[c.start + r] for r, n in zip(row.tolist(), number.tolist())], bool)
                     if not pick.any():
                         continue

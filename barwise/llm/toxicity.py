@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import linking
+from .fitting import held_out, logistic
 from .textarrays import SPACED, Chunk, Words, byte_table, chunks, runs, words
 
 #: Bytes of words made of letters; texts are lower-cased before.
@@ -61,10 +63,6 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
 
 
-def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
-
-
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS ** 3, np.int64)
     for batch in batches:
@@ -209,21 +207,6 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * total + self.offset, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a small ridge."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        grad = a.T @ (y - p) - 1e-2 * beta
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(beta[0]), float(beta[1])
-
-
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", max_labels: int = 5000, min_support: int = 4) -> Model | None:
     """The scoring model, from at most ``max_labels`` labelled rows that are not held out.
@@ -238,16 +221,20 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
         .orderBy(F.xxhash64("id"), "id", "y").limit(max_labels)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # copies of a text count once
-    found = texts.where("text is not null").join(F.broadcast(sample), "id").groupBy("text") \
-        .agg(F.min("id").alias("id"), F.max("y").alias("y")).persist()
+    found = linking.landed(texts.where("text is not null").join(F.broadcast(sample), "id").groupBy("text")
+                           .agg(F.min("id").alias("id"), F.max("y").alias("y")), "labelled")
+    kept = [found]
     try:
-        forms = found.select("id", "text").mapInArrow(_word_rows(model), "id long, word string, form string").persist()
+        forms = linking.landed(found.select("id", "text").mapInArrow(
+            _word_rows(model), "id long, word string, form string"), "forms")
+        kept.append(forms)
         # a beginning must stand for several forms: else the whole word says all
         several = forms.where("word like '%*'").groupBy("word").agg(F.countDistinct("form").alias("forms")) \
             .where("forms >= 4").select("word")
         pairs = forms.select("id", "word").distinct()
-        pairs = pairs.where("word not like '%*'").union(pairs.join(several, "word").select("id", "word")) \
-            .join(found.select("id", "y"), "id").persist()
+        pairs = linking.landed(pairs.where("word not like '%*'").union(pairs.join(several, "word").select("id", "word"))
+                               .join(found.select("id", "y"), "id"), "pairs")
+        kept.append(pairs)
         y = {r.id: r.y for r in found.select("id", "y").collect()}
         n_toxic = sum(y.values())
         if not n_toxic or n_toxic == len(y):
@@ -263,10 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
         holders: dict[str, list] = {}
         for r in pairs.join(useful, "word").select("word", "id").collect():
             holders.setdefault(r.word, []).append(r.id)
-        pairs.unpersist()
-        forms.unpersist()
     finally:
-        found.unpersist()
+        linking.release(*kept)
     base, weights = n_toxic / len(y), {}
     for word, ids in sorted(holders.items()):
         t = sum(y[i] for i in ids)
@@ -283,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
     if not weights:
         return None
     ids = list(y)
-    slope, offset = _logistic(np.array([total[i] for i in ids]), np.array([y[i] for i in ids], float))
+    slope, offset = logistic(np.array([total[i] for i in ids]), np.array([y[i] for i in ids], float))
     return Model(weights, slope, offset)
 
 

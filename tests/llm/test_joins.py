@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 import time
 
 import numpy as np
@@ -10,6 +9,7 @@ import pytest
 
 from barwise.llm import line_dedup, linking, ngram_join, substring_dedup
 
+from .brute import Forest, linked, ngrams, removed_lines, trimmed
 from .corpus import SCHEMA, corpus
 
 
@@ -23,36 +23,10 @@ def rows():
     return corpus()
 
 
-class Forest:
-    def __init__(self):
-        self.up = {}
-
-    def root(self, x):
-        self.up.setdefault(x, x)
-        while self.up[x] != x:
-            x = self.up[x]
-        return x
-
-    def link(self, a, b):
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def ngrams(t, n):
-    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
-    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-
-
 @pytest.mark.parametrize("n,num", [(3, 90), (5, 80), (2, 60)])
 def test_ngram_components(docs, rows, n, num):
     sets = {r[0]: ngrams(r[1], n) for r in rows if r[0] is not None}
-    forest, ids = Forest(), sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1:]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= num * len(x | y):
-                forest.link(a, b)
+    forest, ids = linked(sets, num), sorted(sets)
     got = ngram_join.ngram_components(docs, n=n, num=num).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -116,43 +90,8 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(81)}
 
 
-def shingle_set(line, k=8):
-    return {line[i:i + k] for i in range(len(line) - k + 1)} or {line}
-
-
-def lower(t):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
-
-
-def trimmed(line):
-    return lower(line).strip(" \t\n\r\x0b\x0c")
-
-
 def test_line_dedup(docs, rows):
-    seen = {}
-    for r in rows:
-        if r[0] is not None and r[1] is not None:
-            for i, line in enumerate(r[1].split("\n")):
-                if trimmed(line):
-                    seen.setdefault(trimmed(line), []).append((r[0], i))
-    lines = sorted(seen)
-    sets = [shingle_set(x) for x in lines]
-    forest = Forest()
-    for i in range(len(lines)):
-        forest.root(i)
-        for j in range(i):
-            a, b = sets[i], sets[j]
-            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
-                c = len(a & b)
-                if 10 * c >= 8 * (len(a) + len(b) - c):
-                    forest.link(i, j)
-    places = {}
-    for i, x in enumerate(lines):
-        places.setdefault(forest.root(i), set()).update(seen[x])
-    gone = {}
-    for group in places.values():
-        for doc, line in group - {min(group)}:
-            gone.setdefault(doc, set()).add(line)
+    gone = removed_lines(rows)
     got = line_dedup.dedup_lines(docs).collect()
     assert len(got) == len(rows)
     text_of = {r[0]: r[1] for r in rows}

@@ -1,12 +1,20 @@
 """Decontamination, and the pipeline's stages on a small corpus."""
 
+import hashlib
 import random
+import re
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barwise.llm import decontamination
+from barwise.llm.textarrays import chunks
 
+from . import brute
 from .corpus import corpus, edited, text
 
 
@@ -124,6 +132,70 @@ def test_pipeline(spark, tmp_path):
     assert len(ids[3]) < len(ids[2])
     assert ids[3] - ids[4] == {700 + i for i in range(5)}
     assert ids[5] == ids[4] and None in ids[5]
-    final = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted(map(str, final.select("doc_id", "ids_sha256").collect())) \
-        == sorted(map(str, seen[-1].select("doc_id", "ids_sha256").collect()))
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_sha256) for r in final) == brute_pipeline(rows, items)
+
+
+def brute_pipeline(rows, items):
+    """run() by plain means, of rows less the toxic ones."""
+    gone, left = brute.removed_lines(rows), []
+    for i, t, *_ in rows:
+        if i in gone:
+            t = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
+            if not re.search(r"[^\x20\x09-\x0D]", t):
+                continue
+        left.append((i, t))
+    forest = brute.linked({i: brute.ngrams(t, 5) for i, t in left if i is not None}, 80)
+    left = [(i, t) for i, t in left if i is None or forest.root(i) == i]
+    leaking = {i for i, _ in brute.leaks(left, items)}
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    ids = lambda t: ",".join(map(str, library.encode(t or "", add_special_tokens=False).ids))
+    return sorted((i is None, i or 0, hashlib.sha256(ids(t).encode()).hexdigest()) for i, t in left if i not in leaking)
+
+
+def paraphrases(seed=8):
+    """Items, and texts that hold them with words dropped, added and replaced."""
+    rng = random.Random(seed)
+    items = [(i, text(rng, rng.choice([16, 30, 45, 70]))) for i in range(30)]
+    docs = []
+    for i in range(150):
+        w = items[i % 30][1].split(" ")
+        kept = [x for x in w if rng.random() > rng.choice([0, 0.1, 0.2, 0.3, 0.4])]
+        inside = [y for x in kept for y in ([x, *text(rng, 1).split()] if rng.random() < 0.15 else [x])]
+        docs.append((i, " ".join([text(rng, rng.choice([10, 80])), *inside, text(rng, rng.choice([5, 120]))])))
+    return docs, items
+
+
+def test_search_against_exhaustive_verification(spark):
+    """The candidate search loses no leak that holding every window against every item finds."""
+    docs, items = paraphrases()
+    want = brute.leaks(docs, items)
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                  spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert 60 < len(want) < 145 and got <= want
+    assert len(got) >= 0.97 * len(want), sorted(want - got)
+
+
+def test_every_leak_has_a_passage_of_enough_hits():
+    """``least_hits`` is a lower bound: of any window that shares enough of an item, a passage
+    of the text holds as many feature hits."""
+    docs, items = paraphrases(seed=3)
+    bench = decontamination.Benchmark(items, 0.1, 8)
+    least = dict(zip(bench.items, bench.least_hits(0.55).tolist()))
+    leaks = brute.leaks(docs, items)
+    texts = dict(docs)
+    for i, item in leaks:
+        p = decontamination.Passages(next(chunks(pa.array([texts[i]]), lower=True)), bench)
+        own = np.isin(bench.features[p.feature], bench.hashes[bench.items.index(item)])
+        hits = np.bincount(p.block[own], minlength=p.total + 1)
+        assert (hits[:-1] + hits[1:]).max() >= least[item]
+    assert len(leaks) > 60 and max(least.values()) > 4
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
