@@ -182,9 +182,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = linking.landed(signed.groupBy("hash").agg(
         *[F.max(b).alias(b) for b in keys], F.min(place).alias("first"), F.max(place).alias("last")), "distinct")
     banded = distinct.where("b0 is not null").select("hash", F.explode(F.array(*keys)).alias("band"))
-    members = linking.landed(linking.shared_keys(banded, "band", "hash"), "members")
-    grouped = linking.landed(linking.groups(members).select("key", "id", "head"), "groups")
-    linking.release(members)
+    grouped = linking.landed(linking.shared_groups(banded, "band", "hash"), "groups")
     wanted = distinct.join(grouped.select(F.col("id").alias("hash")).distinct(), "hash") \
         .groupBy("first.id").agg(F.collect_list("first.line").alias("lines"))
     sets = linking.landed(

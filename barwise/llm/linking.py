@@ -104,6 +104,28 @@ def shared_keys(df: DataFrame, key: str, ident: str) -> DataFrame:
         .mapInArrow(_shared_pairs, "key long, id long")
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of distinct (key, id) in order, of keys with several ids: (head, id), head the first id."""
+    last = head = None
+    for batch in _shared_pairs(batches):
+        key, ident = (np.asarray(x) for x in batch.columns)
+        begin = runs(key)
+        first = ident[begin]
+        if key[0] == last:
+            first[0] = head
+        last, head = key[-1], first[-1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(first, np.diff(np.append(begin, len(key))))), batch.column(1)], names=["head", "id"])
+
+
+def shared_groups(df: DataFrame, key: str, ident: str) -> DataFrame:
+    """Distinct (head, id): the ids that share a key with others, by the smallest id of the key;
+    ids that share several keys meet once. One shuffle on the key and one of the pairs."""
+    pairs = df.select(F.col(key).cast("long").alias("key"), F.col(ident).cast("long").alias("id")) \
+        .where("key is not null and id is not null")
+    return pairs.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_heads, "head long, id long").distinct()
+
+
 def groups(members: DataFrame) -> DataFrame:
     """(key, id, head) of every key with two or more ids; head is the key's smallest id."""
     members = members.distinct()
@@ -262,8 +284,8 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
     their sets is num / den or more. ``sets`` (id, value, size) has a compact value for each id,
     which tasks ``expand`` to the sorted distinct hashes (64-bit), and about how many they are.
 
-    ``grouped`` (key, id, head) comes from ``groups``; it and ``sets`` are stored. Keys with one
-    head are one group: ids that share a key share its head. In each round every group's head
+    ``grouped`` has distinct (head, id), the head among the ids; it and ``sets`` are stored. Keys
+    with one head are one group: ids that share a key share its head. In each round every group's head
     is compared with the members that aren't in its component; in groups whose members are
     then still in several components, the first member outside the components of all heads so
     far is the next head. A few rounds (``stars``), while groups are of more than a few blocks,
@@ -273,13 +295,13 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
     at most; heads so far have met everyone and stay out. A block's product returns only links
     that join components. So no link between components is lost, and what is written grows
     with the members, not the pairs."""
-    own = landed(grouped.select(F.col("head").alias("key"), "id").distinct()
-                 .select("key", "id", F.col("id").alias("comp"), (F.col("id") == F.col("key")).alias("met")), "groups-by-head")
+    own = grouped.select(F.col("head").alias("key"), "id", F.col("id").alias("comp"), (F.col("id") == F.col("head")).alias("met"))
+    stored = None  # the form of ``own`` that a round has stored
     heads = own.where("met").select("key", F.col("key").alias("head"), F.col("key").alias("head_comp"))
     links, comp = None, None
     for turn in range(stars):
         pairs = own.join(heads, "key").where("comp <> head_comp").select(F.col("head").alias("a"), F.col("id").alias("b"))
-        pairs = landed(pairs.distinct(), "star")
+        pairs = landed(pairs, "star")
         near = landed(similarities(pairs, sets, expand, num, den), "near")
         release(pairs)
         links = near if links is None else links.union(near)
@@ -289,7 +311,8 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
         # a member whose component holds a head of the group waits for the products
         split = fresh.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         fresh = landed(fresh.join(split, "key", "left_semi"), "groups-by-head")
-        release(own, *([before] if before is not None else []))
+        release(*[x for x in (stored, before) if x is not None])
+        stored = fresh
         # groups of a few blocks are multiplied at once
         largest = fresh.groupBy("key").count().agg(F.max("count")).first()[0] or 0
         if turn == stars - 1 or largest <= 4 * rows:
@@ -305,6 +328,7 @@ def linked_components(spark: SparkSession, grouped: DataFrame, sets: DataFrame,
         own = landed(fresh.join(heads.select("key", F.col("head").alias("id"), F.lit(True).alias("now")), ["key", "id"], "left")
                      .select("key", "id", "comp", (F.col("met") | F.col("now").isNotNull()).alias("met")), "groups-by-head")
         release(fresh)
+        stored = own
     first = own.where(F.col("id") == F.col("key")).select("key", F.col("comp").alias("head_comp"))
     rest = own.join(first, "key").where(~F.col("met")).withColumn("out", F.col("comp") != F.col("head_comp"))
     rest = landed(rest.join(sets.select("id", F.col("size").alias("n")), "id").select("key", "id", "comp", "out", "n"), "rest")

@@ -223,7 +223,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("id").agg(F.min("need0").alias("need0"), F.min("need1").alias("need1"))
     for _ in range(3):  # who shares too few blocks links with nobody; without them, others do
         members = linking.landed(_enough(members, needs), "members")
-    grouped = linking.landed(linking.groups(members).select("key", "id", "head"), "groups")
+    grouped = linking.landed(linking.groups(members).select("head", "id").distinct(), "groups")
     wanted = grouped.select("id").distinct()
     sets = linking.landed(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
                           .mapInArrow(_sets(n), "id long, value array<long>, size int"), "sets")

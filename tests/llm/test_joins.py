@@ -170,8 +170,10 @@ def test_groups_are_linked_whole(spark, rows):
     df = spark.createDataFrame([(i, [int(x) for x in s], len(s)) for i, s in enumerate(sets)],
                                "id long, value array<long>, size int")
     keys = spark.createDataFrame([(k, i) for i in range(len(sets)) for k in (1, 2 + i % 3)], "key long, id long")
+    grouped = linking.groups(keys).select("head", "id").distinct()
+    assert sorted(grouped.collect()) == sorted(linking.shared_groups(keys.union(keys).repartition(3), "key", "id").collect())
     for stars in (1, 2, 4):
-        got = linking.linked_components(spark, linking.groups(keys), df, ngram_join.set_values, 90, 100, rows=rows,
+        got = linking.linked_components(spark, grouped, df, ngram_join.set_values, 90, 100, rows=rows,
                                         stars=stars)
         comp = {r.id: r.comp for r in got.collect()}
         assert {i: comp.get(i, i) for i in range(len(sets))} == {i: forest.root(i) for i in range(len(sets))}
