@@ -20,8 +20,9 @@ sorting with a difference cover, cut at ``length`` bytes, where only equality ma
   those whose stretch is shared stay. Each window left is named by its ``length`` bytes, sorted,
   and compared with its neighbours; all but the first of a name are repeats.
 
-Equal names within a text are one row before anything is shuffled. Sorting streams over
-partitions; a group of equal names is never held in memory, and firsts are aggregates. Names are 64-bit hashes. Rules: a null or empty text has no bytes; a text
+Equal names within a text are one row before anything is shuffled. Partitions are sorted by
+name and place and then read once, row after row, so the first of a name is the one before
+its repeats: a group of equal names is never held in memory. Names are 64-bit hashes. Rules: a null or empty text has no bytes; a text
 shorter than ``length`` loses none. Rows with a null id are neither compared nor changed.
 Places in rows that share an id are compared as in one document; a repeated row is not
 earlier than itself. Other columns are ignored. Strings are judged on the input.
@@ -220,39 +221,126 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(ends, pa.list_(pa.int32()))], names=["id", "kept", "first", "end"])
 
 
+def _first_places(start: np.ndarray, ident: np.ndarray, place: np.ndarray, held: tuple | None) -> np.ndarray:
+    """For rows in runs that begin where ``start`` holds (the first may continue one whose first
+    place is ``held``): whether a row stands at another place than its run's first."""
+    of = np.maximum.accumulate(np.where(start, np.arange(len(start)), -1))
+    at = np.maximum(of, 0)
+    first_id, first_place = ident[at], place[at]
+    if held is not None:
+        first_id[of < 0], first_place[of < 0] = held
+    return (ident != first_id) | (place != first_place)
+
+
+def _flat(column: pa.Array, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, lo, end) of all spans in a list column."""
+    column = column.fill_null(pa.scalar([], column.type)) if column.null_count else column
+    lo, end = (np.asarray(x) for x in column.flatten().flatten())
+    return np.repeat(ident, np.diff(np.asarray(column.offsets))), lo, end
+
+
+def _judged(length: int):
+    """Of samples in order of (key, name, id, place): the spans of all but the first of a name, and
+    the first of each name of keys with several names (match edges). What is held from one
+    batch to the next is a row."""
+    names = ["edge", "id", "place", "lo", "end"]
+
+    def made(edge: bool, ident, place, lo, end) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ident), edge)), pa.array(ident, pa.int64()),
+                                           *(pa.array(x, pa.int32()) for x in (place, lo, end))], names=names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None   # (key, name) and first place of the run that the batch before ended in
+        alone = None          # the first row of that key's only name so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, name, ident, place, lo, hi = (np.asarray(batch.column(i)) for i in range(6))
+            new_key, new_name = np.ones(len(key), bool), np.ones(len(key), bool)
+            new_key[1:] = key[1:] != key[:-1]
+            new_key[0] = last is None or key[0] != last[0]
+            new_name[1:] = new_key[1:] | (name[1:] != name[:-1])
+            new_name[0] = new_key[0] or name[0] != last[1]
+            again = _first_places(new_name, ident, place, first)
+            if again.any():
+                yield made(False, ident[again], place[again], lo[again], hi[again] + length)
+            owner, span_lo, span_end = _flat(batch.column(6), ident)
+            if len(owner):
+                yield made(False, owner, span_lo, span_lo, span_end)
+            # names of each key run in this batch, with those of the batch before for the first one
+            run = np.cumsum(new_key) - 1 + (not new_key[0])
+            count = np.bincount(run, weights=new_name).astype(np.int64)
+            several = count > 1
+            if not new_key[0]:
+                if alone is None:
+                    several[0] = True  # its names so far are edges already
+                elif count[0]:
+                    several[0] = True
+                    yield made(True, *([x] for x in alone))
+            edge = new_name & several[run]
+            if edge.any():
+                yield made(True, ident[edge], place[edge], lo[edge], hi[edge])
+            if several[-1]:
+                alone = None
+            elif count[-1]:
+                i = int(np.flatnonzero(new_name)[-1])
+                alone = (int(ident[i]), int(place[i]), int(lo[i]), int(hi[i]))
+            last = (key[-1], name[-1])
+            if new_name.any():
+                i = int(np.flatnonzero(new_name)[-1])
+                first = (ident[i], place[i])
+    return task
+
+
+def _later(length: int):
+    """Of windows in order of (key, id, place): the spans (id, lo, end) of all but the first of a key."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ident, place = (np.asarray(batch.column(i)) for i in range(3))
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = last is None or key[0] != last
+            again = _first_places(new, ident, place, first)
+            owner, lo, end = _flat(batch.column(3), ident)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([ident[again], owner]), pa.int64()),
+                 pa.array(np.concatenate([place[again], lo]), pa.int32()),
+                 pa.array(np.concatenate([place[again] + length, end]), pa.int32())], names=["id", "lo", "end"])
+            last = key[-1]
+            if new.any():
+                i = int(np.flatnonzero(new)[-1])
+                first = (ident[i], place[i])
+    return task
+
+
 def repeated_spans(texts: DataFrame, length: int, cover: str) -> tuple[DataFrame, DataFrame]:
     """(spans, stored): spans (id, lo, end) that cover all bytes to remove, and (id, packed),
     the texts that have any."""
-    shared = linking.landed(linking.repeated_keys(texts.mapInArrow(_samples(length, cover), SAMPLE), "key"), "shared")
-    inside = shared.select("id", F.inline("more"))  # repeats within a text
-    at = F.struct("id", "place")
-    first = shared.groupBy("key", "name").agg(F.min(F.struct("id", "place", "lo", "hi")).alias("first"))
-    first = linking.landed(first, "first")
-    repeats = shared.join(first, ["key", "name"]) \
-        .where(at != F.struct("first.id", "first.place")) \
-        .select("id", "lo", (F.col("hi") + length).alias("end")).union(inside)
-    repeats = linking.landed(repeats, "repeats")
-    linking.release(shared)
-    several = first.groupBy("key").agg(F.count("*").alias("names")).where("names > 1").select("key")
-    edges = first.join(several, "key", "left_semi").select("first.*")
-    edges = linking.landed(edges.groupBy("id").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("edges")), "edges")
-    linking.release(first)
-    touched = edges.select("id").union(repeats.select("id")).distinct()
+    samples = texts.mapInArrow(_samples(length, cover), SAMPLE).repartition("key") \
+        .sortWithinPartitions("key", "name", "id", "place")
+    judged = linking.landed(samples.mapInArrow(_judged(length), "edge boolean, id long, place int, lo int, end int"),
+                            "judged")
+    del samples
+    repeats = judged.where(~F.col("edge")).select("id", "lo", "end")
+    edges = linking.landed(judged.where("edge").groupBy("id").agg(
+        F.collect_list(F.struct("place", "lo", F.col("end").alias("hi"))).alias("edges")), "edges")
+    touched = judged.select("id").distinct()
     stored = linking.landed(packed(texts).join(touched, "id", "left_semi"), "touched")
     # most edges share little more than the short name: only windows inside a longer common
     # stretch are expanded
     named = stored.join(edges, "id").mapInArrow(_longer_names(length), "key long, id long, lo int, hi int")
     stretches = linking.landed(linking.repeated_keys(named, "key").groupBy("id").agg(
         F.collect_list(F.struct("lo", "hi")).alias("spans")), "stretches")
+    del named
     linking.release(edges)
-    same = linking.landed(linking.repeated_keys(
-        stored.join(stretches, "id").mapInArrow(_windows(length), WINDOW), "key"), "windows")
+    windows = stored.join(stretches, "id").mapInArrow(_windows(length), WINDOW).repartition("key") \
+        .sortWithinPartitions("key", "id", "place")
+    later = linking.landed(windows.mapInArrow(_later(length), "id long, lo int, end int"), "later")
     linking.release(stretches)
-    inside = same.select("id", F.inline("more"))
-    earliest = same.groupBy("key").agg(F.min(at).alias("first"))
-    more = same.join(earliest, "key").where(at != F.col("first")) \
-        .select("id", F.col("place").alias("lo"), (F.col("place") + length).alias("end"))
-    return repeats.union(more).union(inside), stored
+    return repeats.union(later), stored
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barwise.llm import line_dedup, linking, ngram_join, substring_dedup
@@ -207,6 +208,44 @@ def test_substring_dedup(docs, rows, cover, length):
     assert sum(w[1] > 0 for w in want.values()) > 30
 
 
+def batches_of(rows, cuts, kinds):
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        columns = list(zip(*rows[a:b])) if a < b else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)],
+                                         names=[str(i) for i in range(len(kinds))])
+
+
+def test_firsts_and_repeats_across_batches():
+    """However sorted rows are cut into batches, the first of each name is told from its repeats."""
+    rng = random.Random(1)
+    long, int_ = pa.int64(), pa.int32()
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        cuts = sorted(rng.sample(range(n + 1), min(n, rng.randint(0, 6))))
+        rows = sorted((rng.randint(0, 5), rng.randint(0, 2), rng.randint(0, 4), rng.randint(0, 3)) for _ in range(n))
+        more = [None if rng.random() < 0.8 else [{"lo": 1, "end": 9}] for _ in rows]
+        first, names = {}, {}
+        for key, name, *at in rows:
+            if (key, name) not in first:
+                first[key, name] = at
+                names[key] = names.get(key, 0) + 1
+        want = [(False, i, p, p, p + 101) for key, name, i, p in rows if [i, p] != first[key, name]]
+        want += [(False, r[2], 1, 1, 9) for r, m in zip(rows, more) if m]
+        want += [(True, i, p, p, p + 1) for (key, _), (i, p) in first.items() if names[key] > 1]
+        data = [(*r, r[3], r[3] + 1, m) for r, m in zip(rows, more)]
+        kinds = [long, long, long, int_, int_, int_, substring_dedup.SPAN_TYPE]
+        got = [tuple(r.values()) for b in substring_dedup._judged(100)(batches_of(data, cuts, kinds)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+        rows = sorted((r[0], r[2], r[3], None) for r in rows)
+        first = {}
+        for key, *at, _ in rows:
+            first.setdefault(key, at)
+        want = [(i, p, p + 100) for key, i, p, _ in rows if [i, p] != first[key]]
+        kinds = [long, long, int_, substring_dedup.SPAN_TYPE]
+        got = [tuple(r.values()) for b in substring_dedup._later(100)(batches_of(rows, cuts, kinds)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_differences_are_perfect():
     d = substring_dedup.DIFFERENCES
     found = sorted((a - b) % substring_dedup.MODULUS for a in d for b in d if a != b)
