@@ -143,7 +143,7 @@ def test_upsert_reads_and_writes_only_the_touched_dates(spark, sf_dir):
     assert staged.inserted == 0 and staged.updated == one_day.count()
     after = VT.publish(spark, staged)
     assert {d for d in after.parts if after.parts[d] != before.parts[d]} == set(staged.parts)
-    stored = VT.read(spark, path, schemas.BARS.add("date", "date")) \
+    stored = VT.read(spark, path, T.StructType([*schemas.BARS.fields, T.StructField("date", T.DateType())])) \
         .where(F.col("date") == F.lit(A.REDELIVERED_DAY).cast("date"))
     assert re.search(r"PartitionFilters: \[[^\]]*date", stored._jdf.queryExecution().executedPlan().toString())
 
