@@ -53,6 +53,8 @@ def read_if_present(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 def append_batch(df: DataFrame, root: str, name: str, batch_id: int | str) -> None:
     """SNK-1: append one batch's rows, keyed by batch id (idempotent on retry)."""
+    if name in DATED:
+        raise ValueError(f"{name} is a versioned table: use versions.merge")
     out = schemas.conform(df, LAYERS[name])
     out.write.mode("overwrite").parquet(f"{table_path(root, name)}/batch_id={batch_id}")
 

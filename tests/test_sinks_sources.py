@@ -1,9 +1,11 @@
 """Sinks (batch-keyed append, reset) and source helpers (vendor decode, ticker scan)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from barwise import schemas
 from barwise.operators import sinks as K
+from barwise.operators import versions as VT
 from barwise.session import scratch_path
 from barwise.sources import adapters as A
 from barwise.sources import tables as TB
@@ -15,14 +17,19 @@ from helpers import bars_df
 def test_append_batch_is_idempotent_and_reset_keeps_logs(spark):
     root = scratch_path(spark, "tables")
     b = bars_df(spark, [1.0, 2.0, 3.0])
-    K.append_batch(b, root, "raw_market_data", 0)
-    K.append_batch(b, root, "raw_market_data", 0)      # retry of the same batch
-    K.append_batch(b, root, "raw_market_data", 1)
-    assert K.read_layer(spark, root, "raw_market_data").count() == 6
+    K.append_batch(b, root, "trade_signals", 0)
+    K.append_batch(b, root, "trade_signals", 0)      # retry of the same batch
+    K.append_batch(b, root, "trade_signals", 1)
+    assert K.read_layer(spark, root, "trade_signals").count() == 6
+    with pytest.raises(ValueError):                  # bars are upserted, not appended
+        K.append_batch(b, root, "raw_market_data", 0)
+    VT.merge(spark, K.table_path(root, "raw_market_data"), b, schemas.BAR_KEY)
+    assert K.read_layer(spark, root, "raw_market_data").count() == 3
     log = spark.createDataFrame([("X", "BUY")], "ticker string, signal string")
     K.append_batch(log, root, "trade_log", 0)
     K.reset_layers(spark, root, confirm=True)
     assert K.read_layer(spark, root, "raw_market_data").count() == 0
+    assert K.read_layer(spark, root, "trade_signals").count() == 0
     assert K.read_layer(spark, root, "trade_log").count() == 1
     assert K.read_layer(spark, root, "trade_log").schema == schemas.TRADE_LOG
 

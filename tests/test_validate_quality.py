@@ -37,8 +37,9 @@ def test_spike_pair(spark):
     clean, events = V.circuit_breaker(b)
     assert sorted(r["close"] for r in clean.collect()) == [100.0, 100.0, 125.0, 126.0]
     msgs = {r["event_type"]: r["message"] for r in events.collect()}
-    assert msgs["EXTREME_SPIKE_REMOVED"] == "1 rows with >50% bar-to-bar change removed (max: 60.0%)"
-    assert msgs["PRICE_SPIKE_FLAGGED"] == "2 bars with 20%-50% change flagged (kept). Worst: 60.0%"
+    assert msgs["EXTREME_SPIKE_REMOVED"] == "1 bars dropped: the close moved over 50% (at most 60.0%)"
+    assert msgs["PRICE_SPIKE_FLAGGED"] == \
+        "2 bars kept though the close moved 20% to 50%, the ticker's largest move being 60.0%"
 
 
 def test_clean_plus_removed_is_input(spark, sf_dir):
