@@ -1,6 +1,6 @@
 """Summarise the executed physical plan of every registered query (after AQE).
 
-usage: python tools/plan_report.py [sf_dir] > PLANS.md
+usage: python tools/plan_report.py [sf_dir] > PLANS.md; further arguments: only these queries
 Counts shuffles, scans, window and sort operators, and lists steps that run in a
 single partition, so plan regressions show up as a diff.
 """
@@ -42,6 +42,8 @@ def main() -> None:
     print("| query | hash/range exchanges | single-partition exchanges | broadcasts | parquet scans | window ops | python ops |")
     print("|---|---|---|---|---|---|---|")
     for name, q in load_all().items():
+        if sys.argv[2:] and name not in sys.argv[2:]:
+            continue
         df = q.build(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
