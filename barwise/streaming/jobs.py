@@ -30,7 +30,7 @@ from ..operators import upsert as U
 from ..operators import versions as VT
 from ..operators.sinks import read_if_present
 from ..session import child_versions, drop_path, ensure_checkpoint_dir, path_exists, scratch_path
-from .processor import OUTPUT, RollingIndicatorProcessor
+from .processor import OUTPUT, STATE_BUCKETS, RollingIndicatorProcessor, state_bucket
 from .reorder import CLOSE, ReorderingProcessor
 
 COOLDOWN = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("signal", T.StringType()),
@@ -111,7 +111,8 @@ def indicator_stream(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """STR-1: keyed stateful map in append mode (no timers)."""
     spark = bars.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return bars.groupBy("ticker").transformWithStateInPandas(
+    dealt = bars.select("ticker", "timestamp", "high", "low", "close", state_bucket().alias("bucket"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=RollingIndicatorProcessor(p), outputStructType=OUTPUT,
         outputMode="append", timeMode="None")
 
@@ -315,6 +316,7 @@ def check_state_params(spark: SparkSession, checkpoint: str, p: Params) -> None:
     """Refuse to resume a checkpoint whose state was kept under other windows; a new one
     notes its own."""
     noted, now = f"{checkpoint}_params", {name: getattr(p, name) for name in STATE_PARAMS}
+    now["state_buckets"] = STATE_BUCKETS
     if not path_exists(spark, f"{noted}/_SUCCESS"):
         spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(noted)
         return
@@ -328,9 +330,11 @@ def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """STR-5: what a checkpoint's rolling state holds for each ticker, read back from the state
     store: bars seen, bars kept, oldest and newest kept time."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "tail").load()
-    at = lambda i: F.timestamp_micros(F.element_at("value.ts_us", i)).cast("timestamp_ntz")
-    return state.select(F.col("key.ticker").alias("ticker"), F.col("value.n").alias("bars_seen"),
-                        F.size("value.ts_us").alias("bars_kept"), at(1).alias("oldest_kept"), at(-1).alias("newest"))
+    # a stream that puts bars in order keeps a value for each ticker, the plain one a map for each group
+    key, value = ("key", "value") if "value" in state.columns else ("user_map_key", "user_map_value")
+    at = lambda i: F.timestamp_micros(F.element_at(f"{value}.ts_us", i)).cast("timestamp_ntz")
+    return state.select(F.col(f"{key}.ticker").alias("ticker"), F.col(f"{value}.n").alias("bars_seen"),
+                        F.size(f"{value}.ts_us").alias("bars_kept"), at(1).alias("oldest_kept"), at(-1).alias("newest"))
 
 
 def run_indicator_stream(spark: SparkSession, landing: str, out: str, p: Params = DEFAULT,

@@ -2,8 +2,8 @@
 
 It is the numpy twin of ``operators.indicators``: frame sums add the frame's values
 first to last (as Spark's sliding frame does), so stream and batch give the same
-doubles. Nulls (NaN) are skipped as Spark's aggregates do. It only ever sees one ticker's micro-batch plus at most ``state_rows`` rows of
-state, so its memory is bounded.
+doubles. Nulls (NaN) are skipped as Spark's aggregates do. It only ever sees one state bucket's micro-batch plus at most
+``state_rows`` rows of state for each of its tickers, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -46,14 +46,25 @@ def window_mean(x: np.ndarray, w: int) -> np.ndarray:
         return np.where(n > 0, window_sum(np.where(gap, 0.0, x), w) / n, np.nan)
 
 
-def indicator_arrays(high: np.ndarray, low: np.ndarray, close: np.ndarray, first_n: int,
-                     p: Params = DEFAULT) -> dict[str, np.ndarray]:
+def indicator_arrays(high: np.ndarray, low: np.ndarray, close: np.ndarray, first_n: int | np.ndarray,
+                     p: Params = DEFAULT, place: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Indicators for every row of (history + new rows); ``first_n`` is the global
-    1-based row number of element 0. Values are NaN where a gate is not met."""
-    n = first_n + np.arange(len(close))
-    pc = np.concatenate([[np.nan], close[:-1]])
-    ph = np.concatenate([[np.nan], high[:-1]])
-    pl = np.concatenate([[np.nan], low[:-1]])
+    1-based row number of element 0. Values are NaN where a gate is not met.
+
+    With ``place`` the rows are those of several tickers, one after the other: each row's
+    place (from 0) among its ticker's, and ``first_n`` is given for each row. No frame
+    reaches back over its ticker's first row."""
+    if place is None:
+        place = np.arange(len(close))
+    n, first = first_n + place, place == 0
+
+    def before(x: np.ndarray) -> np.ndarray:
+        return np.where(first, np.nan, np.concatenate([[np.nan], x[:-1]])[:len(x)])
+
+    def whole(x: np.ndarray, w: int) -> np.ndarray:
+        return np.where(place >= w - 1, x, np.nan)
+
+    pc, ph, pl = before(close), before(high), before(low)
     delta = close - pc
     gain = np.fmax(delta, 0.0)  # an unknown change counts as none, as in the batch plan
     loss = np.fmax(-delta, 0.0)
@@ -61,13 +72,13 @@ def indicator_arrays(high: np.ndarray, low: np.ndarray, close: np.ndarray, first
     vmp = np.abs(high - pl)
     vmn = np.abs(low - ph)
 
-    sma_s = window_mean(close, p.sma_short)
-    sma_l = window_mean(close, p.sma_long)
-    ag = window_mean(gain, p.rsi_period)
-    al = window_mean(loss, p.rsi_period)
+    sma_s = whole(window_mean(close, p.sma_short), p.sma_short)
+    sma_l = whole(window_mean(close, p.sma_long), p.sma_long)
+    ag = whole(window_mean(gain, p.rsi_period), p.rsi_period)
+    al = whole(window_mean(loss, p.rsi_period), p.rsi_period)
     with np.errstate(divide="ignore", invalid="ignore"):
         rsi = np.where(al > 0, 100.0 - 100.0 / (1.0 + ag / al), 100.0)
-        trs = window_total(tr, p.vortex_period)
+        trs = whole(window_total(tr, p.vortex_period), p.vortex_period)
         vp = np.where(trs > 0, window_total(vmp, p.vortex_period) / trs, np.nan)
         vn = np.where(trs > 0, window_total(vmn, p.vortex_period) / trs, np.nan)
     nan = np.nan

@@ -239,3 +239,47 @@ def test_state_read_back_and_changed_windows_refused(spark):
     assert got["B"]["oldest_kept"] == T0 and got["B"]["newest"] == T0 + dt.timedelta(minutes=900)
     with pytest.raises(ValueError, match="sma_long"):
         J.run_indicator_stream(spark, landing, out, DEFAULT.with_(sma_long=30), cooldown=False)
+
+
+class _Entries(dict):
+    """A map state without a stream."""
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_one_call_takes_a_group_of_tickers(spark):
+    import pandas as pd
+    import pytest
+    from barwise.config import DEFAULT
+    state = _Entries()
+    handle = type("Handle", (), {"getMapState": lambda self, *a: state})()
+    proc = J.RollingIndicatorProcessor()
+    proc.init(handle)
+    lengths = {"A": 75, "B": 9, "C": 52, None: 30}
+    bars = pd.DataFrame([(t, T0 + dt.timedelta(minutes=i), 3.0 + (i * k) % 7, 1.0 + (i + k) % 2, 2.0 + (i * k) % 5)
+                         for k, (t, n) in enumerate(lengths.items(), 1) for i in range(n)],
+                        columns=["ticker", "timestamp", "high", "low", "close"])
+    bars.loc[20, "close"] = None
+    early = bars.groupby("ticker", dropna=False).cumcount() < 8
+    got = []
+    for part in (bars[early], pd.concat([bars[~early], bars[bars.ticker == "B"].tail(1)]), bars[early & (bars.ticker == "A")]):
+        shuffled = part.sample(frac=1, random_state=1)
+        got += proc.handleInputRows((0,), iter([shuffled.iloc[:50], shuffled.iloc[50:]]), None)
+    got = pd.concat(got)
+    late = got[got.is_late]
+    assert sorted(late.ticker) == ["A"] * 8 + ["B"] and late.sma20.isna().all()
+    assert {t[0]: v[4] for t, v in state.items()} == lengths
+    assert all(len(v[0]) == min(lengths[t[0]], DEFAULT.state_rows) for t, v in state.items())
+    typed = [(None if pd.isna(r.ticker) else r.ticker, r.timestamp.to_pydatetime(), r.high, r.low,
+              None if pd.isna(r.close) else r.close) for r in bars.itertuples()]
+    want = IND.indicators(spark.createDataFrame(typed, "ticker string, timestamp timestamp_ntz, high double, low double, close double"))
+    want = {(r["ticker"], r["timestamp"]): tuple(r)[2:] for r in want.collect()}
+    fresh = got[~got.is_late]
+    assert len(fresh) == len(want)
+    for r in fresh.itertuples(index=False):
+        expect = want[None if pd.isna(r.ticker) else r.ticker, r.timestamp.to_pydatetime()]
+        assert [None if pd.isna(x) else x for x in r[2:8]] == [x if x is None else pytest.approx(x, abs=1e-9) for x in expect]
