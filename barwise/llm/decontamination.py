@@ -3,12 +3,12 @@
 1. The benchmark's words (lower-cased runs of letters and digits) are the features; words in
    more than ``common`` of the items are left out unless an item would keep fewer than four.
    Passages are windows of 32 words, 16 apart, of every whole text. One pass over the whole
-   table counts each feature's passages for TF-IDF.
+   table writes each passage's features to the shared folder; from these the features'
+   passages are counted for TF-IDF.
 2. A randomised SVD of the TF-IDF matrix of passages gives the latent space: Z = A'A G for a
    Gaussian G is summed over distributed blocks of rows, its orthonormal basis Q is refined
    to the leading eigenvectors of Q'A'AQ, again a distributed sum. A's rows are the passages
-   of at most about ``fit_docs`` texts (those with the least id hashes; the bound of the
-   index's fit) and, with the same total weight, the benchmark's.
+   of all texts and, with the same total weight, the benchmark's.
 3. A leak as step 4 defines it holds so many of the item's words that one of its passages has a
    number of hits of the item's own features that follows from the item
    (``Benchmark.least_hits``). Passages of every text are counted against all items by their
@@ -35,13 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linking
 from .textarrays import ALNUM, U64, Chunk, chunks, mix, runs, word_hashes, words
 
 STRIDE = 16
 WINDOW = 2 * STRIDE
+#: Bytes of text whose hits are fitted on at a time.
+FIT_BYTES = 1 << 18
 RESULT = "id long, item long, start_word long, cosine double, lcs double, answer_found boolean"
 
 
@@ -177,46 +182,65 @@ class Passages:
         return np.add.reduceat(table[self.feature[at]], np.cumsum(counts) - counts, axis=0)  # every count is 1 or more
 
 
-def _document_frequency(bench):
+def _hits(bench):
+    """(passages, keys) of stretches of text: how many passages, and block * features + feature
+    of each hit in ascending order (differences, compressed)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = bench.value
-        total, df = 0, np.zeros(len(b.features), np.int64)
+        b, squeeze = bench.value, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for c in chunks(batch.column(0), lower=True):
+            for c in chunks(batch.column(0), FIT_BYTES, lower=True):
                 p = Passages(c, b)
-                total += p.total
-                pair = np.unique(p.block * len(df) + p.feature)
-                df += np.bincount(pair % len(df), minlength=len(df))
+                keys = np.sort(p.block * len(b.features) + p.feature)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p.total]), pa.array([squeeze.compress(np.diff(keys, prepend=0).tobytes())], pa.binary())],
+                    names=["passages", "keys"])
+    return task
+
+
+def _keys(column: pa.Array) -> Iterator[np.ndarray]:
+    unzip = zstandard.ZstdDecompressor()
+    for x in column:
+        yield np.cumsum(np.frombuffer(unzip.decompress(x.as_buffer()), np.int64))
+
+
+def _document_frequency(features: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, df = 0, np.zeros(features, np.int64)
+        for batch in batches:
+            total += pc.sum(batch.column(0)).as_py() or 0
+            for keys in _keys(batch.column(1)):
+                df += np.bincount(keys[runs(keys)] % features, minlength=features)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], names=["feature", "n"])
     return task
 
 
-def _gram_sums(bench, idf: np.ndarray, basis: np.ndarray, back: bool):
+def _gram_sums(idf: np.ndarray, basis: np.ndarray, back: bool):
     """Sums over passages: (feature, vector) of A'A.basis if ``back``, else of (A.basis)'(A.basis)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = bench.value
         width = basis.shape[1]
         z = np.zeros((len(basis), width) if back else (width, width))
-        weighted = idf[:, None] * basis
+        weighted = (idf[:, None] * basis).astype(np.float32)  # a passage's row in floats, sums of passages in doubles
         for batch in batches:
-            for c in chunks(batch.column(0), lower=True):
-                p = Passages(c, b)
-                begin = runs(p.block)
-                if not len(begin):
+            for keys in _keys(batch.column(1)):
+                if not len(keys):
                     continue
                 # rows of A: blocks of words, scaled to length one
-                order = np.lexsort((p.feature, p.block))
-                block, feature = p.block[order], p.feature[order]
-                of = np.cumsum(np.isin(np.arange(len(block)), runs(block))) - 1
-                norm = np.sqrt(np.bincount(of, weights=idf[feature] ** 2))
-                scale = 1 / norm[of]
-                y = np.add.reduceat(weighted[feature] * scale[:, None], runs(block), axis=0)
+                block, feature = keys // len(idf), keys % len(idf)
+                begin = runs(block)
+                norm = np.sqrt(np.add.reduceat(idf[feature] ** 2, begin)).astype(np.float32)
+                y = np.add.reduceat(weighted[feature], begin, axis=0) / norm[:, None]
                 if back:
-                    np.add.at(z, feature, y[of] * (idf[feature] * scale)[:, None])
+                    y /= norm[:, None]
+                    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(block))))
+                    order = np.argsort(feature, kind="stable")
+                    own = feature[order]
+                    z[own[runs(own)]] += np.add.reduceat(y[of[order]], runs(own), axis=0)
                 else:
                     z += y.T @ y
+        if back:
+            z *= idf[:, None]
         at = np.flatnonzero(np.abs(z).sum(axis=1))
         if len(at):
             yield pa.RecordBatch.from_arrays(
@@ -232,9 +256,9 @@ def _summed(frame: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return z
 
 
-def latent_space(sample: DataFrame, bench, idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
-    """(features, rank) orthonormal columns: the leading right singular vectors of the rows
-    of ``sample`` (column text) and the benchmark's passages, by randomised SVD."""
+def latent_space(hits: DataFrame, bench, idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+    """(features, rank) orthonormal columns: the leading right singular vectors of all the
+    texts' passages (``_hits``) and the benchmark's, by randomised SVD."""
     b = bench.value
     own = np.zeros((len(b.pieces), len(idf)))
     for i, piece in enumerate(b.pieces):
@@ -247,7 +271,7 @@ def latent_space(sample: DataFrame, bench, idf: np.ndarray, rank: int, seed: int
     def both(basis: np.ndarray, back: bool) -> np.ndarray:
         """The corpus's sum and the benchmark's, each scaled to the same trace."""
         shape = basis.shape if back else (width, width)
-        corpus = _summed(sample.mapInArrow(_gram_sums(bench, idf, basis, back), "row long, vector array<double>"), shape)
+        corpus = _summed(hits.mapInArrow(_gram_sums(idf, basis, back), "row long, vector array<double>"), shape)
         y = own @ basis
         mine = own.T @ y if back else y.T @ y
         size = [max(np.linalg.norm(x), 1e-12) for x in (corpus, mine)]
@@ -425,17 +449,14 @@ def _windows(region: list[int], where: dict[int, int], n: int, least: int) -> It
 
 def _finders(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
              rank: int = 64, cosine: float = 0.5, lcs: float = 0.75, lcs_with_answer: float = 0.55,
-             common: float = 0.1, min_words: int = 8, fit_docs: int = 2000, block: int = 2000) -> list:
+             common: float = 0.1, min_words: int = 8, block: int = 2000) -> list:
     """One search for each block of items, with its IDF and latent space fitted."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")) \
         .where("item is not null and text is not null").dropDuplicates(["item"])
-    n_docs, n_items = texts.count(), items.count()
-    every = max(1, n_docs // fit_docs)
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
-    out, blocks = [], -(-n_items // block)
+    out, blocks = [], -(-items.count() // block)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).orderBy("item").collect()
         own = Benchmark([(r.item, r.text) for r in rows], common, min_words)
@@ -446,14 +467,18 @@ def _finders(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
             out.append(_finder(bench, None, cosine, lcs, lcs_with_answer))
             continue
         df, total = np.zeros(len(own.features)), 0
-        for r in texts.select("text").mapInArrow(_document_frequency(bench), "feature long, n long") \
-                .groupBy("feature").agg(F.sum("n").alias("n")).collect():
-            if r.feature < 0:
-                total = r.n
-            else:
-                df[r.feature] = r.n
-        idf = np.log((total + 1) / (df + 1)) + 0.1
-        space = latent_space(sample, bench, idf, rank)
+        hits = linking.landed(texts.select("text").mapInArrow(_hits(bench), "passages long, keys binary"), "hits")
+        try:
+            for r in hits.mapInArrow(_document_frequency(len(own.features)), "feature long, n long") \
+                    .groupBy("feature").agg(F.sum("n").alias("n")).collect():
+                if r.feature < 0:
+                    total = r.n
+                else:
+                    df[r.feature] = r.n
+            idf = np.log((total + 1) / (df + 1)) + 0.1
+            space = latent_space(hits, bench, idf, rank)
+        finally:
+            linking.release(hits)
         out.append(_finder(bench, idf[:, None] * space, cosine, lcs, lcs_with_answer))
     return out
 

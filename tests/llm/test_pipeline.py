@@ -203,3 +203,43 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_latent_space_is_fitted_on_every_text(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = [f"w{chr(97 + i)}" for i in range(18)]
+    items = [(i, " ".join(vocabulary[i * 6:i * 6 + 6] + vocabulary[-3:])) for i in range(3)]
+    docs = [(i, " ".join(rng.choices(vocabulary, weights=[1 + (i * k) % 5 for k in range(1, 19)], k=rng.randrange(40))))
+            for i in range(4500)] + [(4500, None), (4501, "")]
+    fitted = []
+    whole = decontamination.latent_space
+    monkeypatch.setattr(decontamination, "latent_space",
+                        lambda hits, bench, idf, rank: fitted.append((bench.value, idf, whole(hits, bench, idf, rank)))
+                        or fitted[-1][2])
+    decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+                          spark.createDataFrame(items, "item_id long, text string"), rank=4)
+    (bench, idf, space), = fitted
+    at = {int(h): i for i, h in enumerate(bench.features)}
+    rows, passages, df = [], 0, np.zeros(len(at))
+    for _, text in docs:
+        w = (text or "").split()
+        for a in range(0, len(w), decontamination.STRIDE):
+            passages += 1
+            own = [at[int(h)] for h in decontamination._hashes(" ".join(w[a:a + decontamination.STRIDE])) if int(h) in at]
+            df[sorted(set(own))] += 1
+            rows += [own] if own else []
+    assert np.allclose(idf, np.log((passages + 1) / (df + 1)) + 0.1)
+
+    def gram(rows_, norm):
+        m = np.zeros((len(at), len(at)))
+        for own in rows_:
+            x = np.zeros(len(at))
+            np.add.at(x, own, idf[own])
+            x /= norm(x, own)
+            m += np.outer(x, x)
+        return m / np.linalg.norm(m)
+
+    mine = [[at[int(h)] for h in piece if int(h) in at] for piece in bench.pieces]
+    m = gram(rows, lambda x, own: np.sqrt((idf[own] ** 2).sum())) + gram(mine, lambda x, own: np.linalg.norm(x))
+    lead = np.linalg.eigh(m)[1][:, -4:]
+    assert np.allclose(space @ space.T, lead @ lead.T, atol=1e-4)
