@@ -45,8 +45,8 @@ from .textarrays import ALNUM, U64, Chunk, chunks, mix, runs, word_hashes, words
 
 STRIDE = 16
 WINDOW = 2 * STRIDE
-#: Bytes of text whose hits are fitted on at a time.
-FIT_BYTES = 1 << 18
+#: Bytes of text whose hits are fitted on at a time (their vectors stay in a core's cache).
+FIT_BYTES = 1 << 15
 RESULT = "id long, item long, start_word long, cosine double, lcs double, answer_found boolean"
 
 
@@ -221,7 +221,7 @@ def _gram_sums(idf: np.ndarray, basis: np.ndarray, back: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = basis.shape[1]
         z = np.zeros((len(basis), width) if back else (width, width))
-        weighted = (idf[:, None] * basis).astype(np.float32)  # a passage's row in floats, sums of passages in doubles
+        weighted = idf[:, None] * basis
         for batch in batches:
             for keys in _keys(batch.column(1)):
                 if not len(keys):
@@ -229,7 +229,7 @@ def _gram_sums(idf: np.ndarray, basis: np.ndarray, back: bool):
                 # rows of A: blocks of words, scaled to length one
                 block, feature = keys // len(idf), keys % len(idf)
                 begin = runs(block)
-                norm = np.sqrt(np.add.reduceat(idf[feature] ** 2, begin)).astype(np.float32)
+                norm = np.sqrt(np.add.reduceat(idf[feature] ** 2, begin))
                 y = np.add.reduceat(weighted[feature], begin, axis=0) / norm[:, None]
                 if back:
                     y /= norm[:, None]

@@ -242,4 +242,4 @@ def test_the_latent_space_is_fitted_on_every_text(spark, monkeypatch):
     mine = [[at[int(h)] for h in piece if int(h) in at] for piece in bench.pieces]
     m = gram(rows, lambda x, own: np.sqrt((idf[own] ** 2).sum())) + gram(mine, lambda x, own: np.linalg.norm(x))
     lead = np.linalg.eigh(m)[1][:, -4:]
-    assert np.allclose(space @ space.T, lead @ lead.T, atol=1e-4)
+    assert np.allclose(space @ space.T, lead @ lead.T, atol=1e-6)
