@@ -54,6 +54,8 @@ _CLASS[0x61:0x7B] = np.arange(1, 27)
 _CLASS[0x80:] = 27
 
 
+#: Bytes of text whose words are held and whose rows are returned at a time.
+TEXT_BYTES = 1 << 17
 #: Lengths in characters of the word beginnings that are tried besides whole words.
 BEGINNINGS = range(4, 9)
 
@@ -178,7 +180,7 @@ def _word_rows(model: np.ndarray):
         restorer = _Restorer(model)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for c in chunks(batch.column(1), lower=True):
+            for c in chunks(batch.column(1), TEXT_BYTES, lower=True):
                 w = words(c, LETTERS)
                 raw = c.data.tobytes()
                 pairs = {(r, raw[a:b].decode(errors="replace"))
@@ -314,7 +316,7 @@ def _scored(model: np.ndarray, scorer: Model | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, lookup = _Restorer(model), tables()
         for batch in batches:
-            for c in chunks(batch.column(batch.schema.get_field_index("text")), lower=True):
+            for c in chunks(batch.column(batch.schema.get_field_index("text")), TEXT_BYTES, lower=True):
                 flags: list[dict] = [{} for _ in range(len(c))]  # word -> (best weight, as a whole word)
                 decoded: list[dict] = [{} for _ in range(len(c))]
                 if lookup:
@@ -363,10 +365,17 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     score = _scored(model, scorer)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            only = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at).cast(pa.string())],
-                                              names=["id", "text"])
-            scores = np.concatenate([np.asarray(b.column(1)) for b in score([only])] or [np.zeros(0)])
-            yield batch.filter(pa.array(scores < threshold))
+        now, at = None, 0  # the batch that is scored, and how many of its rows are
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            nonlocal now, at
+            for now in batches:
+                at = 0
+                column = now.column(now.schema.get_field_index(text_col))
+                yield pa.RecordBatch.from_arrays([column, column.cast(pa.string())], names=["id", "text"])
+
+        for scored in score(texts()):  # as many rows as it holds at a time
+            part = now.slice(at, scored.num_rows)
+            at += scored.num_rows
+            yield part.filter(pa.array(np.asarray(scored.column(1)) < threshold))
     return docs.mapInArrow(task, docs.schema)
