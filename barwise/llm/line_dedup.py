@@ -34,7 +34,7 @@ from .textarrays import SPACED, U64, Chunk, chunks, mix, runs, words
 
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
 _BITS = 44
-_BLOCK = 1 << 16  # lines for which shingles are held at a time
+_BLOCK = 1 << 11  # lines for which shingles are held at a time (they stay in a core's cache)
 
 
 def line_spans(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +72,13 @@ def band_keys(c: Chunk, prefix: np.ndarray, chars: np.ndarray, lo: np.ndarray, c
     n, bins = len(lo), bands * rows
     span = np.repeat(np.arange(n), counts)
     at = np.arange(len(span)) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
-    h = c.span_hash(prefix, chars[at], chars[at + k]) >> U64(64 - _BITS)
+    # the spans' characters lie close together: hashes of all shingles between, then the spans'
+    base = int(lo.min()) if n else 0
+    near = chars[base:int((lo + counts).max()) + k] if n else chars[:0]
+    if len(near) <= 2 * len(span):
+        h = c.run_hash(prefix, near, k)[at - base] >> U64(64 - _BITS)
+    else:
+        h = c.span_hash(prefix, chars[at], chars[at + k]) >> U64(64 - _BITS)
     least = np.full(n * bins, _NONE)
     np.minimum.at(least, span * bins + ((h * U64(bins)) >> U64(_BITS)).astype(np.int64), h)
     least = least.reshape(n, bins)
@@ -116,7 +122,7 @@ def _signed_lines(k: int, bands: int, rows: int):
                 prefix = c.prefix_hash()
                 row, number, first, end, lo, counts = (np.concatenate(x) for x in zip(long, short))
                 line = c.span_hash(prefix, first, end).view(np.int64)
-                _, new = np.unique(line[:len(long[0])], return_index=True)
+                new = np.sort(np.unique(line[:len(long[0])], return_index=True)[1])  # in the text's order
                 again = np.setdiff1d(np.arange(len(line)), new)
                 for a in range(0, len(new), _BLOCK):
                     some = new[a:a + _BLOCK]
@@ -185,8 +191,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = linking.landed(linking.shared_groups(banded, "band", "hash"), "groups")
     wanted = distinct.join(grouped.select(F.col("id").alias("hash")).distinct(), "hash") \
         .groupBy("first.id").agg(F.collect_list("first.line").alias("lines"))
+    # merged whatever the size of ``wanted``: no task packs and unpacks, with a worker for each
     sets = linking.landed(
-        packed(texts).join(wanted, "id").mapInArrow(_wanted_lines(k), "id long, value string, size int")
+        packed(texts).join(wanted.hint("merge"), "id").mapInArrow(_wanted_lines(k), "id long, value string, size int")
         .dropDuplicates(["id"]), "sets")
     comp = linking.linked_components(spark, grouped, sets, shingle_sets(k), round(similarity * 1000), 1000)
     linking.release(grouped, sets)
@@ -205,8 +212,8 @@ def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
     def rest(t, gone):
         if t is None or gone is None:
             return t
-        lines = t.split("\n")
-        return "\n".join([x for x, stays in zip(lines, ~np.isin(np.arange(len(lines)), gone)) if stays])
+        out = set(gone.tolist())
+        return "\n".join([x for i, x in enumerate(t.split("\n")) if i not in out])
     return pd.Series([rest(t, gone) for t, gone in zip(text, removed)], dtype=object)
 
 

@@ -30,3 +30,15 @@ def test_filter_keeps_rows_in_parts(spark):
     toxic = {r.doc_id for r in toxicity.score_documents(docs, labels).where("score >= 0.7").collect()}
     assert toxic == {i for i, _ in rows if i % 5 == 0}
     assert sorted(map(tuple, toxicity.without_toxic(docs, labels).collect())) == [r for r in rows if r[0] % 5]
+
+
+def test_band_keys_of_near_and_far_lines():
+    rng = random.Random(3)
+    texts = [text(rng, 90) + "\nÉté naïve 😀 漢字 et cetera\n" for _ in range(20)]
+    c = next(chunks(pa.array(texts), lower=True))
+    chars, (_, _, first, end, lo, counts), _ = line_dedup._eligible(c, 8)
+    prefix = c.prefix_hash()
+    assert (c.run_hash(prefix, chars, 8) == c.span_hash(prefix, chars[:-8], chars[8:])).all()
+    whole = line_dedup.band_keys(c, prefix, chars, lo, counts, 8, 9, 4)
+    for some in (np.array([0, len(lo) - 1]), np.arange(0, len(lo), 3), np.array([4])):
+        assert (line_dedup.band_keys(c, prefix, chars, lo[some], counts[some], 8, 9, 4) == whole[some]).all()
