@@ -47,6 +47,8 @@ STRIDE = 16
 WINDOW = 2 * STRIDE
 #: Bytes of text whose hits are fitted on at a time (their vectors stay in a core's cache).
 FIT_BYTES = 1 << 15
+#: Bytes of text that are searched at a time.
+SEARCH_BYTES = 1 << 18
 RESULT = "id long, item long, start_word long, cosine double, lcs double, answer_found boolean"
 
 
@@ -337,7 +339,7 @@ def _finder(bench, projected: np.ndarray | None, cosine: float, lcs: float, lcs_
 
         def find(column: pa.Array) -> list[tuple]:
             found = []
-            for c in chunks(column, lower=True):
+            for c in chunks(column, SEARCH_BYTES, lower=True):
                 p = Passages(c, b)
                 found += [(c.start + row, item, at, 1.0, 1.0, True) for row, item, at in _exact(p, b)]
                 if projected is None:
@@ -432,6 +434,9 @@ def _windows(region: list[int], where: dict[int, int], n: int, least: int) -> It
     of the item than one that begins with the item's next word."""
     at = [i for i, x in enumerate(region) if x in where]
     width = -(-3 * n // 2)
+    # most regions have no window with so many of the item's words, however often one counts
+    if not any(z - a < width for a, z in zip(at, at[max(least, 1) - 1:])):
+        return
     spare = {x: where[x].bit_count() for x in where}
     shared = z = 0
     for a in at:

@@ -42,3 +42,14 @@ def test_band_keys_of_near_and_far_lines():
     whole = line_dedup.band_keys(c, prefix, chars, lo, counts, 8, 9, 4)
     for some in (np.array([0, len(lo) - 1]), np.arange(0, len(lo), 3), np.array([4])):
         assert (line_dedup.band_keys(c, prefix, chars, lo[some], counts[some], 8, 9, 4) == whole[some]).all()
+
+
+class Uncounted(int):
+    def bit_count(self):
+        raise AssertionError("the region has too few of the item's words to be walked")
+
+
+def test_scattered_words_are_not_walked():
+    where = {x: Uncounted(1 << x) for x in range(10)}
+    scattered = [x for i in range(10) for x in [i, *range(100, 120)]]
+    assert list(decontamination._windows(scattered, where, 10, 6)) == []
