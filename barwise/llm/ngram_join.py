@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import linking
+from .packing import packed, unpacked
 from .textarrays import SPACED, U64, Chunk, chunks, lists, mix, runs, word_hashes, words
 
 _LOW52 = U64((1 << 52) - 1)
@@ -177,13 +178,15 @@ def _incidence(n: int, num: int, den: int):
 def _sets(n: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1), lower=True):
-                row, bits = set_bits(c, n)
-                counts = np.bincount(row, minlength=len(c))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.start, len(c)).cast(pa.int64()),
-                     lists(bits.view(np.int64), counts, pa.int64()), pa.array(counts, pa.int32())],
-                    names=["id", "value", "size"])
+            for at in range(0, batch.num_rows, 200):
+                ids = batch.column(0).slice(at, 200)
+                for c in chunks(unpacked(batch.column(1).slice(at, 200)), lower=True):
+                    row, bits = set_bits(c, n)
+                    counts = np.bincount(row, minlength=len(c))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.slice(c.start, len(c)).cast(pa.int64()),
+                         lists(bits.view(np.int64), counts, pa.int64()), pa.array(counts, pa.int32())],
+                        names=["id", "value", "size"])
     return task
 
 
@@ -192,16 +195,16 @@ def set_values(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _enough(members: DataFrame, needs: DataFrame) -> DataFrame:
-    """The (key, id) rows, of keys with several ids, of the ids that share as many keys of an
-    interval (an id's two intervals differ in the key's last bit) as a partner needs."""
-    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi") \
-        .select("key")
-    rows = members.join(shared, "key", "left_semi").withColumn("odd", F.col("key").bitwiseAND(1))
-    counts = rows.groupBy("id", "odd").agg(F.count("*").alias("n")).join(needs, "id") \
-        .where(F.col("n") >= F.when(F.col("odd") == 0, F.col("need0")).otherwise(F.col("need1"))) \
-        .select("id", "odd")
-    return rows.join(counts, ["id", "odd"], "left_semi").select("key", "id")
+def _enough(shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """The (key, id) rows, of distinct ones whose keys several ids have, of the ids that share as
+    many keys of an interval (an id's two intervals differ in the key's last bit) as a partner
+    needs: one shuffle by id, in which the rows are counted and filtered."""
+    odd = F.col("key").bitwiseAND(1)
+    own = Window.partitionBy("id")
+    return shared.withColumn("odd", odd).withColumn("n0", F.sum(1 - F.col("odd")).over(own)) \
+        .withColumn("n1", F.sum("odd").over(own)).join(needs.hint("merge"), "id") \
+        .where(F.when(F.col("odd") == 0, F.col("n0") >= F.col("need0")).otherwise(F.col("n1") >= F.col("need1"))) \
+        .select("key", "id")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
@@ -221,11 +224,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = linking.landed(linking.shared_keys(blocks, "sig", "id"), "members")
     needs = incidence.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi") \
         .groupBy("id").agg(F.min("need0").alias("need0"), F.min("need1").alias("need1"))
-    for _ in range(3):  # who shares too few blocks links with nobody; without them, others do
-        members = linking.landed(_enough(members, needs), "members")
-    grouped = linking.landed(linking.groups(members).select("head", "id").distinct(), "groups")
+    needs = linking.landed(needs, "needs")
+    for turn in range(3):  # who shares too few blocks links with nobody; without them, others do
+        # the first time the rows are those of shared keys already
+        shared = linking.repeated_keys(members, "key") if turn else members
+        stored, members = members, linking.landed(_enough(shared, needs), "members")
+        linking.release(stored)
+    linking.release(needs)
+    grouped = linking.landed(linking.shared_groups(members, "key", "id"), "groups")
     wanted = grouped.select("id").distinct()
-    sets = linking.landed(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    # the texts are shuffled packed, whatever the size of ``wanted``: no task packs and unpacks
+    sets = linking.landed(packed(texts.where("id is not null and text is not null"))
+                          .join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
                           .mapInArrow(_sets(n), "id long, value array<long>, size int"), "sets")
     comp = linking.linked_components(spark, grouped, sets, set_values, num, den)
     of_class = classes.join(comp, classes["rep"] == comp["id"], "left") \

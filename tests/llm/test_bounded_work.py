@@ -53,3 +53,19 @@ def test_scattered_words_are_not_walked():
     where = {x: Uncounted(1 << x) for x in range(10)}
     scattered = [x for i in range(10) for x in [i, *range(100, 120)]]
     assert list(decontamination._windows(scattered, where, 10, 6)) == []
+
+
+def test_members_with_enough_keys(spark):
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(-40, 40), rng.randrange(60)) for _ in range(700)})
+    needs = [(i, rng.randrange(1, 9), rng.randrange(1, 9)) for i in range(55)]  # five ids are unknown
+    ids = {(k, i) for k, i in pairs if Counter(k for k, _ in pairs)[k] > 1}
+    count = Counter((i, k & 1) for k, i in ids)
+    least = {i: n for i, *n in needs}
+    want = sorted((k, i) for k, i in ids if i in least and count[i, k & 1] >= least[i][k & 1])
+    got = ngram_join._enough(spark.createDataFrame(sorted(ids), "key long, id long"),
+                             spark.createDataFrame(needs, "id long, need0 long, need1 long"))
+    assert sorted(map(tuple, got.collect())) == want
+    # one shuffle of the rows and one of the needs
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 2
