@@ -226,7 +226,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, removed = F.col(text_col), F.col(f"`{gone_}`")
     joined = docs.drop(*[c for c in ("n_lines", "removed_lines") if c not in (id_col, text_col)]) \
         .join(gone, docs[id_col].cast("long") == gone[f"`{own}`"], "left")
-    left = without_lines(F.when(removed.isNotNull(), text.cast("string")), removed)
+    # marked, as else a condition on the text would have the lines cut once more, by workers of its own
+    left = without_lines.asNondeterministic()(F.when(removed.isNotNull(), text.cast("string")), removed)
     return joined.select(
         *[F.when(removed.isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`")
           for c in joined.columns if c not in (own, gone_)],

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 
@@ -69,3 +70,15 @@ def test_members_with_enough_keys(spark):
     # one shuffle of the rows and one of the needs
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_lines_are_cut_once(spark):
+    body = "the same long line stands in all of these texts"
+    rows = [(i, f"{body}\nline number {i} of its own kind {i * 7919}" if i else body, "en", "web", 0) for i in range(9)]
+    rows += [(9, body, "en", "web", 0), (10, None, "en", "web", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("ArrowEvalPython") == 1
+    want = {i: f"line number {i} of its own kind {i * 7919}" for i in range(1, 9)} | {0: body, 10: None}
+    assert {r.doc_id: r.text for r in got.collect()} == want
