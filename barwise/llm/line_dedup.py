@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -172,6 +173,20 @@ def shingle_sets(k: int):
     return expand
 
 
+def place() -> Column:
+    """``id`` and ``line`` as one number in their order. Unlike a pair it has a fixed width, so
+    that aggregates of it go by hash, without sorting their rows."""
+    return F.col("id").cast("decimal(20,0)") * F.lit(Decimal(1 << 31)) + F.col("line").cast("decimal(10,0)")
+
+
+def distinct_lines(signed: DataFrame, keys: list[str]) -> DataFrame:
+    """(hash, keys, n, first, id, line) of each line: how often it stands, its first place and
+    the id and number of one that has it."""
+    return signed.groupBy("hash").agg(
+        *[F.max(b).alias(b) for b in keys], F.count("*").alias("n"), F.min(place()).alias("first"),
+        F.min("id").alias("id"), F.min_by("line", "id").alias("line"))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8,
                   bands: int = 9, rows: int = 4, similarity: float = 0.8) -> DataFrame:
     """(id, removed): the sorted numbers (from 0) of the lines to remove, for each document
@@ -184,25 +199,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         _signed_lines(k, bands, rows),
         ", ".join(["id long, line int, hash long", *(f"{b} long" for b in keys)])), "lines")
     # a line that stands a million times is one row from here on
-    place = F.struct("id", "line")
-    distinct = linking.landed(signed.groupBy("hash").agg(
-        *[F.max(b).alias(b) for b in keys], F.min(place).alias("first"), F.max(place).alias("last")), "distinct")
+    distinct = linking.landed(distinct_lines(signed, keys), "distinct")
     banded = distinct.where("b0 is not null").select("hash", F.explode(F.array(*keys)).alias("band"))
     grouped = linking.landed(linking.shared_groups(banded, "band", "hash"), "groups")
     wanted = distinct.join(grouped.select(F.col("id").alias("hash")).distinct(), "hash") \
-        .groupBy("first.id").agg(F.collect_list("first.line").alias("lines"))
+        .groupBy("id").agg(F.collect_list("line").alias("lines"))
     # merged whatever the size of ``wanted``: no task packs and unpacks, with a worker for each
     sets = linking.landed(
         packed(texts).join(wanted.hint("merge"), "id").mapInArrow(_wanted_lines(k), "id long, value string, size int")
         .dropDuplicates(["id"]), "sets")
     comp = linking.linked_components(spark, grouped, sets, shingle_sets(k), round(similarity * 1000), 1000)
     linking.release(grouped, sets)
-    placed = distinct.join(comp.withColumnRenamed("id", "hash"), "hash", "left") \
-        .select("hash", F.coalesce("comp", "hash").alias("comp"), "first", "last")
-    kept = placed.groupBy("comp").agg(F.min("first").alias("kept"), F.max("last").alias("end")).where("kept <> end")
+    # a line that stands once and is linked with none stays
+    placed = distinct.select("hash", "n", "first").join(comp.withColumnRenamed("id", "hash"), "hash", "left") \
+        .where("n > 1 or comp is not null").select("hash", F.coalesce("comp", "hash").alias("comp"), "first")
+    kept = placed.groupBy("comp").agg(F.min("first").alias("kept"))
     kept = linking.landed(placed.join(kept, "comp").select("hash", "kept"), "kept")
     linking.release(distinct)
-    return signed.select("id", "line", "hash").join(kept, "hash").where(place != F.col("kept")) \
+    return signed.select("id", "line", "hash").join(kept, "hash").where(place() != F.col("kept")) \
         .groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -224,6 +238,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own, gone_ = (f"{x}-{uuid.uuid4().hex}" for x in ("id", "removed"))  # no input column has these names
     gone = removed_lines(docs, id_col, text_col, **options).select(F.col("id").alias(own), F.col("removed").alias(gone_))
     text, removed = F.col(text_col), F.col(f"`{gone_}`")
+    whole = text.cast("string")
     joined = docs.drop(*[c for c in ("n_lines", "removed_lines") if c not in (id_col, text_col)]) \
         .join(gone, docs[id_col].cast("long") == gone[f"`{own}`"], "left")
     # marked, as else a condition on the text would have the lines cut once more, by workers of its own
@@ -231,5 +246,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(
         *[F.when(removed.isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`")
           for c in joined.columns if c not in (own, gone_)],
-        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1)
+        .cast("long").alias("n_lines"),
         F.coalesce(removed, F.array().cast("array<int>")).alias("removed_lines"))

@@ -82,3 +82,20 @@ def test_lines_are_cut_once(spark):
     assert plan.count("ArrowEvalPython") == 1
     want = {i: f"line number {i} of its own kind {i * 7919}" for i in range(1, 9)} | {0: body, 10: None}
     assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_distinct_lines_are_not_sorted(spark):
+    rng = random.Random(6)
+    ids = [-2 ** 63, -5, -1, 0, 3, 2 ** 63 - 1]
+    rows = [(rng.choice(ids), rng.choice([0, 1, 2 ** 31 - 1]), h, h * 10 if h % 2 else None)
+            for h in (rng.randrange(40) for _ in range(300))]
+    signed = spark.createDataFrame(rows, "id long, line int, hash long, b0 long")
+    distinct = line_dedup.distinct_lines(signed, ["b0"])
+    assert "SortAggregate" not in distinct._jdf.queryExecution().executedPlan().toString()
+    got = distinct.collect()
+    assert {r.hash for r in got} == {h for _, _, h, _ in rows}
+    for r in got:
+        own = [(i, line) for i, line, h, _ in rows if h == r.hash]
+        assert r.n == len(own) and (r.id, r.line) in own
+        assert divmod(int(r.first), 1 << 31) == min(own)
+        assert r.b0 == (r.hash * 10 if r.hash % 2 else None)
