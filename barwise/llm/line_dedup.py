@@ -25,17 +25,22 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import linking
-from .packing import packed, unpacked
-from .textarrays import SPACED, U64, Chunk, chunks, mix, runs, words
+from .packing import packed
+from .textarrays import SPACED, U64, Chunk, chunks, mix, runs
 
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
+_SPACE = np.flatnonzero(~SPACED).astype(np.uint8).tobytes()
 _BITS = 44
-_BLOCK = 1 << 11  # lines for which shingles are held at a time (they stay in a core's cache)
+_BLOCK = 1 << 15  # shingles that are held at a time (they stay in a core's cache)
+_LINES = 1 << 11  # lines whose shingle sets are held at a time
+#: Bytes of text whose lines are signed at a time.
+SIGN_BYTES = 1 << 17
 
 
 def line_spans(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,14 +48,13 @@ def line_spans(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     breaks = np.flatnonzero(c.data == 0x0A) + 1
     starts = np.unique(np.concatenate([breaks, c.bounds[:-1]]))
     starts = starts[starts < len(c.data)]
-    w = words(c, SPACED)
-    of = np.searchsorted(starts, w.first, "right") - 1
-    begin = runs(of)
-    last = np.append(begin[1:], len(of)) - 1 if len(begin) else begin
-    row = w.row[begin]
+    inside = np.flatnonzero(SPACED[c.data])
+    at = np.append(np.searchsorted(inside, starts), len(inside))
+    filled = np.flatnonzero(at[1:] > at[:-1])
+    first, end = inside[at[filled]], inside[at[filled + 1] - 1] + 1
+    row = np.searchsorted(c.bounds, first, "right") - 1
     before = np.searchsorted(breaks, c.bounds[row], "right")
-    number = np.searchsorted(breaks, w.first[begin], "right") - before
-    return row, number, w.first[begin], w.end[last]
+    return row, np.searchsorted(breaks, first, "right") - before, first, end
 
 
 def shingles(c: Chunk, prefix: np.ndarray, chars: np.ndarray, first: np.ndarray, end: np.ndarray,
@@ -65,48 +69,73 @@ def shingles(c: Chunk, prefix: np.ndarray, chars: np.ndarray, first: np.ndarray,
     return both[runs(both)]
 
 
+def _least_hashes(c: Chunk, prefix: np.ndarray, chars: np.ndarray, lo: np.ndarray, counts: np.ndarray, k: int,
+                  bins: int) -> np.ndarray:
+    """(n, bins) smallest shingle hash in each bin of n spans (``band_keys``)."""
+    n, total = len(lo), int(counts.sum())
+    base = int(lo.min()) if n else 0
+    size = int((lo + counts).max()) - base if n else 0
+    gaps = lo[1:] - lo[:-1] - counts[:-1]
+    if size <= 2 * total and (gaps >= 0).all():
+        # the spans' characters lie close together: hashes of all shingles between, those of no
+        # span in a row of their own
+        h = c.run_hash(prefix, chars[base:base + size + k], k)
+        row = np.full(2 * n - 1, n)
+        row[::2] = np.arange(n)
+        each = np.empty(2 * n - 1, np.int64)
+        each[::2], each[1::2] = counts, gaps
+        slot = np.repeat(row * bins, each)
+    else:
+        slot = np.repeat(np.arange(n) * bins, counts)
+        at = np.arange(total) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
+        h = c.span_hash(prefix, chars[at], chars[at + k])
+    h >>= U64(64 - _BITS)
+    bin_ = h * U64(bins)
+    bin_ >>= U64(_BITS)
+    slot += bin_.view(np.int64)
+    least = np.full((n + 1) * bins, _NONE)
+    np.minimum.at(least, slot, h)
+    return least.reshape(n + 1, bins)[:n]
+
+
 def band_keys(c: Chunk, prefix: np.ndarray, chars: np.ndarray, lo: np.ndarray, counts: np.ndarray, k: int, bands: int,
               rows: int) -> np.ndarray:
     """(n, bands) keys of n spans that begin at the characters ``lo`` and have ``counts`` k-shingles:
     the smallest shingle hash in each of bands * rows bins, an empty bin taking the next filled
     one's value, folded by band."""
     n, bins = len(lo), bands * rows
-    span = np.repeat(np.arange(n), counts)
-    at = np.arange(len(span)) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
-    # the spans' characters lie close together: hashes of all shingles between, then the spans'
-    base = int(lo.min()) if n else 0
-    near = chars[base:int((lo + counts).max()) + k] if n else chars[:0]
-    if len(near) <= 2 * len(span):
-        h = c.run_hash(prefix, near, k)[at - base] >> U64(64 - _BITS)
-    else:
-        h = c.span_hash(prefix, chars[at], chars[at + k]) >> U64(64 - _BITS)
-    least = np.full(n * bins, _NONE)
-    np.minimum.at(least, span * bins + ((h * U64(bins)) >> U64(_BITS)).astype(np.int64), h)
-    least = least.reshape(n, bins)
-    full = least.copy()
+    least = np.empty((n, bins), U64)
+    upto = np.cumsum(counts)
+    a = 0
+    while a < n:  # some spans at a time, one at least
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _BLOCK, "right")))
+        least[a:b] = _least_hashes(c, prefix, chars, lo[a:b], counts[a:b], k, bins)
+        a = b
+    open_ = np.flatnonzero((least == _NONE).any(axis=1))
+    of, full = least[open_], least[open_]
     for step in range(1, bins):
         need = full == _NONE
         if not need.any():
             break
-        near = np.roll(least, -step, axis=1)
+        near = np.roll(of, -step, axis=1)
         need &= near != _NONE
         full[need] = mix(near[need] + U64(step * 0x9E3779B97F4A7C15 % 2**64))
+    least[open_] = full
     keys = np.tile(mix(np.arange(1, bands + 1, dtype=U64)), (n, 1))
     for i in range(rows):
-        keys = mix(keys * U64(0x9FB21C651E98DF25) + full[:, i::rows])
+        keys = mix(keys * U64(0x9FB21C651E98DF25) + least[:, i::rows])
     return keys
 
 
 def _eligible(c: Chunk, k: int):
     """Where the characters begin, the spans of the lines to compare fuzzily (row, number, first,
     end, first character, shingles), and those of the shorter ones."""
-    starts = (c.data & 0xC0) != 0x80
-    before = np.concatenate([[0], np.cumsum(starts)])
     row, number, first, end = line_spans(c)
-    lo = before[first]
-    counts = before[end] - lo - k + 1
+    chars = np.append(np.flatnonzero((c.data & 0xC0) != 0x80), len(c.data))
+    lo = np.searchsorted(chars, first)
+    counts = np.searchsorted(chars, end) - lo - k + 1
     spans, ok = (row, number, first, end, lo, counts), counts > 0
-    return np.append(np.flatnonzero(starts), len(c.data)), tuple(x[ok] for x in spans), tuple(x[~ok] for x in spans)
+    return chars, tuple(x[ok] for x in spans), tuple(x[~ok] for x in spans)
 
 
 def _signed_lines(k: int, bands: int, rows: int):
@@ -118,44 +147,43 @@ def _signed_lines(k: int, bands: int, rows: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for c in chunks(batch.column(1), lower=True):
+            for c in chunks(batch.column(1), SIGN_BYTES, lower=True):
                 chars, long, short = _eligible(c, k)
                 prefix = c.prefix_hash()
                 row, number, first, end, lo, counts = (np.concatenate(x) for x in zip(long, short))
                 line = c.span_hash(prefix, first, end).view(np.int64)
                 new = np.sort(np.unique(line[:len(long[0])], return_index=True)[1])  # in the text's order
                 again = np.setdiff1d(np.arange(len(line)), new)
-                for a in range(0, len(new), _BLOCK):
-                    some = new[a:a + _BLOCK]
-                    keys = band_keys(c, prefix, chars, lo[some], counts[some], k, bands, rows).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[c.start + row[some]]), pa.array(number[some], pa.int32()), pa.array(line[some]),
-                         *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(bands))], names=names)
-                if len(again):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[c.start + row[again]]), pa.array(number[again], pa.int32()), pa.array(line[again]),
-                         *([pa.nulls(len(again), none.type)] * bands)], names=names)
+                keys = band_keys(c, prefix, chars, lo[new], counts[new], k, bands, rows).view(np.int64)
+                for some, signs in ((new, [pa.array(np.ascontiguousarray(keys[:, i])) for i in range(bands)]),
+                                    (again, [pa.nulls(len(again), none.type)] * bands)):
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[c.start + row[some]]), pa.array(number[some], pa.int32()), pa.array(line[some]),
+                             *signs], names=names)
     return task
 
 
 def _wanted_lines(k: int):
-    """(id, value, size): the trimmed, lower-cased wanted lines of packed texts."""
+    """(id, value, size): the trimmed, lower-cased wanted lines of packed texts. Only these are
+    looked at; a line of fewer than k characters is none of them."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             wanted = batch.column(batch.schema.get_field_index("lines"))
             squeezed = batch.column(batch.schema.get_field_index("packed"))
             for at in range(0, batch.num_rows, 200):
-                asked = [set(x.as_py()) for x in wanted.slice(at, 200)]
-                for c in chunks(unpacked(squeezed.slice(at, 200)), lower=True):
-                    _, (row, number, first, end, _, _), _ = _eligible(c, k)
-                    pick = np.array([n in asked[c.start + r] for r, n in zip(row.tolist(), number.tolist())], bool)
-                    if not pick.any():
-                        continue
-                    first, end, raw = first[pick], end[pick], c.data.tobytes()
-                    line = c.span_hash(c.prefix_hash(), first, end).view(np.int64)
+                values = []
+                for text, numbers in zip(squeezed.slice(at, 200), wanted.slice(at, 200).to_pylist()):
+                    text = unzip.decompress(text.as_buffer()).split(b"\n")
+                    # rows that share an id may have fewer lines
+                    lines = [text[n].strip(_SPACE).lower().decode() for n in set(numbers) if n < len(text)]
+                    values += [x for x in lines if len(x) >= k]
+                for c in chunks(pa.array(values, pa.large_string())):
+                    line = c.span_hash(c.prefix_hash(), c.bounds[:-1], c.bounds[1:]).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(line), pa.array([raw[a:b].decode() for a, b in zip(first, end)], pa.string()),
-                         pa.array((end - first).astype(np.int32))], names=["id", "value", "size"])
+                        [pa.array(line), pa.array(values[c.start:c.stop], pa.string()),
+                         pa.array(np.diff(c.bounds).astype(np.int32))], names=["id", "value", "size"])
     return task
 
 
@@ -163,7 +191,7 @@ def shingle_sets(k: int):
     """Lines to their sorted distinct shingle hashes."""
     def expand(column: pa.Array) -> list[np.ndarray]:
         out = []
-        for c in chunks(column, rows=_BLOCK):
+        for c in chunks(column, rows=_LINES):
             chars = np.append(np.flatnonzero((c.data & 0xC0) != 0x80), len(c.data))
             both = shingles(c, c.prefix_hash(), chars, c.bounds[:-1], c.bounds[1:], k)
             stop = np.searchsorted(both >> U64(_BITS), np.arange(len(c)), "right")

@@ -6,8 +6,9 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import zstandard
 
-from barwise.llm import decontamination, line_dedup, ngram_join, toxicity
+from barwise.llm import decontamination, line_dedup, linking, ngram_join, toxicity
 from barwise.llm.textarrays import chunks
 
 from .corpus import text
@@ -99,3 +100,49 @@ def test_distinct_lines_are_not_sorted(spark):
         assert r.n == len(own) and (r.id, r.line) in own
         assert divmod(int(r.first), 1 << 31) == min(own)
         assert r.b0 == (r.hash * 10 if r.hash % 2 else None)
+
+
+def test_band_keys_hold_few_shingles(monkeypatch):
+    rng = random.Random(7)
+    texts = ["\n".join([text(rng, 60), "é" * 9 + text(rng, 40), "x" * 9, text(rng, 9000)]) for _ in range(15)]
+    c = next(chunks(pa.array(texts), lower=True))
+    chars, (_, _, _, _, lo, counts), _ = line_dedup._eligible(c, 8)
+    sizes, whole = [], line_dedup._least_hashes
+    monkeypatch.setattr(line_dedup, "_least_hashes", lambda *a: sizes.append((a[4].sum(), len(a[4]))) or whole(*a))
+    line_dedup.band_keys(c, c.prefix_hash(), chars, lo, counts, 8, 9, 4)
+    assert sum(x for x, _ in sizes) == counts.sum() > 4 * line_dedup._BLOCK
+    assert all(x <= line_dedup._BLOCK or n == 1 for x, n in sizes)
+
+
+def test_only_wanted_lines_are_looked_at(monkeypatch):
+    texts = ["one Line\n \x0b Second wanted LINE \x85\x1c\t\r\nthird", "\n\nÉté naïve ÀÉ 漢字 x\n", "only one line of text", ""]
+    asked = [[1, 0, 1], [2, 0], [7], [0]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(4)), pa.array([zstandard.compress(t.encode()) for t in texts]), pa.array(asked, pa.list_(pa.int32()))],
+        names=["id", "packed", "lines"])
+    cut = next(chunks(pa.array(texts), lower=True))
+    row, number, first, end = line_dedup.line_spans(cut)
+    line = cut.span_hash(cut.prefix_hash(), first, end).view(np.int64)
+    raw = cut.data.tobytes()
+    want = {int(h): raw[a:b].decode() for r, n, a, b, h in zip(row, number, first, end, line)
+            if n in asked[r] and len(raw[a:b].decode()) >= 8}
+    monkeypatch.setattr(line_dedup, "line_spans", None)  # the other lines are not cut again
+    got = [x for b in line_dedup._wanted_lines(8)(iter([batch])) for x in b.to_pylist()]
+    assert {x["id"]: x["value"] for x in got} == want and len(want) == 3
+    assert all(x["size"] == len(x["value"].encode()) for x in got)
+
+
+def test_small_blocks_are_expanded_together():
+    calls = []
+
+    def expand(column):
+        calls.append(len(column))
+        return [np.array(x.as_py(), np.int64) for x in column]
+
+    rows = [(key, 0, 0, 10 * key + i, 10 * key + i, True, 3, [7, 8, 9, 10 + key, 1000 + i // 2]) for key in range(300) for i in range(4)]
+    names = ["key", "p", "q", "id", "comp", "out", "side", "value"]
+    table = pa.table([pa.array(x) for x in zip(*rows)], names=names)
+    got = [(r["a"], r["b"]) for b in linking._products(expand, 9, 10)(iter(table.to_batches(max_chunksize=7)))
+           for r in b.to_pylist()]
+    assert sorted(got) == [(10 * key + i, 10 * key + i + 1) for key in range(300) for i in (0, 2)]
+    assert sum(calls) == 1200 and max(calls) <= linking._ROWS_AT_ONCE and len(calls) < 5
