@@ -48,7 +48,7 @@ WINDOW = 2 * STRIDE
 #: Bytes of text whose hits are fitted on at a time (their vectors stay in a core's cache).
 FIT_BYTES = 1 << 15
 #: Bytes of text that are searched at a time.
-SEARCH_BYTES = 1 << 18
+SEARCH_BYTES = 1 << 16
 RESULT = "id long, item long, start_word long, cosine double, lcs double, answer_found boolean"
 
 
@@ -184,6 +184,25 @@ class Passages:
         return np.add.reduceat(table[self.feature[at]], np.cumsum(counts) - counts, axis=0)  # every count is 1 or more
 
 
+def _row_sums(table: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows ``at``, from each place of ``begin`` (ascending, the first 0) to
+    the next: the groups' first rows, then their second ones and so on, so that each step
+    adds whole arrays."""
+    counts = np.diff(np.append(begin, len(at)))
+    order = np.argsort(-counts, kind="stable")
+    first, left = begin[order], np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), "left")
+    sums = table[at[first]]
+    for k, n in enumerate(left[1:].tolist(), 1):
+        if n < 16:  # few long groups are left
+            for i in range(n):
+                sums[i] += table[at[first[i] + k:first[i] + counts[order[i]]]].sum(axis=0)
+            break
+        sums[:n] += table[at[first[:n] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def _hits(bench):
     """(passages, keys) of stretches of text: how many passages, and block * features + feature
     of each hit in ascending order (differences, compressed)."""
@@ -232,13 +251,14 @@ def _gram_sums(idf: np.ndarray, basis: np.ndarray, back: bool):
                 block, feature = keys // len(idf), keys % len(idf)
                 begin = runs(block)
                 norm = np.sqrt(np.add.reduceat(idf[feature] ** 2, begin))
-                y = np.add.reduceat(weighted[feature], begin, axis=0) / norm[:, None]
+                y = _row_sums(weighted, feature, begin)
+                y /= norm[:, None]
                 if back:
                     y /= norm[:, None]
                     of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(block))))
                     order = np.argsort(feature, kind="stable")
                     own = feature[order]
-                    z[own[runs(own)]] += np.add.reduceat(y[of[order]], runs(own), axis=0)
+                    z[own[runs(own)]] += _row_sums(y, of[order], runs(own))
                 else:
                     z += y.T @ y
         if back:

@@ -146,3 +146,34 @@ def test_small_blocks_are_expanded_together():
            for r in b.to_pylist()]
     assert sorted(got) == [(10 * key + i, 10 * key + i + 1) for key in range(300) for i in (0, 2)]
     assert sum(calls) == 1200 and max(calls) <= linking._ROWS_AT_ONCE and len(calls) < 5
+
+
+def test_row_sums():
+    rng = np.random.default_rng(8)
+    for kind in (np.float32, np.float64):
+        table = rng.normal(size=(50, 7)).astype(kind)
+        for counts in ([1], [3, 1, 2], [1] * 40, [400, 1, 90, 2], rng.integers(1, 9, 300), [5] * 20):
+            at = rng.integers(0, 50, sum(counts))
+            begin = np.cumsum(counts) - counts
+            got = decontamination._row_sums(table, at, begin)
+            assert got.dtype == kind
+            assert np.allclose(got, np.add.reduceat(table[at].astype(float), begin, axis=0), rtol=0, atol=1e-4 if kind is np.float32 else 1e-11)
+    assert decontamination._row_sums(table, at[:0], at[:0]).shape == (0, 7)
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_texts_are_searched_in_small_parts(monkeypatch):
+    rng = random.Random(9)
+    items = [(i, text(rng, 30)) for i in range(5)]
+    texts = [f"{text(rng, 200)} {items[i % 5][1] if i % 50 == 0 else ''} {text(rng, 200)}" for i in range(400)]
+    bench = decontamination.Benchmark(items, 0.1, 8)
+    sizes, whole = [], decontamination.Passages
+    monkeypatch.setattr(decontamination, "Passages", lambda c, b: sizes.append(len(c.data)) or whole(c, b))
+    space = np.linalg.qr(np.random.default_rng(1).normal(size=(len(bench.features), 16)))[0]
+    found = decontamination._finder(Shared(bench), space, 0.5, 0.75, 0.55)()(pa.array(texts))
+    assert {(row, item) for row, item, *_ in found} == {(i, i % 5) for i in range(0, 400, 50)}
+    assert sum(sizes) == sum(map(len, texts)) and max(sizes) <= 1 << 16
